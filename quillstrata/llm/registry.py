@@ -6,18 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstrata.llm.near_duplicates import near_duplicates
+from quillstrata.llm import audio, near_duplicates, packing, secret_scan, url_filter
 from quillstrata.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The url rules of the contract, (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        _QUERIES[query.__name__] = query
+        if sql:
+            _SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+@_query()
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over three-word shingles at 85 in 100."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"), 3, 85, 100)
+    return near_duplicates.near_duplicates(read_table(spark, sf_dir, "documents"), 3, 85, 100)
+
+
+@_query()
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as mu-law WAV files, read back and described."""
+    return audio.media_features(audio.store_texts(read_table(spark, sf_dir, "documents")))
+
+
+@_query()
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text and of all layers encoded in it."""
+    return secret_scan.summarise(secret_scan.scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@_query()
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed in sequences of 1024 tokens."""
+    return packing.pack(packing.tokenize(read_table(spark, sf_dir, "documents")))
 
 
-_QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_minhash_near_dedup,)}
+@_query(
+    r"""
+    WITH u AS (
+      SELECT page_id,
+             translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+      FROM pages),
+    r(rule_host, rule_path, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block'))
+    SELECT page_id, host, path,
+           (SELECT arg_max(rule_host || rule_path, length(rule_host) + length(rule_path)) FROM r
+            WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS rule,
+           coalesce((SELECT arg_max(v, length(rule_host) + length(rule_path)) FROM r
+            WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)), 'allow') AS verdict
+    FROM u
+    """
+)
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def queries() -> dict[str, Query]:
@@ -27,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """Return the operators' SQL, where SQL can express them."""
-    return {}
+    return dict(_SQL)
