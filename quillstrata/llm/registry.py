@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstrata.llm import audio, near_duplicates, packing, secret_scan, url_filter
+from quillstrata.llm import audio, language, lm_score, near_duplicates, packing, quality, secret_scan, toxicity, url_filter
+from quillstrata.llm.samples import crc32_fold
 from quillstrata.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,28 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@_query()
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every text against all others."""
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from three folds of four."""
+    documents = read_table(spark, sf_dir, "documents")
+    model = language.train(documents.where(crc32_fold(F.col("doc_id"), 4) != 2))
+    return language.predict(documents, model, held_out="crc32(cast(id as string)) % 4 = 2")
+
+
+@_query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from four folds of five."""
+    documents, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.train(documents, labels.where(crc32_fold(F.col("doc_id"), 5) != 0))
+    return toxicity.score(documents, model, held_out="crc32(cast(doc_id as string)) % 5 = 0")
+
+
 @_query()
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over three-word shingles at 85 in 100."""
@@ -46,6 +70,14 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summarise(secret_scan.scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+@_query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text, learned from four folds of five."""
+    documents, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = quality.train(documents, labels.where(crc32_fold(F.col("doc_id"), 5) != 0))
+    return quality.score(documents, model, 0.3, held_out="crc32(cast(doc_id as string)) % 5 = 0")
+
+
 @_query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed in sequences of 1024 tokens."""
