@@ -1,9 +1,66 @@
-"""Corpus pipeline: STAGES over ``documents``, each written and read again."""
+"""Corpus pipeline: STAGES over ``documents``, each written and read again.
 
-STAGES = []
+Toxic documents go; of each group of near duplicates (five-word shingles, 0.8)
+the document with the smallest id stays; documents that hold a benchmark item go;
+secrets are replaced; what is left is packed in sequences of 1024 tokens.
+
+All stages but the last return the columns they got. Empty tables pass through;
+rows with null texts pass all filters, and are packed as an end token alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstrata.llm import decontaminate, near_duplicates, packing, secret_scan, toxicity
+from quillstrata.sources import durable_table, read_table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the lexicon, learned from ``labels``, does not reject."""
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group."""
+    return near_duplicates.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no benchmark item."""
+    return decontaminate.remove_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets, encoded ones included, and count characters anew."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place all pieces of all documents in sequences."""
+    return packing.pack(packing.tokenize(docs))
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("packing", pack_sequences),
+]
+#: No stage before the last can be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply STAGES to ``documents``."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to ``documents``; each stage but the last is written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

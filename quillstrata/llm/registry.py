@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstrata.llm import audio, language, lm_score, near_duplicates, packing, quality, secret_scan, toxicity, url_filter
+from quillstrata.llm import audio, decontaminate, language, lm_score, near_duplicates, packing, quality, secret_scan, toxicity, url_filter
 from quillstrata.llm.samples import crc32_fold
 from quillstrata.sources import read_table
 
@@ -84,6 +84,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(read_table(spark, sf_dir, "documents")))
 
 
+@_query()
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the best window of each."""
+    return decontaminate.contaminated(*(read_table(spark, sf_dir, t) for t in ("documents", "benchmark")))
+
+
 @_query(
     r"""
     WITH u AS (
