@@ -229,3 +229,18 @@ def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     lone = signed.select("id", *keys).join(known, ["id", *keys], "left")
     component = F.coalesce("component", "id")
     return lone.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return ``df`` with one row of each near-duplicate component, all columns kept.
+
+    It is the one with the smallest id. Rows with a null id stay; of rows that
+    share an id one stays.
+    """
+    ids = durable(near_duplicates(df, shingle, num, den, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
+    dropped = ids.where("not kept").select(F.col("doc_id").alias(id_col))
+    few = dropped.count() <= BROADCAST_IDS
+    kept = df.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti")
+    if ids.where("kept and times > 1").isEmpty():
+        return kept.select(*df.columns)
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])).select(*df.columns)
