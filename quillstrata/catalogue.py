@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,19 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    for name in ("corpus", "retrieval", "activation", "threads", "plans", "exchange"):
+        importlib.import_module(f"quillstrata.queries.{name}")
+
+
 def queries() -> dict[str, Query]:
     """Return every registered query."""
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Return the SQL of the queries that SQL can express."""
+    _load()
     return dict(_SQL)
