@@ -1 +1,92 @@
-"""Queries to come."""
+"""Exchange queries: identities, strict decoding, schemas and validation reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillstrata.catalogue import register
+from quillstrata.functions import identity, records
+from quillstrata.operators import validation
+from quillstrata.sources import read_table
+
+_MD5 = "md5(c_custkey::VARCHAR)"
+_HYPHENS = "concat_ws('-', substring(m, 1, 8), substring(m, 9, 4), substring(m, 13, 4), substring(m, 17, 4), substring(m, 21, 12))"
+
+
+@register("object_id_parse", f"SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN {_HYPHENS} END AS object_id FROM (SELECT c_custkey, {_MD5} AS m FROM customer)")
+def object_id_parse(spark, sf_dir):
+    """Object ids of customers in four spellings, and one that is none."""
+    digest = F.md5(F.col("c_custkey").cast("string").cast("binary"))
+    plain = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    k = F.col("c_custkey") % 5
+    spelled = F.when(k == 0, digest).when(k == 1, F.upper(plain)).when(k == 2, F.concat(F.lit("{"), plain, F.lit("}"))).when(k == 3, F.concat(F.lit("urn:uuid:"), plain)).otherwise(F.concat(plain, F.lit("0")))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", identity.object_id(spelled).alias("object_id"))
+
+
+@register("opaque_id_parse", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_type END AS opaque_id FROM events")
+def opaque_id_parse(spark, sf_dir):
+    """Opaque ids; every third one is blank."""
+    raw = F.when(F.col("event_id") % 3 == 0, F.lit(" \n ")).otherwise(F.col("event_type"))
+    return read_table(spark, sf_dir, "events").select("event_id", identity.opaque_id(raw).alias("opaque_id"))
+
+
+@register("region_address_parse", f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN {_HYPHENS} END AS object_id, CASE WHEN c_custkey % 2 = 0 THEN 'h1' END AS address FROM (SELECT c_custkey, {_MD5} AS m FROM customer)")
+def region_address_parse(spark, sf_dir):
+    """Region addresses; every second one is blank."""
+    address = F.when(F.col("c_custkey") % 2 == 0, "h1").otherwise("  ")
+    parsed = identity.region_address(F.md5(F.col("c_custkey").cast("string").cast("binary")), address)
+    return read_table(spark, sf_dir, "customer").select("c_custkey", parsed.alias("a")).select("c_custkey", "a.object_id", "a.address")
+
+
+@register("address_kind", "SELECT * FROM (VALUES ('object', 'semantic_object'), ('unit', 'semantic_unit'), ('region', 'semantic_region'), ('identifier', 'identifier'), ('occurrence', 'occurrence'), ('temporal_anchor', 'temporal_anchor'), ('retrieval_surface', 'retrieval_surface'), ('other', NULL)) t(variant, kind)")
+def address_kind(spark, sf_dir):
+    """Kinds of all variants of an address."""
+    variants = spark.createDataFrame([(x,) for x in (*identity.ADDRESS_KINDS, "other")], "variant string")
+    return variants.select("variant", identity.address_kind(F.col("variant")).alias("kind"))
+
+
+@register("strict_decode", "SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN '$.extra' WHEN 2 THEN '$.role' WHEN 3 THEN '$.turn' END AS fault_path, CASE turn % 4 WHEN 1 THEN 'unknown field' WHEN 2 THEN 'unknown variant' WHEN 3 THEN 'missing field' END AS fault FROM conversations")
+def strict_decode(spark, sf_dir):
+    """Turns as JSON, three in four made faulty, with the fault that decoding finds."""
+    k = F.col("turn") % 4
+    whole = F.struct("conv_id", "turn", "role", "text")
+    text = F.when(k == 1, F.to_json(F.struct("conv_id", "turn", "role", "text", F.lit(1).alias("extra")))).when(k == 2, F.to_json(F.struct("conv_id", "turn", F.lit("robot").alias("role"), "text"))).when(k == 3, F.to_json(F.struct("conv_id", "role", "text"))).otherwise(F.to_json(whole))
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("json"))
+    return records.check_json(rows, "json", "chat-turn").select("conv_id", "turn", "fault_path", "fault")
+
+
+@register("json_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
+def json_round_trip(spark, sf_dir):
+    """Turns encoded as JSON and decoded again."""
+    rows = read_table(spark, sf_dir, "conversations")
+    decoded = F.from_json(F.to_json(F.struct(*rows.columns)), rows.schema)
+    return rows.select(decoded.alias("r")).select("r.*")
+
+
+@register("schema_export")
+def schema_export(spark, sf_dir):
+    """JSON Schema documents of all records."""
+    return spark.createDataFrame([(n, records.json_schema(n)) for n in records.RECORDS], "name string, document string")
+
+
+@register("validation_report", """SELECT * FROM (
+  SELECT 'lines_have_orders' AS check_name, count(*) AS failures FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+  UNION ALL SELECT 'lines_have_parts', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT 'orders_have_customers', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'orders_unique', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'labels_unique', count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'labels_have_documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT 'units_counted', 0)""")
+def validation_report(spark, sf_dir):
+    """Integrity checks over the stand-in tables, with numbers of failures."""
+    t = {name: read_table(spark, sf_dir, name) for name in ("lineitem", "orders", "part", "customer", "labels", "documents")}
+    checks = {
+        "lines_have_orders": validation.unresolved(t["lineitem"], "l_orderkey", t["orders"], "o_orderkey"),
+        "lines_have_parts": validation.unresolved(t["lineitem"], "l_partkey", t["part"], "p_partkey"),
+        "orders_have_customers": validation.unresolved(t["orders"], "o_custkey", t["customer"], "c_custkey"),
+        "orders_unique": validation.repeated(t["orders"], ["o_orderkey"]),
+        "labels_unique": validation.repeated(t["labels"], ["doc_id"]),
+        "labels_have_documents": validation.unresolved(t["labels"], "doc_id", t["documents"], "doc_id"),
+        "units_counted": validation.miscounted(t["documents"].select("doc_id", F.size(F.split("text", "\n")).alias("declared")), t["documents"].select("doc_id", F.explode(F.split("text", "\n")).alias("line")), "doc_id", "declared"),
+    }
+    return validation.report(checks).select("check_name", "failures")
