@@ -8,8 +8,12 @@ Plan
    copies costs one combining aggregate.
 3. Representatives that share a band key meet. Within a band bucket every member
    is held against one hub only (the member with most company), so a bucket of n
-   members gives n - 1 pairs. What is still apart afterwards is compared block
-   against block; pairs that are already connected are not made again.
+   members gives n - 1 pairs.
+   For what is still apart afterwards, each set's shingles that occur in no other
+   such set are counted: they bound its similarity to all others from above, which
+   rules out the outer members of a family of near copies without meeting them.
+   What is left is compared block against block; pairs that are already connected
+   or out of bounds are not made.
 4. The collision-corrected similarity of the packed bits drops candidates that
    are many standard errors below the threshold; the rest are confirmed on full
    shingle sets with integer arithmetic.
@@ -47,20 +51,21 @@ CACHE = 1 << 15
 MARGIN = 0.2
 #: Ids that may be sent to every executor, 32 MB of longs.
 BROADCAST_IDS = 4_000_000
-#: Members of a bucket block in the comparison of what hubs left apart.
-BLOCK = 128
+#: Members of a bucket block in the comparison of what hubs left apart, which uses
+#: longer signatures: the margin is over five of their standard errors, too.
+BLOCK, LONG_HASHES, LONG_MARGIN = 4096, 1024, 0.065
 
 
-def minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Return the ``HASHES`` minima of each non-empty set, one row a set."""
-    factors, masks = constants(HASHES, 0x4D), constants(HASHES, 0x4E)
-    out = np.empty((len(offsets) - 1, HASHES), np.uint64)
+def minima(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Return the minima of each non-empty set, one row a set."""
+    factors, masks = constants(hashes, 0x4D), constants(hashes, 0x4E)
+    out = np.empty((len(offsets) - 1, hashes), np.uint64)
     scratch = np.empty(CACHE, np.uint64)
     for i, j in doc_blocks(offsets, CACHE):
         part = values[offsets[i] : offsets[j]]
         starts = offsets[i:j] - offsets[i]
         work = scratch[: len(part)] if len(part) <= CACHE else np.empty(len(part), np.uint64)
-        for h in range(HASHES):
+        for h in range(hashes):
             np.bitwise_xor(part, masks[h], out=work)
             np.multiply(work, factors[h], out=work)
             out[i:j, h] = np.minimum.reduceat(work, starts)
@@ -127,6 +132,23 @@ def _sets(shingle: int):
     return run
 
 
+def _long_planes(shingle: int):
+    schema = pa.schema([("id", pa.int64()), ("planes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, j in doc_blocks(offsets, SLICE):
+                part = data[offsets[i] : offsets[j]]
+                values, at = shingle_sets(*words(part, offsets[i : j + 1] - offsets[i]), j - i, shingle)
+                full = np.diff(at) > 0
+                packed = bit_planes(minima(values, np.append(at[:-1][full], at[-1]), LONG_HASHES)) if full.any() else np.zeros((0, BITS * LONG_HASHES // 64), np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(full)), lists], schema=schema)
+
+    return run
+
+
 def _estimate(left: list[Column], right: list[Column]) -> Column:
     """Collision-corrected similarity: equal bits of chance are taken out."""
     per = HASHES // 64
@@ -154,30 +176,54 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     """Keep the pairs (a, b) whose full sets have den * intersection >= num * union."""
     pairs = pairs.persist(StorageLevel.DISK_ONLY)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = chosen.select("id", "text").mapInArrow(_sets(shingle), "id long, members array<long>")
+    sets = _chosen(texts, wanted).mapInArrow(_sets(shingle), "id long, members array<long>")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "members": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _apart(least: float):
-    """Pairs of different components within two blocks of one bucket."""
+def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Return (id, text) of the ids, sent to the texts if there are few enough."""
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
+
+
+def _unshared(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Return (id, unshared): shingles of each set that no other set of ``ids`` has.
+
+    Most shingles of a family occur in one set or in many; a shingle leaves a task
+    once, with its count and one id.
+    """
+    items = _chosen(texts, ids).mapInArrow(_sets(shingle), "id long, members array<long>").select("id", F.explode("members").alias("item"))
+    owned = items.groupBy("item").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1")
+    return owned.groupBy("id").agg(F.count("*").alias("unshared"))
+
+
+def _apart(least: float, num: int, den: int):
+    """Pairs of different components within two blocks of one bucket.
+
+    A pair is made in the first bucket that it shares.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         frame = table.to_pandas()
         ids, owner, side = frame.id.to_numpy(), frame.component.to_numpy(), frame.block.to_numpy()
         planes = np.stack(frame.planes.to_numpy()).view(np.uint64).reshape(len(ids), BITS, -1)
+        size, shared = frame.n.to_numpy(), frame.shared.to_numpy()
+        keys = np.stack(frame.bands.to_numpy())
+        band = int((keys[0] == frame.key.iloc[0]).argmax())
         lo, hi = frame.lo.iloc[0], frame.hi.iloc[0]
         left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
         found = []
         for i in left:
             other = right[(ids[right] > ids[i]) | (lo != hi)]
             other = other[owner[other] != owner[i]]
+            other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
+            most = np.minimum(shared[other], shared[i])
+            other = other[den * most >= num * (size[other] + size[i] - most)]
             differing = np.bitwise_or.reduce(planes[other] ^ planes[i], axis=1)
-            equal = 1 - np.bitwise_count(differing).sum(axis=1) / HASHES
-            near = other[(equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= least - MARGIN]
+            equal = 1 - np.bitwise_count(differing).sum(axis=1) / LONG_HASHES
+            near = other[(equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= least - LONG_MARGIN]
             found.append(np.stack([np.full(len(near), ids[i]), ids[near]]))
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
@@ -200,7 +246,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     keys = ["n", "f1", "f2"]
     groups = durable(linkable.groupBy(*keys).agg(F.min("id").alias("rep")))
     member = linkable.join(groups, keys)
-    reps = durable_table(member.where("id = rep").select("id", "bands", *(F.col("planes")[p].alias(f"s{p}") for p in range(PLANES))))
+    reps = durable_table(member.where("id = rep").select("id", "n", "bands", *(F.col("planes")[p].alias(f"s{p}") for p in range(PLANES))))
     bucket = reps.select("id", F.explode("bands").alias("key"))
     shared = bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     company = durable(bucket.join(shared, "key"))
@@ -216,12 +262,22 @@ def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
 
     placed = company.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
+    rest = placed.join(open_keys.select("key"), "key").select("key", "id", "component")
+    rest = durable(rest.join(reps.select("id", "n"), "id"))
+    unshared = _unshared(rest.select("id").distinct(), texts, shingle)
+    rest = rest.join(unshared, "id", "left").withColumn("shared", F.col("n") - F.coalesce("unshared", F.lit(0)))
+    smallest = rest.groupBy("key").agg(F.min("n").alias("smallest"))
+    possible = F.lit(den) * F.col("shared") >= F.lit(num) * (F.col("n") + F.greatest("smallest", "shared") - F.col("shared"))
+    rest = durable(rest.join(smallest, "key").where(possible).select("key", "id", "component", "n", "shared"))
+    still = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
     parts = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
-    rest = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    rest = rest.join(reps.select("id", F.array(*(f"s{p}" for p in range(PLANES))).alias("planes")), "id")
-    faced = rest.select("key", "id", "component", "block", "planes", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    faced = faced.select("key", "id", "component", "block", "planes", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    left_apart = faced.groupBy("key", "lo", "hi").applyInArrow(_apart(least), "a long, b long").distinct()
+    rest = rest.join(still, "key").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    packed = durable_table(_chosen(texts, rest.select("id").distinct()).mapInArrow(_long_planes(shingle), "id long, planes array<long>"))
+    rest = rest.join(packed.join(reps.select("id", "bands"), "id"), "id")
+    face = ["key", "id", "component", "n", "shared", "block", "bands", "planes"]
+    faced = rest.select(*face, F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    faced = faced.select(*face, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    left_apart = faced.groupBy("key", "lo", "hi").applyInArrow(_apart(least, num, den), "a long, b long").distinct()
     second = durable(_confirm(left_apart, texts, shingle, num, den))
     final = label if second.isEmpty() else components(first.union(twice).union(second))
 
