@@ -73,11 +73,12 @@ class Temporal:
 
 @dataclass(frozen=True)
 class Binding:
-    """A named start set of addresses of one kind."""
+    """A named start set of one kind: addresses, and authored names to resolve."""
 
     name: str
     kind: str
     ids: tuple[str, ...]
+    authored: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,8 @@ class Snapshot:
 
     records (kind, id), edges, units (unit_id, content), anchors (kind, id,
     anchor); transitions by id: (from kind, directions, to kind); surfaces by id:
-    (kinds, modes, hard limit, available); identifiers by name: kinds.
+    (kinds, modes, hard limit, available); identifiers by name: kinds; search
+    functions by surface; ids by authored name, ambiguous names left out.
     """
 
     records: DataFrame
@@ -125,6 +127,7 @@ class Snapshot:
     surfaces: dict[str, tuple[tuple[str, ...], tuple[str, ...], int, bool]]
     identifiers: dict[str, tuple[str, ...]] = field(default_factory=dict)
     search: dict[str, Callable[[DataFrame, object], DataFrame]] = field(default_factory=dict)
+    names: dict[str, str] = field(default_factory=dict)
 
 
 def order(plan: Plan) -> list[Path | Join]:
@@ -171,7 +174,7 @@ def conform(plan: Plan, snapshot: Snapshot) -> DataFrame:
     """
     spark = snapshot.records.sparkSession
     kinds = {b.name: b.kind for b in plan.bindings}
-    faults: list[tuple[str, str]] = []
+    faults: list[tuple[str, str]] = [("unresolved_authored_target", x) for b in plan.bindings for x in b.authored if x not in snapshot.names]
     for step in order(plan):
         if isinstance(step, Join):
             missing = [x for x in step.inputs if x not in kinds]
@@ -197,7 +200,7 @@ def conform(plan: Plan, snapshot: Snapshot) -> DataFrame:
 
 def start_sets(plan: Plan, snapshot: Snapshot) -> DataFrame | None:
     """The addresses that the plan itself names, as (root, kind, id)."""
-    rows = [(b.name, b.kind, x) for b in plan.bindings for x in b.ids]
+    rows = [(b.name, b.kind, x) for b in plan.bindings for x in (*b.ids, *(snapshot.names[n] for n in b.authored if n in snapshot.names))]
     return snapshot.records.sparkSession.createDataFrame(rows, "root string, kind string, id string") if rows else None
 
 
