@@ -177,7 +177,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of documents with a text and a toxic label."""
     marked = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    joined = documents.where("text is not null").select("doc_id", "text").join(stratified(marked, "toxic", PER_LABEL, 2), "doc_id")
+    joined = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(stratified(marked, "toxic", PER_LABEL, 2)), "doc_id")
     rows = joined.select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
     return fit([r.text for r in rows], [r.toxic for r in rows])
