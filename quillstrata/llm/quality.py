@@ -206,7 +206,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on a bounded sample of documents with a text and a quality label."""
     marked = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     counts = dict(marked.groupBy("quality").count().collect())
-    joined = documents.where("text is not null").select("doc_id", "text").join(stratified(marked, "quality", PER_LABEL, 2), "doc_id")
+    joined = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(stratified(marked, "quality", PER_LABEL, 2)), "doc_id")
     rows = joined.select("doc_id", "text", "quality").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.quality))
     x = np.concatenate([features(*utf8(pa.array([r.text for r in rows[k : k + 500]], pa.string()))) for k in range(0, len(rows), 500)]) if rows else np.zeros((0, len(FEATURES)))
