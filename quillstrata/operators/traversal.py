@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstrata.sources import durable
+
 EDGE = ("source_kind", "source_id", "transition_id", "direction", "target_kind", "target_id", "ord")
 
 
@@ -33,7 +35,9 @@ def follow(start: DataFrame, edge_table: DataFrame, transition: str, direction:
 def walk(start: DataFrame, edge_table: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
     """Return (root, depth, kind, id) of everything within ``depth`` steps; 0 is the start.
 
-    Each step is one join; an end found at a lesser depth is not walked again.
+    Each step is one join; an end found at a lesser depth is not walked again. A
+    layer that the next steps need is cut from its lineage, else every step would
+    compute all steps before it anew.
     """
     layers = [start.select("root", F.lit(0).cast("long").alias("depth"), "kind", "id").distinct()]
     frontier = layers[0]
@@ -43,6 +47,7 @@ def walk(start: DataFrame, edge_table: DataFrame, depth: int, direction: str = "
         found = found.select("root", F.lit(step).cast("long").alias("depth"), F.col("target_kind").alias("kind"), F.col("target_id").alias("id")).distinct()
         seen = reduce(DataFrame.unionByName, layers).select("root", "kind", "id")
         frontier = found.join(seen, ["root", "kind", "id"], "left_anti")
+        frontier = durable(frontier) if step < depth else frontier
         layers.append(frontier)
     return reduce(DataFrame.unionByName, layers)
 
