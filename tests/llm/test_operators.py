@@ -394,7 +394,7 @@ def test_bounds_never_exceed_the_best_packing():
 # Decontamination
 
 
-def test_contamination_equals_brute_force(spark, odd, none):
+def test_contamination_equals_brute_force(spark, odd, none, monkeypatch):
     rng = random.Random(8)
     items = [(k, sentence(rng, rng.randint(8, 40))) for k in range(20)] + [(20, None), (21, ""), (22, "two words"), (None, sentence(rng, 30)), (24, sentence(rng, 90))]
     rows = list(odd)
@@ -412,7 +412,6 @@ def test_contamination_equals_brute_force(spark, odd, none):
 
     prepared = [(-1 if i is None else i, tokens(t)) for i, t in items if tokens(t)]
     grams = {i: [tuple(w[p : p + min(5, len(w))]) for p in range(len(w) - min(5, len(w)) + 1)] for i, w in prepared}
-    shared = collections.Counter(g for x in grams.values() for g in set(x))
     expected = {}
     for d, t in rows:
         w = tokens(t)
@@ -423,11 +422,15 @@ def test_contamination_equals_brute_force(spark, odd, none):
                 a = collections.Counter(tuple(w[q : q + k]) for q in range(p, p + n - k + 1))
                 if not a.keys() & b.keys():
                     continue
-                weight = {g: 1 / max(1, shared[g]) for g in a.keys() | b.keys()}
+                weight = {g: sum(len(x.encode()) for x in g) for g in a.keys() | b.keys()}
                 s = sum(weight[g] * min(a[g], b[g]) for g in weight) / sum(weight[g] * max(a[g], b[g]) for g in weight)
                 if s >= 0.8 - 1e-9:
                     expected[d, i] = max(expected.get((d, i), 0), round(s, 9))
     assert got == expected and len(expected) > 12
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "CHARACTERS", 600)
+    blocked = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
+    assert blocked == expected
     clean = decontaminate.remove_contaminated(frame(spark, rows), benchmark)
     assert collections.Counter(r.doc_id for r in clean.collect()) == collections.Counter(d for d, _ in rows if d not in {k for k, _ in expected})
     assert decontaminate.contaminated(none, benchmark).count() == 0
