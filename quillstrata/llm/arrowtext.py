@@ -7,8 +7,10 @@ proportion to its words, not to its words times a Python object.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,30 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
 
 
+#: Rows that go to a Python worker at once; the default of 10,000 long texts is too many.
+BATCH_ROWS = 1000
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df, run: Callable, schema):
+    """``df.mapInArrow`` with batches of ``BATCH_ROWS`` rows; workers give memory back after each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(freed, schema)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Return (bytes, offsets) of a string column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

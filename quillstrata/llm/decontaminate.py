@@ -3,7 +3,8 @@
 Words are runs of letters and digits, A-Z lower-cased; passages are compared by
 five-word shingles. Every window of a document that has an item's number of words
 and holds at least one shingle of some item (no other can be similar) gets a 64-bit
-SimHash from running sums of its shingles' weighted bits. Multi-index Hamming
+SimHash from running sums of its shingles' weighted bits, unless shingles of items
+make up less than 0.8 of its weight, which bounds its similarity to any item. Multi-index Hamming
 lookup finds all items within ``RADIUS``: of eight blocks of eight bits, one must
 differ in at most two bits if all differ in at most 23. Candidates are verified by
 exact weighted Jaccard similarity of window and item.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, mix, span_hashes, utf8
+from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, map_batches, mix, span_hashes, utf8
 from quillstrata.llm.tokens import ragged
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -134,12 +135,13 @@ def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Item
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     if not len(hashes) or not len(items.ids):
         return []
-    begin = np.searchsorted(doc, doc)
-    end = np.searchsorted(doc, doc, "right")
+    counts = np.bincount(doc)
+    ends = np.cumsum(counts)
+    begin, end = np.repeat(ends - counts, counts), np.repeat(ends, counts)
     for short in sorted({min(SHINGLE, int(n)) for n in items.sizes}):
         values = grams(hashes, short)
-        valid = np.arange(len(hashes)) + short <= end
-        maybe = np.flatnonzero(valid & items.bitmap[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        maybe = np.flatnonzero(items.bitmap[(values >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        maybe = maybe[maybe + short <= end[maybe]]
         if not len(maybe):
             continue
         at = np.minimum(np.searchsorted(items.known, values[maybe]), len(items.known) - 1)
@@ -147,13 +149,15 @@ def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Item
         if not len(hits):
             continue
         heavy = weights(lengths, short)
+        known = np.zeros(len(heavy))
+        known[hits] = heavy[hits]
+        mass, shared = (np.append(0.0, np.cumsum(x)) for x in (heavy, known))
         for length in sorted({int(n) for n in items.sizes if min(SHINGLE, int(n)) == short}):
             span = length - short + 1
-            cover = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(cover, np.maximum(hits - span + 1, begin[hits]), 1)
-            np.add.at(cover, hits + 1, -1)
-            opens = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            lowest = np.maximum(hits - span + 1, begin[hits])
+            opens = np.unique(ragged(np.arange(len(hashes)), lowest, hits - lowest + 1))
             opens = opens[opens + length <= end[opens]]
+            opens = opens[shared[opens + span] - shared[opens] >= SIMILAR * (mass[opens + span] - mass[opens])]
             members = np.flatnonzero(items.sizes == length)
             for chunk in range(0, len(opens), WINDOWS):
                 _windows(opens[chunk : chunk + WINDOWS], span, length, values, heavy, doc, begin, members, items, best)
@@ -238,7 +242,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                         schema=_FOUND,
                     )
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        part = map_batches(rows, run, "doc_id long, item_id long, similarity double, first_word long, n_words long")
         result = part if result is None else result.unionByName(part)
     return result if result is not None else rows.where("false").selectExpr("doc_id", "cast(null as long) item_id", "cast(null as double) similarity", "cast(null as long) first_word", "cast(null as long) n_words")
 
@@ -257,5 +261,5 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: st
                     keep[[f[0] for f in search(*tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), shared.value)]] = False
                     yield batch.slice(i, j - i).filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_batches(documents, run, documents.schema)
     return documents
