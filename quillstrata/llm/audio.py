@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import doc_blocks, utf8
+from quillstrata.llm.arrowtext import doc_blocks, map_batches, utf8
 
 #: Bytes of padding value and of a frame; two ADPCM blocks are one frame.
 PAD, FRAME, ADPCM_BLOCK = 255, 576, 288
@@ -130,7 +130,7 @@ def store_texts(df: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(files, pa.binary())], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(rows, run, "doc_id long, n_bytes long, media binary")
 
 
 def _sums(pcm: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -186,7 +186,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, schema.types, strict=True)], schema=schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
 def to_pcm_wav(media: DataFrame) -> DataFrame:
@@ -202,4 +202,4 @@ def to_pcm_wav(media: DataFrame) -> DataFrame:
                 files.append(wav(resample_double(table[np.frombuffer(samples, np.uint8)]).tobytes(), PCM, 2 * rate, 2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], schema=schema)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary")
+    return map_batches(media.select("doc_id", "media"), run, "doc_id long, pcm binary")

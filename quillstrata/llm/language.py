@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import doc_blocks, lower_table, utf8
+from quillstrata.llm.arrowtext import doc_blocks, lower_table, map_batches, utf8
 from quillstrata.llm.samples import stratified
 
 #: Rows that training uses of each language, landmarks among them, and languages.
@@ -135,7 +135,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(F.col("id").alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def train(df: DataFrame) -> Model:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, mix, shingle_sets, utf8, words
+from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, map_batches, mix, shingle_sets, utf8, words
 from quillstrata.llm.graph import components
 from quillstrata.sources import durable, durable_table
 
@@ -176,7 +176,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     """Keep the pairs (a, b) whose full sets have den * intersection >= num * union."""
     pairs = pairs.persist(StorageLevel.DISK_ONLY)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _chosen(texts, wanted).mapInArrow(_sets(shingle), "id long, members array<long>")
+    sets = map_batches(_chosen(texts, wanted), _sets(shingle), "id long, members array<long>")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "members": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -194,7 +194,7 @@ def _unshared(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     Most shingles of a family occur in one set or in many; a shingle leaves a task
     once, with its count and one id.
     """
-    items = _chosen(texts, ids).mapInArrow(_sets(shingle), "id long, members array<long>").select("id", F.explode("members").alias("item"))
+    items = map_batches(_chosen(texts, ids), _sets(shingle), "id long, members array<long>").select("id", F.explode("members").alias("item"))
     owned = items.groupBy("item").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1")
     return owned.groupBy("id").agg(F.count("*").alias("unshared"))
 
@@ -241,7 +241,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
         raise ValueError("band parameters hold for similarities of 0.8 or more")
     least = num / den
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = durable_table(texts.mapInArrow(_signatures(shingle), "id long, n long, f1 long, f2 long, bands array<long>, planes array<long>"))
+    signed = durable_table(map_batches(texts, _signatures(shingle), "id long, n long, f1 long, f2 long, bands array<long>, planes array<long>"))
     linkable = signed.where("n > 0 and id is not null")
     keys = ["n", "f1", "f2"]
     groups = durable(linkable.groupBy(*keys).agg(F.min("id").alias("rep")))
@@ -272,7 +272,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     still = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
     parts = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
     rest = rest.join(still, "key").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    packed = durable_table(_chosen(texts, rest.select("id").distinct()).mapInArrow(_long_planes(shingle), "id long, planes array<long>"))
+    packed = durable_table(map_batches(_chosen(texts, rest.select("id").distinct()), _long_planes(shingle), "id long, planes array<long>"))
     rest = rest.join(packed.join(reps.select("id", "bands"), "id"), "id")
     face = ["key", "id", "component", "n", "shared", "block", "bands", "planes"]
     faced = rest.select(*face, F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))

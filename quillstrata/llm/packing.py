@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import doc_blocks, utf8
+from quillstrata.llm.arrowtext import doc_blocks, map_batches, utf8
 from quillstrata.llm.tokens import encode
 from quillstrata.sources import durable_table
 
@@ -71,7 +71,7 @@ def tokenize(df: DataFrame, vocabulary: str = "byte_bpe_50k", capacity: int = 10
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, _PIECES + ", ids array<long>" * keep_ids)
+    return map_batches(rows, run, _PIECES + ", ids array<long>" * keep_ids)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import SLICE, doc_blocks, shingle_sets, span_hashes, utf8, word_spans
+from quillstrata.llm.arrowtext import SLICE, doc_blocks, map_batches, shingle_sets, span_hashes, utf8, word_spans
 from quillstrata.llm.samples import stratified
 
 #: Rows that training uses of each label.
@@ -228,4 +228,4 @@ def score(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "do
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(rows, run, "doc_id long, held_out boolean, score double, predicted int")

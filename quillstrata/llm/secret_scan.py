@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstrata.llm.arrowtext import map_batches
+
 # The kinds of secret, in the order of the contract.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -212,7 +214,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, schema.types[1]), pa.array(missed, pa.int64())], schema=schema)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, findings array<struct<kind string, start long, end long, encodings string>>, unopened long")
+    return map_batches(rows, run, "doc_id long, findings array<struct<kind string, start long, end long, encodings string>>, unopened long")
 
 
 def summarise(scanned: DataFrame) -> DataFrame:
@@ -255,4 +257,4 @@ def redact(df: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> Dat
             columns[at] = pa.array(column, batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -22,17 +22,25 @@ LONG = 2000
 def _engines(vocabulary: str):
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    slow.encode_special_tokens = True
     widths = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         widths[rank] = len(token)
-    return fast, slow, widths
+    return fast, widths
+
+
+@functools.cache
+def _long_words(vocabulary: str):
+    """The encoder for long cuts; few tasks need it, and it is large."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    slow.encode_special_tokens = True
+    return slow
 
 
 @functools.cache
@@ -73,7 +81,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def encode(data: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """Return (ids, offsets into ids) of the texts in a byte buffer."""
-    fast, slow, widths = _engines(vocabulary)
+    fast, widths = _engines(vocabulary)
     n_docs = len(offsets) - 1
     starts = cuts(data, offsets)
     if not len(starts):
@@ -102,7 +110,7 @@ def encode(data: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.n
     for k in np.flatnonzero(alone).tolist():
         text = raw[starts[k] : ends[k]]
         if text not in seen:
-            ids = fast.encode_ordinary(text.decode()) if len(text) <= LONG else slow.encode(text.decode(), add_special_tokens=False).ids
+            ids = fast.encode_ordinary(text.decode()) if len(text) <= LONG else _long_words(vocabulary).encode(text.decode(), add_special_tokens=False).ids
             pools.append(np.array(ids, np.uint32))
             seen[text] = (size, len(ids))
             size += len(ids)

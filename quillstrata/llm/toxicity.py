@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import span_hashes, utf8
+from quillstrata.llm.arrowtext import map_batches, mix, release, span_hashes, utf8
 from quillstrata.llm.samples import stratified
 
 #: Rows that training uses of each label.
@@ -104,8 +104,9 @@ def learn_entries(texts: list[str], toxic: list[int]) -> dict[str, float]:
         owner, is_toxic = pairs // len(texts), label[pairs % len(texts)]
         in1, in0 = np.bincount(owner, weights=is_toxic, minlength=n), np.bincount(owner, weights=1 - is_toxic, minlength=n)
         inside = label[doc[has]] == 1
-        frame = np.unique(np.stack([back[inside].astype(np.uint64), before[has][inside]]), axis=1)[0] if inside.any() else np.zeros(0, np.uint64)
-        contexts = np.bincount(frame.astype(np.int64), minlength=n)
+        own = back[inside]
+        _, seen = np.unique(mix(own.astype(np.uint64)) ^ before[has][inside], return_index=True)
+        contexts = np.bincount(own[seen], minlength=n)
         odds = np.log(((in1 + 0.5) / (n1 + 1)) / ((in0 + 0.5) / (n0 + 1)))
         error = np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))
         for k in np.flatnonzero((contexts >= CONTEXTS) & (in1 >= TEXTS) & (odds - error >= ODDS)):
@@ -180,7 +181,12 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     joined = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(stratified(marked, "toxic", PER_LABEL, 2)), "doc_id")
     rows = joined.select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    texts, marks = [r.text for r in rows], [r.toxic for r in rows]
+    del rows
+    model = fit(texts, marks)
+    del texts
+    release()
+    return model
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: str = "false") -> DataFrame:
@@ -200,7 +206,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -216,4 +222,4 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 keep.append(a * u + b * v + c < 0)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
