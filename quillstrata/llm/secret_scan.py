@@ -1,12 +1,12 @@
 """Secret scanning through nested encodings.
 
-A text is the first item of a worklist. Each item is scanned for the three kinds
-of secret, then every stretch of it that URL escapes, Unicode escapes, base64 or
-(below base64) compression encode is unwrapped and joins the list, until nothing
-new appears. A layer whose content was seen before in the document is not opened
-again. Positions of a layer are mapped back through its parents to code points of
-the original text: exactly for escapes, to groups of four characters for base64,
-to the whole stretch for compressed bytes.
+A text is the first layer. Each layer is scanned for the three kinds of secret,
+then every stretch of it that URL escapes, Unicode escapes, base64 or (below base64)
+compression encode is unwrapped to a layer below. A layer that equals one above it
+is not opened again; one that occurs elsewhere in the document is scanned once, and
+its findings are mapped from each place. Positions of a layer are mapped back through
+its parents to code points of the original text: exactly for escapes, to groups of
+four characters for base64, to the whole stretch for compressed bytes.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned
 each; other columns are kept as they are by ``redact`` and dropped by
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
@@ -43,6 +44,8 @@ SOLID = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that a compressed layer may have to be scanned.
 INFLATED = 64 << 20
+#: Characters that a layer may have for its findings to be kept for the next time it occurs.
+CACHED = 1 << 20
 #: Share of printable characters that makes decoded bytes a text.
 PRINTABLE = 0.95
 
@@ -170,27 +173,62 @@ def _layers(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
         yield name, content, back
 
 
+def _key(content: str) -> str | bytes:
+    """Short contents stand for themselves, long ones are known by a digest."""
+    return content if len(content) <= 256 else hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+class _Layer:
+    """A layer whose findings are being gathered, in its own positions."""
+
+    def __init__(self, content: str, key: str | bytes, name: str, back: Map, unopened: list[str]):
+        self.key, self.name, self.back, self.size = key, name, back, len(content)
+        self.found: dict[tuple[int, int, int], str] = dict.fromkeys(find(content), "")
+        self.layers = _layers(content, unopened)
+        self.whole = True
+
+    def take(self, found: dict[tuple[int, int, int], str], name: str, back: Map) -> None:
+        """Add an inner layer's findings; of two paths to one the shorter, then the earlier stays."""
+        for (s, kind, e), path in found.items():
+            s, e = back(s, e)
+            path = f"{name}/{path}" if path else name
+            known = self.found.get((s, kind, e))
+            if known is None or known and path.count("/") < known.count("/"):
+                self.found[s, kind, e] = path
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
     """Return (start, kind index, end, encodings) of all secrets, and layers left unopened.
 
     Findings of the text itself have no encodings. A deeper finding at the same
     place and of the same kind as an earlier one is the same finding.
     """
-    found: dict[tuple[int, int, int], str] = {}
     unopened: list[str] = []
-    seen: set[str] = set()
-    work: list[tuple[str, str, tuple[Map, ...]]] = [(text, "", ())]
-    while work:
-        content, path, maps = work.pop(0)
-        if content in seen:
-            continue
-        seen.add(content)
-        for s, kind, e in find(content):
-            for back in reversed(maps):
-                s, e = back(s, e)
-            found.setdefault((s, kind, e), path)
-        work += [(inner, f"{path}/{name}" if path else name, (*maps, back)) for name, inner, back in _layers(content, unopened)]
-    return sorted((*k, path) for k, path in found.items()), len(unopened)
+    cache: dict[str | bytes, dict[tuple[int, int, int], str]] = {}
+    chain = [_Layer(text, _key(text), "", lambda s, e: (s, e), unopened)]
+    above = {chain[0].key}
+    while True:
+        top = chain[-1]
+        for name, inner, back in top.layers:
+            key = _key(inner)
+            if key in above:
+                top.whole = False
+            elif key in cache:
+                top.take(cache[key], name, back)
+            else:
+                chain.append(_Layer(inner, key, name, back, unopened))
+                above.add(key)
+                break
+        else:
+            chain.pop()
+            if not chain:
+                return sorted((*k, path) for k, path in top.found.items()), len(unopened)
+            above.discard(top.key)
+            chain[-1].take(top.found, top.name, top.back)
+            # What leaves out a layer above holds for this place alone.
+            chain[-1].whole &= top.whole
+            if top.whole and top.size <= CACHED:
+                cache[top.key] = top.found
 
 
 _FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("encodings", pa.string())])

@@ -339,6 +339,17 @@ def test_cycles_end():
     assert secret_scan.scan("%2525252525252541" * 50)[1] == 0
 
 
+@pytest.mark.parametrize("layer", range(6))
+def test_each_occurrence_of_a_layer_is_found(layer):
+    inner = encodings(SECRET)[layer]
+    other = encodings(SECRET)[0 if layer == 1 else 1]
+    text = f"one, {inner}, two, {inner}\n{other}, three"
+    for part in (inner, other):
+        for m in re.finditer(re.escape(part), text):
+            assert any(m.start() <= s < e <= m.end() for s, kind, e, path in secret_scan.scan(text)[0] if kind == 0 and path)
+    assert secret_scan.redact_text(text, "#").count("#") >= 3 and inner not in secret_scan.redact_text(text, "#")
+
+
 # Packing
 
 
