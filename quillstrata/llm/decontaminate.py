@@ -4,7 +4,8 @@ Words are runs of letters and digits, A-Z lower-cased; passages are compared by
 five-word shingles. Every window of a document that has an item's number of words
 and holds at least one shingle of some item (no other can be similar) gets a 64-bit
 SimHash from running sums of its shingles' weighted bits, unless shingles of items
-make up less than 0.8 of its weight, which bounds its similarity to any item. Multi-index Hamming
+make up less than 0.8 of its weight, which bounds its similarity to any item. A document
+of fewer words than an item is itself the window that is held against it. Multi-index Hamming
 lookup finds all items within ``RADIUS``: of eight blocks of eight bits, one must
 differ in at most two bits if all differ in at most 23. Candidates are verified by
 exact weighted Jaccard similarity of window and item.
@@ -86,6 +87,7 @@ class Items:
     sizes: np.ndarray
     shingles: list[np.ndarray]
     weights: list[np.ndarray]
+    masses: np.ndarray
     known: np.ndarray
     bitmap: np.ndarray
     prints: np.ndarray
@@ -118,7 +120,7 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
     bitmap = np.zeros(1 << FILTER_BITS, bool)
     bitmap[(known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     prints = [_pack((_bits(x) * w[:, None]).sum(axis=0, keepdims=True, dtype=np.float64)) for x, w in zip(shingles, heavy, strict=True)]
-    return Items(np.array(ids, np.int64)[keep], counts[keep], shingles, heavy, known, bitmap, np.concatenate(prints) if prints else np.zeros((0, 8), np.uint8))
+    return Items(np.array(ids, np.int64)[keep], counts[keep], shingles, heavy, np.array([x.sum() for x in heavy]), known, bitmap, np.concatenate(prints) if prints else np.zeros((0, 8), np.uint8))
 
 
 def _similar(window: np.ndarray, heavy: np.ndarray, item: np.ndarray, item_heavy: np.ndarray) -> float:
@@ -161,6 +163,21 @@ def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Item
             members = np.flatnonzero(items.sizes == length)
             for chunk in range(0, len(opens), WINDOWS):
                 _windows(opens[chunk : chunk + WINDOWS], span, length, values, heavy, doc, begin, members, items, best)
+        # A text shorter than an item is one window, if its known shingles can reach the item's weight.
+        opens = np.unique(begin[hits])
+        size = end[opens] - opens
+        whole = opens + size - short + 1
+        known_mass = shared[whole] - shared[opens]
+        keep = (size < items.sizes.max()) & (known_mass >= SIMILAR * (mass[whole] - mass[opens]))
+        opens, size, known_mass = opens[keep], size[keep], known_mass[keep]
+        for length in np.unique(size).tolist():
+            same = size == length
+            longer = (items.sizes > length) & (np.minimum(SHINGLE, items.sizes) == short)
+            members = np.flatnonzero(longer & (SIMILAR * items.masses <= known_mass[same].max() + 1e-6))
+            if len(members):
+                part = opens[same]
+                for chunk in range(0, len(part), WINDOWS):
+                    _windows(part[chunk : chunk + WINDOWS], length - short + 1, length, values, heavy, doc, begin, members, items, best)
     return [(d, int(k), s, first, n) for (d, k), (s, first, n) in sorted(best.items())]
 
 

@@ -448,6 +448,38 @@ def test_contamination_equals_brute_force(spark, odd, none, monkeypatch):
     assert decontaminate.contaminated(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item_equal_brute_force(spark):
+    rng = random.Random(9)
+    items = [(k, sentence(rng, n)) for k, n in enumerate((100, 100, 60, 40, 12, 6, 5, 4))]
+    rows = [(1000, "one"), (1001, ""), (1002, None)]
+    for k, t in items:
+        w = t.split()
+        for j, share in enumerate((0.99, 0.95, 0.9, 0.85, 0.8, 0.75, 0.5)):
+            n = int(len(w) * share)
+            rows += [(100 * k + 10 * j, " ".join(w[:n])), (100 * k + 10 * j + 1, " ".join(w[len(w) - n :])), (100 * k + 10 * j + 2, " ".join([*w[: n // 2], "odd", *w[n // 2 + 1 : n]]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.n_words) for r in decontaminate.contaminated(frame(spark, rows), benchmark).collect()}
+
+    def grams(words, k):
+        return collections.Counter(tuple(words[p : p + k]) for p in range(len(words) - k + 1))
+
+    expected = {}
+    for d, t in rows:
+        w = (t or "").split()
+        for i, item in items:
+            n, k = len(item.split()), min(5, len(item.split()))
+            b = grams(item.split(), k)
+            for p in range(max(1, len(w) - n + 1)):
+                a = grams(w[p : p + n], k)
+                weight = {g: sum(map(len, g)) for g in a.keys() | b.keys()}
+                s = sum(weight[g] * min(a[g], b[g]) for g in weight) / sum(weight[g] * max(a[g], b[g]) for g in weight)
+                if s >= 0.8 - 1e-9 and s > expected.get((d, i), (0,))[0]:
+                    expected[d, i] = (round(s, 9), p, min(n, len(w)))
+    assert got == expected and sum(n < len(items[i][1].split()) for (_, i), (_, _, n) in got.items()) > 20
+    left = {r.doc_id for r in decontaminate.remove_contaminated(frame(spark, rows), benchmark).collect()}
+    assert left == {d for d, _ in rows} - {d for d, _ in expected}
+
+
 # URLs
 
 
