@@ -1,8 +1,8 @@
 """Secret scanning through nested encodings.
 
 A text is the first layer. Each layer is scanned for the three kinds of secret,
-then every stretch of it that URL escapes, Unicode escapes, base64 or (below base64)
-compression encode is unwrapped to a layer below. A layer that equals one above it
+then unwrapped to layers below: one with all its URL escapes decoded, one with all its
+Unicode escapes, and one for every stretch of base64 or (below base64) compression. A layer that equals one above it
 is not opened again; one that occurs elsewhere in the document is scanned once, and
 its findings are mapped from each place. Positions of a layer are mapped back through
 its parents to code points of the original text: exactly for escapes, to groups of
@@ -40,7 +40,6 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
-SOLID = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Bytes that a compressed layer may have to be scanned.
 INFLATED = 64 << 20
@@ -64,41 +63,30 @@ def find(text: str) -> list[tuple[int, int, int]]:
 
 
 def _escapes(text: str, pattern: re.Pattern, decode: Callable[[str], str]) -> Iterator[tuple[str, Map]]:
-    """Unwrap each stretch without white space that has escapes of one sort."""
-    end = 0
-    for m in pattern.finditer(text):
-        if m.start() < end:
-            continue
-        a, b = m.start(), m.end()
-        while a > end and not text[a - 1].isspace():
-            a -= 1
-        b = SOLID.match(text, a).end()
-        end = b
-        out, at, parent, size, last = [], [0], [a], 0, a
-        for run in pattern.finditer(text, a, b):
-            plain, inner = text[last : run.start()], decode(run[0])
-            out += [plain, inner]
-            for piece, origin in ((len(plain), run.start()), (len(inner), run.end())):
-                size += piece
-                at.append(size)
-                parent.append(origin)
-            last = run.end()
-        out.append(text[last:b])
-        at.append(size + b - last)
-        parent.append(b)
-
-        def back(s: int, e: int, at=at, parent=parent) -> tuple[int, int]:
-            def inside(p: int, up: bool) -> int:
-                k = bisect_right(at, p) - 1
-                k = min(k, len(at) - 2)
-                if at[k] == p:
-                    return parent[k]
-                same = at[k + 1] - at[k] == parent[k + 1] - parent[k]
-                return parent[k] + p - at[k] if same else parent[k + up]
-
-            return inside(s, False), inside(e, True)
-
-        yield "".join(out), back
+    """Unwrap all escapes of one sort at once and copy the rest, so that a key stays before its value."""
+    out, at, parent, size, last = [], [0], [0], 0, 0
+    for run in pattern.finditer(text):
+        plain, inner = text[last : run.start()], decode(run[0])
+        out += [plain, inner]
+        for piece, origin in ((len(plain), run.start()), (len(inner), run.end())):
+            size += piece
+            at.append(size)
+            parent.append(origin)
+        last = run.end()
+    if not out:
+        return
+    out.append(text[last:])
+    at.append(size + len(text) - last)
+    parent.append(len(text))
+
+    def inside(p: int, up: bool) -> int:
+        k = min(bisect_right(at, p) - 1, len(at) - 2)
+        if at[k] == p:
+            return parent[k]
+        same = at[k + 1] - at[k] == parent[k + 1] - parent[k]
+        return parent[k] + p - at[k] if same else parent[k + up]
+
+    yield "".join(out), lambda s, e: (inside(s, False), inside(e, True))
 
 
 def _from_percent(run: str) -> str:

@@ -350,6 +350,21 @@ def test_each_occurrence_of_a_layer_is_found(layer):
     assert secret_scan.redact_text(text, "#").count("#") >= 3 and inner not in secret_scan.redact_text(text, "#")
 
 
+@pytest.mark.parametrize(
+    ("text", "hit"),
+    [
+        ('{"a": 1, "password": "%s", "b": 2}' % "".join(f"\\u{ord(c):04x}" for c in "hunter2hunter2"), None),
+        ("x token: abc%2Bdefghijklmn y", "token: abc%2Bdefghijklmn"),
+        ("50%25 off, secret%20=%20 abc\\x64efghijklmn y", "secret%20=%20 abc\\x64efghijklmn"),
+        (r"token: %5Cu0061bcdefghijklm y", r"token: %5Cu0061bcdefghijklm"),
+    ],
+)
+def test_escaped_values_keep_their_plain_keys(text, hit):
+    hit = hit or text[text.index("password") : text.index('", "b"')]
+    assert hit in {text[s:e] for s, kind, e, path in secret_scan.scan(text)[0] if kind == 0 and path}
+    assert secret_scan.redact_text(text, "#") == text.replace(hit, "#")
+
+
 # Packing
 
 
