@@ -2,11 +2,18 @@
 
 A text is the first layer. Each layer is scanned for the three kinds of secret,
 then unwrapped to layers below: one with all its URL escapes decoded, one with all its
-Unicode escapes, and one for every stretch of base64 or (below base64) compression. A layer that equals one above it
-is not opened again; one that occurs elsewhere in the document is scanned once, and
-its findings are mapped from each place. Positions of a layer are mapped back through
-its parents to code points of the original text: exactly for escapes, to groups of
-four characters for base64, to the whole stretch for compressed bytes.
+Unicode escapes, and one for every stretch of base64 or (below base64) of UTF-16 or
+compression. A layer that equals one above it is not opened again; one that occurs
+elsewhere in the document is scanned once, and its findings are mapped from each place.
+Positions of a layer are mapped back through its parents to code points of the original
+text: exactly for escapes, to groups of four characters for base64, to the whole stretch
+for compressed bytes.
+
+A run of base64 characters goes on over line ends and is decoded from each of its first
+four characters, since a path or a word may be joined before the encoded stretch; a
+finding that such a run ends with may take in the beginning of what follows. Decoded
+bytes are scanned as they are, whatever they hold. One line of a run has at least 16
+characters.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned
 each; other columns are kept as they are by ``redact`` and dropped by
@@ -16,9 +23,9 @@ scanned but counted in ``unopened``.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
 from bisect import bisect_right
@@ -40,13 +47,19 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters that a base64 run, one line of a wrapped one, has at least.
+LEAST_BASE64 = 16
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LINES_AFTER = re.compile(r"(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+STANDARD = str.maketrans("-_", "+/")
+ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
+WIDE = re.compile(r"(?:[\x01-\x7f]\0){12,}[\x01-\x7f]?|(?:\0[\x01-\x7f]){12,}")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: Bytes that a compressed layer may have to be scanned.
 INFLATED = 64 << 20
 #: Characters that a layer may have for its findings to be kept for the next time it occurs.
 CACHED = 1 << 20
-#: Share of printable characters that makes decoded bytes a text.
-PRINTABLE = 0.95
 
 Map = Callable[[int, int], tuple[int, int]]
 
@@ -101,19 +114,8 @@ def _from_escape(run: str) -> str:
     return b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "replace")
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and good >= PRINTABLE * len(text) else None
-
-
-def _inflate(raw: bytes) -> bytes | None:
-    """Return the content of gzip or zlib bytes, None if they are neither."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        return None
+def _inflate(raw: bytes) -> tuple[bytes, int] | None:
+    """Return (content, bytes read) of gzip or zlib bytes, None if they are neither."""
     engine = zlib.decompressobj(47)
     try:
         out = engine.decompress(raw, INFLATED + 1)
@@ -121,7 +123,80 @@ def _inflate(raw: bytes) -> bytes | None:
         return None
     if len(out) > INFLATED:
         raise OverflowError
-    return out
+    return out, len(raw) - len(engine.unused_data)
+
+
+def _line_before(text: str, low: int, a: int) -> int:
+    """Return where the base64 characters begin that end the line before ``a``, else ``a``."""
+    p = a
+    while p > low and text[p - 1] in " \t":
+        p -= 1
+    if p == low or text[p - 1] != "\n":
+        return a
+    p -= 1
+    while p > low and text[p - 1] in " \t\r":
+        p -= 1
+    end = p
+    while p > low and text[p - 1] in ALPHABET:
+        p -= 1
+    return p if p < end else a
+
+
+def _runs(text: str) -> Iterator[tuple[str, Callable[[int], int], int]]:
+    """Yield (characters, place of each in ``text``, end) of base64 runs, lines of one run joined."""
+    done = 0
+    for m in BASE64.finditer(text):
+        a, b = m.span()
+        if a < done:
+            continue
+        while (line := _line_before(text, done, a)) < a:
+            a = line
+        done = b = LINES_AFTER.match(text, b).end()
+        if b - a == m.end() - m.start():
+            yield m[0], lambda p, a=a: a + p, b
+        elif "\n" not in text[a:b]:
+            yield text[a:b].rstrip("="), lambda p, a=a: a + p, b
+        else:
+            parts = list(LINE.finditer(text, a, b))
+            starts = [0, *itertools.accumulate(len(x[0]) for x in parts)]
+
+            def place(p: int, starts=starts, parts=parts) -> int:
+                k = min(bisect_right(starts, p) - 1, len(parts) - 1)
+                return parts[k].start() + p - starts[k]
+
+            yield "".join(x[0] for x in parts), place, b
+
+
+def _base64(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
+    """Decode every run at all four alignments, so that what is joined before a stretch does not matter."""
+    for run, place, top in _runs(text):
+        body = run.translate(STANDARD)
+        for lead in range(min(4, len(body) - LEAST_BASE64 + 1)):
+            part = body[lead : len(body) - ((len(body) - lead) % 4 == 1)]
+            raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+
+            def back(s: int, e: int, lead=lead, place=place, size=len(body), top=top) -> tuple[int, int]:
+                last = lead + -(-e // 3) * 4
+                return place(lead + s // 3 * 4), top if last > size else place(last - 1) + 1
+
+            # Secrets and all that encodes them are ASCII, which Latin-1 keeps in any bytes.
+            yield "base64", raw.decode("latin-1"), back
+            for hit in PACKED.finditer(raw):
+                inner, name, used = raw[hit.start() :], "base64", 0
+                try:
+                    while PACKED.match(inner) and (content := _inflate(inner)) is not None:
+                        inner, name, used = content[0], name + "+compressed", used or content[1]
+                except OverflowError:
+                    unopened.append(name)
+                    continue
+                if used:
+                    yield name, inner.decode("latin-1"), lambda s, e, span=back(hit.start(), hit.start() + used): span
+
+
+def _wide(text: str) -> Iterator[tuple[str, str, Map]]:
+    """Unwrap the ASCII stretches of UTF-16, in which every other byte is NUL."""
+    for m in WIDE.finditer(text):
+        yield "utf-16", m[0][m[0][0] == "\0" :: 2], lambda s, e, m=m: (m.start() + 2 * s, min(m.start() + 2 * e, m.end()))
 
 
 def _layers(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
@@ -130,35 +205,9 @@ def _layers(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
         yield from (("url", *x) for x in _escapes(text, PERCENT, _from_percent))
     if "\\" in text:
         yield from (("unicode", *x) for x in _escapes(text, ESCAPE, _from_escape))
-    for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except binascii.Error:
-            continue
-        origin, name, flat = m.start(), "base64", True
-        try:
-            while (inner := _inflate(raw)) is not None:
-                raw, name, flat = inner, name + "+compressed", False
-        except OverflowError:
-            unopened.append(name)
-            continue
-        content = _readable(raw)
-        if content is None:
-            continue
-        widths = len(raw) != len(content)
-        top = m.end()
-
-        def back(s: int, e: int, origin=origin, top=top, flat=flat, content=content, widths=widths) -> tuple[int, int]:
-            if not flat:
-                return origin, top
-            if widths:
-                s, e = len(content[:s].encode()), len(content[:e].encode())
-            return origin + s // 3 * 4, min(top, origin + -(-e // 3) * 4)
-
-        yield name, content, back
+    if "\0" in text:
+        yield from _wide(text)
+    yield from _base64(text, unopened)
 
 
 def _key(content: str) -> str | bytes:

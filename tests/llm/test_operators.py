@@ -365,6 +365,34 @@ def test_escaped_values_keep_their_plain_keys(text, hit):
     assert secret_scan.redact_text(text, "#") == text.replace(hit, "#")
 
 
+def wrapped(text, width, gap="\n"):
+    return gap.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def joined_base64():
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noise = random.Random(3)
+    binary = bytes(noise.randrange(128, 256) for _ in range(200))
+    prose = sentence(noise, 60)
+    cases = [(f"see {head}{body} now", body) for head in ("https://h.example/cb/", "ab_", "abc-", "x/") for body in (b64(SECRET.encode()), b64(gzip.compress(SECRET.encode())), b64(zlib.compress(SECRET.encode())))]
+    for width, gap in ((64, "\n"), (76, "\r\n"), (64, "\n   ")):
+        for raw in ((prose[:40] + " " + SECRET).encode(), gzip.compress(f"{prose} {SECRET}".encode()), binary + SECRET.encode()):
+            body = wrapped(b64(raw), width, gap)
+            cases.append((f"data: {body}, end", body))
+    for raw in (binary + SECRET.encode() + binary, SECRET.encode("utf-16-le"), SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), binary + gzip.compress(SECRET.encode())):
+        cases.append((f"a {b64(raw)} b", b64(raw)))
+    return cases
+
+
+@pytest.mark.parametrize(("text", "body"), joined_base64())
+def test_base64_joined_wrapped_or_binary(text, body):
+    start = text.index(body)
+    hits = [(s, e) for s, kind, e, path in secret_scan.scan(text)[0] if kind == 0 and path]
+    assert hits and all(start <= s < e <= start + len(body) for s, e in hits)
+    again = secret_scan.redact_text(text, "#")
+    assert not any(path for *_, path in secret_scan.scan(again)[0])
+
+
 # Packing
 
 
