@@ -17,8 +17,10 @@ characters.
 
 Defined results: null and empty texts have no findings; repeated rows are scanned
 each; other columns are kept as they are by ``redact`` and dropped by
-``scan_secrets``. A compressed layer of more than ``INFLATED`` bytes is not
-scanned but counted in ``unopened``.
+``scan_secrets``. Compressed layers are inflated and scanned in parts, whatever their
+size. Only where one has more than ``UNBROKEN`` bytes without a place to cut may
+a compressed stretch within it be missed: ``unopened`` counts these layers, and
+``redact`` replaces them.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import itertools
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +58,12 @@ STANDARD = str.maketrans("-_", "+/")
 ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
 WIDE = re.compile(r"(?:[\x01-\x7f]\0){12,}[\x01-\x7f]?|(?:\0[\x01-\x7f]){12,}")
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
-#: Bytes that a compressed layer may have to be scanned.
-INFLATED = 64 << 20
+#: Bytes inflated at once, and bytes of a compressed layer scanned at once where it can be cut.
+PIECE, WINDOW = 1 << 16, 4 << 20
+#: Bytes scanned at once where it cannot be cut, and the overlap of such parts.
+UNBROKEN, OVERLAP = 16 << 20, 1 << 20
+#: What no secret, escape or base64 run, nor any at a deeper layer, has within it: a cut may follow.
+EDGE = re.compile(rb"[^A-Za-z0-9+/_.=%\\\"':\s\0-]|\0{3}|(?<=\s)[A-Za-z0-9]+ (?=[A-Za-z0-9])")
 #: Characters that a layer may have for its findings to be kept for the next time it occurs.
 CACHED = 1 << 20
 
@@ -114,16 +120,105 @@ def _from_escape(run: str) -> str:
     return b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "replace")
 
 
-def _inflate(raw: bytes) -> tuple[bytes, int] | None:
-    """Return (content, bytes read) of gzip or zlib bytes, None if they are neither."""
-    engine = zlib.decompressobj(47)
-    try:
-        out = engine.decompress(raw, INFLATED + 1)
-    except zlib.error:
-        return None
-    if len(out) > INFLATED:
-        raise OverflowError
-    return out, len(raw) - len(engine.unused_data)
+class _Source:
+    """Bytes handed out a slice at a time, with the place up to which they were used, and where the last member ended."""
+
+    def __init__(self, raw: bytes, at: int):
+        self.raw, self.at, self.used, self.ended = raw, at, at, at
+
+    def __iter__(self) -> Iterator[bytes]:
+        while self.at < len(self.raw):
+            self.at += PIECE
+            yield self.raw[self.at - PIECE : self.at]
+
+
+def _inflate(source: Iterable[bytes]) -> Iterator[bytes]:
+    """Yield the content of gzip or zlib bytes, member after member, in pieces of bounded size."""
+    engine, rest = zlib.decompressobj(47), b""
+    for chunk in source:
+        rest += chunk
+        while True:
+            if engine is None:
+                rest = rest.lstrip(b"\0")
+                if len(rest) < 3:
+                    break
+                if not PACKED.match(rest):
+                    return
+                engine = zlib.decompressobj(47)
+            try:
+                out = engine.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            rest = engine.unused_data if engine.eof else engine.unconsumed_tail
+            if isinstance(source, _Source):
+                source.used = min(source.at, len(source.raw)) - len(rest)
+                source.ended = source.used if engine.eof else source.ended
+            if out:
+                yield out
+            if engine.eof:
+                engine = None
+            elif not rest and len(out) < PIECE:
+                break
+
+
+def _head(pieces: Iterator[bytes]) -> bytes:
+    out = b""
+    for piece in pieces:
+        out += piece
+        if len(out) >= PIECE:
+            break
+    return out
+
+
+def _opened(source: _Source) -> tuple[str, Iterator[bytes]]:
+    """Return (encodings, content) of compressed bytes, compressed several times over perhaps."""
+    pieces: Iterator[bytes] = _inflate(source)
+    head = _head(pieces)
+    name, heads = "+compressed", {head}
+    while PACKED.match(head):
+        kept, tried = itertools.tee(itertools.chain([head], pieces))
+        inner = _inflate(tried)
+        first = _head(inner)
+        if not first or first in heads:
+            pieces, head = kept, b""
+            break
+        del kept, tried
+        pieces, head, name = inner, first, name + "+compressed"
+        heads.add(head)
+    return name, itertools.chain([head], pieces)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+    """Cut a content where no secret or layer can go on: (part, whether something may be cut).
+
+    Without such a place in ``UNBROKEN`` bytes parts overlap by ``OVERLAP``; only a
+    compressed stretch that is longer can then be missed, and the part says so.
+    """
+    held, size, limit = [], 0, WINDOW
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size < limit:
+            continue
+        part = b"".join(held)
+        near, end = PIECE, 0
+        while True:
+            for m in EDGE.finditer(part, max(0, size - near)):
+                end = m.end()
+            if end or near >= size:
+                break
+            near *= 4
+        if end:
+            yield part[:end], False
+            held, limit = [part[end:]], WINDOW
+        elif size >= UNBROKEN:
+            yield part, True
+            held, limit = [part[-OVERLAP:]], UNBROKEN
+        else:
+            held, limit = [part], min(2 * size, UNBROKEN)
+        size = len(held[0])
+        limit = max(limit, size + PIECE)
+    yield b"".join(held), False
 
 
 def _line_before(text: str, low: int, a: int) -> int:
@@ -167,7 +262,7 @@ def _runs(text: str) -> Iterator[tuple[str, Callable[[int], int], int]]:
             yield "".join(x[0] for x in parts), place, b
 
 
-def _base64(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
+def _base64(text: str) -> Iterator[tuple[str, str | None, Map]]:
     """Decode every run at all four alignments, so that what is joined before a stretch does not matter."""
     for run, place, top in _runs(text):
         body = run.translate(STANDARD)
@@ -181,16 +276,20 @@ def _base64(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
 
             # Secrets and all that encodes them are ASCII, which Latin-1 keeps in any bytes.
             yield "base64", raw.decode("latin-1"), back
+            ended = 0
             for hit in PACKED.finditer(raw):
-                inner, name, used = raw[hit.start() :], "base64", 0
-                try:
-                    while PACKED.match(inner) and (content := _inflate(inner)) is not None:
-                        inner, name, used = content[0], name + "+compressed", used or content[1]
-                except OverflowError:
-                    unopened.append(name)
+                if hit.start() < ended:
+                    continue
+                source = _Source(raw, hit.start())
+                if not any([bool(piece) for piece in _inflate(source)]):
                     continue
-                if used:
-                    yield name, inner.decode("latin-1"), lambda s, e, span=back(hit.start(), hit.start() + used): span
+                ended = source.ended
+                name, pieces = _opened(_Source(raw, hit.start()))
+                span = back(hit.start(), source.used)
+                for part, cut in _windows(pieces):
+                    yield "base64" + name, part.decode("latin-1"), lambda s, e, span=span: span
+                    if cut:
+                        yield "base64" + name, None, lambda s, e, span=span: span
 
 
 def _wide(text: str) -> Iterator[tuple[str, str, Map]]:
@@ -199,15 +298,15 @@ def _wide(text: str) -> Iterator[tuple[str, str, Map]]:
         yield "utf-16", m[0][m[0][0] == "\0" :: 2], lambda s, e, m=m: (m.start() + 2 * s, min(m.start() + 2 * e, m.end()))
 
 
-def _layers(text: str, unopened: list[str]) -> Iterator[tuple[str, str, Map]]:
-    """Yield (encoding, content, map to this layer's positions)."""
+def _layers(text: str) -> Iterator[tuple[str, str | None, Map]]:
+    """Yield (encoding, content, map to this layer's positions); no content is one that may hold more."""
     if "%" in text:
         yield from (("url", *x) for x in _escapes(text, PERCENT, _from_percent))
     if "\\" in text:
         yield from (("unicode", *x) for x in _escapes(text, ESCAPE, _from_escape))
     if "\0" in text:
         yield from _wide(text)
-    yield from _base64(text, unopened)
+    yield from _base64(text)
 
 
 def _key(content: str) -> str | bytes:
@@ -218,10 +317,10 @@ def _key(content: str) -> str | bytes:
 class _Layer:
     """A layer whose findings are being gathered, in its own positions."""
 
-    def __init__(self, content: str, key: str | bytes, name: str, back: Map, unopened: list[str]):
+    def __init__(self, content: str, key: str | bytes, name: str, back: Map):
         self.key, self.name, self.back, self.size = key, name, back, len(content)
         self.found: dict[tuple[int, int, int], str] = dict.fromkeys(find(content), "")
-        self.layers = _layers(content, unopened)
+        self.layers = _layers(content)
         self.whole = True
 
     def take(self, found: dict[tuple[int, int, int], str], name: str, back: Map) -> None:
@@ -234,32 +333,30 @@ class _Layer:
                 self.found[s, kind, e] = path
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
-    """Return (start, kind index, end, encodings) of all secrets, and layers left unopened.
-
-    Findings of the text itself have no encodings. A deeper finding at the same
-    place and of the same kind as an earlier one is the same finding.
-    """
-    unopened: list[str] = []
+def _scan(text: str) -> dict[tuple[int, int, int], str]:
+    """Return the encodings of every (start, kind index, end); kind -1 is a stretch that may hold more."""
     cache: dict[str | bytes, dict[tuple[int, int, int], str]] = {}
-    chain = [_Layer(text, _key(text), "", lambda s, e: (s, e), unopened)]
+    chain = [_Layer(text, _key(text), "", lambda s, e: (s, e))]
     above = {chain[0].key}
     while True:
         top = chain[-1]
         for name, inner, back in top.layers:
+            if inner is None:
+                top.take({(0, -1, 0): ""}, name, back)
+                continue
             key = _key(inner)
             if key in above:
                 top.whole = False
             elif key in cache:
                 top.take(cache[key], name, back)
             else:
-                chain.append(_Layer(inner, key, name, back, unopened))
+                chain.append(_Layer(inner, key, name, back))
                 above.add(key)
                 break
         else:
             chain.pop()
             if not chain:
-                return sorted((*k, path) for k, path in top.found.items()), len(unopened)
+                return top.found
             above.discard(top.key)
             chain[-1].take(top.found, top.name, top.back)
             # What leaves out a layer above holds for this place alone.
@@ -268,6 +365,17 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
                 cache[top.key] = top.found
 
 
+def scan(text: str) -> tuple[list[tuple[int, int, int, str]], int]:
+    """Return (start, kind index, end, encodings) of all secrets, and the number of stretches that may hold more.
+
+    Findings of the text itself have no encodings. A deeper finding at the same
+    place and of the same kind as an earlier one is the same finding.
+    """
+    found = sorted((*k, path) for k, path in _scan(text).items())
+    secrets = [x for x in found if x[1] >= 0]
+    return secrets, len(found) - len(secrets)
+
+
 _FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("encodings", pa.string())])
 
 
@@ -307,9 +415,9 @@ def summarise(scanned: DataFrame) -> DataFrame:
 
 
 def redact_text(text: str, mark: str) -> str:
-    """Replace every finding; overlapping ones are replaced together."""
+    """Replace every finding and what may hold more; overlapping ones are replaced together."""
     merged: list[list[int]] = []
-    for s, _, e, _ in scan(text)[0]:
+    for s, _, e in sorted(_scan(text)):
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:

@@ -393,6 +393,43 @@ def test_base64_joined_wrapped_or_binary(text, body):
     assert not any(path for *_, path in secret_scan.scan(again)[0])
 
 
+def test_large_and_multi_member_compression_is_scanned():
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    line = sentence(random.Random(4), 2000).encode() + b"\n"
+    filler = line * (70 * 2**20 // len(line))
+    cases = {
+        "large": gzip.compress(gzip.compress(filler + b64(SECRET.encode()).encode() + b" " + line, 1), 1),
+        "members": gzip.compress(b"first, ") + gzip.compress(SECRET.encode()) + bytes(5) + gzip.compress(b"last"),
+        "divided": gzip.compress(SECRET[:14].encode()) + gzip.compress(SECRET[14:].encode()),
+    }
+    for name, raw in cases.items():
+        body = b64(raw)
+        found, unopened = secret_scan.scan(f"a {body} b")
+        assert unopened == 0 and {(s, kind, e) for s, kind, e, _ in found} == {(2, 0, 2 + len(body))}, name
+        assert secret_scan.redact_text(f"a {body} b", "#") == "a # b"
+
+
+def test_parts_of_a_layer_lose_nothing_at_their_ends(monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(secret_scan, "PIECE", 64)
+    monkeypatch.setattr(secret_scan, "WINDOW", 256)
+    for _ in range(150):
+        inner = rng.choice([SECRET, 'token:      "abcdefghijklmno', quote(SECRET, safe=""), wrapped(base64.b64encode((sentence(rng, 30) + " " + SECRET).encode()).decode(), 64)])
+        text = f"{sentence(rng, rng.randint(1, 90))} {inner} {sentence(rng, rng.randint(1, 90))}"
+        body = base64.b64encode(zlib.compress(text.encode())).decode()
+        assert {(s, kind, e) for s, kind, e, _ in secret_scan.scan(body)[0]} == {(0, 0, len(body))}
+
+
+def test_layers_that_cannot_be_cut_are_counted_and_redacted(monkeypatch):
+    for name, size in (("PIECE", 64), ("WINDOW", 256), ("UNBROKEN", 1024), ("OVERLAP", 128)):
+        monkeypatch.setattr(secret_scan, name, size)
+    body = base64.b64encode(zlib.compress(b"x" * 5000 + b"password=hunter2hunter2" + b"x" * 5000)).decode()
+    found, unopened = secret_scan.scan(f"a {body} b")
+    assert unopened == 1 and any(kind == 0 for _, kind, _, _ in found)
+    body = base64.b64encode(zlib.compress(b"x" * 5000)).decode()
+    assert secret_scan.scan(f"a {body} b") == ([], 1) and secret_scan.redact_text(f"a {body} b", "#") == "a # b"
+
+
 # Packing
 
 
