@@ -2,13 +2,17 @@
 
 The pre-tokeniser never joins text across a single space between two visible
 characters, so a text may be cut before such a space and the cuts encoded apart.
-Most cuts recur, and only distinct ones are encoded.
+Most cuts recur, and only distinct ones are encoded. Ids are those of the
+tokenizer's file, without special tokens around a text; the merges run in a faster
+library that knows no added tokens, so these are taken out first.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 
 import numpy as np
 
@@ -38,9 +42,17 @@ def _long_words(vocabulary: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    slow.encode_special_tokens = True
-    return slow
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
+@functools.cache
+def _added(vocabulary: str) -> tuple[re.Pattern, dict[bytes, int]]:
+    """Return the tokens that the tokenizer's file adds to the merges, and a pattern for them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = {x["content"].encode(): x["id"] for x in json.load(file)["added_tokens"]}
+    return re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) or rb"(?!)"), added
 
 
 @functools.cache
@@ -80,7 +92,28 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def encode(data: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Return (ids, offsets into ids) of the texts in a byte buffer."""
+    """Return (ids, offsets into ids) of the texts in a byte buffer.
+
+    A text is split at the added tokens in it, which stand for themselves.
+    """
+    pattern, added = _added(vocabulary)
+    spans = [(m.start(), m.end(), added[m[0]]) for m in pattern.finditer(data)]
+    if not spans:
+        return _encode(data, offsets, vocabulary)
+    starts, ends, special = np.array(spans, np.int64).T
+    inside = np.searchsorted(offsets, starts, "right") == np.searchsorted(offsets, ends, "left")
+    starts, ends, special = starts[inside], ends[inside], special[inside]
+    edges = np.unique(np.concatenate([offsets, starts, ends]))
+    ids, at = _encode(data, edges, vocabulary)
+    first, count = at[:-1].copy(), np.diff(at)
+    token = np.searchsorted(edges, starts)
+    first[token], count[token] = len(ids) + np.arange(len(token)), 1
+    out = np.append(0, np.cumsum(count))
+    return ragged(np.concatenate([ids, special.astype(ids.dtype)]), first, count), out[np.searchsorted(edges, offsets)]
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """Return (ids, offsets into ids) of texts without added tokens."""
     fast, widths = _engines(vocabulary)
     n_docs = len(offsets) - 1
     starts = cuts(data, offsets)

@@ -461,6 +461,22 @@ def test_pieces_equal_the_reference_tokenizer(spark, odd, odd_docs, none):
     assert packing.pack(packing.tokenize(none)).count() == 0
 
 
+def test_added_tokens_equal_the_reference_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", mark, mark * 3, f"{mark} x", f"x{mark}", f"x  {mark}  y {mark[:-1]}", "<|endof", "text|> y", "", None, f"é{mark}漢字", "<|EndOfText|>", f"<|endof{mark}text|>", f"{'x' * 5000}{mark}{'y' * 3000} {mark}"]
+    texts += [f"{sentence(random.Random(k), 900)} {mark} {sentence(random.Random(k), 700)}" for k in range(3)]
+    got = {}
+    for r in packing.tokenize(frame(spark, list(enumerate(texts))).coalesce(1), keep_ids=True).collect():
+        got.setdefault(r.doc_id, {})[r.piece] = r.ids
+    for k, text in enumerate(texts):
+        ids = [x for _, part in sorted(got[k].items()) for x in part]
+        assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids + [2], text
+
+
 def test_assembled_sequences(spark, odd_docs):
     packed = packing.pack(packing.tokenize(odd_docs, keep_ids=True))
     whole = packing.assemble(packed).collect()
