@@ -1,5 +1,5 @@
 """Readers, writers and durable intermediate tables."""
 
-from quillstrata.sources.tables import durable, durable_table, read_table, scratch_dir
+from quillstrata.sources.tables import Scratch, durable, durable_table, read_table, scratch_dir
 
-__all__ = ["durable", "durable_table", "read_table", "scratch_dir"]
+__all__ = ["Scratch", "durable", "durable_table", "read_table", "scratch_dir"]

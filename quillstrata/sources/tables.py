@@ -20,12 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """Return the shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session without
-    that setting (a local test) gets a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session
+    without that setting (a test) gets a temporary folder of its own; on a cluster
+    that folder would be another one on each machine, so it is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillstrata-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -38,6 +41,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Named tables in the shared folder, each deleted after its last reader.
+
+    A table is whole in the shared folder before the ones it was made from are
+    dropped, so a lost executor never needs a dropped one.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._root = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+        self._serial = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """Write a table once and return its reader, which fetches only the columns it needs."""
+        self._serial += 1
+        path = f"{self._root}/{self._serial}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` returned and nothing will read again."""
+        for table in tables:
+            _, path = self._paths.pop(id(table))
+            target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable_table(df: DataFrame) -> DataFrame:
     """Write a wide table once to the shared folder and return its reader.
 
