@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.llm import decontaminate, near_duplicates, packing, secret_scan, toxicity
-from quillstrata.sources import durable_table, read_table
+from quillstrata.sources import bound_batches, durable_table, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the lexicon, learned from ``labels``, does not reject."""
+    bound_batches(spark)
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 

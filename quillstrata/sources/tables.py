@@ -12,11 +12,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's default is 64 MB.
+BATCH_BYTES = 8 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return the parquet table ``name`` below ``sf_dir`` (one file or a folder)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have ``BATCH_BYTES`` bytes, unless the session has its own setting.
+
+    For the owner of a session to call (the driver entry and the pipeline do); no
+    operator changes the session that it runs in.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Return the shared folder for lineage cuts.
 
