@@ -14,6 +14,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes hashed at once.
 SLICE = 1 << 20
@@ -21,8 +24,8 @@ _BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
 
 
-#: Rows that go to a Python worker at once; the default of 10,000 long texts is too many.
-BATCH_ROWS = 1000
+#: Bytes that an operator gets at once.
+BATCH_BYTES = 8 << 20
 
 
 def release() -> None:
@@ -33,18 +36,34 @@ def release() -> None:
 
 
 def map_batches(df, run: Callable, schema):
-    """``df.mapInArrow`` with batches of ``BATCH_ROWS`` rows; workers give memory back after each task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``df.mapInArrow`` on batches of at most ``BATCH_BYTES`` bytes (one longer row stands alone).
+
+    Workers give memory back after each task.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(cut(batches))
         finally:
             release()
 
     return df.mapInArrow(freed, schema)
 
 
+def integer_id(df: DataFrame, name: str) -> Column:
+    """Return the id column as longs; ids of another type raise ``TypeError`` at once."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{name} has type {kind.simpleString()}; ids are integers")
+    return F.col(name).cast("long")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Return (bytes, offsets) of a string column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

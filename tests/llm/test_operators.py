@@ -180,22 +180,77 @@ def test_language_of_odd_rows(odd_docs, none):
 # Toxicity
 
 
-def test_toxicity_learns_folds_and_spares(spark):
+@pytest.fixture(scope="module")
+def toxic_sample(spark):
+    """Texts and labels: insults in toxic ones, two of them in harmless phrases elsewhere, and copies."""
     rng = random.Random(2)
-    texts, marks = [], []
-    for n in range(400):
+    rows = []
+    for n in range(800):
         words = sentence(rng, 40).split()
         if n % 4 == 0:
             for at in rng.sample(range(40), 3):
-                words[at] = rng.choice(("idiot", "scum", "trash"))
-        texts.append(" ".join(words))
-        marks.append(int(n % 4 == 0))
-    model = toxicity.fit(texts, marks)
-    assert {"idiot", "scum", "trash"} <= set(model.entries)
-    plain = sentence(rng, 40)
-    cases = {1: plain + " such scum and an idiot", 2: plain + " such SCUM and an 1d10t", 3: plain + " such \u0455cum and an \u0456di\u043et", 4: plain, 5: plain + " put it in the trash can near the trash bin", 6: plain + " obsidiot escumer"}
-    got = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, list(cases.items())), model).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+                words[at] = rng.choice(("idiots", "Scum", "tr4sh", "дурак"))
+        elif n % 40 == 1:
+            words[rng.randrange(40)] = rng.choice(("the trash can", "a trash bin"))
+        rows.append((" ".join(words), int(n % 4 == 0)))
+    rows += [("copied unusual wording stands here " * 3, 1)] * 30 + [(None, 0), ("", 1)]
+    return rows, spark.createDataFrame(rows, "text string, toxic long").repartition(3)
+
+
+def brute_lexicon(rows):
+    letters = re.compile(r"[a-z\u0080-\U0010ffff]+")
+    n1, n0 = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    in1, in0, contexts = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for t, y in rows:
+        found, previous = set(), None
+        for w in letters.findall(toxicity.fold(t or "")):
+            for k in range(toxicity.SHORTEST, min(len(w), toxicity.LONGEST) + 1):
+                found.add(w[:k])
+                if y:
+                    contexts[w[:k]].add(previous)
+            previous = w
+        (in1 if y else in0).update(found)
+    odds = {x: math.log(((in1[x] + 0.5) / (n1 + 1)) / ((in0[x] + 0.5) / (n0 + 1))) for x in in1}
+    chosen = {x for x in in1 if in1[x] >= toxicity.TEXTS and len(contexts[x]) >= toxicity.CONTEXTS and odds[x] - math.sqrt(1 / (in1[x] + 0.5) + 1 / (in0[x] + 0.5)) >= toxicity.ODDS}
+    entries = {}
+    for root in chosen:
+        if any(root[:k] in chosen for k in range(len(root))):
+            continue
+        best = root
+        while longer := sorted(x for x in chosen if x[:-1] == best and in1[x] >= toxicity.SAME * in1[root]):
+            best = longer[0]
+        entries[best] = odds[best]
+    return entries
+
+
+def test_toxicity_equals_a_naive_lexicon(spark, toxic_sample):
+    rows, sample = toxic_sample
+    model = toxicity.fit(sample)
+    expected = brute_lexicon(rows)
+    assert {k: round(v, 9) for k, v in model.entries.items()} == {k: round(v, 9) for k, v in expected.items()}
+    assert {"scum", "trash", "idiots", toxicity.fold("дурак")} == set(model.entries)
+    assert {"trash can", "trash bin"} <= set(model.exceptions) and not any("scum" in x for x in model.exceptions)
+    cases = [t for t, _ in rows[::7]] + ["trash can trash trash bins the trash binx obtrash", "trash\ncan", "TR4SH C4N tra\u0455h bin"]
+    engine = toxicity._automaton(model.entries, model.exceptions)
+    a, b, c = model.curve
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, list(enumerate(cases))), model).collect()}
+    for n, text in enumerate(cases):
+        folded = toxicity.fold(text or "")
+        begins = lambda s: not (s and folded[s - 1].isalpha())
+        spared = [(m.start(), m.start() + len(x)) for x in model.exceptions for m in re.finditer(f"(?={re.escape(x)})", folded) if begins(m.start())]
+        total = sum(w for x, w in model.entries.items() for m in re.finditer(f"(?={re.escape(x)})", folded) if begins(m.start()) and not any(s <= m.start() and m.start() + len(x) <= e for s, e in spared))
+        n_words = (text or "").count(" ") + (text or "").count("\n") + bool(text)
+        assert toxicity.weigh(text or "", engine) == (pytest.approx(total), n_words)
+        assert got[n].score == pytest.approx(1 / (1 + math.exp(-(a * math.log1p(total) + b * math.log1p(n_words) + c))))
+    plain = sentence(random.Random(3), 40)
+    texts = {1: plain + " such scum and idiots", 2: plain + " such SCUM and 1d10ts", 3: plain + " such \u0455cum and \u0456di\u043ets", 4: plain, 5: plain + " put it in the trash can near a trash bin", 6: plain + " obsidiots escumer"}
+    marks = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, list(texts.items())), model).collect()}
+    assert marks == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0, 6: 0}
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError, match="integers"):
+        toxicity.score(spark.createDataFrame([("a", "b")], "doc_id string, text string"), toxicity.Model({}, (), (0.0, 0.0, 0.0)))
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, none):
