@@ -7,9 +7,10 @@ one feature at a time; pairs are chosen by what is left and boosted likewise.
 Scoring is a binning and an addition of table entries for whole arrays.
 
 Training takes about ``PER_LABEL`` rows of each label, a documented bound. Defined
-results: null and empty texts are scored by their features, all zero; a table
-without labels gives the score 0.5; repeated rows and repeated or null ids are
-scored each; other columns are ignored.
+results: a label of 1 is good, every other label is not, null labels are unlabelled;
+null and empty texts are scored by their features, all zero; a table without labels
+gives the score 0.5; repeated rows and repeated or null ids are scored each; ids of a
+type other than integers raise ``TypeError``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import SLICE, doc_blocks, map_batches, shingle_sets, span_hashes, utf8, word_spans
+from quillstrata.llm.arrowtext import SLICE, doc_blocks, integer_id, map_batches, shingle_sets, span_hashes, utf8, word_spans
 from quillstrata.llm.samples import stratified
 
 #: Rows that training uses of each label.
@@ -78,7 +79,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             newlines / many,
             distinct / many,
             repeats / many,
-            1 - line_sets / np.maximum(line_counts, 1),
+            np.where(line_counts > 0, 1 - line_sets / np.maximum(line_counts, 1), 0),
         ]
     )
     return out
@@ -203,15 +204,27 @@ def fit(x: np.ndarray, label: np.ndarray, prior: float | None = None) -> Model:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a bounded sample of documents with a text and a quality label."""
-    marked = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """Fit on a bounded sample of documents with a text and a quality label.
+
+    The executors compute the features; the driver gets ``FEATURES`` numbers a row.
+    """
+    marked = labels.where("quality is not null").select("doc_id", (F.col("quality") == 1).cast("long").alias("quality"))
     counts = dict(marked.groupBy("quality").count().collect())
-    joined = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(stratified(marked, "quality", PER_LABEL, 2)), "doc_id")
-    rows = joined.select("doc_id", "text", "quality").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text, r.quality))
-    x = np.concatenate([features(*utf8(pa.array([r.text for r in rows[k : k + 500]], pa.string()))) for k in range(0, len(rows), 500)]) if rows else np.zeros((0, len(FEATURES)))
+    joined = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(stratified(marked, "quality", PER_LABEL)), "doc_id")
+    schema = pa.schema([("x", pa.list_(pa.float64())), ("quality", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for i, j in doc_blocks(offsets, 4 * SLICE):
+                x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(i, j - i)], schema=schema)
+
+    rows = sorted((*r.x, r.quality) for r in map_batches(joined.select("text", "quality"), run, "x array<double>, quality long").collect())
+    numbers = np.array(rows, float).reshape(len(rows), len(FEATURES) + 1)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit(x, np.array([r.quality for r in rows], np.int64), prior if 0 < prior < 1 else None)
+    return fit(numbers[:, :-1], numbers[:, -1].astype(np.int64), prior if 0 < prior < 1 else None)
 
 
 def score(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", held_out: str = "false") -> DataFrame:
@@ -226,6 +239,6 @@ def score(df: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "do
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=schema)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), "text")
     return map_batches(rows, run, "doc_id long, held_out boolean, score double, predicted int")
