@@ -155,17 +155,41 @@ def test_lm_scores_equal_brute_force(spark, odd, odd_docs, none):
 # Language identification
 
 
-def test_language_of_held_out_texts(spark):
+def test_language_equals_explicit_kernels(spark, monkeypatch):
+    """All rows are landmarks: kernels of hashed n-gram sets, one dense ridge system, scores by sums over rows."""
+    monkeypatch.setattr(language, "VOCABULARY", 1 << language.SPACE_BITS)
     rng = random.Random(1)
-    alphabets = {"aa": "abcdef ", "bb": "defghi ", "cc": "ghijkl "}
-    rows = [(n, "".join(rng.choices(letters, k=300)), lang) for lang, letters in alphabets.items() for n in range(60)]
+    alphabets = {"aa": "abcdef ", "bb": "defghi ", "cc": "ghijkl\u00e9 "}
+    rows = [("".join(rng.choices(letters, k=rng.randint(5, 300))), lang) for lang, letters in alphabets.items() for _ in range(60)]
     train, test = rows[::2], rows[1::2]
-    model = language.fit([t for _, t, _ in train], [x for _, _, x in train])
-    df = spark.createDataFrame([(k, t, "zz") for k, (_, t, _) in enumerate(test)], "doc_id long, text string, lang string")
+    model = language.fit(spark.createDataFrame(train, "text string, lang string").repartition(3))
+    df = spark.createDataFrame([(k, t, "zz") for k, (t, _) in enumerate(test)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.predict(df, model, held_out="id % 2 = 0").collect()}
-    assert sum(got[k].lang_pred == x for k, (_, _, x) in enumerate(test)) >= 0.97 * len(test)
+    assert sum(got[k].lang_pred == x for k, (_, x) in enumerate(test)) >= 0.95 * len(test)
     assert all(0 <= r.score <= 1 and r.held_out == (k % 2 == 0) for k, r in got.items())
 
+    def grams(text):
+        raw = text.translate(LOWER).encode()
+        hashed = lambda g: ((int.from_bytes(g, "big") * 0x9E3779B1 + len(g) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - language.SPACE_BITS)
+        return {hashed(raw[i : i + n]) for n in range(1, 5) for i in range(len(raw) - n + 1)}
+
+    known = set().union(*(grams(t) for t, _ in train))
+    a, b = [grams(t) for t, _ in train], [grams(t) & known for t, _ in test]
+    kernel = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
+    between = np.array([[kernel(x, y) for y in a] for x in a])
+    names = sorted(alphabets)
+    target = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in train])
+    n = len(a)
+    wide = np.append(between, np.ones((n, 1)), axis=1)
+    ridge = np.zeros((n + 1, n + 1))
+    ridge[:n, :n], ridge[n, n] = between, 1
+    alpha = np.linalg.solve(wide.T @ wide + language.RIDGE * n * ridge + 1e-6 * np.eye(n + 1), wide.T @ target)
+    for k, x in enumerate(b):
+        scores = np.array([kernel(x, y) for y in a] + [1.0]) @ alpha
+        assert got[k].score == pytest.approx(min(1, max(0, (scores.max() + 1) / 2)), abs=2e-3)
+        if np.sort(scores)[-1] - np.sort(scores)[-2] > 0.01:
+            assert got[k].lang_pred == names[int(scores.argmax())]
+
 
 def test_language_of_odd_rows(odd_docs, none):
     model = language.train(odd_docs)
@@ -291,6 +315,36 @@ def test_quality_finds_interactions():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
 
 
+def test_quality_equals_table_additions_row_by_row(spark):
+    """Features counted in plain Python and tables added one row at a time."""
+    rng = random.Random(14)
+    texts = [rng.choice((sentence(rng, rng.randint(1, 60)), "AB! c|1\nAB! c|1\n\u00e9", "x x x y\ny", " ", "#5\n\n#5")) for _ in range(300)]
+    docs = frame(spark, list(enumerate(texts)) + [(900, None), (901, "")])
+    labels = spark.createDataFrame([(k, int(len(t) % 3 == 0) if k % 50 else 7, 0) for k, t in enumerate(texts)] + [(0, None, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+
+    def features(t):
+        raw = t.encode()
+        words = [w.translate(LOWER) for w in WORD.findall(t)]
+        lines = raw.split(b"\n")
+        lines = [x + b"\n" for x in lines[:-1]] + [lines[-1]] * bool(lines[-1])
+        share = lambda members: sum(x in members for x in raw) / max(1, len(raw))
+        many = max(1, len(words))
+        low = [x.translate(bytes(LOWER.get(c, c) for c in range(256))) for x in lines]
+        sets = [range(65, 91), b"!", b"|", b"#$%&*", range(48, 58), range(128, 256)]
+        return [math.log1p(len(raw)), math.log1p(len(words)), len(raw) / many, *map(share, sets), raw.count(b"\n") / many, len(set(words)) / many, sum(x == y for x, y in itertools.pairwise(words)) / many, 1 - len(set(low)) / max(1, len(low)) if raw else 0.0]
+
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for k, t in [*enumerate(texts), (900, ""), (901, "")]:
+        x = features(t) if t else [0.0] * len(quality.FEATURES)
+        total = model.constant
+        for f, table in enumerate(model.tables):
+            total += table[sum(e <= x[f] for e in model.edges[f])]
+        for (f, g), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += table[sum(e <= x[f] for e in model.coarse[f]), sum(e <= x[g] for e in model.coarse[g])]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), (k, t)
+
+
 def test_quality_of_odd_rows(spark, odd_docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 1), (10, None, 1)], "doc_id long, quality int, toxic int")
     for model in (quality.train(odd_docs, labels), quality.train(none, labels)):
