@@ -7,39 +7,42 @@ Plan
 2. Equal fingerprints collapse to one representative, so any number of exact
    copies costs one combining aggregate.
 3. Representatives that share a band key meet. Within a band bucket every member
-   is held against one hub only (the member with most company), so a bucket of n
-   members gives n - 1 pairs.
-   For what is still apart afterwards, each set's shingles that occur in no other
-   such set are counted: they bound its similarity to all others from above, which
-   rules out the outer members of a family of near copies without meeting them.
-   What is left is compared block against block; pairs that are already connected
-   or out of bounds are not made.
-4. The collision-corrected similarity of the packed bits drops candidates that
-   are many standard errors below the threshold; the rest are confirmed on full
-   shingle sets with integer arithmetic.
+   is held against one hub (the member with most company), so a bucket of n members
+   gives n - 1 pairs, of which the collision-corrected similarity of the packed bits
+   drops those that are many standard errors below the threshold. Of what is left the
+   most similar hub of each member is confirmed on full shingle sets: one confirmation
+   a document, however large its family.
+4. Buckets that still hold several components are compared whole, by packed bits,
+   in blocks; members of the bucket's largest component are not held against each other.
+   The result is not pairs but the documents that have a possible link outside their
+   component.
+5. Sets of these documents are sent once to their family (what buckets connect), or to
+   its blocks. Sizes of all intersections of a block are one matrix product over the
+   shingles that occur twice in it; exact links leave the task as a forest.
 
 At the least linked similarity of 0.8 a pair shares no band with probability
-(1 - 0.8 ** 4) ** 32 = 5e-8.
+(1 - 0.8 ** 4) ** 32 = 5e-8, and a packed signature lies five standard errors low
+with probability below 1e-7.
 
 Defined results: null and blank texts have empty sets and link with nothing; a
-null id is returned with its set size, a null component and kept = true; repeated
-ids are one document for linking and one output row per input row; other columns
-are ignored, whatever their names.
+null id is returned with its set size, a null component and kept = true; rows that
+share an id are one document: they have one component, and all are kept or none;
+ids of a type other than integers raise ``TypeError``; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
-from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, map_batches, mix, shingle_sets, utf8, words
+from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, integer_id, map_batches, mix, shingle_sets, utf8, words
 from quillstrata.llm.graph import components
-from quillstrata.sources import durable, durable_table
+from quillstrata.sources import Scratch
 
 ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
@@ -51,9 +54,10 @@ CACHE = 1 << 15
 MARGIN = 0.2
 #: Ids that may be sent to every executor, 32 MB of longs.
 BROADCAST_IDS = 4_000_000
-#: Members of a bucket block in the comparison of what hubs left apart, which uses
-#: longer signatures: the margin is over five of their standard errors, too.
-BLOCK, LONG_HASHES, LONG_MARGIN = 4096, 1024, 0.065
+#: Shingles of a block (a document counts for ``LEAST`` at least).
+BLOCK, LEAST = 1 << 20, 256
+#: Documents and shingles of one matrix product.
+CHUNK, COLUMNS = 256, 2048
 
 
 def minima(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) -> np.ndarray:
@@ -132,23 +136,6 @@ def _sets(shingle: int):
     return run
 
 
-def _long_planes(shingle: int):
-    schema = pa.schema([("id", pa.int64()), ("planes", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for i, j in doc_blocks(offsets, SLICE):
-                part = data[offsets[i] : offsets[j]]
-                values, at = shingle_sets(*words(part, offsets[i : j + 1] - offsets[i]), j - i, shingle)
-                full = np.diff(at) > 0
-                packed = bit_planes(minima(values, np.append(at[:-1][full], at[-1]), LONG_HASHES)) if full.any() else np.zeros((0, BITS * LONG_HASHES // 64), np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(full)), lists], schema=schema)
-
-    return run
-
-
 def _estimate(left: list[Column], right: list[Column]) -> Column:
     """Collision-corrected similarity: equal bits of chance are taken out."""
     per = HASHES // 64
@@ -165,21 +152,21 @@ def _estimate(left: list[Column], right: list[Column]) -> Column:
 
 
 def _candidates(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Keep the pairs (a, b) whose packed signatures allow the threshold."""
+    """Keep the pairs (id, hub) whose packed signatures allow the threshold, with the estimate."""
     names = [f"s{p}" for p in range(PLANES)]
-    for side in ("a", "b"):
+    for side in ("id", "hub"):
         pairs = pairs.join(signatures.select(F.col("id").alias(side), *(F.col(x).alias(f"{side}{x}") for x in names)), side)
-    return pairs.where(_estimate([F.col(f"a{x}") for x in names], [F.col(f"b{x}") for x in names]) >= F.lit(least - MARGIN)).select("a", "b").distinct()
+    estimate = _estimate([F.col(f"id{x}") for x in names], [F.col(f"hub{x}") for x in names])
+    return pairs.select("id", "hub", estimate.alias("estimate")).where(F.col("estimate") >= F.lit(least - MARGIN))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Keep the pairs (a, b) whose full sets have den * intersection >= num * union."""
-    pairs = pairs.persist(StorageLevel.DISK_ONLY)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    """Keep the pairs (id, hub) whose full sets have den * intersection >= num * union, as (a, b)."""
+    wanted = pairs.select("id").union(pairs.select("hub")).distinct()
     sets = map_batches(_chosen(texts, wanted), _sets(shingle), "id long, members array<long>")
-    both = pairs.join(sets.withColumnsRenamed({"id": "a", "members": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "y"}), "b")
+    both = pairs.join(sets.withColumnRenamed("members", "x"), "id").join(sets.withColumnsRenamed({"id": "hub", "members": "y"}), "hub")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
 def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -188,115 +175,205 @@ def _chosen(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
 
 
-def _unshared(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """Return (id, unshared): shingles of each set that no other set of ``ids`` has.
+def _faces(rows: DataFrame, block: int) -> DataFrame:
+    """Deal the rows (unit, id, component, weight) of each unit to pairs of blocks (lo, hi).
 
-    Most shingles of a family occur in one set or in many; a shingle leaves a task
-    once, with its count and one id.
+    A unit beyond one block keeps its heaviest component apart: its blocks meet those of
+    the other components, not each other.
     """
-    items = map_batches(_chosen(texts, ids), _sets(shingle), "id long, members array<long>").select("id", F.explode("members").alias("item"))
-    owned = items.groupBy("item").agg(F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1")
-    return owned.groupBy("id").agg(F.count("*").alias("unshared"))
-
+    sizes = rows.groupBy("unit", "component").agg(F.sum("weight").alias("weight"))
+    total = sizes.groupBy("unit").agg(F.sum("weight").alias("total"), F.max(F.struct("weight", (-F.col("component")).alias("negative"))).alias("top"))
+    parts = lambda weight: F.ceil(weight / F.lit(float(block))).cast("int")
+    small = F.col("total") <= F.lit(block)
+    units = total.select(
+        "unit",
+        F.when(~small, -F.col("top.negative")).alias("main"),
+        F.when(small, 1).otherwise(F.greatest(F.lit(1), parts(F.col("total") - F.col("top.weight")))).alias("others"),
+        F.when(small, 0).otherwise(parts(F.col("top.weight"))).alias("mains"),
+    )
+    dealt = rows.join(units, "unit").withColumn("inner", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    draw = F.xxhash64("id", F.lit(0xB10C))
+    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.col("others") + F.pmod(draw, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(draw, F.col("others"))).cast("int"))
+    last = F.when(F.col("inner"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    faced = dealt.select("unit", "id", "component", "block", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("other"))
+    return faced.select("unit", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+
+def _pairs_of_blocks(frame: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (left, right) rows to compare: some of one block, and what is in other components."""
+    owner, side = frame.column("component").to_numpy(), frame.column("block").to_numpy()
+    lo, hi = frame.column("lo")[0].as_py(), frame.column("hi")[0].as_py()
+    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    left = left[np.argsort(owner[left], kind="stable")]
+    for at in range(0, len(left), CHUNK):
+        rows = left[at : at + CHUNK]
+        only = owner[rows[0]] == owner[rows[-1]]
+        yield rows, right[owner[right] != owner[rows[0]]] if only else right
+
+
+def _possible(least: float) -> Callable[[pa.Table], pa.Table]:
+    """Documents with a possible link outside their component, by packed bits."""
+
+    def run(frame: pa.Table) -> pa.Table:
+        owner = frame.column("component").to_numpy()
+        planes = np.stack([frame.column(f"s{p}").to_numpy().view(np.uint64) for p in range(PLANES)], axis=1).reshape(len(owner), BITS, -1)
+        open_ = np.zeros(len(owner), bool)
+        for rows, others in _pairs_of_blocks(frame):
+            if not len(others):
+                continue
+            differing = np.zeros((len(rows), len(others)), np.int64)
+            for w in range(planes.shape[2]):
+                joined = planes[rows, 0, w][:, None] ^ planes[others, 0, w]
+                for p in range(1, BITS):
+                    joined |= planes[rows, p, w][:, None] ^ planes[others, p, w]
+                differing += np.bitwise_count(joined)
+            near = (1 - differing / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= least - MARGIN
+            near &= owner[rows][:, None] != owner[others]
+            open_[rows] |= near.any(axis=1)
+            open_[others] |= near.any(axis=0)
+        return frame.select(["unit", "id"]).filter(pa.array(open_))
 
-def _apart(least: float, num: int, den: int):
-    """Pairs of different components within two blocks of one bucket.
+    return run
 
-    A pair is made in the first bucket that it shares.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
-        ids, owner, side = frame.id.to_numpy(), frame.component.to_numpy(), frame.block.to_numpy()
-        planes = np.stack(frame.planes.to_numpy()).view(np.uint64).reshape(len(ids), BITS, -1)
-        size, shared = frame.n.to_numpy(), frame.shared.to_numpy()
-        keys = np.stack(frame.bands.to_numpy())
-        band = int((keys[0] == frame.key.iloc[0]).argmax())
-        lo, hi = frame.lo.iloc[0], frame.hi.iloc[0]
-        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+def _exact(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between components, a forest of them, by the sizes of all intersections."""
+
+    def run(frame: pa.Table) -> pa.Table:
+        members = frame.column("members").combine_chunks()
+        values = members.values.to_numpy().view(np.uint64)
+        offsets = members.offsets.to_numpy()
+        size = np.diff(offsets)
+        _, code, times = np.unique(values, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(size)), size)
+        twice = times[code] > 1
+        code, row = code[twice], row[twice]
+        shared = np.bincount(row, minlength=len(size))
+        begin = np.append(0, np.cumsum(shared))
+        hopeful = den * shared >= num * size
+        ids, owner = frame.column("id").to_numpy(), frame.column("component").to_numpy()
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := top.get(x, x)) != x:
+                top[x] = top.get(y, y)
+                x = y
+            return x
+
+        place = np.full(len(times), -1, np.int64)
         found = []
-        for i in left:
-            other = right[(ids[right] > ids[i]) | (lo != hi)]
-            other = other[owner[other] != owner[i]]
-            other = other[(keys[other] == keys[i]).argmax(axis=1) == band]
-            most = np.minimum(shared[other], shared[i])
-            other = other[den * most >= num * (size[other] + size[i] - most)]
-            differing = np.bitwise_or.reduce(planes[other] ^ planes[i], axis=1)
-            equal = 1 - np.bitwise_count(differing).sum(axis=1) / LONG_HASHES
-            near = other[(equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= least - LONG_MARGIN]
-            found.append(np.stack([np.full(len(near), ids[i]), ids[near]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+        for rows, others in _pairs_of_blocks(frame):
+            rows, others = rows[hopeful[rows]], others[hopeful[others]]
+            if not len(rows) or not len(others):
+                continue
+            left, right = (np.concatenate([np.arange(begin[k], begin[k + 1]) for k in side]) for side in (rows, others))
+            at_left, at_right = (np.repeat(np.arange(len(side)), shared[side]) for side in (rows, others))
+            used = np.unique(code[left])
+            place[used] = np.arange(len(used))
+            x, y = place[code[left]], place[code[right]]
+            common = np.zeros((len(rows), len(others)), np.float32)
+            for c in range(0, len(used), COLUMNS):
+                width = min(COLUMNS, len(used) - c)
+                sides = []
+                for at, col, n in ((at_left, x, len(rows)), (at_right, y, len(others))):
+                    inside = (col >= c) & (col < c + width)
+                    dense = np.zeros((n, width), np.float32)
+                    dense[at[inside], col[inside] - c] = 1
+                    sides.append(dense)
+                common += sides[0] @ sides[1].T
+            place[used] = -1
+            same = common.astype(np.int64)
+            linked = (den * same >= num * (size[rows][:, None] + size[others] - same)) & (owner[rows][:, None] != owner[others])
+            for k in np.flatnonzero(linked.any(axis=1)).tolist():
+                with_ = others[linked[k]]
+                for j in with_[np.unique(owner[with_], return_index=True)[1]].tolist():
+                    a, b = find(int(owner[rows[k]])), find(int(owner[j]))
+                    if a != b:
+                        top[max(a, b)] = min(a, b)
+                        found.append((int(ids[rows[k]]), int(ids[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Return (doc_id, n_shingles, component_id, kept), one row an input row.
 
     Documents are linked where ``den * |A & B| >= num * |A | B|`` holds for their
-    sets of ``shingle``-word shingles; components are closed over links.
+    sets of ``shingle``-word shingles; components are closed over links. ``block`` is
+    the number of shingles that a task compares at once; it changes no result.
     """
     if num * 100 < 80 * den:
         raise ValueError("band parameters hold for similarities of 0.8 or more")
     least = num / den
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = durable_table(map_batches(texts, _signatures(shingle), "id long, n long, f1 long, f2 long, bands array<long>, planes array<long>"))
-    linkable = signed.where("n > 0 and id is not null")
+    scratch = Scratch(df.sparkSession)
+    texts = df.select(integer_id(df, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = scratch.write(map_batches(texts, _signatures(shingle), "id long, n long, f1 long, f2 long, bands array<long>, planes array<long>"))
     keys = ["n", "f1", "f2"]
-    groups = durable(linkable.groupBy(*keys).agg(F.min("id").alias("rep")))
-    member = linkable.join(groups, keys)
-    reps = durable_table(member.where("id = rep").select("id", "n", "bands", *(F.col("planes")[p].alias(f"s{p}") for p in range(PLANES))))
-    bucket = reps.select("id", F.explode("bands").alias("key"))
+    linkable = signed.where("n > 0 and id is not null")
+    groups = scratch.write(linkable.groupBy(*keys).agg(F.min("id").alias("rep")))
+    rows = scratch.write(signed.select("id", *keys).join(groups, keys, "left").select("id", "n", "rep"))
+    first_rows = linkable.join(groups.withColumnRenamed("rep", "id"), ["id", *keys]).dropDuplicates(["id", *keys])
+    names = [f"s{p}" for p in range(PLANES)]
+    reps = scratch.write(first_rows.select("id", "n", "bands", *(F.col("planes")[p].alias(x) for p, x in enumerate(names))))
+    scratch.drop(signed, groups)
+
+    bucket = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = bucket.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    company = durable(bucket.join(shared, "key"))
+    company = scratch.write(bucket.join(shared, "key"))
     crowd = company.groupBy("id").agg(F.sum("size").alias("crowd"))
-    ranked = company.join(crowd, "id").select("key", "id", (F.col("crowd") * F.lit(1.0)).alias("crowd"))
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("negative"))).alias("top")).select("key", (-F.col("top.negative")).alias("hub"))
-    met = company.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    first = durable(_confirm(_candidates(met, reps, least), texts, shingle, num, den))
-    # Copies of one id with different texts are one document.
-    same = member.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    twice = same.join(member.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select(F.col("id").alias("a")), "a", "left_semi")
-    label = components(first.union(twice))
-
-    placed = company.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
-    rest = placed.join(open_keys.select("key"), "key").select("key", "id", "component")
-    rest = durable(rest.join(reps.select("id", "n"), "id"))
-    unshared = _unshared(rest.select("id").distinct(), texts, shingle)
-    rest = rest.join(unshared, "id", "left").withColumn("shared", F.col("n") - F.coalesce("unshared", F.lit(0)))
-    smallest = rest.groupBy("key").agg(F.min("n").alias("smallest"))
-    possible = F.lit(den) * F.col("shared") >= F.lit(num) * (F.col("n") + F.greatest("smallest", "shared") - F.col("shared"))
-    rest = durable(rest.join(smallest, "key").where(possible).select("key", "id", "component", "n", "shared"))
-    still = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high").select("key", "members")
-    parts = F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int")
-    rest = rest.join(still, "key").withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    packed = durable_table(map_batches(_chosen(texts, rest.select("id").distinct()), _long_planes(shingle), "id long, planes array<long>"))
-    rest = rest.join(packed.join(reps.select("id", "bands"), "id"), "id")
-    face = ["key", "id", "component", "n", "shared", "block", "bands", "planes"]
-    faced = rest.select(*face, F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    faced = faced.select(*face, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    left_apart = faced.groupBy("key", "lo", "hi").applyInArrow(_apart(least, num, den), "a long, b long").distinct()
-    second = durable(_confirm(left_apart, texts, shingle, num, den))
-    final = label if second.isEmpty() else components(first.union(twice).union(second))
-
-    known = member.select("id", *keys, "rep").distinct().join(final.withColumnsRenamed({"id": "rep"}), "rep", "left").select("id", *keys, F.coalesce("component", "rep").alias("component"))
-    lone = signed.select("id", *keys).join(known, ["id", *keys], "left")
+    hubs = company.join(crowd, "id").groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("negative"))).alias("top")).select("key", (-F.col("top.negative")).alias("hub"))
+    met = company.join(hubs, "key").where("id <> hub").select("id", "hub").distinct()
+    nearest = _candidates(met, reps, least).groupBy("id").agg(F.max(F.struct("estimate", (-F.col("hub")).alias("negative"))).alias("top"))
+    pairs = scratch.write(nearest.select("id", (-F.col("top.negative")).alias("hub")))
+    # Rows of one id with different texts are one document.
+    named = rows.where("id is not null and rep is not null")
+    times = named.groupBy("id").agg(F.count("*").alias("times")).where("times > 1").select("id")
+    same = named.where("id <> rep").join(times, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = scratch.write(_confirm(pairs, texts, shingle, num, den).union(same))
+    scratch.drop(pairs)
+    label = components(links, scratch)
+
+    placed = company.join(label, "id", "left").select(F.col("key").alias("unit"), "id", F.coalesce("component", "id").alias("component"), F.greatest("n", F.lit(LEAST)).alias("weight"))
+    mixed = placed.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("unit")
+    rest = scratch.write(placed.join(mixed, "unit"))
+    scratch.drop(company)
+    faced = _faces(rest, block).join(reps.select("id", *names), "id")
+    open_ = scratch.write(faced.groupBy("unit", "lo", "hi").applyInArrow(_possible(least), "unit long, id long").distinct())
+    scratch.drop(reps)
+    if not open_.isEmpty():
+        star = open_.join(open_.groupBy("unit").agg(F.min("id").alias("b")), "unit").select(F.col("id").alias("a"), "b")
+        family = components(star, scratch)
+        sides = rest.select("id", "component", "weight").distinct().join(family.select("id", F.col("component").alias("unit")), "id")
+        sets = map_batches(_chosen(texts, family.select("id")), _sets(shingle), "id long, members array<long>")
+        faced = _faces(sides, block).join(sets, "id")
+        more = scratch.write(links.union(faced.groupBy("unit", "lo", "hi").applyInArrow(_exact(num, den), "a long, b long")))
+        label = components(more, scratch)
+        scratch.drop(more)
+    scratch.drop(links, rest, open_)
+
+    known = named.join(label.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component")).where("component <> id")
     component = F.coalesce("component", "id")
-    return lone.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows.join(known, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``df`` with one row of each near-duplicate component, all columns kept.
 
     It is the one with the smallest id. Rows with a null id stay; of rows that
-    share an id one stays.
+    share an id the one with the first text in order stays, a null text as an empty one.
     """
-    ids = durable(near_duplicates(df, shingle, num, den, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
-    dropped = ids.where("not kept").select(F.col("doc_id").alias(id_col))
-    few = dropped.count() <= BROADCAST_IDS
-    kept = df.join(F.broadcast(dropped) if few else dropped, id_col, "left_anti")
-    if ids.where("kept and times > 1").isEmpty():
-        return kept.select(*df.columns)
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])).select(*df.columns)
+    scratch = Scratch(df.sparkSession)
+    ids = scratch.write(near_duplicates(df, shingle, num, den, id_col, text_col).where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("kept"), F.count("*").alias("times")))
+
+    def few(chosen: DataFrame) -> DataFrame:
+        return F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+
+    kept = df.join(few(ids.where("not kept").select(id_col)), id_col, "left_anti").select(*df.columns)
+    repeated = ids.where("kept and times > 1").select(id_col)
+    if repeated.isEmpty():
+        return kept
+    chosen = few(repeated)
+    whole = F.min_by(F.struct(*df.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("whole")
+    one = kept.join(chosen, id_col, "left_semi").groupBy(F.col(id_col).alias("repeated")).agg(whole).select("whole.*")
+    return kept.join(chosen, id_col, "left_anti").select(*df.columns).unionByName(one)

@@ -117,6 +117,51 @@ def test_near_duplicates_compare_what_hubs_leave_apart(spark):
     assert got == brute_components(rows, 3, 85, 100)
 
 
+def near_family(rng, copies, words, least, most):
+    base = sentence(rng, words).split()
+    rows = []
+    for n in range(copies):
+        changed = list(base)
+        for at in rng.sample(range(words), rng.randint(least, most)):
+            changed[at] = f"n{rng.randrange(10**9)}"
+        rows.append((n, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 20, 3000])
+def test_a_family_without_its_original_costs_one_confirmation_a_member(spark, monkeypatch, block):
+    """Most pairs of the family lie a little below the threshold; blocks of any size give the same links."""
+    rows = near_family(random.Random(21), 3000 if block > 3000 else 300, 150, 2, 4)
+    confirmed = []
+    confirm = near_duplicates._confirm
+    monkeypatch.setattr(near_duplicates, "_confirm", lambda pairs, *rest: (confirmed.append(pairs.count()), confirm(pairs, *rest))[1])
+    got = {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(frame(spark, rows).repartition(4), 3, 85, 100, block=block).collect()}
+    assert sum(confirmed) <= len(rows)
+    sets = [shingles(t, 3) for _, t in rows]
+    times = collections.Counter(x for s in sets for x in s)
+    place = {x: k for k, x in enumerate(x for x, n in times.items() if n > 1)}
+    dense = np.zeros((len(sets), len(place)), np.float32)
+    for k, s in enumerate(sets):
+        dense[k, [place[x] for x in s if x in place]] = 1
+    size = np.array([len(s) for s in sets])
+    common = (dense @ dense.T).astype(int)
+    top = np.arange(len(sets))
+    for i, j in zip(*np.nonzero(np.triu(100 * common >= 85 * (size[:, None] + size - common), 1)), strict=True):
+        top[top == max(top[i], top[j])] = min(top[i], top[j])
+    assert got == dict(enumerate(top.tolist())) and 1 < len(set(top)) < len(rows)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(23)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, a), (5, a), (5, " "), (5, None), (6, b), (7, b), (7, a), (9, ""), (None, a)]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates.near_duplicates(frame(spark, rows), 3, 85, 100).collect())
+    assert got == {(1, 1, True): 1, (5, 1, False): 3, (6, 1, False): 1, (7, 1, False): 2, (9, 9, True): 1, (None, None, True): 1}
+    twice = [(1, b), (1, a), (1, None), (2, sentence(rng, 9))]
+    kept = near_duplicates.keep_one(frame(spark, twice)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(1, None), twice[-1]} and len(kept) == 2
+
+
 def test_keep_one_keeps_columns_and_one_row(spark, odd_docs, none):
     kept = near_duplicates.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
