@@ -335,7 +335,10 @@ def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     label = components(links, scratch)
 
     placed = company.join(label, "id", "left").select(F.col("key").alias("unit"), "id", F.coalesce("component", "id").alias("component"), F.greatest("n", F.lit(LEAST)).alias("weight"))
-    mixed = placed.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("unit")
+    # Of buckets with the same members one is compared.
+    members = [F.count("*").alias("members"), *(F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"d{k}") for k in (1, 2))]
+    mixed = placed.groupBy("unit").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members).where("low <> high")
+    mixed = mixed.groupBy("members", "d1", "d2").agg(F.min("unit").alias("unit")).select("unit")
     rest = scratch.write(placed.join(mixed, "unit"))
     scratch.drop(company)
     faced = _faces(rest, block).join(reps.select("id", *names), "id")
