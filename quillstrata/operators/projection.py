@@ -30,12 +30,17 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def markdown_blocks(notes: DataFrame) -> DataFrame:
-    """Return (object_id, ordinal, heading_path, block_type, content) of Markdown bodies.
+#: Address of the region before the first heading; every object has it.
+ROOT = "root"
 
-    Blocks are separated by blank lines; fenced code stays whole. Headings open
-    regions: a block's path is the nearest heading of each level above it.
-    """
+
+def region_address(heading_path: Column) -> Column:
+    """Address of a region within its object: its headings from the top."""
+    return F.when(F.size(heading_path) > 0, F.array_join(heading_path, " > ")).otherwise(ROOT)
+
+
+def _lines(notes: DataFrame) -> DataFrame:
+    """Lines of Markdown bodies with level (0 if it is no heading), heading path, and whether code holds them."""
     lines = notes.select("object_id", F.posexplode(F.split("body", "\n")).alias("line", "content"))
     order = Window.partitionBy("object_id").orderBy("line")
     fence = F.col("content").rlike(r"^(```|~~~)").cast("int")
@@ -50,7 +55,31 @@ def markdown_blocks(notes: DataFrame) -> DataFrame:
         above = F.max(F.when((F.col("level") > 0) & (F.col("level") < n), F.col("line"))).over(order)
         title = F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(order)
         titles.append(F.when(at > F.coalesce(above, F.lit(-1)), title))
-    lines = lines.withColumn("heading_path", F.array_compact(F.array(*titles)))
+    return lines.withColumn("heading_path", F.array_compact(F.array(*titles)))
+
+
+def markdown_regions(notes: DataFrame) -> DataFrame:
+    """Return (object_id, address, ordinal, level, title, parent_address) of Markdown bodies.
+
+    Every heading path is one region, with prose or without; every object has the
+    region ``ROOT``, with ordinal and level 0, also if its body is empty.
+    """
+    headings = _lines(notes).where("level > 0").groupBy("object_id", "heading_path").agg(F.min(F.struct("line", "level", "title")).alias("first"))
+    ordinal = F.row_number().over(Window.partitionBy("object_id").orderBy("first.line")).cast("long")
+    parent = F.slice("heading_path", 1, F.size("heading_path") - 1)
+    named = headings.select("object_id", region_address(F.col("heading_path")).alias("address"), ordinal.alias("ordinal"), F.col("first.level").cast("long").alias("level"), F.col("first.title").alias("title"), region_address(parent).alias("parent_address"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    return notes.select("object_id", F.lit(ROOT).alias("address"), zero.alias("ordinal"), zero.alias("level"), none.alias("title"), none.alias("parent_address")).unionByName(named)
+
+
+def markdown_blocks(notes: DataFrame) -> DataFrame:
+    """Return (object_id, ordinal, heading_path, block_type, content, block_id) of Markdown bodies.
+
+    Blocks are separated by blank lines; fenced code stays whole. Headings open
+    regions: a block's path is the nearest heading of each level above it.
+    """
+    lines = _lines(notes)
+    order = Window.partitionBy("object_id").orderBy("line")
     breaks = ((~F.col("inside") & (F.trim("content") == "")) | (F.col("level") > 0)).cast("int")
     lines = lines.withColumn("block", F.sum(breaks).over(order)).where("level = 0 and (inside or trim(content) <> '')")
     rows = F.array_sort(F.collect_list(F.struct("line", "content")))

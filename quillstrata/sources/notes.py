@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quillstrata.functions.identity import object_id
 
 _FRONT = r"(?s)^---\n(.*?)\n---\n?"
+_INDENTED = r"(?m)^[A-Za-z_][\w-]*:[ \t]*\n(?:[ \t]+- .*\n)+"
+_ITEM = r"(?m)^[ \t]+- (.*)$"
+_BRACKETS = r"^\[(?!\[)(.*)\]$"
 #: Admission classes of an observation.
 ADMISSION = ("admitted", "quarantined", "rejected", "unresolved", "open_authoring_decision")
 
@@ -19,12 +22,19 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_notes(files: DataFrame) -> DataFrame:
-    """Split (path, filename, text) in front matter (a map of plain fields) and body."""
+    """Split (path, filename, text) in front matter and body.
+
+    Plain fields are in the map ``front_matter``; fields with a list, as indented
+    items or in brackets, are in the map ``front_lists``.
+    """
     block = F.regexp_extract("text", _FRONT, 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:\s*\S"))
     entries = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value")))
     fields = F.map_from_entries(F.array_distinct(entries))
-    return files.select("path", "filename", fields.alias("front_matter"), F.regexp_replace("text", _FRONT, "").alias("body"))
+    indented = F.transform(F.regexp_extract_all(F.concat(block, F.lit("\n")), F.lit(_INDENTED), F.lit(0)), lambda x: F.struct(F.substring_index(x, ":", 1).alias("key"), F.transform(F.regexp_extract_all(x, F.lit(_ITEM), F.lit(1)), F.trim).alias("values")))
+    inline = F.transform(F.filter(entries, lambda e: e["value"].rlike(_BRACKETS)), lambda e: F.struct(e["key"].alias("key"), F.transform(F.split(F.regexp_extract(e["value"], _BRACKETS, 1), ","), F.trim).alias("values")))
+    lists = F.map_from_entries(F.array_distinct(F.concat(indented, inline)))
+    return files.select("path", "filename", fields.alias("front_matter"), lists.alias("front_lists"), F.regexp_replace("text", _FRONT, "").alias("body"))
 
 
 def admit(notes: DataFrame) -> DataFrame:
