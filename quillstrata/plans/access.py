@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, Window
@@ -204,16 +205,38 @@ def start_sets(plan: Plan, snapshot: Snapshot) -> DataFrame | None:
     return snapshot.records.sparkSession.createDataFrame(rows, "root string, kind string, id string") if rows else None
 
 
+@dataclass
+class Execution:
+    """Lazy rows of each binding, and what each operation measured."""
+
+    bindings: dict[str, DataFrame]
+    operations: DataFrame
+
+
+OPERATIONS = "operation_id string, kind string, surface_id string, required boolean, observed long, bound long, available boolean, failed boolean"
+
+
 def execute(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Return one lazy DataFrame (root, kind, id, and more) for each binding.
+    """Return one lazy DataFrame (root, kind, id, and more) for each binding, as ``run`` does."""
+    return run(plan, snapshot, start).bindings
+
 
-    ``start`` may give large start sets as tables instead of lists of ids.
+def run(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None = None) -> Execution:
+    """Execute a plan and measure it.
+
+    ``start`` may give large start sets as tables instead of lists of ids. An operation
+    that the snapshot cannot run gives no rows and the status ``surface_unavailable``,
+    one that asks beyond a hard limit ``failed``; what that means for the plan depends on
+    whether it is required (``report.overall_status``). Operations are numbered from 1
+    along each path, as ``output.number``.
     """
+    spark = snapshot.records.sparkSession
     out = dict(start or {})
     named = start_sets(plan, snapshot)
     for b in plan.bindings:
         if b.name not in out:
             out[b.name] = named.where(F.col("root") == b.name).select(F.col("id").alias("root"), "kind", "id")
+    measured = [spark.createDataFrame([], OPERATIONS)]
     for step in order(plan):
         if isinstance(step, Join):
             branches = {x: out[x] for x in step.inputs}
@@ -221,20 +244,44 @@ def execute(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None =
             out[step.output] = T.temporal_order(joined, "root", ["anchor", "id"]) if step.how == "temporal_order" else joined
             continue
         rows = out[step.start]
-        for op in step.operations:
-            rows = _apply(op, rows, snapshot)
+        for number, op in enumerate(step.operations, 1):
+            rows, counted = _measured(op, f"{step.output}.{number}", rows, snapshot)
+            measured.append(counted)
         out[step.output] = rows
-    return out
+    return Execution(out, reduce(DataFrame.unionByName, measured))
 
 
-def _apply(op: object, rows: DataFrame, snapshot: Snapshot) -> DataFrame:
+def _measured(op: object, name: str, rows: DataFrame, snapshot: Snapshot) -> tuple[DataFrame, DataFrame]:
+    """Rows of one operation, and its one row of ``OPERATIONS``."""
+    surface, bound, available, failed, observed = None, None, True, False, None
+    if isinstance(op, Follow):
+        available = op.transition in snapshot.transitions
+    if isinstance(op, Search):
+        _, modes, hard, listed = snapshot.surfaces.get(op.surface, ((), (), 0, False))
+        surface, bound = op.surface, op.limit
+        available = listed and op.mode in modes and op.surface in snapshot.search
+        failed = available and op.limit is not None and op.limit > hard
+    if not available or failed:
+        rows = rows.where("false").select("root", "kind", "id")
+    else:
+        found = snapshot.search[op.surface](rows, op.query) if isinstance(op, Search) else None
+        if found is not None and op.limit is not None:
+            observed = found.groupBy("root").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("observed"))
+        rows = _apply(op, rows, snapshot, found)
+    observed = rows.agg(F.count("*").alias("observed")) if observed is None else observed
+    facts = {"operation_id": name, "kind": type(op).__name__.lower(), "surface_id": surface, "required": op.required, "bound": bound, "available": available, "failed": failed}
+    types = dict(x.split() for x in OPERATIONS.split(", "))
+    return rows, observed.select("observed", *(F.lit(v).cast(types[k]).alias(k) for k, v in facts.items())).select(*types)
+
+
+def _apply(op: object, rows: DataFrame, snapshot: Snapshot, found: DataFrame | None = None) -> DataFrame:
     if isinstance(op, Follow):
         return T.follow(rows, snapshot.edges, op.transition, op.direction)
     if isinstance(op, Search):
-        if op.surface not in snapshot.search:
-            raise KeyError(f"surface {op.surface} has no search")
-        found = snapshot.search[op.surface](rows, op.query)
-        return found if op.limit is None else R.top(found, "root", ["id"], op.limit, "position")
+        if op.limit is None:
+            return found
+        # A surface that ranks says so in ``position``; the cut keeps its best.
+        return R.top(found, "root", [*(["position"] if "position" in found.columns else []), "id"], op.limit, "position")
     if isinstance(op, Hydrate):
         return rows.join(snapshot.units, rows["id"] == snapshot.units["unit_id"]).drop("unit_id")
     dated = rows if "anchor" in rows.columns else rows.join(snapshot.anchors, ["kind", "id"])
@@ -247,17 +294,83 @@ def _apply(op: object, rows: DataFrame, snapshot: Snapshot) -> DataFrame:
     return dated.withColumn("position", F.row_number().over(Window.partitionBy("root").orderBy(*keys)).cast("long"))
 
 
-def shape(rows: DataFrame, how: str) -> DataFrame:
-    """Give a binding's rows one of the output shapes."""
-    if how in ("object_ids", "unit_ids", "regions", "anchors", "occurrence_paths"):
-        kind = {"object_ids": "semantic_object", "unit_ids": "semantic_unit", "regions": "semantic_region", "anchors": "temporal_anchor", "occurrence_paths": "occurrence"}[how]
-        return rows.where(F.col("kind") == kind).select("id").distinct()
+def _of(rows: DataFrame, kind: str) -> DataFrame:
+    return rows.where(F.col("kind") == kind).select("root", "id").distinct()
+
+
+def shape(rows: DataFrame, how: str, snapshot: Snapshot | None = None) -> DataFrame:
+    """Give a binding's rows one of the output shapes.
+
+    Units carry their content, regions their object and address, occurrence paths both
+    ends, anchors their value, all from ``snapshot``. Groups are rows with ordinals, not
+    lists, since a group has no bound.
+    """
+    if how in ("object_ids", "unit_ids"):
+        return _of(rows, {"object_ids": "semantic_object", "unit_ids": "semantic_unit"}[how]).select("id").distinct()
+    if how == "units":
+        return _of(rows, "semantic_unit").join(snapshot.units.select(F.col("unit_id").alias("id"), "content"), "id").select("root", "id", "content")
+    if how == "regions":
+        parts = F.split("id", "#", 2)
+        return _of(rows, "semantic_region").select("root", "id", parts[0].alias("object_id"), parts[1].alias("address"))
+    if how == "occurrence_paths":
+        ends = snapshot.edges.where("source_kind = 'occurrence' and transition_id like 'occurrence-%'")
+        source = ends.where("direction = 'incoming' and target_kind = 'semantic_object'").select(F.col("source_id").alias("id"), F.col("target_id").alias("source_id"))
+        target = ends.where("direction = 'outgoing' and transition_id like '%-target'").select(F.col("source_id").alias("id"), "target_kind", "target_id")
+        return _of(rows, "occurrence").join(source, "id").join(target, "id", "left").select("root", "id", "source_id", "target_kind", "target_id")
+    if how == "anchors":
+        return _of(rows, "temporal_anchor").join(snapshot.anchors.select("id", "anchor"), "id").select("root", "id", "anchor")
     if how == "exact_total":
         return rows.agg(F.count_distinct("id").alias("total"))
     if how == "grouped_by_object":
-        return rows.groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"))
+        owned = _of(rows, "semantic_unit").join(snapshot.units.select(F.col("unit_id").alias("id"), "object_id"), "id")
+        return T.temporal_order(owned, "object_id", ["root", "id"], "ordinal").select("object_id", "ordinal", "root", "id")
     if how == "ordered_evidence":
-        return rows.orderBy("root", *(["position"] if "position" in rows.columns else []), "id")
-    if how in ("units", "surface_provenance"):
-        return rows
+        keys = [*(["position"] if "position" in rows.columns else []), "id"]
+        return T.temporal_order(rows.drop("ordinal"), "root", keys, "ordinal").select("root", "ordinal", "kind", "id")
     raise KeyError(f"output shape {how} is not known")
+
+
+def surface_provenance(rows: DataFrame, plan: Plan, name: str) -> DataFrame:
+    """The output shape of that name: (root, id, operation_id, surface_id) of every operation that led to a binding."""
+    steps = {x.output: x for x in (*plan.paths, *plan.joins)}
+    led: list[tuple[str, str | None]] = []
+    todo = [name]
+    while todo:
+        step = steps.get(todo.pop())
+        if isinstance(step, Join):
+            todo += step.inputs
+        elif step is not None:
+            led += [(f"{step.output}.{k}", getattr(op, "surface", None)) for k, op in enumerate(step.operations, 1)]
+            todo.append(step.start)
+    routes = F.array(*(F.struct(F.lit(o).alias("operation_id"), F.lit(x).cast("string").alias("surface_id")) for o, x in sorted(led)))
+    return rows.select("root", "id").distinct().select("root", "id", F.inline(routes))
+
+
+#: What a problem record may be bound to, by kind of record.
+BOUND = {"region": ("address",), "relation": ("path", "transition"), "constraint": ("operation",), "open_tension": ("address", "output")}
+
+
+def provenance_faults(plan: Plan, bindings: DataFrame) -> DataFrame:
+    """Bindings (problem_kind, problem_id, bound_kind, bound_id) to what the plan does not have.
+
+    A binding says why a plan does something; it resolves nothing.
+    """
+    spark = bindings.sparkSession
+    have = [("address", b.name) for b in plan.bindings] + [("path", x.output) for x in plan.paths] + [("output", name) for _, name in plan.outputs]
+    have += [("operation", f"{x.output}.{k}") for x in plan.paths for k, _ in enumerate(x.operations, 1)]
+    have += [("transition", op.transition) for x in plan.paths for op in x.operations if isinstance(op, Follow)]
+    allowed = [(kind, b) for kind, kinds in BOUND.items() for b in kinds]
+    known = spark.createDataFrame(sorted(set(have)), "bound_kind string, bound_id string")
+    fits = spark.createDataFrame(allowed, "problem_kind string, bound_kind string")
+    wrong = bindings.join(fits, ["problem_kind", "bound_kind"], "left_anti").withColumn("fault", F.lit("kind_not_bindable"))
+    absent = bindings.join(fits, ["problem_kind", "bound_kind"], "left_semi").join(known, ["bound_kind", "bound_id"], "left_anti").withColumn("fault", F.lit("not_in_plan"))
+    return wrong.unionByName(absent)
+
+
+def carry_provenance(rows: DataFrame, plan: Plan, name: str, bindings: DataFrame) -> DataFrame:
+    """Rows of a binding with every problem record whose addresses, paths or operations led to it."""
+    led = surface_provenance(rows, plan, name).select("root", "id", F.lit("operation").alias("bound_kind"), F.col("operation_id").alias("bound_id"))
+    paths = led.select("root", "id", F.lit("path").alias("bound_kind"), F.regexp_extract("bound_id", r"^(.*)\.\d+$", 1).alias("bound_id")).distinct()
+    starts = rows.select("root", "id").distinct().select("root", "id", F.explode(F.array(*(F.lit(x.start) for x in plan.paths))).alias("bound_id"))
+    every = led.unionByName(paths).unionByName(starts.select("root", "id", F.lit("address").alias("bound_kind"), "bound_id"))
+    return every.join(bindings, ["bound_kind", "bound_id"]).select("root", "id", "problem_kind", "problem_id").distinct()

@@ -58,6 +58,51 @@ def meets(facts: DataFrame, requirements: DataFrame, plan: str = "plan_id") -> D
     return requirements.join(held, [plan, "fact", "detail"], "left").withColumn("met", F.coalesce("held", F.lit(False))).drop("held")
 
 
+def requirements_met(operations: DataFrame, requirements: DataFrame, plan: str = "plan_id") -> DataFrame:
+    """Return (plan, requirement_id, met) of coverage requirements of the four kinds.
+
+    ``requirements`` has kind and, by kind: ``exhaustive_exact`` surface_id,
+    ``graph_depth`` depth, ``operations_completed`` operation_ids, ``temporal_range``
+    range_start and range_end (either may be open). Not to have measured is not met.
+    """
+    done = operations.where(F.col("status").isin("completed", "completed_zero_matches", "truncated"))
+    whole = done.where("exhaustive and status <> 'truncated'").select(plan, "surface_id").distinct().withColumn("whole", F.lit(True))
+    reach = done.groupBy(plan).agg(F.max("depth").alias("reached"), F.min("range_start").alias("first"), F.max("range_end").alias("last"))
+    asked = requirements.select(plan, "requirement_id", F.explode("operation_ids").alias("operation_id"))
+    finished = asked.join(done.where("status <> 'truncated'").select(plan, "operation_id", F.lit(1).alias("one")).distinct(), [plan, "operation_id"], "left")
+    complete = finished.groupBy(plan, "requirement_id").agg((F.count("one") == F.count("*")).alias("complete"))
+    joined = requirements.join(whole, [plan, "surface_id"], "left").join(reach, plan, "left").join(complete, [plan, "requirement_id"], "left")
+    within = (F.col("range_start").isNull() | (F.col("first") <= F.col("range_start"))) & (F.col("range_end").isNull() | (F.col("last") >= F.col("range_end"))) & F.col("first").isNotNull()
+    kind = F.col("kind")
+    met = F.when(kind == "exhaustive_exact", F.col("whole")).when(kind == "graph_depth", F.col("reached") >= F.col("required_depth")).when(kind == "operations_completed", F.col("complete")).when(kind == "temporal_range", within)
+    return joined.select(plan, "requirement_id", F.coalesce(met, F.lit(False)).alias("met"))
+
+
+def applied_statuses(operations: DataFrame) -> DataFrame:
+    """Operations that a plan measured, with their statuses."""
+    bound = F.coalesce("bound", F.lit(1 << 62))
+    return operations.withColumn("status", operation_status(F.col("available"), F.col("failed"), F.col("observed"), bound))
+
+
+def unit_payload(routes: DataFrame, units: DataFrame, assignments: DataFrame, occurrences: DataFrame, anchors: DataFrame, segments: DataFrame) -> DataFrame:
+    """Returned units with their content and what hangs on them.
+
+    ``routes`` has (unit_id, operation_id, surface_id); identifiers and anchors are those of
+    the unit's object, occurrences those that leave the unit, segments its transport parts.
+    Lists of one unit are bounded by the note that it stands in; routes by the plan.
+    """
+
+    def listed(rows: DataFrame, key: str, text: Column, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(text)), ",").alias(name))
+
+    found = listed(routes, "unit_id", F.concat_ws(":", "operation_id", F.coalesce("surface_id", F.lit("-"))), "provenance").join(units.select("unit_id", "object_id", "ordinal", "content"), "unit_id")
+    found = found.join(listed(assignments, "object_id", F.concat_ws("=", "identifier_name", "value"), "identifiers"), "object_id", "left")
+    found = found.join(listed(anchors, "object_id", F.col("value"), "anchors"), "object_id", "left")
+    found = found.join(listed(occurrences.select(F.col("source_unit_id").alias("unit_id"), "occurrence_id"), "unit_id", F.col("occurrence_id"), "occurrences"), "unit_id", "left")
+    parts = segments.groupBy("object_id", "ordinal").agg(F.count("*").alias("segments"))
+    return found.join(parts, ["object_id", "ordinal"], "left").drop("ordinal")
+
+
 def returned_units(routes: DataFrame) -> DataFrame:
     """One row a unit with all routes that returned it, in order."""
     listed = F.array_sort(F.collect_set(F.struct("operation_id", "surface_id")))
@@ -77,7 +122,19 @@ def packet(units: DataFrame, order: list, overall: int, per_object: int, plan: s
     return ranked.withColumn("rank", rank).withColumn("removed_reason", reason).drop("within")
 
 
-def synthesis_input(turns: DataFrame) -> DataFrame:
-    """Turns with the previous turn, which a fresh thread does not have."""
+def synthesis_input(turns: DataFrame, versions: DataFrame | None = None, plans: DataFrame | None = None, operations: DataFrame | None = None) -> DataFrame:
+    """Turns with the previous turn, which a fresh thread does not have, and all that synthesis gets.
+
+    ``versions`` (thread_id, k, state_version) are the accepted states, ``plans``
+    (thread_id, k, plan_id) the plan of each turn, ``operations`` what plans measured: it
+    gives the result's status and the execution limits. A turn without a plan has none.
+    """
     before = Window.partitionBy("thread_id").orderBy("k")
-    return turns.select("thread_id", "k", F.col("text").alias("utterance"), F.lag("text").over(before).alias("previous_turn"))
+    out = turns.select("thread_id", "k", F.col("text").alias("utterance"), F.lag("text").over(before).alias("previous_turn"))
+    if versions is not None:
+        out = out.join(versions, ["thread_id", "k"], "left")
+    if plans is not None:
+        out = out.join(plans, ["thread_id", "k"], "left")
+    if operations is not None:
+        out = out.join(overall_status(operations), "plan_id", "left").join(execution_limits(operations), "plan_id", "left")
+    return out

@@ -10,7 +10,7 @@ from quillstrata.operators import traversal as T
 from quillstrata.plans import access as X
 from quillstrata.plans import report as Q
 from quillstrata.queries.retrieval import _CONTEXTS
-from quillstrata.queries.threads import _TURNS, turns
+from quillstrata.queries.threads import _TURNS, log, turns
 from quillstrata.sources import read_table
 
 
@@ -134,7 +134,43 @@ def packet_bounded(spark, sf_dir):
     return Q.packet(events, ["unit_id"], 50, 2)
 
 
+_NEEDS = """SELECT plan_id, 'exact' AS requirement_id, 'exhaustive_exact' AS kind, 's0' AS surface_id, NULL::INT AS required_depth, NULL AS wanted, NULL AS range_start, NULL AS range_end FROM o GROUP BY plan_id
+  UNION ALL SELECT plan_id, 'depth', 'graph_depth', NULL, 5, NULL, NULL, NULL FROM o GROUP BY plan_id UNION ALL SELECT plan_id, 'deeper', 'graph_depth', NULL, 6, NULL, NULL, NULL FROM o GROUP BY plan_id
+  UNION ALL SELECT plan_id, 'done', 'operations_completed', NULL, NULL, min(operation_id) FILTER (status LIKE 'completed%'), NULL, NULL FROM o GROUP BY plan_id UNION ALL SELECT plan_id, 'undone', 'operations_completed', NULL, NULL, min(operation_id) FILTER (status = 'failed'), NULL, NULL FROM o GROUP BY plan_id
+  UNION ALL SELECT plan_id, 'range', 'temporal_range', NULL, NULL, NULL, min(range_start), NULL FROM o GROUP BY plan_id"""
+
+
+@register("coverage_requirement_kinds", f"""WITH o AS ({_OPS}), q AS ({_NEEDS}) SELECT plan_id, requirement_id, coalesce(CASE kind WHEN 'exhaustive_exact' THEN (SELECT bool_or(status LIKE 'completed%') FROM o WHERE o.plan_id = q.plan_id AND o.surface_id = q.surface_id AND exhaustive)
+  WHEN 'graph_depth' THEN (SELECT max(depth) FROM o WHERE o.plan_id = q.plan_id AND {_DONE}) >= required_depth WHEN 'operations_completed' THEN (SELECT bool_and(status LIKE 'completed%') FROM o WHERE o.plan_id = q.plan_id AND operation_id = wanted)
+  ELSE (SELECT min(range_start) FROM o WHERE o.plan_id = q.plan_id AND {_DONE}) <= range_start END, false) AS met FROM q""")
+def coverage_requirement_kinds(spark, sf_dir):
+    """Requirements of all four kinds, two of them twice."""
+    ops = operations(spark, sf_dir)
+    text, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
+    by_plan = ops.groupBy("plan_id").agg(F.min(F.when(F.col("status").startswith("completed"), F.col("operation_id"))).alias("done"), F.min(F.when(F.col("status") == "failed", F.col("operation_id"))).alias("undone"), F.min("range_start").alias("first"))
+
+    def need(name: str, kind: str, surface=text, depth=whole, ids=None, start=text):
+        return F.struct(F.lit(name).alias("requirement_id"), F.lit(kind).alias("kind"), surface.alias("surface_id"), depth.alias("required_depth"), (F.array(ids) if ids is not None else F.lit(None).cast("array<string>")).alias("operation_ids"), start.alias("range_start"), text.alias("range_end"))
+
+    needs = [need("exact", "exhaustive_exact", surface=F.lit("s0")), need("depth", "graph_depth", depth=F.lit(5)), need("deeper", "graph_depth", depth=F.lit(6)), need("done", "operations_completed", ids=F.col("done")), need("undone", "operations_completed", ids=F.col("undone")), need("range", "temporal_range", start=F.col("first"))]
+    return Q.requirements_met(ops, by_plan.select("plan_id", F.inline(F.array(*needs))))
+
+
 @register("synthesis_input", f"SELECT thread_id, k, text AS utterance, lag(text) OVER (PARTITION BY thread_id ORDER BY k) AS previous_turn FROM ({_TURNS})")
 def synthesis_input(spark, sf_dir):
     """What synthesis gets of every turn."""
     return Q.synthesis_input(turns(spark, sf_dir))
+
+
+@register("synthesis_complete", f"""WITH o AS ({_OPS}), p AS (SELECT plan_id, row_number() OVER (ORDER BY plan_id) - 1 AS place FROM (SELECT DISTINCT plan_id FROM o)),
+  r AS (SELECT plan_id, CASE WHEN bool_or({_BAD} AND required) THEN 'failed' WHEN bool_or({_BAD} OR status = 'truncated') THEN 'partial' ELSE 'complete' END AS status, count(*) AS requested, count(*) FILTER ({_DONE}) AS completed FROM o GROUP BY plan_id)
+  SELECT thread_id, k, text AS utterance, lag(text) OVER (PARTITION BY thread_id ORDER BY k) AS previous_turn, k + 1 AS state_version, p.plan_id, r.status, r.requested, r.completed FROM ({_TURNS}) t LEFT JOIN p ON p.place = t.k % 7 LEFT JOIN r ON r.plan_id = p.plan_id""")
+def synthesis_complete(spark, sf_dir):
+    """What synthesis gets of every turn: state, plan, result and limits; two turns of seven have no plan."""
+    ops = operations(spark, sf_dir)
+    versions = log(spark, sf_dir).select("thread_id", F.col("ordinal").alias("k"), F.col("sequence").alias("state_version"))
+    names = ops.select("plan_id").distinct().agg(F.array_sort(F.collect_list("plan_id")).alias("names"))
+    place = (F.col("k") % 7).cast("int")
+    plans = turns(spark, sf_dir).crossJoin(F.broadcast(names)).select("thread_id", "k", F.get("names", place).alias("plan_id"))
+    whole = Q.synthesis_input(turns(spark, sf_dir), versions, plans, ops)
+    return whole.select("thread_id", "k", "utterance", "previous_turn", "state_version", "plan_id", "status", "requested", "completed")

@@ -16,6 +16,7 @@ from quillstrata.operators import structure as S
 from quillstrata.operators import traversal as T
 from quillstrata.operators import validation as V
 from quillstrata.plans import access as X
+from quillstrata.plans import report as Q
 from quillstrata.sources import durable_table, read_table
 from quillstrata.sources.notes import admit, parse_notes
 
@@ -230,9 +231,154 @@ def snapshot(spark: SparkSession, sf_dir: str) -> X.Snapshot:
     transitions = {name: (kind, (direction,), target) for name, (kind, _, direction, target) in S.TRANSITIONS.items()}
     surfaces = {k: (("semantic_unit",), (mode,), S.HARD_LIMIT, k != "vector") for k, (mode, *_) in S.SURFACES.items()}
 
-    def terms(rows: DataFrame | None, query: object) -> DataFrame:
+    def terms(rows: DataFrame, query: object) -> DataFrame:
         scored = units.withColumn("position", F.length("content") - F.length(F.replace(F.col("content"), F.lit(str(query)), F.lit(""))))
         found = scored.where("position > 0").select(F.lit("all").alias("root"), F.lit("semantic_unit").alias("kind"), F.col("unit_id").alias("id"), (-F.col("position")).alias("position"))
-        return found if rows is None else found.drop("root").join(rows.select("root", "id"), "id")
+        return found.drop("root").join(rows.select("root", "id"), "id")
 
     return X.Snapshot(S.records(v), S.transition_edges(v), units, anchors, transitions, surfaces, {"joined": ("semantic_object",)}, {"lexical": terms})
+
+
+_PATHS = (
+    X.Path("homes", (X.Follow("object-occurrence-incoming", "incoming"),), "links"),
+    X.Path("links", (X.Follow("occurrence-object-source", "incoming"),), "people"),
+    X.Path("people", (X.Follow("temporal-anchor"), X.Temporal("ascending")), "dates"),
+    X.Path("people", (X.Follow("object-unit"),), "units"),
+    X.Path("people", (X.Follow("object-region"),), "regions"),
+    X.Path("units", (X.Search("lexical", "terms", "e", 3),), "hits"),
+)
+_OUTPUTS = (("object_ids", "people"), ("unit_ids", "units"), ("units", "units"), ("regions", "regions"), ("occurrence_paths", "links"), ("anchors", "dates"), ("grouped_by_object", "units"), ("ordered_evidence", "dates"), ("exact_total", "units"), ("surface_provenance", "hits"))
+
+
+def _plan(*more: X.Path) -> X.Plan:
+    return X.Plan((X.Binding("homes", "semantic_object", ()),), (*_PATHS, *more), (), _OUTPUTS)
+
+
+def _homes(v: X.Snapshot, spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    nation = read_table(spark, sf_dir, "nation")
+    identity = _uuid(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")))
+    return {"homes": nation.select(identity.alias("root"), F.lit("semantic_object").alias("kind"), identity.alias("id"))}
+
+
+_UNITS = "SELECT c.home_id AS root, u.object_id || '#' || u.address || '#' || u.ordinal::VARCHAR AS id, u.* FROM u JOIN c ON c.id = u.object_id"
+_DATES = "SELECT c.home_id AS root, 'anchor:joined:' || i.object_id AS id, i.value FROM i JOIN c ON c.id = i.object_id WHERE identifier_name = 'joined'"
+_HITS = f"SELECT root, id, position FROM (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY length(content) - length(replace(content, 'e', '')) DESC, id) AS position FROM ({_UNITS}) WHERE contains(content, 'e')) WHERE position <= 3"
+
+
+@register("output_shapes", f"""{_CTE} SELECT 'object_ids' AS shape, NULL AS root, id, NULL AS detail FROM c
+  UNION ALL SELECT 'unit_ids', NULL, id, NULL FROM ({_UNITS}) UNION ALL SELECT 'units', root, id, md5(content) FROM ({_UNITS})
+  UNION ALL SELECT 'regions', home_id, object_id || '#' || address, address FROM g JOIN c ON c.id = g.object_id
+  UNION ALL SELECT 'occurrence_paths', target_id, occurrence_id, source_object_id || '>' || target_id FROM x WHERE target_kind = 'semantic_object'
+  UNION ALL SELECT 'anchors', root, id, value FROM ({_DATES})
+  UNION ALL SELECT 'grouped_by_object', object_id, id, (row_number() OVER (PARTITION BY object_id ORDER BY id))::VARCHAR FROM ({_UNITS})
+  UNION ALL SELECT 'ordered_evidence', root, id, (row_number() OVER (PARTITION BY root ORDER BY value, id))::VARCHAR FROM ({_DATES})
+  UNION ALL SELECT 'exact_total', NULL, NULL, count(DISTINCT id)::VARCHAR FROM ({_UNITS})
+  UNION ALL SELECT 'surface_provenance', root, id, unnest(['hits.1:lexical', 'links.1:-', 'people.1:-', 'units.1:-']) FROM ({_HITS})""")
+def output_shapes(spark, sf_dir):
+    """All ten shapes of the outputs of one plan."""
+    snap, plan = snapshot(spark, sf_dir), _plan()
+    out = X.execute(plan, snap, _homes(snap, spark, sf_dir))
+    none = F.lit(None).cast("string")
+    details = {
+        "object_ids": (none, F.col("id"), none),
+        "unit_ids": (none, F.col("id"), none),
+        "units": (F.col("root"), F.col("id"), F.md5("content")),
+        "regions": (F.col("root"), F.col("id"), F.col("address")),
+        "occurrence_paths": (F.col("root"), F.col("id"), F.concat_ws(">", "source_id", "target_id")),
+        "anchors": (F.col("root"), F.col("id"), F.col("anchor")),
+        "grouped_by_object": (F.col("object_id"), F.col("id"), F.col("ordinal").cast("string")),
+        "ordered_evidence": (F.col("root"), F.col("id"), F.col("ordinal").cast("string")),
+        "exact_total": (none, none, F.col("total").cast("string")),
+        "surface_provenance": (F.col("root"), F.col("id"), F.concat_ws(":", "operation_id", F.coalesce("surface_id", F.lit("-")))),
+    }
+    result = None
+    for how, name in _OUTPUTS:
+        rows = X.surface_provenance(out[name], plan, name) if how == "surface_provenance" else X.shape(out[name], how, snap)
+        root, identity, detail = details[how]
+        part = rows.select(F.lit(how).alias("shape"), root.alias("root"), identity.alias("id"), detail.alias("detail"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@register("plan_search_limit", f"{_CTE} SELECT root, id, position FROM ({_HITS})")
+def plan_search_limit(spark, sf_dir):
+    """The three best hits of each start, by the rank of the surface."""
+    snap = snapshot(spark, sf_dir)
+    return X.execute(_plan(), snap, _homes(snap, spark, sf_dir))["hits"].select("root", "id", "position")
+
+
+_OBSERVED = f"""SELECT 'links.1' AS operation_id, true AS required, 'completed' AS status, (SELECT count(*) FROM x WHERE target_kind = 'semantic_object') AS observed UNION ALL SELECT 'people.1', true, 'completed', (SELECT count(*) FROM c)
+  UNION ALL SELECT 'dates.1', true, 'completed', (SELECT count(*) FROM ({_DATES})) UNION ALL SELECT 'dates.2', true, 'completed', (SELECT count(*) FROM ({_DATES})) UNION ALL SELECT 'units.1', true, 'completed', (SELECT count(*) FROM ({_UNITS}))
+  UNION ALL SELECT 'regions.1', true, 'completed', (SELECT count(*) FROM g JOIN c ON c.id = g.object_id)
+  UNION ALL SELECT 'hits.1', true, CASE WHEN max(n) > 3 THEN 'truncated' ELSE 'completed' END, max(n) FROM (SELECT count(*) AS n FROM ({_UNITS}) WHERE contains(content, 'e') GROUP BY root)
+  UNION ALL SELECT 'near.1', false, 'surface_unavailable', 0 UNION ALL SELECT 'none.1', true, 'completed_zero_matches', 0"""
+
+
+def _more() -> tuple[X.Path, ...]:
+    near = X.Search("vector", "nearest_neighbours", None, 5, required=False)
+    return X.Path("units", (near,), "near"), X.Path("units", (X.Search("lexical", "terms", "not in any unit", 3),), "none")
+
+
+@register("plan_operations", f"{_CTE} {_OBSERVED}")
+def plan_operations(spark, sf_dir):
+    """What each operation measured; an optional surface that is not there is a status, not an error."""
+    snap = snapshot(spark, sf_dir)
+    done = X.run(_plan(*_more()), snap, _homes(snap, spark, sf_dir))
+    return Q.applied_statuses(done.operations).select("operation_id", "required", "status", "observed")
+
+
+@register("plan_requirement_kinds", "SELECT * FROM (VALUES ('beyond_hard_limit', 'failed'), ('optional_missing', 'partial'), ('required_missing', 'failed'), ('whole', 'complete')) t(plan_id, status)")
+def plan_requirement_kinds(spark, sf_dir):
+    """Plan status by what is missing: required or optional surfaces, or a limit beyond the hard one."""
+    snap = snapshot(spark, sf_dir)
+    searches = {"whole": X.Search("lexical", "terms", "e"), "optional_missing": X.Search("vector", "nearest_neighbours", None, 5, required=False), "required_missing": X.Search("vector", "nearest_neighbours", None, 5), "beyond_hard_limit": X.Search("lexical", "terms", "e", S.HARD_LIMIT + 1)}
+    result = None
+    for name, op in searches.items():
+        plan = X.Plan((X.Binding("homes", "semantic_object", ()),), (X.Path("homes", (X.Follow("object-unit"), op), "found"),))
+        part = Q.applied_statuses(X.run(plan, snap, _homes(snap, spark, sf_dir)).operations).withColumn("plan_id", F.lit(name))
+        result = part if result is None else result.unionByName(part)
+    return Q.overall_status(result)
+
+
+_BOUND = [("region", "r1", "address", "homes"), ("relation", "rel1", "path", "people"), ("relation", "rel1", "transition", "object-unit"), ("constraint", "con1", "operation", "hits.1"), ("open_tension", "ten1", "output", "dates"), ("region", "r2", "path", "people"), ("constraint", "con2", "operation", "hits.9"), ("open_tension", "ten2", "address", "nowhere")]
+
+
+def _bindings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_BOUND, "problem_kind string, problem_id string, bound_kind string, bound_id string")
+
+
+@register("plan_provenance_faults", "SELECT * FROM (VALUES ('region', 'r2', 'path', 'people', 'kind_not_bindable'), ('constraint', 'con2', 'operation', 'hits.9', 'not_in_plan'), ('open_tension', 'ten2', 'address', 'nowhere', 'not_in_plan')) t(problem_kind, problem_id, bound_kind, bound_id, fault)")
+def plan_provenance_faults(spark, sf_dir):
+    """Problem records that are bound to what the plan does not have."""
+    return X.provenance_faults(_plan(), _bindings(spark)).select("problem_kind", "problem_id", "bound_kind", "bound_id", "fault")
+
+
+@register("plan_provenance_carried", f"{_CTE} SELECT root, id, unnest(['region', 'relation', 'constraint', 'region']) AS problem_kind, unnest(['r1', 'rel1', 'con1', 'r2']) AS problem_id FROM ({_HITS})")
+def plan_provenance_carried(spark, sf_dir):
+    """Hits with the problem records that led to them."""
+    snap, plan = snapshot(spark, sf_dir), _plan()
+    return X.carry_provenance(X.execute(plan, snap, _homes(snap, spark, sf_dir))["hits"], plan, "hits", _bindings(spark))
+
+
+@register("join_temporal_branches", f"{_CTE} SELECT root, id, anchor, position, provenance FROM (SELECT root, id, value AS anchor, branch AS provenance, row_number() OVER (PARTITION BY root ORDER BY value, id) AS position FROM (SELECT d.*, CASE WHEN d.value < '2020-01-15' THEN 'early' ELSE 'late' END AS branch FROM ({_DATES}) d))")
+def join_temporal_branches(spark, sf_dir):
+    """Two branches of anchors of each nation merged to one sequence."""
+    snap = snapshot(spark, sf_dir)
+    v = X.execute(_plan(), snap, _homes(snap, spark, sf_dir))["dates"].select("root", "kind", "id", "anchor")
+    plan = X.Plan((X.Binding("a", "temporal_anchor", ()), X.Binding("b", "temporal_anchor", ())), (X.Path("a", (), "early"), X.Path("b", (), "late")), (X.Join("temporal_order", ("early", "late"), "all"),))
+    merged = X.execute(plan, snap, {"a": v.where("anchor < '2020-01-15'"), "b": v.where("anchor >= '2020-01-15'")})["all"]
+    return merged.select("root", "id", "anchor", "position", "provenance")
+
+
+@register("returned_unit_payload", f"""{_CTE} SELECT p.id AS unit_id, p.object_id, p.content, CASE WHEN contains(p.content, 'e') AND y.occurrences IS NOT NULL THEN 'a.1:lexical,b.1:-' WHEN contains(p.content, 'e') THEN 'a.1:lexical' ELSE 'b.1:-' END AS provenance,
+  'class=customer' || coalesce(',joined=' || d.value, '') AS identifiers, d.value AS anchors, y.occurrences, greatest(ceil(length(p.content) / 16.0), 1)::BIGINT AS segments
+  FROM ({_UNITS}) p LEFT JOIN (SELECT object_id, value FROM i WHERE identifier_name = 'joined') d ON d.object_id = p.object_id
+  LEFT JOIN (SELECT source_unit_id, string_agg(occurrence_id, ',' ORDER BY occurrence_id) AS occurrences FROM x WHERE source_unit_id IS NOT NULL GROUP BY 1) y ON y.source_unit_id = p.id WHERE contains(p.content, 'e') OR y.occurrences IS NOT NULL""")
+def returned_unit_payload(spark, sf_dir):
+    """Units that two routes return, with content, identifiers, anchors, occurrences and segments."""
+    v = vault(spark, sf_dir)
+    people = v.units.join(v.objects.where("class_name = 'customer'").select("object_id"), "object_id", "left_semi")
+    named = people.where(F.col("content").contains("e")).select("unit_id", F.lit("a.1").alias("operation_id"), F.lit("lexical").alias("surface_id"))
+    linked = v.occurrences.where("source_unit_id is not null").select(F.col("source_unit_id").alias("unit_id"), F.lit("b.1").alias("operation_id"), F.lit(None).cast("string").alias("surface_id"))
+    segments = P.transport_segments(v.units.select("object_id", "ordinal", "content"), 16)
+    return Q.unit_payload(named.unionByName(linked), people, v.assignments, v.occurrences, v.anchors, segments)

@@ -43,7 +43,7 @@ def test_two_book_chronology(snapshot):
     assert X.conform(plan, snapshot).count() == 0
     found = X.execute(plan, snapshot)["found"]
     assert {(r.root, r.id, r.anchor) for r in found.collect()} == {("b1", "j2", "2020-01-01"), ("b2", "j2", "2020-01-01")}
-    assert {r.id for r in X.shape(found, "anchors").collect()} == {"j2"}
+    assert {(r.root, r.id, r.anchor) for r in X.shape(found, "anchors", snapshot).collect()} == {("b1", "j2", "2020-01-01"), ("b2", "j2", "2020-01-01")}
     assert X.shape(found, "exact_total").first().total == 1
 
 
@@ -56,6 +56,23 @@ def test_branches_join_and_hydrate(snapshot):
     assert out["g"].first().branch == "own" and out["c"].first().provenance == "own"
 
 
+def test_a_limit_keeps_the_best_ranked(spark, snapshot):
+    ranked = spark.createDataFrame([("q", "semantic_unit", "9", 1), ("q", "semantic_unit", "1", 2), ("q", "semantic_unit", "2", 3)], "root string, kind string, id string, position long")
+    snapshot.search["exact"], literal = (lambda rows, query: ranked), snapshot.search["exact"]
+    try:
+        plan = X.Plan((BOOKS,), (X.Path("books", (X.Search("exact", "literal", "x", 2),), "found"),))
+        assert {r.id: r.position for r in X.execute(plan, snapshot)["found"].collect()} == {"9": 1, "1": 2}
+    finally:
+        snapshot.search["exact"] = literal
+
+
+def test_what_is_missing_is_a_status(snapshot):
+    ops = (X.Search("nowhere", "literal", "x", 2, required=False), X.Follow("unheard of", required=False), X.Hydrate())
+    done = X.run(X.Plan((BOOKS,), (X.Path("books", ops, "found"),)), snapshot)
+    assert done.bindings["found"].count() == 0
+    assert [r.status for r in Q.applied_statuses(done.operations).orderBy("operation_id").collect()] == ["surface_unavailable", "surface_unavailable", "completed_zero_matches"]
+
+
 def test_temporal_join_orders_branches(snapshot):
     dated = (X.Follow("object_context", "incoming"), X.Temporal("ascending"))
     plan = X.Plan((BOOKS,), (X.Path("books", dated, "a"), X.Path("books", dated, "b")), (X.Join("temporal_order", ("a", "b"), "all"),))
