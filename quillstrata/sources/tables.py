@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: Bytes of a batch that goes to a Python worker; Spark's default is 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
