@@ -1,13 +1,16 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV files.
 
 Samples expand by lookup tables; ADPCM blocks decode one nibble position at a
-time across all blocks of a batch; PCM is resampled to twice the rate and can be
-stored as 16-bit WAV.
+time across all blocks of a batch; sounds are resampled to twice the rate and stored
+as 16-bit PCM beside the telephony files.
 
 Defined results: a null or empty text is one frame of padding; equal texts give
 equal values, whatever rows surround them, since all features are sums of
-integers; repeated rows and repeated or null ids are kept; other columns are
-ignored.
+integers; a payload that is no multiple of an ADPCM block is padded with bytes 255
+for that decoder; media that are null, no WAV file, without samples, or of a format that is neither
+mu-law nor A-law have null PCM, and null features with their size and digest; repeated
+rows and repeated or null ids are kept; ids of a type other than integers raise
+``TypeError``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import doc_blocks, map_batches, utf8
+from quillstrata.llm.arrowtext import doc_blocks, integer_id, map_batches, utf8
+from quillstrata.sources import durable_table
 
 #: Bytes of padding value and of a frame; two ADPCM blocks are one frame.
 PAD, FRAME, ADPCM_BLOCK = 255, 576, 288
@@ -98,19 +102,20 @@ def wav(samples: bytes, tag: int, rate: int, width: int = 1) -> bytes:
     return b"".join((b"RIFF", struct.pack("<I", size), b"WAVEfmt ", struct.pack("<I", len(fmt)), fmt, b"fact", struct.pack("<I", 4), fact, b"data", struct.pack("<I", len(samples)), samples, pad))
 
 
-def read_wav(stored: bytes) -> tuple[int, int, bytes]:
-    """Return (format tag, rate, samples) of a WAV file, by walking its chunks."""
-    if stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
-        raise ValueError("not a WAV file")
+def read_wav(stored: bytes | None) -> tuple[int, int, bytes] | None:
+    """Return (format tag, rate, samples) of a WAV file by walking its chunks, or None if it is none."""
+    if stored is None or stored[:4] != b"RIFF" or stored[8:12] != b"WAVE":
+        return None
     at, tag, rate = 12, 0, 0
     while at + 8 <= len(stored):
         name, size = stored[at : at + 4], int.from_bytes(stored[at + 4 : at + 8], "little")
-        if name == b"fmt ":
+        if name == b"fmt " and at + 16 <= len(stored):
             tag, _, rate = struct.unpack_from("<HHI", stored, at + 8)
         elif name == b"data":
-            return tag, rate, stored[at + 8 : at + 8 + size]
+            samples = stored[at + 8 : at + 8 + size]
+            return (tag, rate, samples) if len(samples) == size and size and rate else None
         at += 8 + size + size % 2
-    raise ValueError("no samples")
+    return None
 
 
 def store_texts(df: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,7 +134,7 @@ def store_texts(df: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_co
                     files.append(wav(raw[a:b] + bytes([PAD]) * fill, tag, RATE))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(files, pa.binary())], schema=schema)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, run, "doc_id long, n_bytes long, media binary")
 
 
@@ -143,12 +148,47 @@ def _sums(pcm: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [np.maximum.reduceat(size, starts), np.add.reduceat(wide.astype(np.int64) ** 2, starts), np.add.reduceat(flips, starts)]
 
 
+def with_pcm(media: DataFrame) -> DataFrame:
+    """Add ``pcm`` to (doc_id, n_bytes, media): the sound as 16-bit WAV at twice the rate."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("pcm", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = []
+            for stored in batch.column(2):
+                tag, rate, samples = read_wav(stored.as_py()) or (0, 0, b"")
+                table = {ALAW: alaw_table, MULAW: mulaw_table}.get(tag)
+                files.append(table and wav(resample_double(table()[np.frombuffer(samples, np.uint8)]).tobytes(), PCM, 2 * rate, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.binary())], schema=schema)
+
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, pcm binary")
+
+
+def _describe(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
+    """Features of telephony payloads and of the PCM stored beside them."""
+    lengths = np.array([len(x) for x in payloads])
+    starts = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    blocks = -(-lengths // ADPCM_BLOCK)
+    whole = np.frombuffer(b"".join(x + bytes([PAD]) * (-len(x) % ADPCM_BLOCK) for x in payloads), np.uint8)
+    adpcm = decode_adpcm(whole.reshape(-1, ADPCM_BLOCK))
+    first = (np.cumsum(blocks) - blocks) * adpcm.shape[1]
+    sounds = [("mulaw", mulaw_table()[data], starts, lengths), ("alaw", alaw_table()[data], starts, lengths), ("adpcm", adpcm.ravel(), first, blocks * adpcm.shape[1])]
+    texts = []
+    for name, sound, at, n in sounds:
+        peak, square, flips = _sums(sound, at)
+        root = np.sqrt(square // n).astype(np.int64)
+        texts.append([f"{name}={p}:{r}:{f}" for p, r, f in zip(peak.tolist(), root.tolist(), flips.tolist(), strict=True)])
+    wide = [zlib.crc32(read_wav(x)[2]) for x in pcm]
+    return [";".join((*x, f"pcm16k={w:08x}")) for *x, w in zip(*texts, wide, strict=True)]
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored WAV files back and describe them.
+    """Read stored files (doc_id, n_bytes, media, pcm) back and describe them.
 
     Per file: digests of payload and file, and for the payload as mu-law, A-law
     and ADPCM the peak, root mean square and sign changes, and the checksum of
-    the mu-law sound resampled to 16 kHz.
+    the stored PCM.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = ["long", "long", "long", "string", "long", "long", "string", "string"]
@@ -156,50 +196,31 @@ def media_features(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.frombuffer(batch.column(2).cast(pa.large_binary()).buffers()[1], np.int64, len(batch) + 1, batch.column(2).offset * 8) if len(batch) else np.zeros(1, np.int64)
+            sizes = np.append(0, np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2)]))
             for i, j in doc_blocks(sizes, BATCH):
                 part = batch.slice(i, j - i)
-                stored = part.column(2).to_pylist()
-                payloads = [read_wav(x)[2] for x in stored]
-                lengths = np.array([len(x) for x in payloads])
-                starts = np.cumsum(lengths) - lengths
-                data = np.frombuffer(b"".join(payloads), np.uint8)
-                mulaw = mulaw_table()[data]
-                adpcm = decode_adpcm(data.reshape(-1, ADPCM_BLOCK))
-                sounds = [("mulaw", mulaw, starts, lengths), ("alaw", alaw_table()[data], starts, lengths)]
-                sounds.append(("adpcm", adpcm.ravel(), starts // ADPCM_BLOCK * adpcm.shape[1], lengths // ADPCM_BLOCK * adpcm.shape[1]))
-                texts = []
-                for name, pcm, at, n in sounds:
-                    peak, square, flips = _sums(pcm, at)
-                    root = np.sqrt(square // n).astype(np.int64)
-                    texts.append([f"{name}={p}:{r}:{f}" for p, r, f in zip(peak.tolist(), root.tolist(), flips.tolist(), strict=True)])
-                wide = [zlib.crc32(resample_double(mulaw[a : a + n])) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                stored, pcm = part.column(2).to_pylist(), part.column(3).to_pylist()
+                read = [x and read_wav(x) for x in stored]
+                good = [k for k, x in enumerate(read) if x and pcm[k] is not None]
+                payload = [x[2] if x else None for x in read]
+                feature: list[str | None] = [None] * len(stored)
+                for k, text in zip(good, _describe([payload[k] for k in good], [pcm[k] for k in good]) if good else (), strict=True):
+                    feature[k] = text
                 rows = [
                     part.column(0),
                     part.column(1),
-                    lengths,
-                    [hashlib.sha256(x).hexdigest() for x in payloads],
-                    [zlib.crc32(x[-TAIL:]) for x in payloads],
-                    [len(x) for x in stored],
-                    [hashlib.sha256(x).hexdigest() for x in stored],
-                    [";".join((*x, f"pcm16k={w:08x}")) for *x, w in zip(*texts, wide, strict=True)],
+                    [None if x is None else len(x) for x in payload],
+                    [None if x is None else hashlib.sha256(x).hexdigest() for x in payload],
+                    [None if x is None else zlib.crc32(x[-TAIL:]) for x in payload],
+                    [None if x is None else len(x) for x in stored],
+                    [None if x is None else hashlib.sha256(x).hexdigest() for x in stored],
+                    feature,
                 ]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, schema.types, strict=True)], schema=schema)
 
-    return map_batches(media.select("doc_id", "n_bytes", "media"), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return map_batches(media.select("doc_id", "n_bytes", "media", "pcm"), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def to_pcm_wav(media: DataFrame) -> DataFrame:
-    """Return (doc_id, pcm): stored mu-law or A-law files as 16-bit WAV at 16 kHz."""
-    schema = pa.schema([("doc_id", pa.int64()), ("pcm", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files = []
-            for stored in batch.column(1):
-                tag, rate, samples = read_wav(stored.as_py())
-                table = alaw_table() if tag == ALAW else mulaw_table()
-                files.append(wav(resample_double(table[np.frombuffer(samples, np.uint8)]).tobytes(), PCM, 2 * rate, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.binary())], schema=schema)
-
-    return map_batches(media.select("doc_id", "media"), run, "doc_id long, pcm binary")
+def store(df: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write each text as a telephony file and its resampled PCM to the shared folder; return the table's reader."""
+    return durable_table(with_pcm(store_texts(df, tag, id_col, text_col)))
