@@ -14,6 +14,7 @@ each; other columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -23,16 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import doc_blocks, map_batches, utf8
+from quillstrata.llm.arrowtext import doc_blocks, integer_id, map_batches, utf8
 from quillstrata.llm.tokens import encode
-from quillstrata.sources import durable_table
+from quillstrata.sources import Scratch
 
 #: Bytes of text encoded at once.
 BLOCK = 6 << 20
 #: Pieces of one partition; more pieces make more partitions.
 PART = 20_000
-#: Exchanges at most; each must save bins, or it is the last.
-ROUNDS = 4
 #: Parameters of the staircase dual feasible functions.
 STAIRS = tuple(range(1, 13))
 
@@ -70,7 +69,7 @@ def tokenize(df: DataFrame, vocabulary: str = "byte_bpe_50k", capacity: int = 10
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1:]), pa.int32()), pa.array(ids, pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, run, _PIECES + ", ids array<long>" * keep_ids)
 
 
@@ -133,10 +132,10 @@ def _pack_part(capacity: int):
     return run
 
 
-def _round(items: DataFrame, n: int, number: int, capacity: int) -> DataFrame:
+def _round(items: DataFrame, n: int, number: int, capacity: int, scratch: Scratch) -> DataFrame:
     parts = max(1, math.ceil(n / PART))
     dealt = items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(parts)).cast("long")).withColumn("round", F.lit(number).cast("long"))
-    return durable_table(dealt.groupBy("part").applyInArrow(_pack_part(capacity), dealt.schema))
+    return scratch.write(dealt.groupBy("part").applyInArrow(_pack_part(capacity), dealt.schema))
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -147,23 +146,26 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """
     zero = F.lit(0).cast("long")
     names = ("part", "round", "bin", "offset", "free", "opens", "gap")
-    items = durable_table(pieces.withColumn("item", F.monotonically_increasing_id()).withColumns(dict.fromkeys(names, zero)))
-    n = items.count()
-    done, current = [], _round(items, n, 0, capacity)
-    for number in range(1, ROUNDS + 1):
-        exchanged = F.expr("gap > 0 and free > 0")
+    scratch = Scratch(pieces.sparkSession)
+    items = scratch.write(pieces.withColumn("item", F.monotonically_increasing_id()).withColumns(dict.fromkeys(names, zero)))
+    current = _round(items, items.count(), 0, capacity, scratch)
+    scratch.drop(items)
+    exchanged = F.expr("gap > 0 and free > 0")
+    done: list[DataFrame] = []
+    for number in itertools.count(1):
         pool = current.where(exchanged)
         n, before = pool.agg(F.count("*"), F.coalesce(F.sum("opens"), F.lit(0))).first()
         if not n:
             break
-        again = _round(pool, n, number, capacity)
+        again = _round(pool, n, number, capacity, scratch)
         if again.agg(F.sum("opens")).first()[0] >= before:
+            scratch.drop(again)
             break
         done.append(current.where(~exchanged))
         current = again
     for part in done:
         current = current.unionByName(part)
-    sequence = F.shiftleft("round", 58) + F.shiftleft("part", 24) + F.col("bin")
+    sequence = F.shiftleft("round", 50) + F.shiftleft("part", 20) + F.col("bin")
     return current.select(*pieces.columns, sequence.alias("sequence_id"), "offset")
 
 

@@ -18,7 +18,8 @@ import numpy as np
 
 from quillstrata.llm.arrowtext import span_hashes
 
-#: Cuts longer than this go to the encoder whose merge queue suits long words.
+#: Cuts longer than this go to the encoder whose merge queue suits long words. Both merge the
+#: pair of least rank first, the leftmost of equal ones, so that their ids are the same.
 LONG = 2000
 
 
