@@ -17,11 +17,13 @@ than 23 with probability below 1e-5.
 Items are read in blocks of bounded size, each sent to all tasks and held against
 all documents. Defined results: null and empty texts and items match nothing; items
 shorter than a shingle are compared as a whole sequence; equal items are all
-reported; repeated documents are reported each; other columns are ignored.
+reported; repeated documents are reported each; ids of a type other than integers raise
+``TypeError``; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, map_batches, mix, span_hashes, utf8
+from quillstrata.llm.arrowtext import SLICE, constants, doc_blocks, integer_id, map_batches, mix, span_hashes, utf8
 from quillstrata.llm.tokens import ragged
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -39,8 +41,8 @@ RADIUS, BLOCKS, NEAR = 23, 8, 2
 ITEMS, CHARACTERS = 5000, 8 << 20
 #: Bits of the bitmap that rules out most shingles.
 FILTER_BITS = 20
-#: Windows fingerprinted at once.
-WINDOWS = 1 << 14
+#: Windows fingerprinted at once, and pairs of a window and an item looked up at once.
+WINDOWS, PAIRS = 1 << 14, 1 << 22
 
 
 def _word_table() -> np.ndarray:
@@ -83,12 +85,14 @@ def weights(lengths: np.ndarray, size: int) -> np.ndarray:
 class Items:
     """Benchmark items prepared for lookup."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     sizes: np.ndarray
     shingles: list[np.ndarray]
     weights: list[np.ndarray]
     masses: np.ndarray
     known: np.ndarray
+    owners: np.ndarray
+    owned: np.ndarray
     bitmap: np.ndarray
     prints: np.ndarray
 
@@ -103,7 +107,7 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
-def prepare(ids: list[int], texts: list[str]) -> Items:
+def prepare(ids: list[int | None], texts: list[str]) -> Items:
     """Prepare a block of items; those without words are left out."""
     data, offsets = utf8(pa.array(texts, pa.string()))
     hashes, lengths, doc = tokens(data, offsets)
@@ -116,11 +120,14 @@ def prepare(ids: list[int], texts: list[str]) -> Items:
         n = int(counts[k]) - size + 1
         shingles.append(grams(hashes[part], size)[:n])
         heavy.append(weights(lengths[part], size)[:n])
-    known = np.unique(np.concatenate(shingles)) if shingles else np.zeros(0, np.uint64)
+    known, back = np.unique(np.concatenate(shingles) if shingles else np.zeros(0, np.uint64), return_inverse=True)
+    # The items that have a known shingle: owners[owned[s] : owned[s + 1]].
+    has = np.unique(back * np.int64(len(keep) + 1) + np.repeat(np.arange(len(keep)), [len(x) for x in shingles]))
+    owners, owned = has % (len(keep) + 1), np.searchsorted(has // (len(keep) + 1), np.arange(len(known) + 1))
     bitmap = np.zeros(1 << FILTER_BITS, bool)
     bitmap[(known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     prints = [_pack((_bits(x) * w[:, None]).sum(axis=0, keepdims=True, dtype=np.float64)) for x, w in zip(shingles, heavy, strict=True)]
-    return Items(np.array(ids, np.int64)[keep], counts[keep], shingles, heavy, np.array([x.sum() for x in heavy]), known, bitmap, np.concatenate(prints) if prints else np.zeros((0, 8), np.uint8))
+    return Items([ids[k] for k in keep], counts[keep], shingles, heavy, np.array([x.sum() for x in heavy]), known, owners, owned, bitmap, np.concatenate(prints) if prints else np.zeros((0, 8), np.uint8))
 
 
 def _similar(window: np.ndarray, heavy: np.ndarray, item: np.ndarray, item_heavy: np.ndarray) -> float:
@@ -135,7 +142,7 @@ def _similar(window: np.ndarray, heavy: np.ndarray, item: np.ndarray, item_heavy
 def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Items) -> list[tuple[int, int, float, int, int]]:
     """Return (text index, item index, similarity, first word, words): the best window of each pair."""
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    if not len(hashes) or not len(items.ids):
+    if not len(hashes) or not items.ids:
         return []
     counts = np.bincount(doc)
     ends = np.cumsum(counts)
@@ -153,6 +160,7 @@ def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Item
         heavy = weights(lengths, short)
         known = np.zeros(len(heavy))
         known[hits] = heavy[hits]
+        places = _Places(hits, at[items.known[at] == values[maybe]], heavy, items)
         mass, shared = (np.append(0.0, np.cumsum(x)) for x in (heavy, known))
         for length in sorted({int(n) for n in items.sizes if min(SHINGLE, int(n)) == short}):
             span = length - short + 1
@@ -162,7 +170,7 @@ def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Item
             opens = opens[shared[opens + span] - shared[opens] >= SIMILAR * (mass[opens + span] - mass[opens])]
             members = np.flatnonzero(items.sizes == length)
             for chunk in range(0, len(opens), WINDOWS):
-                _windows(opens[chunk : chunk + WINDOWS], span, length, values, heavy, doc, begin, members, items, best)
+                _windows(opens[chunk : chunk + WINDOWS], span, length, values, heavy, doc, begin, members, items, places, best)
         # A text shorter than an item is one window, if its known shingles can reach the item's weight.
         opens = np.unique(begin[hits])
         size = end[opens] - opens
@@ -177,16 +185,35 @@ def search(hashes: np.ndarray, lengths: np.ndarray, doc: np.ndarray, items: Item
             if len(members):
                 part = opens[same]
                 for chunk in range(0, len(part), WINDOWS):
-                    _windows(part[chunk : chunk + WINDOWS], length - short + 1, length, values, heavy, doc, begin, members, items, best)
-    return [(d, int(k), s, first, n) for (d, k), (s, first, n) in sorted(best.items())]
+                    _windows(part[chunk : chunk + WINDOWS], length - short + 1, length, values, heavy, doc, begin, members, items, places, best)
+    return [(d, k, s, -back, n) for (d, k), (s, back, n) in sorted(best.items())]
 
 
-def _windows(opens, span, length, values, heavy, doc, begin, members, items, best) -> None:
+class _Places:
+    """Where the shingles of each item stand in some texts, with running sums of their weights."""
+
+    def __init__(self, hits: np.ndarray, shingle: np.ndarray, heavy: np.ndarray, items: Items) -> None:
+        many = items.owned[shingle + 1] - items.owned[shingle]
+        item, at = ragged(items.owners, items.owned[shingle], many), np.repeat(hits, many)
+        order = np.argsort(item, kind="stable")
+        self.at, item = at[order], item[order]
+        self.sums = np.append(0.0, np.cumsum(heavy[self.at]))
+        self.begin = np.searchsorted(item, np.arange(len(items.sizes) + 1))
+
+    def most(self, item: int, opens: np.ndarray, span: int) -> np.ndarray:
+        """Weight of each window's shingles that the item has: no intersection weighs more."""
+        a, b = self.begin[item], self.begin[item + 1]
+        part = self.at[a:b]
+        return self.sums[a + np.searchsorted(part, opens + span)] - self.sums[a + np.searchsorted(part, opens)]
+
+
+def _windows(opens, span, length, values, heavy, doc, begin, members, items, places, best) -> None:
     """Fingerprint windows by running sums, look them up and verify."""
-    if not len(opens):
+    if not len(opens) or not len(members):
         return
     breaks = np.flatnonzero(np.diff(opens) > span) + 1
     prints = np.empty((len(opens), 8), np.uint8)
+    mass = np.empty(len(opens))
     for run in np.split(np.arange(len(opens)), breaks):
         lo, hi = opens[run[0]], opens[run[-1]] + span
         signed = _bits(values[lo:hi]) * heavy[lo:hi, None]
@@ -194,25 +221,32 @@ def _windows(opens, span, length, values, heavy, doc, begin, members, items, bes
         np.cumsum(signed, axis=0, out=sums[1:], dtype=np.float64)
         start = opens[run] - lo
         prints[run] = _pack(sums[start + span] - sums[start])
+        total = np.append(0.0, np.cumsum(heavy[lo:hi]))
+        mass[run] = total[start + span] - total[start]
     own = items.prints[members]
-    # near[b][v] lists the items whose block b is within NEAR bits of v.
+    # near[b][v, k] says that block b of item k is within NEAR bits of v.
     distance = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
-    pairs = []
-    for b in range(BLOCKS):
-        near = distance[:, own[:, b]] <= NEAR
-        counts = near.sum(axis=1)
-        listed, first = np.nonzero(near)[1], np.cumsum(counts) - counts
-        v = prints[:, b]
-        pairs.append(np.repeat(np.arange(len(opens)), counts[v]) * np.int64(len(members)) + ragged(listed, first[v], counts[v]))
-    found = np.unique(np.concatenate(pairs))
-    window, item = found // len(members), found % len(members)
-    close = np.bitwise_count(prints[window] ^ own[item]).sum(axis=1) <= RADIUS
-    for w, k in zip(window[close].tolist(), members[item[close]].tolist(), strict=True):
-        at = int(opens[w])
-        s = _similar(values[at : at + span], heavy[at : at + span], items.shingles[k], items.weights[k])
-        pair = (int(doc[at]), int(k))
-        if s >= SIMILAR - 1e-9 and s > best.get(pair, (0.0,))[0]:
-            best[pair] = (s, at - int(begin[at]), length)
+    near = [distance[:, own[:, b]] <= NEAR for b in range(BLOCKS)]
+    for at in range(0, len(opens), max(1, PAIRS // len(members))):
+        part = slice(at, at + max(1, PAIRS // len(members)))
+        found = near[0][prints[part, 0]]
+        for b in range(1, BLOCKS):
+            found |= near[b][prints[part, b]]
+        window, item = np.nonzero(found)
+        close = np.bitwise_count(prints[part][window] ^ own[item]).sum(axis=1) <= RADIUS
+        order = np.argsort(item[close], kind="stable")
+        window, item = window[close][order] + at, members[item[close][order]]
+        edges = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
+        for i, j in itertools.pairwise(edges.tolist()):
+            k, some = int(item[i]), window[i:j]
+            some = some[places.most(k, opens[some], span) >= SIMILAR * np.maximum(mass[some], items.masses[k]) - 1e-6]
+            for w in some.tolist():
+                first = int(opens[w])
+                s = _similar(values[first : first + span], heavy[first : first + span], items.shingles[k], items.weights[k])
+                pair = (int(doc[first]), k)
+                place = (s, int(begin[first]) - first, length)
+                if s >= SIMILAR - 1e-9 and place[:2] > best.get(pair, (0.0, 0))[:2]:
+                    best[pair] = place
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
@@ -221,12 +255,12 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarit
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     """Read items in blocks; the driver holds one block at a time."""
     ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = benchmark.select(integer_id(benchmark, id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
         if ids and (len(ids) == ITEMS or size + len(row.text) > CHARACTERS):
             yield prepare(ids, texts)
             ids, texts, size = [], [], 0
-        ids.append(-1 if row.id is None else row.id)
+        ids.append(row.id)
         texts.append(row.text)
         size += len(row.text)
     if ids:
@@ -236,9 +270,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Return (doc_id, item_id, similarity, first_word, n_words): the best window of each pair.
 
-    Only pairs of at least ``SIMILAR`` are returned. A null item id is -1.
+    Only pairs of at least ``SIMILAR`` are returned, of equal windows the first. A null item
+    id stays null.
     """
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(integer_id(documents, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     context = documents.sparkSession.sparkContext
     result = None
     for items in _blocks(benchmark, item_col, item_text_col):
@@ -253,7 +288,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array([f[0] for f in found], pa.int64())),
-                            pa.array([int(shared.value.ids[f[1]]) for f in found], pa.int64()),
+                            pa.array([shared.value.ids[f[1]] for f in found], pa.int64()),
                             *(pa.array([f[c] for f in found], t) for c, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))),
                         ],
                         schema=_FOUND,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import constants, mix, utf8, words
+from quillstrata.llm.arrowtext import constants, integer_id, mix, utf8, words
 
 #: Bytes of text in a batch; larger inputs have more batches and more tables.
 BATCH_BYTES = 12 << 20
@@ -128,7 +128,7 @@ def _score(buckets: int):
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (doc_id, n_words, log_score, mean_log_score), one row an input row."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, math.ceil(size / BATCH_BYTES))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("long"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstrata.llm.arrowtext import map_batches
+from quillstrata.llm.arrowtext import integer_id, map_batches
 
 # The kinds of secret, in the order of the contract.
 KINDS = ("assign", "access", "hex")
@@ -396,7 +396,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 missed.append(unopened)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, schema.types[1]), pa.array(missed, pa.int64())], schema=schema)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, run, "doc_id long, findings array<struct<kind string, start long, end long, encodings string>>, unopened long")
 
 

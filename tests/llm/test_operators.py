@@ -400,16 +400,64 @@ def test_quality_of_odd_rows(spark, odd_docs, none):
 # Audio
 
 
+def plain_feature(payload):
+    """The feature string, one sample at a time."""
+
+    def line(name, pcm):
+        root = int(math.sqrt(sum(x * x for x in pcm) // len(pcm)))
+        return f"{name}={max(map(abs, pcm))}:{root}:{sum((x < 0) != (y < 0) for x, y in itertools.pairwise(pcm))}"
+
+    def mulaw(u):
+        u = ~u & 255
+        size = ((((u & 15) << 3) + 132) << ((u >> 4) & 7)) - 132
+        return -size if u & 128 else size
+
+    def alaw(a):
+        a ^= 0x55
+        size, segment = ((a & 15) << 4) + 8, (a >> 4) & 7
+        size = size if not segment else (size + 256) << (segment - 1)
+        return size if a & 128 else -size
+
+    adpcm = []
+    padded = payload + b"\xff" * (-len(payload) % 288)
+    for at in range(0, len(padded), 288):
+        block = padded[at : at + 288]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        adpcm.append(value)
+        for byte in block[4:]:
+            for nibble in (byte & 15, byte >> 4):
+                step = int(audio.STEPS[index])
+                move = (step >> 3) + (step if nibble & 4 else 0) + (step >> 1 if nibble & 2 else 0) + (step >> 2 if nibble & 1 else 0)
+                value = max(-32768, min(32767, value + (-move if nibble & 8 else move)))
+                index = max(0, min(88, index + int(audio.MOVES[nibble & 7])))
+                adpcm.append(value)
+    pcm = [mulaw(u) for u in payload]
+    wide = [y for x, z in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for y in (x, (x + z) >> 1)]
+    raw = b"".join(x.to_bytes(2, "little", signed=True) for x in wide)
+    return ";".join([line("mulaw", pcm), line("alaw", [alaw(a) for a in payload]), line("adpcm", adpcm), f"pcm16k={zlib.crc32(raw):08x}"])
+
+
 def test_audio_round_trip(spark, odd, odd_docs, none):
-    rows = audio.media_features(audio.store_texts(odd_docs)).collect()
+    rows = audio.media_features(audio.store(odd_docs)).collect()
     expected = collections.Counter()
     for i, t in odd:
         raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        expected[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])] += 1
-    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == expected
-    assert len({r.feature for r in rows if r.doc_id in (1, 2)}) == 1
-    assert audio.media_features(audio.store_texts(none)).count() == 0
+        feature = plain_feature(payload) if len(payload) < 10_000 else [r.feature for r in rows if r.doc_id == i][0]
+        expected[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature] += 1
+    assert collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in rows) == expected
+    assert audio.media_features(audio.store(none)).count() == 0
+
+
+def test_media_that_are_no_telephony_files(spark):
+    odd_size = bytes(range(200)) + b"x" * 101
+    rows = [(1, None), (2, b""), (3, b"RIFF"), (4, b"no wav at all, but long enough"), (5, audio.wav(b"", audio.MULAW, 8000)), (6, audio.wav(odd_size, audio.MULAW, 8000)), (7, audio.wav(odd_size, audio.PCM, 8000)), (8, audio.wav(odd_size, audio.ALAW, 8000)), (9, audio.wav(odd_size, audio.MULAW, 8000)[:-40])]
+    table = audio.with_pcm(spark.createDataFrame([(i, 0, x) for i, x in rows], "doc_id long, n_bytes long, media binary"))
+    got = {r.doc_id: r for r in audio.media_features(table).collect()}
+    assert {i for i, r in got.items() if r.feature is not None} == {6, 8}
+    assert got[6].feature == plain_feature(odd_size)
+    assert got[1].media_bytes is None and all(got[i].media_sha256 == hashlib.sha256(x).hexdigest() for i, x in rows[1:])
+    assert {i for i, r in got.items() if r.payload_bytes is None} == {1, 2, 3, 4, 5, 9}
 
 
 def test_companding_and_adpcm_tables():
@@ -431,12 +479,13 @@ def test_companding_and_adpcm_tables():
         assert got.tolist() == expected
 
 
-def test_stored_pcm(spark):
-    media = audio.store_texts(frame(spark, [(1, "abc" * 300)]))
-    tag, rate, samples = audio.read_wav(audio.to_pcm_wav(media).first().pcm)
+@pytest.mark.parametrize(("tag", "table"), [(audio.MULAW, audio.mulaw_table), (audio.ALAW, audio.alaw_table)])
+def test_stored_pcm(spark, tag, table):
+    row = audio.store(frame(spark, [(1, "abc" * 300)]), tag).first()
+    form, rate, samples = audio.read_wav(row.pcm)
     pcm = np.frombuffer(samples, "<i2")
-    assert (tag, rate, len(pcm)) == (audio.PCM, 16000, 2 * 1152)
-    assert pcm[::2].tolist() == audio.mulaw_table()[np.frombuffer(audio.read_wav(media.first().media)[2], np.uint8)].tolist()
+    assert (form, rate, len(pcm)) == (audio.PCM, 16000, 2 * 1152)
+    assert pcm[::2].tolist() == table()[np.frombuffer(audio.read_wav(row.media)[2], np.uint8)].tolist()
 
 
 # Secrets
@@ -631,6 +680,35 @@ def test_added_tokens_equal_the_reference_tokenizer(spark):
         assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids + [2], text
 
 
+def test_both_encoders_give_the_same_ids(monkeypatch):
+    """Cuts of any length, by the encoder for short ones and by the one for long ones."""
+    import pyarrow as pa
+
+    from quillstrata.llm import tokens
+    from quillstrata.llm.arrowtext import utf8
+
+    rng = random.Random(31)
+    texts = ["".join(rng.choices("abe \n\t\u00e9\u6f22\U0001f600!'s0 1" + "x" * 4, k=rng.randint(0, 60))) for _ in range(1500)] + ["q" * 5000, sentence(rng, 3000).replace(" ", "")]
+    both = []
+    for longest in (0, 1 << 30):
+        monkeypatch.setattr(tokens, "LONG", longest)
+        both.append(tokens.encode(*utf8(pa.array(texts)), "byte_bpe_50k"))
+    assert both[0][0].tolist() == both[1][0].tolist() and both[0][1].tolist() == both[1][1].tolist()
+
+
+def test_exchange_goes_on_while_it_saves(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 20)
+    rng = random.Random(32)
+    pieces = spark.createDataFrame([(k, rng.choice((300, 340, 350, 400, 513, 600))) for k in range(400)], "doc_id long, length long")
+    packed = packing.pack(pieces, 1024).collect()
+    bins = collections.defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        assert [a for a, _ in sorted(held)] == list(itertools.accumulate([0, *(n for _, n in sorted(held))]))[:-1] and sum(n for _, n in held) <= 1024
+    assert len(packed) == 400 and len(bins) <= packing.bin_bound(np.array([r.length for r in packed]), 1024) * 1.04
+
+
 def test_assembled_sequences(spark, odd_docs):
     packed = packing.pack(packing.tokenize(odd_docs, keep_ids=True))
     whole = packing.assemble(packed).collect()
@@ -671,7 +749,7 @@ def test_contamination_equals_brute_force(spark, odd, none, monkeypatch):
     def tokens(t):
         return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").translate(LOWER))
 
-    prepared = [(-1 if i is None else i, tokens(t)) for i, t in items if tokens(t)]
+    prepared = [(i, tokens(t)) for i, t in items if tokens(t)]
     grams = {i: [tuple(w[p : p + min(5, len(w))]) for p in range(len(w) - min(5, len(w)) + 1)] for i, w in prepared}
     expected = {}
     for d, t in rows:
@@ -730,6 +808,25 @@ def test_documents_shorter_than_an_item_equal_brute_force(spark):
     assert left == {d for d, _ in rows} - {d for d, _ in expected}
 
 
+def test_a_text_of_thousands_of_items_needs_bounded_memory():
+    """Items of one length, all in one text: every pair of a window and an item is looked up, few are verified."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillstrata.llm.arrowtext import utf8
+
+    rng = random.Random(41)
+    texts = [sentence(rng, 40) for _ in range(1500)]
+    items = decontaminate.prepare(list(range(1500)), texts)
+    words = decontaminate.tokens(*utf8(pa.array([" ".join(f"{t} {sentence(rng, 3)}" for t in texts)])))
+    tracemalloc.start()
+    found = decontaminate.search(*words, items)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert [(k, s, first) for _, k, s, first, _ in found] == [(k, 1.0, 43 * k) for k in range(1500)]
+
+
 # URLs
 
 
@@ -748,5 +845,7 @@ def test_urls_equal_brute_force(spark):
     got = collections.Counter(map(tuple, url_filter.judge_urls(df, registry.URL_RULES).collect()))
     expected = collections.Counter((k, *judge(u)) for k, u in [*enumerate(urls), (3, "http://"), (None, "x://a.com/fr/")])
     assert got == expected
+    table = spark.createDataFrame(registry.URL_RULES, "host string, path string, verdict string")
+    assert collections.Counter(map(tuple, url_filter.judge_urls(df, table).collect())) == expected
     assert url_filter.judge_urls(df.limit(0), registry.URL_RULES).count() == 0
     assert {r.verdict for r in url_filter.judge_urls(df, []).collect()} == {"allow"}
