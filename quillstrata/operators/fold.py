@@ -76,6 +76,8 @@ def _named(pairs: Iterable[tuple[str, str]]) -> None:
         _demand(value != "", "empty_required_identity", context=context)
 
 
+# The second members of what the functions below yield, and the texts in ``_PLAIN``, are the
+# contexts that violation records carry.
 def _region_names(region: Record) -> Iterator[tuple[str, str]]:
     yield region["region_id"], "region_id"
     if region.get("supersedes_region_id") is not None:
@@ -610,6 +612,27 @@ def replay_threads(log: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     return log.select("thread_id", "ordinal", "sequence", "prior_state_version", "contribution").groupBy("thread_id").applyInArrow(run, REPLAYED)
 
 
+def restart_threads(log: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
+    """Fold every thread one contribution at a time, each time from the state and log as JSON.
+
+    Returns (thread_id, version, same): whether the last state equals the replay of
+    the whole log. A thread that breaks a rule has neither.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("ordinal").to_pylist()
+        state, kept = None, {"thread_id": rows[0]["thread_id"], "entries": []}
+        try:
+            for row in rows:
+                state, kept = json.loads(json.dumps(fold(state, kept, json.loads(row["contribution"]), limits)))
+            out = {"thread_id": kept["thread_id"], "version": state["version"], "same": state == replay(kept, limits)}
+        except Violation:
+            out = {"thread_id": kept["thread_id"], "version": None, "same": None}
+        return pa.Table.from_pylist([out], schema=pa.schema([("thread_id", pa.string()), ("version", pa.int64()), ("same", pa.bool_())]))
+
+    return log.select("thread_id", "ordinal", "contribution").groupBy("thread_id").applyInArrow(run, "thread_id string, version long, same boolean")
+
+
 def limits_record(limits: Limits) -> Record:
     """Return limits as a plain record."""
     return asdict(limits)
