@@ -113,13 +113,16 @@ def packet(units: DataFrame, order: list, overall: int, per_object: int, plan: s
     """Keep units in rank order within bounds; the rest stays with the reason why it is out.
 
     Bounds count and rank only; meaning never removes a unit. ``units`` has plan,
-    object_id and unit_id.
+    object_id and unit_id; kept units get a rank, which is cut before the shuffle, so
+    that no task ranks all units of a plan.
     """
     in_object = F.row_number().over(Window.partitionBy(plan, "object_id").orderBy(*order))
-    ranked = units.withColumn("object_rank", in_object.cast("long")).withColumn("within", F.col("object_rank") <= per_object)
-    rank = F.row_number().over(Window.partitionBy(plan, "within").orderBy(*order)).cast("long")
-    reason = F.when(~F.col("within"), "object_bound").when(F.col("rank") > overall, "packet_bound")
-    return ranked.withColumn("rank", rank).withColumn("removed_reason", reason).drop("within")
+    ranked = units.withColumn("object_rank", in_object.cast("long"))
+    rank = F.row_number().over(Window.partitionBy(plan).orderBy(*order))
+    kept = ranked.where(F.col("object_rank") <= per_object).withColumn("rank", rank).where(F.col("rank") <= overall)
+    joined = ranked.join(kept.select(plan, "object_id", "unit_id", F.col("rank").cast("long").alias("rank")), [plan, "object_id", "unit_id"], "left")
+    reason = F.when(F.col("object_rank") > per_object, "object_bound").when(F.col("rank").isNull(), "packet_bound")
+    return joined.withColumn("removed_reason", reason)
 
 
 def synthesis_input(turns: DataFrame, versions: DataFrame | None = None, plans: DataFrame | None = None, operations: DataFrame | None = None) -> DataFrame:

@@ -125,7 +125,7 @@ def returned_units(spark, sf_dir):
     return Q.returned_units(rows.select(F.col("o_orderpriority").alias("plan_id"), F.col("l_partkey").cast("string").alias("unit_id"), F.col("l_returnflag").alias("operation_id"), F.col("l_linestatus").alias("surface_id")))
 
 
-@register("packet_bounded", """SELECT plan_id, object_id, unit_id, object_rank, rank, CASE WHEN NOT within THEN 'object_bound' WHEN rank > 50 THEN 'packet_bound' END AS removed_reason FROM (
+@register("packet_bounded", """SELECT plan_id, object_id, unit_id, object_rank, CASE WHEN within AND rank <= 50 THEN rank END AS rank, CASE WHEN NOT within THEN 'object_bound' WHEN rank > 50 THEN 'packet_bound' END AS removed_reason FROM (
   SELECT *, row_number() OVER (PARTITION BY plan_id, within ORDER BY unit_id) AS rank FROM (SELECT *, object_rank <= 2 AS within FROM (
     SELECT event_type AS plan_id, user_id AS object_id, event_id AS unit_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS object_rank FROM events)))""")
 def packet_bounded(spark, sf_dir):

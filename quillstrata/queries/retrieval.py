@@ -121,7 +121,7 @@ def parent_walk(spark, sf_dir):
 
 def _exact(spark, sf_dir):
     documents, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
-    return R.exact(documents.select("doc_id", "text"), items.select("item_id", F.col("text").alias("literal")), "text", "literal").select("item_id", "doc_id")
+    return R.exact(documents, items, "doc_id", "item_id", "text", "text")
 
 
 _EXACT = "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
@@ -150,7 +150,7 @@ def scoped_search(spark, sf_dir):
     """Literal search in documents labelled good."""
     documents, labels, items = (read_table(spark, sf_dir, t) for t in ("documents", "labels", "benchmark"))
     scoped = R.scope(documents.select("doc_id", "text"), labels.where("quality = 1"), "doc_id")
-    return R.exact(scoped, items.select("item_id", F.col("text").alias("literal")), "text", "literal").select("item_id", "doc_id")
+    return R.exact(scoped, items, "doc_id", "item_id", "text", "text")
 
 
 _TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
@@ -163,7 +163,7 @@ def term_search(spark, sf_dir):
     """The documents with most terms of each benchmark text, up to the surface's cap."""
     documents, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     probes = items.select("item_id", R.terms(F.col("text")).alias("terms"))
-    return R.top(R.term_matches(documents, probes, "doc_id", "item_id", "text"), "item_id", [F.desc("matched"), "doc_id"], TERM_CAP, "position")
+    return R.best_terms(documents, probes, "doc_id", "item_id", "text", TERM_CAP)
 
 
 @register("nearest_neighbours", f"""SELECT probe_id, record_id, position FROM (SELECT p.vec_id AS probe_id, r.vec_id AS record_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_sum(list_transform(list_zip(p.embedding, r.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) DESC, r.vec_id) AS position
