@@ -86,13 +86,13 @@ class Scratch:
             target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def durable_table(df: DataFrame) -> DataFrame:
+def durable_table(df: DataFrame, level: int = 3) -> DataFrame:
     """Write a wide table once to the shared folder and return its reader.
 
     Unlike a checkpoint, later reads of the columnar copy fetch only the columns
-    they need.
+    they need. ``level`` is that of the compression.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
