@@ -1,14 +1,15 @@
-"""Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV files.
+"""Telephony audio columns: mu-law, A-law and IMA ADPCM sound, stored as resampled PCM.
 
 Samples expand by lookup tables; ADPCM blocks decode one nibble position at a
-time across all blocks of a batch; sounds are resampled to twice the rate and stored
-as 16-bit PCM beside the telephony files.
+time across all blocks of a batch. What is stored is 16-bit PCM at twice the rate.
+A-law bytes and their PCM values correspond one to one, so the telephony payload is
+read back from every second stored sample.
 
 Defined results: a null or empty text is one frame of padding; equal texts give
 equal values, whatever rows surround them, since all features are sums of
 integers; a payload that is no multiple of an ADPCM block is padded with bytes 255
-for that decoder; media that are null, no WAV file, without samples, or of a format that is neither
-mu-law nor A-law have null PCM, and null features with their size and digest; repeated
+for that decoder; media that are null, no WAV file, without samples, of another format, or
+PCM that does not come from A-law have null payloads and features, with their size and digest; repeated
 rows and repeated or null ids are kept; ids of a type other than integers raise
 ``TypeError``; other columns are ignored.
 """
@@ -118,7 +119,7 @@ def read_wav(stored: bytes | None) -> tuple[int, int, bytes] | None:
     return None
 
 
-def store_texts(df: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_texts(df: DataFrame, tag: int = ALAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (doc_id, n_bytes, media): each text's bytes as 8-bit samples of a WAV file."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -148,20 +149,47 @@ def _sums(pcm: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [np.maximum.reduceat(size, starts), np.add.reduceat(wide.astype(np.int64) ** 2, starts), np.add.reduceat(flips, starts)]
 
 
-def with_pcm(media: DataFrame) -> DataFrame:
-    """Add ``pcm`` to (doc_id, n_bytes, media): the sound as 16-bit WAV at twice the rate."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("pcm", pa.binary())])
+def _expand(tag: int, samples: bytes) -> np.ndarray | None:
+    """PCM of telephony samples; None if the format is not mu-law or A-law."""
+    table = {ALAW: alaw_table, MULAW: mulaw_table}.get(tag)
+    return table and table()[np.frombuffer(samples, np.uint8)]
+
+
+def to_pcm(media: DataFrame) -> DataFrame:
+    """Turn (doc_id, n_bytes, media) of telephony files into 16-bit WAV files at twice the rate; others become null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = []
             for stored in batch.column(2):
                 tag, rate, samples = read_wav(stored.as_py()) or (0, 0, b"")
-                table = {ALAW: alaw_table, MULAW: mulaw_table}.get(tag)
-                files.append(table and wav(resample_double(table()[np.frombuffer(samples, np.uint8)]).tobytes(), PCM, 2 * rate, 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.binary())], schema=schema)
+                pcm = _expand(tag, samples)
+                files.append(None if pcm is None else wav(resample_double(pcm).tobytes(), PCM, 2 * rate, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(files, pa.binary())], schema=schema)
+
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary")
 
-    return map_batches(media.select("doc_id", "n_bytes", "media"), run, "doc_id long, n_bytes long, media binary, pcm binary")
+
+@functools.cache
+def _alaw_back() -> np.ndarray:
+    """A-law byte of every 16-bit value (by its unsigned bits), or -1."""
+    back = np.full(1 << 16, -1, np.int16)
+    back[alaw_table().view(np.uint16)] = np.arange(256)
+    return back
+
+
+def payload_of(stored: bytes | None) -> tuple[bytes, bytes] | None:
+    """Return (telephony payload, PCM samples at twice the rate) of a stored file, or None."""
+    tag, _, samples = read_wav(stored) or (0, 0, b"")
+    pcm = _expand(tag, samples)
+    if pcm is not None:
+        return samples, resample_double(pcm).tobytes()
+    if tag != PCM or len(samples) % 4:
+        return None
+    wide = np.frombuffer(samples, "<i2")
+    back = _alaw_back()[wide[::2].view(np.uint16)]
+    return (back.astype(np.uint8).tobytes(), samples) if (back >= 0).all() and np.array_equal(resample_double(wide[::2]), wide) else None
 
 
 def _describe(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
@@ -179,16 +207,16 @@ def _describe(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
         peak, square, flips = _sums(sound, at)
         root = np.sqrt(square // n).astype(np.int64)
         texts.append([f"{name}={p}:{r}:{f}" for p, r, f in zip(peak.tolist(), root.tolist(), flips.tolist(), strict=True)])
-    wide = [zlib.crc32(read_wav(x)[2]) for x in pcm]
+    wide = [zlib.crc32(x) for x in pcm]
     return [";".join((*x, f"pcm16k={w:08x}")) for *x, w in zip(*texts, wide, strict=True)]
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored files (doc_id, n_bytes, media, pcm) back and describe them.
+    """Read stored files (doc_id, n_bytes, media) back and describe them.
 
-    Per file: digests of payload and file, and for the payload as mu-law, A-law
-    and ADPCM the peak, root mean square and sign changes, and the checksum of
-    the stored PCM.
+    Per file: digests of the telephony payload and of the file, and for the payload as
+    mu-law, A-law and ADPCM the peak, root mean square and sign changes, and the checksum
+    of the PCM at twice the rate.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = ["long", "long", "long", "string", "long", "long", "string", "string"]
@@ -199,12 +227,12 @@ def media_features(media: DataFrame) -> DataFrame:
             sizes = np.append(0, np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(2)]))
             for i, j in doc_blocks(sizes, BATCH):
                 part = batch.slice(i, j - i)
-                stored, pcm = part.column(2).to_pylist(), part.column(3).to_pylist()
-                read = [x and read_wav(x) for x in stored]
-                good = [k for k, x in enumerate(read) if x and pcm[k] is not None]
-                payload = [x[2] if x else None for x in read]
+                stored = part.column(2).to_pylist()
+                read = [payload_of(x) for x in stored]
+                good = [k for k, x in enumerate(read) if x]
+                payload = [x[0] if x else None for x in read]
                 feature: list[str | None] = [None] * len(stored)
-                for k, text in zip(good, _describe([payload[k] for k in good], [pcm[k] for k in good]) if good else (), strict=True):
+                for k, text in zip(good, _describe(*zip(*(read[k] for k in good), strict=True)) if good else (), strict=True):
                     feature[k] = text
                 rows = [
                     part.column(0),
@@ -218,9 +246,9 @@ def media_features(media: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(rows, schema.types, strict=True)], schema=schema)
 
-    return map_batches(media.select("doc_id", "n_bytes", "media", "pcm"), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def store(df: DataFrame, tag: int = MULAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write each text as a telephony file and its resampled PCM to the shared folder; return the table's reader."""
-    return durable_table(with_pcm(store_texts(df, tag, id_col, text_col)))
+def store(df: DataFrame, tag: int = ALAW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write each text's telephony sound as resampled PCM to the shared folder; return the table's reader."""
+    return durable_table(to_pcm(store_texts(df, tag, id_col, text_col)), level=6)

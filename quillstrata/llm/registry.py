@@ -60,7 +60,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts stored as mu-law WAV files and resampled PCM, read back and described."""
+    """Texts as A-law sound, stored as resampled PCM, read back and described."""
     return audio.media_features(audio.store(read_table(spark, sf_dir, "documents")))
 
 

@@ -400,7 +400,7 @@ def test_quality_of_odd_rows(spark, odd_docs, none):
 # Audio
 
 
-def plain_feature(payload):
+def plain_feature(payload, tag=audio.ALAW):
     """The feature string, one sample at a time."""
 
     def line(name, pcm):
@@ -431,10 +431,11 @@ def plain_feature(payload):
                 value = max(-32768, min(32767, value + (-move if nibble & 8 else move)))
                 index = max(0, min(88, index + int(audio.MOVES[nibble & 7])))
                 adpcm.append(value)
-    pcm = [mulaw(u) for u in payload]
-    wide = [y for x, z in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for y in (x, (x + z) >> 1)]
+    pcm, heard = [mulaw(u) for u in payload], [alaw(a) for a in payload]
+    sound = heard if tag == audio.ALAW else pcm
+    wide = [y for x, z in zip(sound, [*sound[1:], sound[-1]], strict=True) for y in (x, (x + z) >> 1)]
     raw = b"".join(x.to_bytes(2, "little", signed=True) for x in wide)
-    return ";".join([line("mulaw", pcm), line("alaw", [alaw(a) for a in payload]), line("adpcm", adpcm), f"pcm16k={zlib.crc32(raw):08x}"])
+    return ";".join([line("mulaw", pcm), line("alaw", heard), line("adpcm", adpcm), f"pcm16k={zlib.crc32(raw):08x}"])
 
 
 def test_audio_round_trip(spark, odd, odd_docs, none):
@@ -451,13 +452,14 @@ def test_audio_round_trip(spark, odd, odd_docs, none):
 
 def test_media_that_are_no_telephony_files(spark):
     odd_size = bytes(range(200)) + b"x" * 101
-    rows = [(1, None), (2, b""), (3, b"RIFF"), (4, b"no wav at all, but long enough"), (5, audio.wav(b"", audio.MULAW, 8000)), (6, audio.wav(odd_size, audio.MULAW, 8000)), (7, audio.wav(odd_size, audio.PCM, 8000)), (8, audio.wav(odd_size, audio.ALAW, 8000)), (9, audio.wav(odd_size, audio.MULAW, 8000)[:-40])]
-    table = audio.with_pcm(spark.createDataFrame([(i, 0, x) for i, x in rows], "doc_id long, n_bytes long, media binary"))
+    pcm = audio.wav(audio.resample_double(audio.alaw_table()[np.frombuffer(odd_size, np.uint8)]).tobytes(), audio.PCM, 16000, 2)
+    rows = [(1, None), (2, b""), (3, b"RIFF"), (4, b"no wav at all, but long enough"), (5, audio.wav(b"", audio.MULAW, 8000)), (6, audio.wav(odd_size, audio.MULAW, 8000)), (7, audio.wav(odd_size, audio.PCM, 8000)), (8, audio.wav(odd_size, audio.ALAW, 8000)), (9, pcm[:-40]), (10, pcm), (11, pcm[:-2] + b"\x01\x00")]
+    table = spark.createDataFrame([(i, 0, x) for i, x in rows], "doc_id long, n_bytes long, media binary")
     got = {r.doc_id: r for r in audio.media_features(table).collect()}
-    assert {i for i, r in got.items() if r.feature is not None} == {6, 8}
-    assert got[6].feature == plain_feature(odd_size)
+    assert {i for i, r in got.items() if r.feature is not None} == {6, 8, 10} == {i for i, r in got.items() if r.payload_bytes is not None}
+    assert got[6].feature == plain_feature(odd_size, audio.MULAW) and got[8].feature == got[10].feature == plain_feature(odd_size)
     assert got[1].media_bytes is None and all(got[i].media_sha256 == hashlib.sha256(x).hexdigest() for i, x in rows[1:])
-    assert {i for i, r in got.items() if r.payload_bytes is None} == {1, 2, 3, 4, 5, 9}
+    assert {r.doc_id: r.media for r in audio.to_pcm(table).collect()} == {6: audio.wav(audio.resample_double(audio.mulaw_table()[np.frombuffer(odd_size, np.uint8)]).tobytes(), audio.PCM, 16000, 2), 8: pcm} | dict.fromkeys({1, 2, 3, 4, 5, 7, 9, 10, 11})
 
 
 def test_companding_and_adpcm_tables():
@@ -481,11 +483,11 @@ def test_companding_and_adpcm_tables():
 
 @pytest.mark.parametrize(("tag", "table"), [(audio.MULAW, audio.mulaw_table), (audio.ALAW, audio.alaw_table)])
 def test_stored_pcm(spark, tag, table):
-    row = audio.store(frame(spark, [(1, "abc" * 300)]), tag).first()
-    form, rate, samples = audio.read_wav(row.pcm)
+    docs = frame(spark, [(1, "abc" * 300)])
+    form, rate, samples = audio.read_wav(audio.store(docs, tag).first().media)
     pcm = np.frombuffer(samples, "<i2")
     assert (form, rate, len(pcm)) == (audio.PCM, 16000, 2 * 1152)
-    assert pcm[::2].tolist() == table()[np.frombuffer(audio.read_wav(row.media)[2], np.uint8)].tolist()
+    assert pcm[::2].tolist() == table()[np.frombuffer(audio.read_wav(audio.store_texts(docs, tag).first().media)[2], np.uint8)].tolist()
 
 
 # Secrets
