@@ -195,6 +195,31 @@ class Space:
         self.first_turn = self.last_turn = None
         self.seen: dict[str, set[str]] = {"contribution": set(), "source_turn": set(), "source_utterance": set()}
 
+    def copy(self) -> Space:
+        """Return a space that can change without changing this one; only lists and records that change are new."""
+        new = copy.copy(self)
+        for table in ("regions", "relations", "constraints", "tensions"):
+            setattr(new, table, {k: {f: x[:] if isinstance(x, list) else x for f, x in r.items()} for k, r in getattr(self, table).items()})
+        new.history = self.history[:]
+        new.seen = {kind: set(ids) for kind, ids in self.seen.items()}
+        return new
+
+    def save(self) -> Record:
+        """Return all that ``restore`` needs to go on from here."""
+        return {"state": self.record(), "seen": {kind: sorted(ids) for kind, ids in self.seen.items()}}
+
+    @classmethod
+    def restore(cls, saved: Record) -> Space:
+        """Return the space that was saved, without folding its log again."""
+        state = saved["state"]
+        space = cls(state["thread_id"])
+        for table, listed, key in (("regions", "regions", "region_id"), ("relations", "relations", "relation_id"), ("constraints", "constraints", "constraint_id"), ("tensions", "open_tensions", "tension_id")):
+            setattr(space, table, {r[key]: r for r in state[listed]})
+        space.history = state["contribution_history"]
+        space.first_turn, space.last_turn = state["source_turn_range"]["first_turn_id"], state["source_turn_range"]["last_turn_id"]
+        space.seen = {kind: set(ids) for kind, ids in saved["seen"].items()}
+        return space
+
     # Lookups
 
     def _find(self, kind: str, identity: str) -> Record:
@@ -493,7 +518,7 @@ class Space:
         for kind, seen in self.seen.items():
             _demand(c[f"{kind}_id"] not in seen, "duplicate_accepted_identity", kind=kind, identity=c[f"{kind}_id"])
         _demand(sum(len(c[x]) for x in LISTS) <= limits.declarations, "contribution_declaration_count_excess")
-        after = copy.deepcopy(self)
+        after = self.copy()
         after.cid, after.turn = c["contribution_id"], c["source_turn_id"]
         after.before = {k: r["persistence_state"] for k, r in self.regions.items()}
         after.first_turn, after.last_turn = self.first_turn or after.turn, after.turn

@@ -1,8 +1,9 @@
 """Live threads: contributions folded as they arrive, with keyed state.
 
-Each thread's accepted log is its state. A contribution that the fold accepts
-extends the log; one that breaks a rule, or arrives out of sequence, is answered
-with its violation and changes nothing. There is no event time in the log, so
+A thread's state is what its accepted log folds to, and the identities it has seen, so
+that no log is kept or folded again. A contribution that the fold accepts changes the
+state; one that breaks a rule, or arrives out of sequence, is answered with its violation
+and changes nothing. There is no event time in the log, so
 there is no watermark: order within a thread is given by sequence numbers, and
 late or repeated entries are rejected, never dropped in silence.
 """
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillstrata.operators import fold
 
 ANSWERS = "thread_id string, sequence long, accepted boolean, version long, code string"
-_STATE = "log string"
+_STATE = "saved string"
 
 
 def answer_contributions(stream: DataFrame, limits: fold.Limits = fold.UNLIMITED) -> DataFrame:
@@ -27,24 +28,19 @@ def answer_contributions(stream: DataFrame, limits: fold.Limits = fold.UNLIMITED
 
     def advance(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         thread = key[0]
-        entries = json.loads(state.get[0]) if state.exists else []
-        space = fold.Space(thread)
-        for entry in entries:
-            space = space.accept(entry, fold.UNLIMITED)
+        space = fold.Space.restore(json.loads(state.get[0])) if state.exists else fold.Space(thread)
         arrived = pd.concat(list(frames)).sort_values("sequence", kind="stable")
         answers = []
         for sequence, text in zip(arrived.sequence.tolist(), arrived.contribution.tolist(), strict=True):
             code = None
             try:
-                if sequence != len(entries) + 1:
-                    raise fold.Violation("accepted_entry_sequence_mismatch", index=len(entries))
-                contribution = json.loads(text)
-                space = space.accept(contribution, limits)
-                entries.append(contribution)
+                if sequence != len(space.history) + 1:
+                    raise fold.Violation("accepted_entry_sequence_mismatch", index=len(space.history))
+                space = space.accept(json.loads(text), limits)
             except fold.Violation as broken:
                 code = broken.record["code"]
-            answers.append((thread, sequence, code is None, len(entries), code))
-        state.update((json.dumps(entries),))
+            answers.append((thread, sequence, code is None, len(space.history), code))
+        state.update((json.dumps(space.save()),))
         yield pd.DataFrame(answers, columns=["thread_id", "sequence", "accepted", "version", "code"])
 
     keyed = stream.select("thread_id", "sequence", "contribution").groupBy("thread_id")
