@@ -7,6 +7,7 @@ order within a group, and turns in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -57,13 +58,21 @@ def dispatch(seeds: DataFrame, surfaces: DataFrame) -> DataFrame:
     return probes.select("turn_id", "seed_ord", "surface_id", "mode", F.concat(F.lit("activation-probe:"), rank).alias("probe_id"))
 
 
-def cap(candidates: DataFrame, probe: list[str], order: list, limit: Column | int, rank: str = "position") -> DataFrame:
-    """Keep the first candidates of each probe, with how many there were and whether any were cut."""
-    window = Window.partitionBy(*probe)
+def cap(candidates: DataFrame, probe: list[str], order: list, limit: Column | int, rank: str = "position", most: int | None = None) -> DataFrame:
+    """Keep the first candidates of each probe, with how many there were and whether any were cut.
+
+    Candidates are counted by a combining aggregate, and ranks beyond the limit are cut
+    before the shuffle; where the limit is a column, ``most`` names the greatest it can be.
+    """
+    observed = candidates.groupBy(*probe).agg(F.count("*").alias("observed"))
+    position = F.row_number().over(Window.partitionBy(*probe).orderBy(*order))
+    ranked = candidates.withColumn(rank, position)
+    if most is not None or isinstance(limit, int):
+        ranked = ranked.where(F.col(rank) <= (limit if most is None else most))
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    ranked = candidates.withColumn(rank, F.row_number().over(window.orderBy(*order)).cast("long")).withColumn("observed", F.count("*").over(window))
     state = F.when(F.col("observed") > limit, "bounded").otherwise("complete")
-    return ranked.where(F.col(rank) <= limit).withColumn("truncation", state)
+    kept = ranked.where(F.col(rank) <= limit).withColumn(rank, F.col(rank).cast("long"))
+    return kept.join(observed, probe).withColumn("truncation", state)
 
 
 def preview(text: Column, limit: int) -> Column:
@@ -116,16 +125,41 @@ def degrees(records: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return records.join(counted, key, "left").select(key, F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+#: Direct counts of an object, by the transition that they count.
+COUNTED = {"object-region": "contained_regions", "object-unit": "contained_units", "object-occurrence-outgoing": "outgoing", "object-occurrence-incoming": "incoming", "temporal-anchor": "anchors", "identifier": "identifiers"}
+
+
+def direct_counts(objects: DataFrame, edges: DataFrame, key: str = "object_id") -> DataFrame:
+    """Contained, outgoing, incoming and dated records of every object, zeros included."""
+    counts = [F.count(F.when(F.col("transition_id") == t, 1)).alias(name) for t, name in COUNTED.items()]
+    counted = edges.where(F.col("transition_id").isin(*COUNTED)).groupBy(F.col("source_id").alias(key)).agg(*counts)
+    joined = objects.select(key).join(counted, key, "left")
+    return joined.select(key, *(F.coalesce(name, F.lit(0)).alias(name) for name in COUNTED.values()))
+
+
+def hub_counts(edges: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Return (origin, transition_id, direction, class_name, links) of origins with more than ``least`` edges.
+
+    ``edges`` has origin, transition_id, direction and other_id, ``classes`` (other_id,
+    class_name): what a hub shows instead of its neighbours.
+    """
+    hubs = edges.groupBy("origin").count().where(F.col("count") > least).select("origin")
+    typed = edges.join(hubs, "origin", "left_semi").join(classes, "other_id", "left")
+    return typed.groupBy("origin", "transition_id", "direction", "class_name").agg(F.count("*").alias("links"))
+
+
 def page(rows: DataFrame, origin: str, order: list, offset: int, limit: int) -> DataFrame:
     """One page of each origin's rows, with the next offset and how many remain.
 
-    A limit of 0 gives no page; next_offset is null on the last one.
+    A limit of 0 gives no page; next_offset is null on the last one. Rows are counted by a
+    combining aggregate, and ranks beyond the page are cut before the shuffle.
     """
-    window = Window.partitionBy(origin)
-    ranked = rows.withColumn("position", F.row_number().over(window.orderBy(*order)).cast("long") - 1).withColumn("total", F.count("*").over(window))
     end = offset + limit
+    total = rows.groupBy(origin).agg(F.count("*").alias("total"))
+    position = F.row_number().over(Window.partitionBy(origin).orderBy(*order))
+    shown = rows.withColumn("position", position).where(F.col("position") <= end).where(F.col("position") > offset)
     remaining = F.greatest(F.col("total") - end, F.lit(0))
-    shown = ranked.where((F.col("position") >= offset) & (F.col("position") < end))
+    shown = shown.withColumn("position", F.col("position").cast("long") - 1).join(total, origin)
     return shown.withColumn("remaining", remaining).withColumn("next_offset", F.when(remaining > 0, F.lit(end).cast("long"))).drop("total")
 
 
@@ -140,14 +174,16 @@ def continue_page(rows: DataFrame, handle: dict, snapshot_id: str) -> DataFrame:
 
 
 def filter_of(name: str, value: object) -> Column:
-    """Predicate of a continuation filter."""
+    """Predicate of a continuation filter; an identifier is a pair of its name and value."""
+    if name == "identifier":
+        return (F.col("identifier_name") == value[0]) & (F.col("value") == value[1])
     if name == "path_prefix":
         return F.col("path").startswith(value)
     if name == "temporal_range":
         start, end = value
         lower = F.lit(True) if start is None else F.col("anchor") >= start
         return lower if end is None else lower & (F.col("anchor") <= end)
-    if name in ("transition_id", "object_class", "identifier"):
+    if name in ("transition_id", "direction", "object_class", "surface_id"):
         return F.col(name) == value
     raise KeyError(f"continuation filter {name} is not supported")
 
@@ -186,10 +222,43 @@ def expand(view: DataFrame, found: DataFrame, budget: int) -> DataFrame:
     order; state says whether the budget cut any.
     """
     new = found.join(view.select("turn_id", "id"), ["turn_id", "id"], "left_anti").groupBy("turn_id", "id").agg(F.min("ord").alias("ord"))
-    window = Window.partitionBy("turn_id")
-    ranked = new.withColumn("rank", F.row_number().over(window.orderBy("ord", "id"))).withColumn("total", F.count("*").over(window))
-    state = F.when(F.col("total") > budget, "budget_exhausted").otherwise("complete")
-    return view.select("turn_id", "id", "ord", F.lit("complete").alias("state")).unionByName(ranked.where(F.col("rank") <= budget).select("turn_id", "id", "ord", state.alias("state")))
+    kept = cap(new, ["turn_id"], ["ord", "id"], budget, "rank")
+    state = F.when(F.col("observed") > budget, "budget_exhausted").otherwise("complete")
+    return view.select("turn_id", "id", "ord", F.lit("complete").alias("state")).unionByName(kept.select("turn_id", "id", "ord", state.alias("state")))
+
+
+#: Expansions that follow transitions: (transition, direction) of each.
+EXPANSIONS = {
+    "incoming_occurrences": (("object-occurrence-incoming", "incoming"), ("region-occurrence-incoming", "incoming"), ("unit-occurrence-incoming", "incoming")),
+    "outgoing_occurrences": (("object-occurrence-outgoing", "outgoing"), ("unit-occurrence-outgoing", "outgoing")),
+    "contained": (("object-region", "outgoing"), ("object-unit", "outgoing"), ("region-unit", "outgoing")),
+    "identifier_assignments": (("identifier", "outgoing"),),
+    "graph_neighbours": (("occurrence-object-target", "outgoing"), ("occurrence-region-target", "outgoing"), ("occurrence-unit-target", "outgoing"), ("occurrence-object-source", "incoming"), ("occurrence-unit-source", "incoming")),
+    "temporal_incidence": (("temporal-anchor", "outgoing"),),
+}
+#: Expansions that search a surface, and the one that continues a page.
+SEARCHES, CONTINUATION = ("exact_matches", "lexical_candidates", "vector_candidates"), "continued_page"
+
+
+def expansion(kind: str, request: DataFrame, edges: DataFrame | None = None, search: Callable[[DataFrame], DataFrame] | None = None, offset: int = 0, limit: int = 0) -> DataFrame:
+    """Return (turn_id, id, ord) that a typed request finds, for ``expand`` to add.
+
+    ``request`` has turn_id, kind, id and ord. Transitions are followed in ``edges``; ``search``
+    gives (turn_id, id, position) of a surface; a continued page is the edges of each
+    requested record from ``offset`` on. An unknown kind is an error.
+    """
+    if kind in SEARCHES:
+        return search(request).select("turn_id", "id", F.col("position").cast("long").alias("ord"))
+    if kind != CONTINUATION and kind not in EXPANSIONS:
+        raise KeyError(f"expansion {kind} is not supported")
+    allowed = [pair for pairs in EXPANSIONS.values() for pair in pairs] if kind == CONTINUATION else EXPANSIONS[kind]
+    fits = reduce(lambda a, b: a | b, ((F.col("transition_id") == t) & (F.col("direction") == d) for t, d in allowed))
+    origin = request.select("turn_id", F.col("kind").alias("source_kind"), F.col("id").alias("source_id"), F.col("ord").alias("asked"))
+    found = origin.join(edges.where(fits), ["source_kind", "source_id"])
+    if kind == CONTINUATION:
+        rows = found.select("turn_id", F.struct("turn_id", "source_id").alias("origin"), F.col("target_id").alias("id")).distinct()
+        return page(rows, "origin", ["id"], offset, limit).select("turn_id", "id", F.col("position").alias("ord"))
+    return found.groupBy("turn_id", F.col("target_id").alias("id")).agg(F.min("asked").alias("ord"))
 
 
 def with_default(rows: DataFrame, key: str) -> DataFrame:

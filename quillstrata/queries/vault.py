@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.catalogue import register
+from quillstrata.operators import activation as A
 from quillstrata.operators import projection as P
 from quillstrata.operators import structure as S
+from quillstrata.operators import surfaces as R
 from quillstrata.operators import traversal as T
 from quillstrata.operators import validation as V
 from quillstrata.plans import access as X
@@ -382,3 +384,73 @@ def returned_unit_payload(spark, sf_dir):
     linked = v.occurrences.where("source_unit_id is not null").select(F.col("source_unit_id").alias("unit_id"), F.lit("b.1").alias("operation_id"), F.lit(None).cast("string").alias("surface_id"))
     segments = P.transport_segments(v.units.select("object_id", "ordinal", "content"), 16)
     return Q.unit_payload(named.unionByName(linked), people, v.assignments, v.occurrences, v.anchors, segments)
+
+
+@register("direct_counts", f"""{_CTE} SELECT o.object_id, (SELECT count(*) FROM g WHERE g.object_id = o.object_id) AS contained_regions, (SELECT count(*) FROM u WHERE u.object_id = o.object_id) AS contained_units, (SELECT count(*) FROM x WHERE source_object_id = o.object_id) AS outgoing,
+  (SELECT count(*) FROM x WHERE target_kind = 'semantic_object' AND target_id = o.object_id) AS incoming, (SELECT count(*) FROM i WHERE i.object_id = o.object_id AND identifier_name = 'joined') AS anchors, (SELECT count(*) FROM i WHERE i.object_id = o.object_id) AS identifiers FROM o""")
+def direct_counts(spark, sf_dir):
+    """What hangs on every object, by kind."""
+    v = vault(spark, sf_dir)
+    return A.direct_counts(v.objects, S.transition_edges(v))
+
+
+@register("hub_type_counts", f"{_CTE} SELECT target_id AS origin, 'object-occurrence-incoming' AS transition_id, 'incoming' AS direction, 'customer' AS class_name, count(*) AS links FROM x WHERE target_kind = 'semantic_object' GROUP BY target_id HAVING count(*) > 5")
+def hub_type_counts(spark, sf_dir):
+    """Incoming links of nations that have many, by relation and class of the source."""
+    v = vault(spark, sf_dir)
+    edges = S.transition_edges(v).where("transition_id = 'object-occurrence-incoming'").join(v.occurrences.select(F.col("occurrence_id").alias("target_id"), F.col("source_object_id").alias("other_id")), "target_id")
+    classes = v.objects.select(F.col("object_id").alias("other_id"), "class_name")
+    return A.hub_counts(edges.select(F.col("source_id").alias("origin"), "transition_id", "direction", "other_id"), classes, 5)
+
+
+@register("filter_identifier", f"{_CTE} SELECT object_id, 'joined' AS identifier_name, value FROM i WHERE identifier_name = 'joined' AND value = '2020-01-02'")
+def filter_identifier(spark, sf_dir):
+    """Assignments of one identifier with one value."""
+    return vault(spark, sf_dir).assignments.where(A.filter_of("identifier", ("joined", "2020-01-02"))).select("object_id", "identifier_name", "value")
+
+
+@register("default_provenance", f"{_CTE} SELECT object_id, 'configured_default:bounded_structural_context' AS provenance FROM o WHERE class_name = 'nation'")
+def default_provenance(spark, sf_dir):
+    """Objects that a configured default brings into a view."""
+    return A.with_default(vault(spark, sf_dir).objects.where("class_name = 'nation'").select("object_id"), "bounded_structural_context")
+
+
+_HITS_OF = "SELECT c.home_id AS turn_id, u.object_id || '#' || u.address || '#' || u.ordinal::VARCHAR AS id, length(content) - length(replace(content, 'e', '')) AS score FROM u JOIN c ON c.id = u.object_id WHERE contains(content, 'e')"
+
+
+@register("expansion_kinds", f"""{_CTE},
+  s AS (SELECT turn_id, id, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, id) AS ord FROM ({_HITS_OF}))
+  SELECT 'incoming_occurrences' AS kind, target_id AS turn_id, occurrence_id AS id, 0 AS ord FROM x WHERE target_kind = 'semantic_object'
+  UNION ALL SELECT 'contained', id, id || '#' || unnest(['root', 'Facts', 'Facts#1']), 0 FROM n UNION ALL SELECT 'identifier_assignments', id, 'id:' || id || ':class', 0 FROM n
+  UNION ALL SELECT 'outgoing_occurrences', c.home_id, x.occurrence_id, 0 FROM x JOIN c ON c.id = x.source_object_id
+  UNION ALL SELECT 'temporal_incidence', c.home_id, 'anchor:joined:' || c.id, 0 FROM c WHERE k % 3 = 0
+  UNION ALL SELECT DISTINCT 'graph_neighbours', c.home_id, unnest(list_distinct(list_filter([x.target_id, x.source_object_id, x.source_unit_id], lambda y: y IS NOT NULL))), 0 FROM x JOIN c ON c.id = x.source_object_id WHERE x.source_unit_id IS NULL
+  UNION ALL SELECT kind, turn_id, id, ord FROM s, (VALUES ('exact_matches'), ('lexical_candidates'), ('vector_candidates')) t(kind) WHERE ord <= 4""")
+def expansion_kinds(spark, sf_dir):
+    """What a request of each kind but a further page finds."""
+    v = vault(spark, sf_dir)
+    edges = S.transition_edges(v)
+    homes = v.objects.where("class_name = 'nation'").select(F.col("object_id").alias("turn_id"), F.lit("semantic_object").alias("kind"), F.col("object_id").alias("id"), F.lit(0).cast("long").alias("ord"))
+    front = v.occurrences.where("source_unit_id is null and status = 'resolved'")
+    people = front.select(F.col("target_id").alias("turn_id"), F.lit("semantic_object").alias("kind"), F.col("source_object_id").alias("id"), F.lit(0).cast("long").alias("ord"))
+    links = front.select(F.col("target_id").alias("turn_id"), F.lit("occurrence").alias("kind"), F.col("occurrence_id").alias("id"), F.lit(0).cast("long").alias("ord"))
+    units = v.units.withColumn("score", F.length("content") - F.length(F.replace(F.col("content"), F.lit("e"), F.lit("")))).where("score > 0")
+
+    def search(request: DataFrame) -> DataFrame:
+        found = request.select("turn_id", F.col("id").alias("object_id")).join(units, "object_id").select("turn_id", F.col("unit_id").alias("id"), "score")
+        return R.top(found, "turn_id", [F.desc("score"), "id"], 4, "position")
+
+    requests = {"incoming_occurrences": homes, "contained": homes, "identifier_assignments": homes, "outgoing_occurrences": people, "temporal_incidence": people, "graph_neighbours": links, "exact_matches": people, "lexical_candidates": people, "vector_candidates": people}
+    parts = [A.expansion(kind, request, edges, search).withColumn("kind", F.lit(kind)) for kind, request in requests.items()]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result.select("kind", "turn_id", "id", F.col("ord").cast("int").alias("ord"))
+
+
+@register("expansion_page", f"{_CTE} SELECT turn_id, id, ord FROM (SELECT turn_id, id, row_number() OVER (PARTITION BY turn_id ORDER BY id) - 1 AS ord FROM (SELECT object_id AS turn_id, object_id || '#' || unnest(['root', 'Facts', 'Facts#1']) AS id FROM o WHERE class_name = 'nation' UNION ALL SELECT object_id, 'id:' || object_id || ':class' FROM o WHERE class_name = 'nation' UNION ALL SELECT target_id, occurrence_id FROM x WHERE target_kind = 'semantic_object')) WHERE ord BETWEEN 2 AND 5")
+def expansion_page(spark, sf_dir):
+    """A further page of all neighbours of each nation."""
+    v = vault(spark, sf_dir)
+    homes = v.objects.where("class_name = 'nation'").select(F.col("object_id").alias("turn_id"), F.lit("semantic_object").alias("kind"), F.col("object_id").alias("id"), F.lit(0).cast("long").alias("ord"))
+    return A.expansion(A.CONTINUATION, homes, S.transition_edges(v), offset=2, limit=4)
