@@ -28,7 +28,7 @@ CODES = (
     "surface_unavailable",
     "input_type_mismatch",
     "output_unavailable",
-    "bound_exceeded",
+    "configuration_bound_exceeded",
     "unresolved_authored_target",
     "unsupported_transition",
 )
@@ -155,7 +155,7 @@ def _step_faults(op: object, kind: str, snapshot: Snapshot) -> tuple[list[tuple[
         kinds, modes, hard, available = snapshot.surfaces.get(op.surface, ((), (), 0, False))
         if not available or op.mode not in modes:
             return [("surface_unavailable", op.surface)], kind
-        faults = [("bound_exceeded", op.surface)] * (op.limit is not None and op.limit > hard)
+        faults = [("configuration_bound_exceeded", op.surface)] * (op.limit is not None and op.limit > hard)
         if op.identifier is not None:
             if op.identifier not in snapshot.identifiers:
                 faults.append(("missing_identifier", op.identifier))

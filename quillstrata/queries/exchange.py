@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstrata.catalogue import register
-from quillstrata.functions import identity, records
+from quillstrata.functions import identity, records, schemas
 from quillstrata.operators import validation
 from quillstrata.sources import read_table
 
@@ -63,10 +63,43 @@ def json_round_trip(spark, sf_dir):
     return rows.select(decoded.alias("r")).select("r.*")
 
 
+def _exchanged():
+    """JSON texts of four kinds of records for every turn, three in four made faulty: (record, text)."""
+    k = F.col("turn") % 4
+    identity_ = F.concat_ws(":", F.lit("u"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    utterance = F.when(k == 1, F.to_json(F.struct(identity_.alias("utterance_id")))).when(k == 2, F.to_json(F.struct(identity_.alias("utterance_id"), F.lit(1).alias("text")))).when(k == 3, F.lit("{")).otherwise(F.to_json(F.struct(identity_.alias("utterance_id"), F.lit("x").alias("text"))))
+    preview = F.when(k == 1, F.lit('{"kind":"inline","text":"x"}')).when(k == 2, F.lit('{"kind":"cut"}')).when(k == 3, F.lit('{"kind":"unavailable_without_hydration","text":"x"}')).otherwise(F.lit('{"kind":"unavailable_without_hydration"}'))
+    result = F.when(k == 1, F.lit('{"status":"valid","plan_id":"p"}')).when(k == 2, F.lit('{"status":"invalid","plan_id":"p","projection_snapshot_id":"s","violations":{"first":{"code":"no_such_code","detail":{"kind":"surface","surface_id":"x","address_kind":"identifier"}},"additional":[]}}')).when(k == 3, F.lit('{"plan_id":"p"}')).otherwise(F.lit('{"status":"valid","plan_id":"p","projection_snapshot_id":"s"}'))
+    subject = F.when(k == 1, F.lit('{"kind":"object","value":"no uuid"}')).when(k == 2, F.lit('{"kind":"unit","value":" "}')).when(k == 3, F.lit('{"kind":"region","value":{"object_id":"00000000-0000-0000-0000-000000000001"}}')).otherwise(F.lit('{"kind":"identifier","value":{"identifier_name":"x","represented_value":null}}'))
+    anchor = F.concat(F.lit('{"anchor_id":"a","subject":'), subject, F.lit(',"value":{"precision":"year","value":1999},"record_provenance":{"kind":"materialization","rule":"r","sources":[]},"available_surface_ids":[],"activation_provenance":[{"kind":"newest_utterance","utterance_id":"u"}]}'))
+    return {"activation-utterance": utterance, "activated-text-preview": preview, "conformance-result": result, "activated-temporal-anchor-record": anchor}
+
+
+# What decoding finds, by record and place of the turn: (record, turn mod 4, path, fault).
+_FAULTS = [
+    ("activation-utterance", 1, "$.text", "missing field"), ("activation-utterance", 2, "$.text", "expected a string"), ("activation-utterance", 3, "$", "malformed JSON"),
+    ("activated-text-preview", 1, "$.truncated", "missing field"), ("activated-text-preview", 2, "$.kind", "unknown variant"), ("activated-text-preview", 3, "$.text", "unknown field"),
+    ("conformance-result", 1, "$.projection_snapshot_id", "missing field"), ("conformance-result", 2, "$.violations.first.code", "unknown variant"), ("conformance-result", 3, "$.status", "missing tag"),
+    ("activated-temporal-anchor-record", 1, "$.subject.value", "expected a UUID"), ("activated-temporal-anchor-record", 2, "$.subject.value", "expected a string that is not blank"), ("activated-temporal-anchor-record", 3, "$.subject.value.authored_structural_address", "missing field"),
+]
+_FAULT_SQL = ", ".join(f"('{a}', {b}, '{c}', '{d}')" for a, b, c, d in _FAULTS)
+
+
+@register("record_faults", f"SELECT r.record, conv_id, turn, fault_path, fault FROM conversations CROSS JOIN (SELECT DISTINCT record FROM (VALUES {_FAULT_SQL}) v(record, k, p, f)) r LEFT JOIN (VALUES {_FAULT_SQL}) v(record, k, fault_path, fault) ON v.record = r.record AND turn % 4 = v.k")
+def record_faults(spark, sf_dir):
+    """The first fault of records of four kinds, tagged unions and addresses among them."""
+    result = None
+    for name, text in _exchanged().items():
+        rows = read_table(spark, sf_dir, "conversations").select(F.lit(name).alias("record"), "conv_id", "turn", text.alias("json"))
+        part = records.check_json(rows, "json", name).select("record", "conv_id", "turn", "fault_path", "fault")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 @register("schema_export")
 def schema_export(spark, sf_dir):
     """JSON Schema documents of all records."""
-    return spark.createDataFrame([(n, records.json_schema(n)) for n in records.RECORDS], "name string, document string")
+    return spark.createDataFrame([(n, records.json_schema(n)) for n in schemas.RECORDS], "name string, document string")
 
 
 @register("validation_report", """SELECT * FROM (

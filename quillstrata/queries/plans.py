@@ -54,7 +54,7 @@ def exact_total_output(spark, sf_dir):
 
 
 @register("conformance_violations", """SELECT * FROM (VALUES ('missing_address', 'semantic_object:no such part'), ('missing_relation', 'sings'), ('unsupported_transition', 'object_song'), ('direction_unavailable', 'object_context'),
-  ('surface_unavailable', 'vector'), ('input_type_mismatch', 'temporal:earliest'), ('bound_exceeded', 'exact'), ('missing_identifier', 'mood'), ('identifier_not_applicable', 'dated'), ('output_unavailable', 'nowhere'), ('unresolved_authored_target', 'Lost Book')) t(code, subject)""")
+  ('surface_unavailable', 'vector'), ('input_type_mismatch', 'temporal:earliest'), ('configuration_bound_exceeded', 'exact'), ('missing_identifier', 'mood'), ('identifier_not_applicable', 'dated'), ('output_unavailable', 'nowhere'), ('unresolved_authored_target', 'Lost Book')) t(code, subject)""")
 def conformance_violations(spark, sf_dir):
     """Faults of a plan made with one of each kind."""
     paths = [X.Path("parts", ops, f"p{k}") for k, ops in enumerate(((X.Follow("sings"),), (X.Follow("object_song"),), (X.Follow("object_context", "outgoing"),), (X.Search("vector", "nearest_neighbours", None),), (X.Temporal("earliest"),), (X.Search("exact", "literal", "a", 33),), (X.Search("exact", "literal", "a", 3, "mood"),), (X.Search("exact", "literal", "a", 3, "dated"),)))]

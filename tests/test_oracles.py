@@ -44,7 +44,15 @@ def test_bundles_never_exceed_the_bound(spark):
 def test_schema_documents_are_strict(spark):
     import json
 
-    for row in catalogue.queries()["schema_export"](spark, DATA).collect():
+    def strict(schema):
+        if schema.get("type") == "object":
+            assert schema["additionalProperties"] is False
+        for part in (*schema.get("properties", {}).values(), *schema.get("oneOf", ()), *([schema["items"]] if "items" in schema else ())):
+            strict(part)
+
+    rows = catalogue.queries()["schema_export"](spark, DATA).collect()
+    assert len({r.name for r in rows}) == 25
+    for row in rows:
         document = json.loads(row.document)
-        assert row.document.endswith("\n")
-        assert document["additionalProperties"] is False
+        assert row.document.endswith("\n") and ("oneOf" in document or document["type"] == "object")
+        strict(document)
