@@ -92,7 +92,7 @@ def test_cycles_and_unknown_names_are_errors(snapshot):
 def test_stale_handle_and_filters(spark):
     rows = spark.createDataFrame([("h", k, f"p/{k}") for k in range(7)], "source string, target int, path string")
     handle = {"projection_snapshot_id": "s", "origin_field": "source", "origin": "h", "ordering": ["target"], "next_offset": 2, "page_limit": 3, "filters": {"path_prefix": "p/"}}
-    page = A.continue_page(rows, handle, "s").collect()
+    page = A.continue_page(rows, handle, "s").orderBy("target").collect()
     assert [(r.target, r.remaining, r.next_offset) for r in page] == [(2, 2, 5), (3, 2, 5), (4, 2, 5)]
     assert A.page(rows, "source", ["target"], 0, 0).count() == 0
     with pytest.raises(ValueError, match="stale"):
