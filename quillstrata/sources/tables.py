@@ -82,8 +82,19 @@ class Scratch:
         """Delete tables that ``write`` returned and nothing will read again."""
         for table in tables:
             _, path = self._paths.pop(id(table))
-            target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        """Delete all tables: what was made of them has been written elsewhere."""
+        self._paths.clear()
+        self._delete(self._root)
+
+    def _delete(self, path: str) -> None:
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def durable_table(df: DataFrame, level: int = 3) -> DataFrame:
