@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstrata.llm import audio, decontaminate, language, lm_score, near_duplicates, packing, quality, secret_scan, toxicity, url_filter
+from quillstrata.llm import audio, decontaminate, divergence, language, lm_score, near_duplicates, packing, quality, secret_scan, sharding, toxicity, url_filter, vector_codes
 from quillstrata.llm.samples import crc32_fold
 from quillstrata.sources import read_table
 
@@ -111,6 +111,51 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query()
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of near equal sizes, equal texts together."""
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 40)
+
+
+@_query(
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (
+      SELECT id, lang, source,
+             translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+      FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+    l AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM k),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+    z AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+      FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    w AS (
+      SELECT lang, source, term, n,
+             1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p
+      FROM z),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM w a JOIN w b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    e AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT w.lang, w.source, 'term', w.term, (w.p - l.q)::BIGINT FROM w JOIN l ON w.lang = l.lang AND w.term = l.term WHERE w.n > 0 AND w.p > l.q),
+    r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM e)
+    SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+    """
+)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source of a language differs from the others, and by which terms."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as four bytes each, with the codebooks' digest and errors."""
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     """Return the operators' queries."""
     return dict(_QUERIES)
