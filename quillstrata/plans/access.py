@@ -2,21 +2,24 @@
 
 A plan is a graph of bindings, paths and joins. ``conform`` checks it against the
 snapshot's catalogues before anything runs; ``execute`` walks it in topological
-order and gives one lazy DataFrame a binding, so that Spark plans the whole.
+order and gives one lazy DataFrame a binding, so that Spark plans the whole; ``run``
+executes each operation once, in the same order, and measures it while it runs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quillstrata.operators import surfaces as R
 from quillstrata.operators import traversal as T
+from quillstrata.sources import Scratch
 
 #: The violation codes of conformance.
 CODES = (
@@ -145,8 +148,10 @@ def _step_faults(op: object, kind: str, snapshot: Snapshot) -> tuple[list[tuple[
     """Faults of one operation on records of a kind, and the kind that comes out."""
     if isinstance(op, Follow):
         if op.transition not in snapshot.transitions:
-            known = any(op.transition.split("_")[0] == t.split("_")[0] for t in snapshot.transitions)
-            return [("unsupported_transition" if known else "missing_relation", op.transition)], kind
+            # Names begin with the kind they leave: from a kind of the catalogue the transition is unsupported,
+            # from any other there is no such relation.
+            leaves = {source.rpartition("_")[2] for source, _, _ in snapshot.transitions.values()}
+            return [("unsupported_transition" if re.split("[-_]", op.transition)[0] in leaves else "missing_relation", op.transition)], kind
         source, directions, target = snapshot.transitions[op.transition]
         faults = [("input_type_mismatch", op.transition)] * (source != kind)
         faults += [("direction_unavailable", op.transition)] * (op.direction not in directions)
@@ -167,11 +172,12 @@ def _step_faults(op: object, kind: str, snapshot: Snapshot) -> tuple[list[tuple[
     return [("input_type_mismatch", f"temporal:{op.how}")] * (kind != "temporal_anchor"), kind
 
 
-def conform(plan: Plan, snapshot: Snapshot) -> DataFrame:
+def conform(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None = None) -> DataFrame:
     """Return (code, subject): everything in the plan that the snapshot does not have.
 
-    Addresses are checked by an anti join, the rest against the catalogues; an
-    empty table means that the plan is valid.
+    Addresses, those of the plan and those that ``start`` gives as tables, are checked by
+    an anti join, the rest against the catalogues; an empty table means that the plan is
+    valid.
     """
     spark = snapshot.records.sparkSession
     kinds = {b.name: b.kind for b in plan.bindings}
@@ -192,9 +198,10 @@ def conform(plan: Plan, snapshot: Snapshot) -> DataFrame:
         kinds[step.output] = kind
     faults += [("output_unavailable", name) for shape, name in plan.outputs if name not in kinds or shape not in SHAPES]
     listed = spark.createDataFrame(faults, "code string, subject string")
-    asked = start_sets(plan, snapshot)
-    if asked is None:
+    named = [x for x in (start_sets(plan, snapshot), *(start or {}).values()) if x is not None]
+    if not named:
         return listed
+    asked = reduce(DataFrame.unionByName, (x.select("kind", "id") for x in named))
     absent = asked.join(snapshot.records, ["kind", "id"], "left_anti").where("id is not null")
     return listed.unionByName(absent.select(F.lit("missing_address").alias("code"), F.concat_ws(":", "kind", "id").alias("subject")))
 
@@ -207,71 +214,105 @@ def start_sets(plan: Plan, snapshot: Snapshot) -> DataFrame | None:
 
 @dataclass
 class Execution:
-    """Lazy rows of each binding, and what each operation measured."""
+    """Rows of each binding, and what each operation measured."""
 
     bindings: dict[str, DataFrame]
     operations: DataFrame
 
 
 OPERATIONS = "operation_id string, kind string, surface_id string, required boolean, observed long, bound long, available boolean, failed boolean"
+#: Rows of one operation, given the operation, its number in the plan and its input.
+Step = Callable[[object, str, DataFrame], DataFrame]
 
 
-def execute(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Return one lazy DataFrame (root, kind, id, and more) for each binding, as ``run`` does."""
-    return run(plan, snapshot, start).bindings
-
-
-def run(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None = None) -> Execution:
-    """Execute a plan and measure it.
-
-    ``start`` may give large start sets as tables instead of lists of ids. An operation
-    that the snapshot cannot run gives no rows and the status ``surface_unavailable``,
-    one that asks beyond a hard limit ``failed``; what that means for the plan depends on
-    whether it is required (``report.overall_status``). Operations are numbered from 1
-    along each path, as ``output.number``.
-    """
-    spark = snapshot.records.sparkSession
+def _walk(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None, step: Step) -> dict[str, DataFrame]:
+    """Rows of every binding; operations are numbered from 1 along each path, as ``output.number``."""
     out = dict(start or {})
     named = start_sets(plan, snapshot)
     for b in plan.bindings:
         if b.name not in out:
             out[b.name] = named.where(F.col("root") == b.name).select(F.col("id").alias("root"), "kind", "id")
-    measured = [spark.createDataFrame([], OPERATIONS)]
-    for step in order(plan):
-        if isinstance(step, Join):
-            branches = {x: out[x] for x in step.inputs}
-            joined = T.group_branches(branches) if step.how == "group" else T.concatenate(branches)
-            out[step.output] = T.temporal_order(joined, "root", ["anchor", "id"]) if step.how == "temporal_order" else joined
+    for part in order(plan):
+        if isinstance(part, Join):
+            branches = {x: out[x] for x in part.inputs}
+            joined = T.group_branches(branches) if part.how == "group" else T.concatenate(branches)
+            out[part.output] = T.temporal_order(joined, "root", ["anchor", "id"]) if part.how == "temporal_order" else joined
             continue
-        rows = out[step.start]
-        for number, op in enumerate(step.operations, 1):
-            rows, counted = _measured(op, f"{step.output}.{number}", rows, snapshot)
-            measured.append(counted)
-        out[step.output] = rows
-    return Execution(out, reduce(DataFrame.unionByName, measured))
+        rows = out[part.start]
+        for number, op in enumerate(part.operations, 1):
+            rows = step(op, f"{part.output}.{number}", rows)
+        out[part.output] = rows
+    return out
+
 
+def execute(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Return one lazy DataFrame (root, kind, id, and more) for each binding, as ``run`` does."""
+
+    def step(op: object, name: str, rows: DataFrame) -> DataFrame:
+        available, failed = _runnable(op, snapshot)
+        if not available or failed:
+            return _nothing(rows)
+        return _apply(op, rows, snapshot, snapshot.search[op.surface](rows, op.query) if isinstance(op, Search) else None)
+
+    return _walk(plan, snapshot, start, step)
+
+
+def run(plan: Plan, snapshot: Snapshot, scratch: Scratch, start: dict[str, DataFrame] | None = None) -> Execution:
+    """Execute a plan and measure it while it runs; ``scratch`` owns the rows of its operations.
 
-def _measured(op: object, name: str, rows: DataFrame, snapshot: Snapshot) -> tuple[DataFrame, DataFrame]:
-    """Rows of one operation, and its one row of ``OPERATIONS``."""
-    surface, bound, available, failed, observed = None, None, True, False, None
+    Each operation is one job. It writes its rows, counts them in the tasks that write
+    (each counts once, however often executors are lost), and the next operations read
+    what was written: a path of n operations does n steps, and what several paths start
+    from is computed once. A search with a limit is written before the cut, too, since
+    what it found decides whether the limit cut anything.
+
+    ``start`` may give large start sets as tables instead of lists of ids. An operation
+    that the snapshot cannot run gives no rows and the status ``surface_unavailable``,
+    one that asks beyond a hard limit ``failed``; neither starts a job. What that means for
+    the plan depends on whether it is required (``report.overall_status``).
+    """
+    measured: list[dict] = []
+
+    def step(op: object, name: str, rows: DataFrame) -> DataFrame:
+        available, failed = _runnable(op, snapshot)
+        if not available or failed:
+            rows, observed = _nothing(rows), 0
+        elif isinstance(op, Search) and op.limit is not None:
+            found, _ = _written(snapshot.search[op.surface](rows, op.query), scratch)
+            observed = found.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+            rows, _ = _written(_apply(op, rows, snapshot, found), scratch)
+            scratch.drop(found)
+        else:
+            found = snapshot.search[op.surface](rows, op.query) if isinstance(op, Search) else None
+            rows, observed = _written(_apply(op, rows, snapshot, found), scratch)
+        surface, bound = (op.surface, op.limit) if isinstance(op, Search) else (None, None)
+        measured.append({"operation_id": name, "kind": type(op).__name__.lower(), "surface_id": surface, "required": op.required, "observed": observed, "bound": bound, "available": available, "failed": failed})
+        return rows
+
+    bindings = _walk(plan, snapshot, start, step)
+    return Execution(bindings, snapshot.records.sparkSession.createDataFrame([tuple(m.values()) for m in measured], OPERATIONS))
+
+
+def _written(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Write rows and return them with the number that the writing tasks observed."""
+    seen = Observation()
+    table = scratch.write(rows.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return table, seen.get["rows"]
+
+
+def _runnable(op: object, snapshot: Snapshot) -> tuple[bool, bool]:
+    """Whether the snapshot has what an operation needs, and whether the operation asks beyond a hard limit."""
     if isinstance(op, Follow):
-        available = op.transition in snapshot.transitions
+        return op.transition in snapshot.transitions, False
     if isinstance(op, Search):
         _, modes, hard, listed = snapshot.surfaces.get(op.surface, ((), (), 0, False))
-        surface, bound = op.surface, op.limit
         available = listed and op.mode in modes and op.surface in snapshot.search
-        failed = available and op.limit is not None and op.limit > hard
-    if not available or failed:
-        rows = rows.where("false").select("root", "kind", "id")
-    else:
-        found = snapshot.search[op.surface](rows, op.query) if isinstance(op, Search) else None
-        if found is not None and op.limit is not None:
-            observed = found.groupBy("root").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("observed"))
-        rows = _apply(op, rows, snapshot, found)
-    observed = rows.agg(F.count("*").alias("observed")) if observed is None else observed
-    facts = {"operation_id": name, "kind": type(op).__name__.lower(), "surface_id": surface, "required": op.required, "bound": bound, "available": available, "failed": failed}
-    types = dict(x.split() for x in OPERATIONS.split(", "))
-    return rows, observed.select("observed", *(F.lit(v).cast(types[k]).alias(k) for k, v in facts.items())).select(*types)
+        return available, available and op.limit is not None and op.limit > hard
+    return True, False
+
+
+def _nothing(rows: DataFrame) -> DataFrame:
+    return rows.where("false").select("root", "kind", "id")
 
 
 def _apply(op: object, rows: DataFrame, snapshot: Snapshot, found: DataFrame | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from quillstrata.operators import traversal as T
 from quillstrata.operators import validation as V
 from quillstrata.plans import access as X
 from quillstrata.plans import report as Q
-from quillstrata.sources import durable_table, read_table
+from quillstrata.sources import Scratch, durable_table, read_table
 from quillstrata.sources.notes import admit, parse_notes
 
 
@@ -325,10 +325,24 @@ def _more() -> tuple[X.Path, ...]:
 def plan_operations(spark, sf_dir):
     """What each operation measured; an optional surface that is not there is a status, not an error."""
     snap = snapshot(spark, sf_dir)
-    done = X.run(_plan(*_more()), snap, _homes(snap, spark, sf_dir))
+    with Scratch(spark) as scratch:
+        done = X.run(_plan(*_more()), snap, scratch, _homes(snap, spark, sf_dir))
     return Q.applied_statuses(done.operations).select("operation_id", "required", "status", "observed")
 
 
+@register("vault_conformance", f"""{_CTE} SELECT 'unsupported_transition' AS code, 'object-nothing' AS subject UNION ALL SELECT 'unsupported_transition', 'unit-song' UNION ALL SELECT 'missing_relation', 'sings' UNION ALL SELECT 'direction_unavailable', 'region-unit'
+  UNION ALL SELECT 'input_type_mismatch', 'unit-region' UNION ALL SELECT 'surface_unavailable', 'vector' UNION ALL SELECT 'configuration_bound_exceeded', 'lexical' UNION ALL SELECT 'identifier_not_applicable', 'joined'
+  UNION ALL SELECT 'missing_address', 'semantic_object:' || {_id("'nation:' || c_custkey::VARCHAR")} FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)""")
+def vault_conformance(spark, sf_dir):
+    """Faults of plans on the vault: names that look like its transitions, and an address a customer that no note has."""
+    snap = snapshot(spark, sf_dir)
+    asked = read_table(spark, sf_dir, "customer").select(F.lit("homes").alias("root"), F.lit("semantic_object").alias("kind"), _uuid(F.concat(F.lit("nation:"), F.col("c_custkey").cast("string"))).alias("id"))
+    wrong = [(X.Follow("object-nothing"),), (X.Follow("unit-song"),), (X.Follow("sings"),), (X.Follow("object-region"), X.Follow("region-unit", "incoming")), (X.Follow("unit-region"),)]
+    wrong += [(X.Search("vector", "nearest_neighbours", None),), (X.Search("lexical", S.SURFACES["lexical"][0], "e", S.HARD_LIMIT + 1),), (X.Search("lexical", S.SURFACES["lexical"][0], "e", 1, "joined"),)]
+    plan = X.Plan((X.Binding("homes", "semantic_object", ()),), tuple(X.Path("homes", ops, f"p{k}") for k, ops in enumerate(wrong)))
+    return X.conform(plan, snap, {"homes": asked})
+
+
 @register("plan_requirement_kinds", "SELECT * FROM (VALUES ('beyond_hard_limit', 'failed'), ('optional_missing', 'partial'), ('required_missing', 'failed'), ('whole', 'complete')) t(plan_id, status)")
 def plan_requirement_kinds(spark, sf_dir):
     """Plan status by what is missing: required or optional surfaces, or a limit beyond the hard one."""
@@ -337,7 +351,9 @@ def plan_requirement_kinds(spark, sf_dir):
     result = None
     for name, op in searches.items():
         plan = X.Plan((X.Binding("homes", "semantic_object", ()),), (X.Path("homes", (X.Follow("object-unit"), op), "found"),))
-        part = Q.applied_statuses(X.run(plan, snap, _homes(snap, spark, sf_dir)).operations).withColumn("plan_id", F.lit(name))
+        with Scratch(spark) as scratch:
+            done = X.run(plan, snap, scratch, _homes(snap, spark, sf_dir))
+        part = Q.applied_statuses(done.operations).withColumn("plan_id", F.lit(name))
         result = part if result is None else result.unionByName(part)
     return Q.overall_status(result)
 

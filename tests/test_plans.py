@@ -9,6 +9,7 @@ from quillstrata.operators import activation as A
 from quillstrata.operators import derived
 from quillstrata.plans import access as X
 from quillstrata.plans import report as Q
+from quillstrata.sources import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -66,13 +67,46 @@ def test_a_limit_keeps_the_best_ranked(spark, snapshot):
         snapshot.search["exact"] = literal
 
 
-def test_what_is_missing_is_a_status(snapshot):
+def test_what_is_missing_is_a_status(spark, snapshot):
     ops = (X.Search("nowhere", "literal", "x", 2, required=False), X.Follow("unheard of", required=False), X.Hydrate())
-    done = X.run(X.Plan((BOOKS,), (X.Path("books", ops, "found"),)), snapshot)
+    done = X.run(X.Plan((BOOKS,), (X.Path("books", ops, "found"),)), snapshot, Scratch(spark))
     assert done.bindings["found"].count() == 0
     assert [r.status for r in Q.applied_statuses(done.operations).orderBy("operation_id").collect()] == ["surface_unavailable", "surface_unavailable", "completed_zero_matches"]
 
 
+def test_each_operation_reads_its_source_once(spark, snapshot, tmp_path):
+    """However long the path and however many paths go on from it, an edge table is scanned once an operation."""
+    steps = [("semantic_object", f"o{k}", "next", "outgoing", "semantic_object", f"o{k + 1}", 0) for k in range(20)] + [("semantic_object", "o3", "next", "outgoing", "semantic_object", f"x{k}", 0) for k in range(5)]
+    spark.createDataFrame(steps, snapshot.edges.schema).write.parquet(f"{tmp_path}/edges")
+    stored = X.Snapshot(snapshot.records, spark.read.parquet(f"{tmp_path}/edges"), snapshot.units, snapshot.anchors, {"next": ("semantic_object", ("outgoing",), "semantic_object")}, {})
+    plan = X.Plan((X.Binding("a", "semantic_object", ("o0", "o1")),), (X.Path("a", (X.Follow("next"),) * 5, "far"), X.Path("far", (X.Follow("next"),), "b"), X.Path("far", (X.Follow("next"),) * 2, "c")))
+    scans = []
+
+    class Counting(Scratch):
+        def write(self, df):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            scans.append((plan.count("FileScan"), plan.count(f"{tmp_path}/edges")))
+            return super().write(df)
+
+    scratch = Counting(spark)
+    done = X.run(plan, stored, scratch)
+    assert len(scans) == 8 and all(edges == 1 and every <= 2 for every, edges in scans)
+    lazy = X.execute(plan, stored)
+    for name in ("far", "b", "c"):
+        assert sorted(map(tuple, done.bindings[name].collect())) == sorted(map(tuple, lazy[name].collect()))
+    observed = {r.operation_id: r.observed for r in done.operations.collect()}
+    assert observed == {"far.1": 2, "far.2": 2, "far.3": 7, "far.4": 7, "far.5": 2, "b.1": 2, "c.1": 2, "c.2": 2}
+
+
+def test_nothing_is_left_of_a_measured_plan(spark, snapshot):
+    with Scratch(spark) as scratch:
+        X.run(X.Plan((BOOKS,), (X.Path("books", (X.Follow("object_unit"), X.Search("exact", "literal", "a", 1)), "found"),)), snapshot, scratch)
+        root = spark._jvm.org.apache.hadoop.fs.Path(scratch._root)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert len(files.listStatus(root)) == 2
+    assert not files.exists(root)
+
+
 def test_temporal_join_orders_branches(snapshot):
     dated = (X.Follow("object_context", "incoming"), X.Temporal("ascending"))
     plan = X.Plan((BOOKS,), (X.Path("books", dated, "a"), X.Path("books", dated, "b")), (X.Join("temporal_order", ("a", "b"), "all"),))
