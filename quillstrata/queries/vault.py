@@ -7,6 +7,8 @@ The SQL states from the same tables what the notes must contain.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from quillstrata.operators import traversal as T
 from quillstrata.operators import validation as V
 from quillstrata.plans import access as X
 from quillstrata.plans import report as Q
-from quillstrata.sources import Scratch, durable_table, read_table
+from quillstrata.sources import Scratch, durable_table, read_table, shared
 from quillstrata.sources.notes import admit, parse_notes
 
 
@@ -65,8 +67,12 @@ def descriptors(spark: SparkSession) -> DataFrame:
 
 
 def vault(spark: SparkSession, sf_dir: str) -> S.Vault:
-    """The record tables of the notes, written as a snapshot that its readers share."""
-    return S.stored(S.build(durable_table(notes(spark, sf_dir)), descriptors(spark)))
+    """The record tables of the notes, written once an application as a snapshot that all queries share."""
+
+    def build() -> S.Vault:
+        return S.stored(S.build(durable_table(notes(spark, sf_dir)), descriptors(spark)))
+
+    return replace(shared(spark, sf_dir, ("customer", "nation", "region"), "vault", build))
 
 
 def _id(text: str) -> str:

@@ -1,5 +1,5 @@
 """Readers, writers and durable intermediate tables."""
 
-from quillstrata.sources.tables import Scratch, bound_batches, durable, durable_table, read_table, scratch_dir
+from quillstrata.sources.tables import Scratch, bound_batches, durable, durable_table, read_table, scratch_dir, shared
 
-__all__ = ["Scratch", "bound_batches", "durable", "durable_table", "read_table", "scratch_dir"]
+__all__ = ["Scratch", "bound_batches", "durable", "durable_table", "read_table", "scratch_dir", "shared"]

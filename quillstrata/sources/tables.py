@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 
 #: Bytes of a batch that goes to a Python worker; Spark's default is 64 MB.
 BATCH_BYTES = 2 << 20
@@ -74,6 +77,8 @@ class Scratch:
         self._serial += 1
         path = f"{self._root}/{self._serial}"
         df.write.option("compression", "zstd").parquet(path)
+        if self._serial == 1:
+            _end_with_application(self._spark, self._root)
         table = self._spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = (table, path)
         return table
@@ -93,17 +98,53 @@ class Scratch:
         self._delete(self._root)
 
     def _delete(self, path: str) -> None:
-        target = self._spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = _files(self._spark, path)
+        files.delete(target, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Return the file system of a path, and the path as it knows it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _end_with_application(spark: SparkSession, path: str) -> None:
+    """Let a folder that exists be deleted when the application ends, if nothing deletes it before."""
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+
+
+#: What ``shared`` has built, by application, inputs and name.
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str, build: Callable[[], T]) -> T:
+    """Return what ``build`` makes of some tables, built once an application for as long as their files stay the same.
+
+    What it writes is deleted when the application ends.
+    """
+    stamp = []
+    for name in names:
+        files, target = _files(spark, f"{sf_dir}/{name}.parquet")
+        listed = files.listFiles(target, True)
+        while listed.hasNext():
+            one = listed.next()
+            stamp.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    key = (spark.sparkContext.applicationId, what, *sorted(stamp))
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
 
 
 def durable_table(df: DataFrame, level: int = 3) -> DataFrame:
     """Write a wide table once to the shared folder and return its reader.
 
     Unlike a checkpoint, later reads of the columnar copy fetch only the columns
-    they need. ``level`` is that of the compression.
+    they need. ``level`` is that of the compression. The table is deleted when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+    _end_with_application(spark, path)
     return spark.read.schema(df.schema).parquet(path)
