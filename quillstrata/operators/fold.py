@@ -1,13 +1,19 @@
 """Deterministic fold of declared contributions into thread state.
 
-A thread is an ordered log of contributions. ``Space`` holds the state as records
-by id in first-declared order; each kind of operation is a method that either
-changes the space or raises the first violation it meets. A contribution changes
-a copy, so a violation leaves the thread as it was.
-
-``fold`` and ``replay`` are pure functions of plain records, shared by the batch
-operator below and by the streaming one. Threads never share state, so a cluster
-folds as many of them at once as it has cores; within a thread order is the
+A thread is an ordered log of contributions. ``Space`` holds the state as tables of
+records by id; each kind of operation is a method that either changes the space or
+raises the first violation it meets. What a contribution changes lies over the tables
+until all its rules hold, and is dropped if one does not.
+
+A contribution costs its own size, not that of its thread: a state that was closed can
+only be broken by what the contribution changes. New records are checked one by one,
+and for a region that it ends the table ``degrees`` says whether an active relation, an
+active constraint or an open tension still hangs on it. Provenance and referents of a
+region are rows of their own, so that a region that is touched often is not rewritten.
+The tables may be dictionaries or the keyed state of a stream.
+
+``fold`` and ``replay`` are pure functions of plain records. Threads never share state,
+so a cluster folds as many of them at once as it has cores; within a thread order is the
 meaning of the log and is kept.
 """
 
@@ -29,6 +35,8 @@ CATEGORIES = ("create", "preserve", "reinforce", "extend", "merge", "split", "re
 LISTS = ("region_operations", "relation_operations", "constraint_operations", "tension_operations", "attention_operations", "preservation_declarations", "release_declarations")
 BANDS = ("primary", "secondary", "tertiary", "background")
 INCIDENCE = ("relation_ids", "local_constraint_ids", "open_tension_ids")
+#: Identities of a contribution that a thread accepts once.
+SEEN = ("contribution", "source_turn", "source_utterance")
 #: What a released subject must have become, by kind and mode.
 RELEASED = {
     ("region", "supersede"): "superseded",
@@ -182,45 +190,83 @@ def categories(c: Record) -> list[str]:
     return [x for x in CATEGORIES if x in found]
 
 
+#: Tables of a space, and what bounds count.
+TABLES = ("regions", "referents", "sources", "owners", "relations", "constraints", "tensions", "degrees", "seen")
+COUNTS = ("operational_regions", "active_relations", "open_tensions", "background_regions")
+#: What hangs on a region, by the kind of its record and the lifecycle in which it hangs there.
+HANGS = {"relation": "active", "constraint": "active", "tension": "open"}
+
+
+class Overlay:
+    """What one contribution changes, over a table that stays as it is until ``commit``."""
+
+    def __init__(self, base) -> None:
+        self.base, self.new = base, {}
+
+    def get(self, key):
+        return self.new[key] if key in self.new else self.base.get(key)
+
+    def before(self, key):
+        """What the table had before the contribution."""
+        return self.base.get(key)
+
+    def put(self, key, value) -> None:
+        self.new[key] = value
+
+    def commit(self) -> None:
+        for key, value in self.new.items():
+            self.base[key] = value
+        self.new = {}
+
+    def drop(self) -> None:
+        self.new = {}
+
+
 class Space:
-    """State of one thread, and the operations that change it."""
+    """State of one thread, and the operations that change it.
+
+    ``regions`` have a place, their lifecycle and band, and how many ``sources`` and
+    ``referents`` they have, which are rows by (region, number). ``owners`` are the regions
+    of a referent, ``degrees`` how many live records of a kind hang on a region, ``seen``
+    the identities of accepted contributions.
+    """
 
-    def __init__(self, thread_id: str) -> None:
+    def __init__(self, thread_id: str, tables: Record | None = None, head: Record | None = None, history: list[Record] | None = None) -> None:
         self.thread_id = thread_id
-        self.regions: dict[str, Record] = {}
-        self.relations: dict[str, Record] = {}
-        self.constraints: dict[str, Record] = {}
-        self.tensions: dict[str, Record] = {}
-        self.history: list[Record] = []
-        self.first_turn = self.last_turn = None
-        self.seen: dict[str, set[str]] = {"contribution": set(), "source_turn": set(), "source_utterance": set()}
-
-    def copy(self) -> Space:
-        """Return a space that can change without changing this one; only lists and records that change are new."""
-        new = copy.copy(self)
-        for table in ("regions", "relations", "constraints", "tensions"):
-            setattr(new, table, {k: {f: x[:] if isinstance(x, list) else x for f, x in r.items()} for k, r in getattr(self, table).items()})
-        new.history = self.history[:]
-        new.seen = {kind: set(ids) for kind, ids in self.seen.items()}
-        return new
+        for name in TABLES:
+            setattr(self, name, Overlay(tables[name] if tables else {}))
+        self.head = head or dict.fromkeys(COUNTS, 0) | {"version": 0, "places": 0, "first_turn": None, "last_turn": None}
+        self.history = [] if history is None else history
+        self.changes: list[tuple[str, str, str]] = []
 
     def save(self) -> Record:
         """Return all that ``restore`` needs to go on from here."""
-        return {"state": self.record(), "seen": {kind: sorted(ids) for kind, ids in self.seen.items()}}
+        kinds: dict[str, list[str]] = {kind: [] for kind in SEEN}
+        for kind, identity in self.seen.base:
+            kinds[kind].append(identity)
+        return {"state": self.record(), "seen": {kind: sorted(ids) for kind, ids in kinds.items()}}
 
     @classmethod
     def restore(cls, saved: Record) -> Space:
         """Return the space that was saved, without folding its log again."""
         state = saved["state"]
         space = cls(state["thread_id"])
-        for table, listed, key in (("regions", "regions", "region_id"), ("relations", "relations", "relation_id"), ("constraints", "constraints", "constraint_id"), ("tensions", "open_tensions", "tension_id")):
-            setattr(space, table, {r[key]: r for r in state[listed]})
-        space.history = state["contribution_history"]
-        space.first_turn, space.last_turn = state["source_turn_range"]["first_turn_id"], state["source_turn_range"]["last_turn_id"]
-        space.seen = {kind: set(ids) for kind, ids in saved["seen"].items()}
+        for region in state["regions"]:
+            space._put_region(region, region["source_contribution_ids"])
+        for kind, listed, key in (("relation", "relations", "relation_id"), ("constraint", "constraints", "constraint_id"), ("tension", "open_tensions", "tension_id")):
+            for record in state[listed]:
+                space._put(kind, record[key], record)
+        for kind, ids in saved["seen"].items():
+            for identity in ids:
+                space.seen.put((kind, identity), True)
+        space.history = list(state["contribution_history"])
+        turns = state["source_turn_range"]
+        space.head |= {"version": len(space.history), "first_turn": turns["first_turn_id"], "last_turn": turns["last_turn_id"]}
+        for name in TABLES:
+            getattr(space, name).commit()
         return space
 
-    # Lookups
+    # Records
 
     def _find(self, kind: str, identity: str) -> Record:
         record = getattr(self, f"{kind}s").get(identity)
@@ -236,116 +282,165 @@ class Space:
         _demand(self._live(identity), "invalid_record_lifecycle", kind="region", identity=identity)
         return region
 
-    def _add(self, kind: str, record: Record, field: str) -> None:
-        table, identity = getattr(self, f"{kind}s"), record[field]
-        _demand(identity not in table, "record_identity_already_present", kind=kind, identity=identity)
-
-    def _touch(self, region: Record) -> None:
+    def _unused(self, kind: str, record: Record, field: str) -> None:
+        identity = record[field]
+        _demand(getattr(self, f"{kind}s").get(identity) is None, "record_identity_already_present", kind=kind, identity=identity)
+
+    def _place(self) -> int:
+        self.head["places"] += 1
+        return self.head["places"]
+
+    def _count(self, state: str, step: int) -> None:
+        self.head["operational_regions"] += step * (state in OPERATIONAL)
+        self.head["background_regions"] += step * (state == "background")
+
+    def _put_region(self, declared: Record, sources: list[str]) -> None:
+        identity, referents = declared["region_id"], declared["anchor_referents"]
+        self.regions.put(identity, {"place": self._place(), "persistence_state": declared["persistence_state"], "activation_band": declared["activation_band"], "supersedes_region_id": declared.get("supersedes_region_id"), "sources": len(sources), "referents": len(referents)})
+        self._count(declared["persistence_state"], 1)
+        for n, x in enumerate(sources):
+            self.sources.put((identity, n), x)
+        for n, x in enumerate(referents):
+            self._put_referent(identity, n, x)
+
+    def _put_referent(self, region: str, n: int, referent: Record) -> None:
+        self.referents.put((region, n), dict(referent))
+        self.owners.put(referent["referent_id"], [*(self.owners.get(referent["referent_id"]) or ()), region])
+
+    def _put(self, kind: str, identity: str, record: Record) -> None:
+        """Add a relation, constraint or tension, and note what it hangs on."""
+        getattr(self, f"{kind}s").put(identity, {"place": self._place(), **copy.deepcopy(record)})
+        if record["lifecycle"] == HANGS[kind]:
+            self._hang(kind, record, 1)
+
+    def _hang(self, kind: str, record: Record, step: int) -> None:
+        for region in _ends(kind, record):
+            self.degrees.put((kind, region), (self.degrees.get((kind, region)) or 0) + step)
+        if kind != "constraint":
+            self.head["active_relations" if kind == "relation" else "open_tensions"] += step
+
+    def _touch(self, identity: str) -> None:
         """Note that the current contribution changed a region, once."""
-        times = region["source_contribution_ids"].count(self.cid)
-        _demand(times < 2, "duplicate_region_contribution_provenance", identity=region["region_id"], context=self.cid)
-        if not times:
-            region["source_contribution_ids"].append(self.cid)
-
-    def _adopt(self, region: Record) -> None:
-        region = copy.deepcopy(region)
-        self._touch(region)
-        self.regions[region["region_id"]] = region
-
-    def _end(self, kind: str, identity: str, lifecycle: str, becomes: str) -> None:
+        if identity not in self.touched:
+            region = self.regions.get(identity)
+            self.sources.put((identity, region["sources"]), self.cid)
+            self.regions.put(identity, region | {"sources": region["sources"] + 1})
+            self.touched.add(identity)
+
+    def _adopt(self, declared: Record) -> None:
+        identity, sources = declared["region_id"], list(declared["source_contribution_ids"])
+        _demand(sources.count(self.cid) < 2, "duplicate_region_contribution_provenance", identity=identity, context=self.cid)
+        sources += [self.cid] * (self.cid not in sources)
+        self._put_region(declared, sources)
+        self.touched.add(identity)
+        self.fresh.append((identity, sources, declared["anchor_referents"]))
+
+    def _end(self, kind: str, identity: str, becomes: str) -> None:
         """End a record that is live and that this contribution has not ended yet."""
         record = self._find(kind, identity)
-        _demand(record["lifecycle"] == lifecycle and identity not in self.ended, "contradictory_terminal_operations", kind=kind, identity=identity)
+        _demand(record["lifecycle"] == HANGS[kind] and identity not in self.ended, "contradictory_terminal_operations", kind=kind, identity=identity)
         self.ended.add(identity)
-        record["lifecycle"] = becomes
+        self._become(kind, identity, record, becomes)
+
+    def _become(self, kind: str, identity: str, record: Record, becomes: str) -> None:
+        getattr(self, f"{kind}s").put(identity, record | {"lifecycle": becomes})
+        self._hang(kind, record, -1)
 
     # Regions
 
     def region_create(self, op: Record) -> None:
         region = op["region"]
-        self._add("region", region, "region_id")
+        self._unused("region", region, "region_id")
         _demand(region["persistence_state"] in OPERATIONAL and region.get("supersedes_region_id") is None, "invalid_record_lifecycle", kind="region", identity=region["region_id"])
         self._adopt(region)
 
     def region_preserve(self, op: Record) -> None:
         identity = op["region_id"]
-        _demand(identity in self.before, "missing_referenced_record", kind="region", identity=identity)
-        _demand(self.before[identity] in OPERATIONAL, "invalid_record_lifecycle", kind="region", identity=identity)
-        self._touch(self._working(identity))
+        before = self.regions.before(identity)
+        _demand(before is not None, "missing_referenced_record", kind="region", identity=identity)
+        _demand(before["persistence_state"] in OPERATIONAL, "invalid_record_lifecycle", kind="region", identity=identity)
+        self._working(identity)
+        self._touch(identity)
 
     def region_reinforce(self, op: Record) -> None:
-        self._touch(self._working(op["region_id"]))
+        self._working(op["region_id"])
+        self._touch(op["region_id"])
 
     def region_extend(self, op: Record) -> None:
-        referent = op["referent"]
+        identity, referent = op["region_id"], op["referent"]
         _demand(referent["source_contribution_id"] == self.cid, "final_referential_integrity_failure", context="referent source contribution")
-        known = any(x["referent_id"] == referent["referent_id"] for r in self.regions.values() for x in r["anchor_referents"])
-        _demand(not known, "record_identity_already_present", kind="referent", identity=referent["referent_id"])
-        region = self._working(op["region_id"])
-        region["anchor_referents"].append(dict(referent))
-        self._touch(region)
+        _demand(not self.owners.get(referent["referent_id"]), "record_identity_already_present", kind="referent", identity=referent["referent_id"])
+        region = self._working(identity)
+        self._put_referent(identity, region["referents"], referent)
+        self.regions.put(identity, region | {"referents": region["referents"] + 1})
+        self._touch(identity)
 
     def region_merge(self, op: Record) -> None:
         sources, result = op["source_region_ids"], op["resulting_region"]
         shaped = len(sources) >= 2 and len(set(sources)) == len(sources) and result["persistence_state"] in OPERATIONAL and result.get("supersedes_region_id") is None
         _demand(shaped, "invalid_merge_shape")
-        self._add("region", result, "region_id")
+        self._unused("region", result, "region_id")
         for identity in sources:
-            region = self._find("region", identity)
+            self._find("region", identity)
             _demand(self._live(identity) and identity not in self.ended, "contradictory_terminal_operations", kind="region", identity=identity)
-            self._close(region, "superseded")
+            self._close(identity, "superseded")
         self._adopt(result)
 
     def region_split(self, op: Record) -> None:
         source, results = op["source_region_id"], op["resulting_regions"]
         ids = [x["region_id"] for x in results]
-        shaped = len(ids) >= 2 and len(set(ids)) == len(ids) and all(x["persistence_state"] in OPERATIONAL and x.get("supersedes_region_id") == source and x["region_id"] not in self.regions for x in results)
+        shaped = len(ids) >= 2 and len(set(ids)) == len(ids) and all(x["persistence_state"] in OPERATIONAL and x.get("supersedes_region_id") == source and self.regions.get(x["region_id"]) is None for x in results)
         _demand(shaped, "invalid_split_shape")
-        region = self._find("region", source)
+        self._find("region", source)
         _demand(self._live(source) and source not in self.ended, "invalid_split_shape")
-        self._close(region, "superseded")
+        self._close(source, "superseded")
         for x in results:
             self._adopt(x)
 
     def region_supersede(self, op: Record) -> None:
         old, new = op["region_id"], op["superseded_by_region_id"]
         _demand(old != new, "invalid_supersession")
-        region, heir = self._find("region", old), self._find("region", new)
-        free = heir.get("supersedes_region_id") in (None, old)
+        _, heir = self._find("region", old), self._find("region", new)
+        free = heir["supersedes_region_id"] in (None, old)
         _demand(self._live(old) and self._live(new) and old not in self.ended and free, "invalid_supersession")
-        self._close(region, "superseded")
-        heir["supersedes_region_id"] = old
-        self._touch(heir)
+        self._close(old, "superseded")
+        self.regions.put(new, heir | {"supersedes_region_id": old})
+        self._touch(new)
 
     def region_retire(self, op: Record) -> None:
         identity = op["region_id"]
-        region = self._find("region", identity)
+        self._find("region", identity)
         _demand(self._live(identity) and identity not in self.ended, "contradictory_terminal_operations", kind="region", identity=identity)
-        self._close(region, "retired")
+        self._close(identity, "retired")
 
-    def _close(self, region: Record, becomes: str) -> None:
-        self.ended.add(region["region_id"])
-        region["persistence_state"] = becomes
-        self._touch(region)
+    def _close(self, identity: str, becomes: str) -> None:
+        self.ended.add(identity)
+        self.closed.append(identity)
+        region = self.regions.get(identity)
+        self._count(region["persistence_state"], -1)
+        self._count(becomes, 1)
+        self.regions.put(identity, region | {"persistence_state": becomes})
+        self._touch(identity)
 
     # Relations, constraints and tensions
 
     def relation_connect(self, op: Record) -> None:
         relation = op["relation"]
         identity = relation["relation_id"]
-        self._add("relation", relation, "relation_id")
+        self._unused("relation", relation, "relation_id")
         _demand(relation["lifecycle"] == "active" and relation["source_contribution_id"] == self.cid, "invalid_record_lifecycle", kind="relation", identity=identity)
         self._working(relation["source_region_id"])
         if relation.get("target_region_id") is not None:
             self._working(relation["target_region_id"])
-        self.relations[identity] = copy.deepcopy(relation)
+        self._put("relation", identity, relation)
 
     def relation_disconnect(self, op: Record) -> None:
-        self._end("relation", op["relation_id"], "active", "retired")
+        self._end("relation", op["relation_id"], "retired")
 
-    def _new_constraint(self, constraint: Record) -> None:
+    def constraint_add(self, op: Record) -> None:
+        constraint = op["constraint"]
         identity = constraint["constraint_id"]
-        self._add("constraint", constraint, "constraint_id")
+        self._unused("constraint", constraint, "constraint_id")
         _demand(constraint["lifecycle"] == "active" and constraint["source_contribution_id"] == self.cid, "invalid_record_lifecycle", kind="constraint", identity=identity)
         if constraint["applicability"]["kind"] == "regions":
             targets = constraint["applicability"]["region_ids"]
@@ -354,32 +449,29 @@ class Space:
                 _demand(target not in targets[:k], "invalid_constraint_applicability")
                 self._find("region", target)
                 _demand(self._live(target), "invalid_constraint_applicability")
-
-    def constraint_add(self, op: Record) -> None:
-        self._new_constraint(op["constraint"])
-        self.constraints[op["constraint"]["constraint_id"]] = copy.deepcopy(op["constraint"])
+        self._put("constraint", identity, constraint)
 
     def constraint_replace(self, op: Record) -> None:
-        self._end("constraint", op["prior_constraint_id"], "active", "superseded")
+        self._end("constraint", op["prior_constraint_id"], "superseded")
         self.constraint_add({"constraint": op["replacement"]})
 
     def constraint_retire(self, op: Record) -> None:
-        self._end("constraint", op["constraint_id"], "active", "retired")
+        self._end("constraint", op["constraint_id"], "retired")
 
     def tension_open(self, op: Record) -> None:
         tension = op["tension"]
         identity = tension["tension_id"]
-        self._add("tension", tension, "tension_id")
+        self._unused("tension", tension, "tension_id")
         self._find("region", tension["region_id"])
         fit = tension["lifecycle"] == "open" and self._live(tension["region_id"]) and tension["source_turn_id"] == self.turn
         _demand(fit, "invalid_record_lifecycle", kind="tension", identity=identity)
-        self.tensions[identity] = copy.deepcopy(tension)
+        self._put("tension", identity, tension)
 
     def tension_resolve(self, op: Record) -> None:
-        self._end("tension", op["tension_id"], "open", "resolved")
+        self._end("tension", op["tension_id"], "resolved")
 
     def tension_abandon(self, op: Record) -> None:
-        self._end("tension", op["tension_id"], "open", "abandoned")
+        self._end("tension", op["tension_id"], "abandoned")
 
     def tension_supersede(self, op: Record) -> None:
         old, new = op["tension_id"], op["superseded_by_tension_id"]
@@ -387,7 +479,7 @@ class Space:
         both = all(x["lifecycle"] == "open" for x in records)
         _demand(old != new and both and old not in self.ended, "invalid_supersession")
         self.ended.add(old)
-        records[0]["lifecycle"] = "superseded"
+        self._become("tension", old, records[0], "superseded")
 
     # Attention and declarations
 
@@ -399,31 +491,36 @@ class Space:
             assigned.add(identity)
             region = self._find("region", identity)
             _demand(self._live(identity), "invalid_attention_assignment")
-            region["activation_band"] = op["band"]
-            self._touch(region)
+            self.regions.put(identity, region | {"activation_band": op["band"]})
+            self._touch(identity)
 
-    def subject_state(self, subject: Record) -> str | None:
-        """Lifecycle of a subject; a referent is active in an operational region only."""
+    def subject_state(self, subject: Record, before: bool = False) -> str | None:
+        """Lifecycle of a subject, now or before the contribution; a referent is active in an operational region only."""
         kind, identity = subject["kind"], subject["id"]
+
+        def look(table: Overlay, key: str) -> object:
+            return table.before(key) if before else table.get(key)
+
         if kind == "referent":
-            held = any(x["referent_id"] == identity for r in self.regions.values() if r["persistence_state"] in OPERATIONAL for x in r["anchor_referents"])
-            return "active" if held else None
+            states = ((look(self.regions, x) or {}).get("persistence_state") for x in look(self.owners, identity) or ())
+            return "active" if any(x in OPERATIONAL for x in states) else None
         if kind == "region":
-            return self.regions.get(identity, {}).get("persistence_state")
-        return {"relation": self.relations, "constraint": self.constraints, "open_tension": self.tensions}[kind].get(identity, {}).get("lifecycle")
+            return (look(self.regions, identity) or {}).get("persistence_state")
+        table = {"relation": self.relations, "constraint": self.constraints, "open_tension": self.tensions}[kind]
+        return (look(table, identity) or {}).get("lifecycle")
 
-    def subject_lives(self, subject: Record) -> bool:
-        state = self.subject_state(subject)
+    def subject_lives(self, subject: Record, before: bool = False) -> bool:
+        state = self.subject_state(subject, before)
         return state in OPERATIONAL if subject["kind"] == "region" else state in ("active", "open")
 
-    def check_declarations(self, prior: Space, c: Record) -> None:
+    def check_declarations(self, c: Record) -> None:
         kept, released = ([(x["subject"]["kind"], x["subject"]["id"]) for x in c[f"{word}_declarations"]] for word in ("preservation", "release"))
         for k, declared in enumerate(c["preservation_declarations"]):
             alone = kept[k] not in kept[:k] and kept[k] not in released
-            _demand(alone and prior.subject_lives(declared["subject"]) and self.subject_lives(declared["subject"]), "invalid_preservation_declaration")
+            _demand(alone and self.subject_lives(declared["subject"], True) and self.subject_lives(declared["subject"]), "invalid_preservation_declaration")
         for k, declared in enumerate(c["release_declarations"]):
             subject, mode = declared["subject"], declared["mode"]
-            _demand(released[k] not in released[:k] and prior.subject_lives(subject), "invalid_release_declaration")
+            _demand(released[k] not in released[:k] and self.subject_lives(subject, True), "invalid_release_declaration")
             if subject["kind"] == "referent":
                 gone = self.subject_state(subject) is None
             else:
@@ -432,129 +529,148 @@ class Space:
                 gone = self.subject_state(subject) == wanted
             _demand(gone, "invalid_release_declaration")
 
-    # Derived view, closure and bounds
-
-    def derive(self) -> None:
-        """Refill the incidence lists of operational regions; declared ones are void."""
-        for region in self.regions.values():
-            region.update({family: [] for family in INCIDENCE})
-
-        def note(identity: str, family: str, value: str) -> None:
-            if self._live(identity):
-                self.regions[identity][family].append(value)
-
-        for x in self.relations.values():
-            if x["lifecycle"] == "active":
-                for end in dict.fromkeys((x["source_region_id"], x.get("target_region_id"))):
-                    note(end, "relation_ids", x["relation_id"])
-        for x in self.constraints.values():
-            if x["lifecycle"] == "active" and x["applicability"]["kind"] == "regions":
-                for target in dict.fromkeys(x["applicability"]["region_ids"]):
-                    note(target, "local_constraint_ids", x["constraint_id"])
-        for x in self.tensions.values():
-            if x["lifecycle"] == "open":
-                note(x["region_id"], "open_tension_ids", x["tension_id"])
-
-    def lens(self) -> Record:
-        """Operational regions by attention band, in region order."""
-        return {f"{band}_region_ids": [k for k, r in self.regions.items() if r["activation_band"] == band and r["persistence_state"] in OPERATIONAL] for band in BANDS}
-
-    def check_closure(self) -> None:
-        """Demand that everything a record refers to exists and is as it must be."""
-        _named(_state_names(self.record()))
-        for region in self.regions.values():
-            sources = region["source_contribution_ids"]
-            for k, x in enumerate(sources):
-                _demand(x not in sources[:k], "duplicate_region_contribution_provenance", identity=region["region_id"], context=x)
-        referents = set()
-        for region in self.regions.values():
-            for x in region["anchor_referents"]:
-                _demand(x["referent_id"] not in referents, "duplicate_record_identity", kind="referent", identity=x["referent_id"])
-                referents.add(x["referent_id"])
+    # Closure and bounds
+
+    def check_closure(self, constraints: list[Record]) -> None:
+        """Demand that everything a record refers to exists and is as it must be.
+
+        The state before the contribution was closed, so that only new records can be
+        broken, and records that hang on a region which has ended.
+        """
+        _named([(self.thread_id, "state thread_id")])
+        for identity, sources, _ in self.fresh:
+            known: set[str] = set()
+            for x in sources:
+                _demand(x not in known, "duplicate_region_contribution_provenance", identity=identity, context=x)
+                known.add(x)
+        for identity, _, referents in self.fresh:
+            own: set[str] = set()
+            for x in referents:
+                alone = self.owners.get(x["referent_id"])[0] == identity and x["referent_id"] not in own
+                _demand(alone, "duplicate_record_identity", kind="referent", identity=x["referent_id"])
+                own.add(x["referent_id"])
 
         def whole(holds: object, context: str) -> None:
             _demand(holds, "final_referential_integrity_failure", context=context)
 
-        known, turns = self.seen["contribution"] | {self.cid}, self.seen["source_turn"] | {self.turn}
-        for region in self.regions.values():
-            old = region.get("supersedes_region_id")
+        for identity, sources, referents in self.fresh:
+            old = self.regions.get(identity)["supersedes_region_id"]
             if old is not None:
-                whole(old in self.regions, "region supersession target missing")
-                whole(self.regions[old]["persistence_state"] == "superseded", "region supersession target is not superseded")
-            whole(known.issuperset(region["source_contribution_ids"]) and known.issuperset(x["source_contribution_id"] for x in region["anchor_referents"]), "region provenance")
-        for x in self.relations.values():
-            ends = [("source", x["source_region_id"])] + [("target", x["target_region_id"])] * (x.get("target_region_id") is not None)
-            for side, end in ends:
-                whole(end in self.regions, f"relation {side} missing")
-            whole(x["lifecycle"] != "active" or all(self._live(end) for _, end in ends), "active relation endpoint")
-            whole(x["source_contribution_id"] in known, "relation provenance")
-        for x in self.constraints.values():
-            for target in x["applicability"].get("region_ids") or ():
-                whole(target in self.regions, "constraint target missing")
-                whole(x["lifecycle"] != "active" or self._live(target), "active constraint target")
-            whole(x["source_contribution_id"] in known, "constraint provenance")
-        for x in self.tensions.values():
-            whole(x["region_id"] in self.regions, "tension region missing")
-            whole(x["lifecycle"] != "open" or self._live(x["region_id"]), "open tension region")
-            whole(x["source_turn_id"] in turns, "tension source turn")
+                whole(self.regions.get(old), "region supersession target missing")
+                whole(self.regions.get(old)["persistence_state"] == "superseded", "region supersession target is not superseded")
+            told = (*sources, *(x["source_contribution_id"] for x in referents))
+            whole(all(x == self.cid or self.seen.before(("contribution", x)) for x in told), "region provenance")
+        whole(not self._hung("relation"), "active relation endpoint")
+        for x in constraints:
+            for target in _ends("constraint", x):
+                whole(self.regions.get(target), "constraint target missing")
+                whole(self._live(target), "active constraint target")
+        whole(not self._hung("constraint"), "active constraint target")
+        whole(not self._hung("tension"), "open tension region")
+
+    def _hung(self, kind: str) -> bool:
+        """Whether a live record hangs on a region that this contribution has ended."""
+        return any(self.degrees.get((kind, x)) for x in self.closed)
 
     def check_bounds(self, limits: Limits) -> None:
-        states = [r["persistence_state"] for r in self.regions.values()]
-        counts = {
-            "operational_regions": sum(x in OPERATIONAL for x in states),
-            "active_relations": sum(x["lifecycle"] == "active" for x in self.relations.values()),
-            "open_tensions": sum(x["lifecycle"] == "open" for x in self.tensions.values()),
-            "background_regions": states.count("background"),
-        }
-        for kind, actual in counts.items():
-            most = getattr(limits, kind)
+        for kind in COUNTS:
+            actual, most = self.head[kind], getattr(limits, kind)
             _demand(actual <= most, "configured_final_state_bound_excess", kind=kind, actual=actual, maximum=most)
 
     # Whole contributions
 
     def accept(self, c: Record, limits: Limits) -> Space:
-        """Return the space after a contribution; this one stays as it is."""
+        """Add a contribution to this space and return it; a violation leaves the space as it was.
+
+        ``changes`` then has (kind, id, lifecycle) of the records that the contribution wrote.
+        """
+        head = dict(self.head)
+        try:
+            self._apply(c, limits)
+        except BaseException:
+            self.head = head
+            for name in TABLES:
+                getattr(self, name).drop()
+            raise
+        lives = (("region", self.regions, "persistence_state"), ("relation", self.relations, "lifecycle"), ("constraint", self.constraints, "lifecycle"), ("tension", self.tensions, "lifecycle"))
+        self.changes = [(kind, identity, x[field]) for kind, table, field in lives for identity, x in table.new.items()]
+        for name in TABLES:
+            getattr(self, name).commit()
+        self.history.append({"contribution_id": self.cid, "source_turn_id": self.turn, "transformations": categories(c)})
+        return self
+
+    def _apply(self, c: Record, limits: Limits) -> None:
         _named(_contribution_names(c))
-        for kind, seen in self.seen.items():
-            _demand(c[f"{kind}_id"] not in seen, "duplicate_accepted_identity", kind=kind, identity=c[f"{kind}_id"])
+        for kind in SEEN:
+            _demand(not self.seen.get((kind, c[f"{kind}_id"])), "duplicate_accepted_identity", kind=kind, identity=c[f"{kind}_id"])
         _demand(sum(len(c[x]) for x in LISTS) <= limits.declarations, "contribution_declaration_count_excess")
-        after = self.copy()
-        after.cid, after.turn = c["contribution_id"], c["source_turn_id"]
-        after.before = {k: r["persistence_state"] for k, r in self.regions.items()}
-        after.first_turn, after.last_turn = self.first_turn or after.turn, after.turn
+        self.cid, self.turn = c["contribution_id"], c["source_turn_id"]
+        self.touched: set[str] = set()
+        self.fresh: list[tuple[str, list[str], list[Record]]] = []
+        self.closed: list[str] = []
         for family in ("region", "relation", "constraint", "tension"):
-            after.ended = set()
+            self.ended: set[str] = set()
             for op in c[f"{family}_operations"]:
-                getattr(after, f"{family}_{op['operation']}")(op)
-        after.attend(c["attention_operations"])
-        after.check_declarations(self, c)
-        after.derive()
-        after.check_closure()
-        after.check_bounds(limits)
-        after.history.append({"contribution_id": after.cid, "source_turn_id": after.turn, "transformations": categories(c)})
-        for kind, seen in after.seen.items():
-            seen.add(c[f"{kind}_id"])
-        return after
+                getattr(self, f"{family}_{op['operation']}")(op)
+        self.attend(c["attention_operations"])
+        self.check_declarations(c)
+        self.check_closure([op.get("constraint") or op["replacement"] for op in c["constraint_operations"] if op["operation"] in ("add", "replace")])
+        self.check_bounds(limits)
+        self.head |= {"version": self.head["version"] + 1, "first_turn": self.head["first_turn"] or self.turn, "last_turn": self.turn}
+        for kind in SEEN:
+            self.seen.put((kind, c[f"{kind}_id"]), True)
+
+    # The whole state
 
     def record(self) -> Record:
-        """Return the state as a plain record."""
+        """Return the state as a plain record: records in first-declared order, derived lists and lens filled."""
+
+        def placed(table: Overlay) -> list[tuple[str, Record]]:
+            return sorted(table.base.items(), key=lambda x: x[1]["place"])
+
+        regions = placed(self.regions)
+        kinds = {kind: [{f: v for f, v in x.items() if f != "place"} for _, x in placed(table)] for kind, table in (("relation", self.relations), ("constraint", self.constraints), ("tension", self.tensions))}
+        incidence: dict[str, dict[str, list[str]]] = {key: {family: [] for family in INCIDENCE} for key, _ in regions}
+        for (kind, records), family in zip(kinds.items(), INCIDENCE, strict=True):
+            for x in records:
+                if x["lifecycle"] == HANGS[kind] and not (kind == "constraint" and x["applicability"]["kind"] != "regions"):
+                    for end in _ends(kind, x):
+                        if self._live(end):
+                            incidence[end][family].append(x[f"{kind}_id"])
         return {
             "thread_id": self.thread_id,
-            "version": len(self.history),
-            "regions": list(self.regions.values()),
-            "relations": list(self.relations.values()),
-            "constraints": list(self.constraints.values()),
-            "open_tensions": list(self.tensions.values()),
-            "contribution_history": self.history,
-            "attention_lens": self.lens(),
-            "source_turn_range": {"first_turn_id": self.first_turn, "last_turn_id": self.last_turn},
+            "version": self.head["version"],
+            "regions": [
+                {"region_id": key, "anchor_referents": [dict(self.referents.before((key, n))) for n in range(x["referents"])]}
+                | incidence[key]
+                | {"source_contribution_ids": [self.sources.before((key, n)) for n in range(x["sources"])]}
+                | {field: x[field] for field in ("persistence_state", "activation_band", "supersedes_region_id")}
+                for key, x in regions
+            ],
+            "relations": kinds["relation"],
+            "constraints": kinds["constraint"],
+            "open_tensions": kinds["tension"],
+            "contribution_history": list(self.history),
+            "attention_lens": {f"{band}_region_ids": [key for key, x in regions if x["activation_band"] == band and x["persistence_state"] in OPERATIONAL] for band in BANDS},
+            "source_turn_range": {"first_turn_id": self.head["first_turn"], "last_turn_id": self.head["last_turn"]},
         }
 
 
+def _ends(kind: str, record: Record) -> list[str]:
+    """Regions that a relation, constraint or tension hangs on, each once."""
+    if kind == "relation":
+        found = (record["source_region_id"], record.get("target_region_id"))
+    elif kind == "constraint":
+        found = record["applicability"].get("region_ids") or ()
+    else:
+        found = (record["region_id"],)
+    return [x for x in dict.fromkeys(found) if x is not None]
+
+
 def check_log(log: Record) -> None:
     """Demand contiguous sequences and versions, and identities used once."""
     _named([(log["thread_id"], "log thread_id")])
-    seen: dict[str, set[str]] = {"contribution": set(), "source_turn": set(), "source_utterance": set()}
+    seen: dict[str, set[str]] = {kind: set() for kind in SEEN}
     for k, entry in enumerate(log["entries"]):
         _demand(entry["sequence"] == k + 1, "accepted_entry_sequence_mismatch", index=k)
         _demand(entry["prior_state_version"] == k, "accepted_entry_prior_version_mismatch", index=k)
@@ -583,7 +699,7 @@ def _check_pair(state: Record | None, log: Record) -> None:
 def _run(log: Record, limits: Limits) -> Space:
     space = Space(log["thread_id"])
     for entry in log["entries"]:
-        space = space.accept(entry["contribution"], limits)
+        space.accept(entry["contribution"], limits)
     return space
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quillstrata.catalogue import register
 from quillstrata.operators import derived, fold
-from quillstrata.sources import read_table
+from quillstrata.sources import read_table, work_folder
+from quillstrata.streaming import threads as live
 
 _NONE = "array()"
 
@@ -201,3 +202,40 @@ def continuity(spark, sf_dir):
     """The preceding turn of every turn; none on a fresh thread."""
     before = F.lag("text").over(Window.partitionBy("thread_id").orderBy("k"))
     return turns(spark, sf_dir).select("thread_id", "k", before.alias("previous_text"))
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of live threads to turns that arrive in three deliveries, the last with old turns once more.
+
+    The stream ends after the first delivery and starts again from its checkpoint.
+    """
+    session = spark.newSession()
+    live.use_rocksdb(session)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = work_folder(spark)
+    entries = log(spark, sf_dir).select("thread_id", "sequence", "contribution")
+    deliveries = (entries.where("sequence <= 3"), entries.where("sequence between 4 and 6"), entries.where("sequence > 6 or sequence = 2"))
+    for number, delivery in enumerate(deliveries):
+        delivery.write.mode("append").parquet(f"{folder}/inbox")
+        if number != 1:
+            live.run_available(session.readStream.schema(entries.schema).parquet(f"{folder}/inbox"), folder)
+    return spark.read.parquet(f"{folder}/answers")
+
+
+_LIVED = f"""SELECT thread_id, k, n FROM ({_TURNS}) JOIN ({_N}) USING (thread_id)"""
+
+
+@register("live_lifecycles", f"""WITH v AS ({_LIVED}) SELECT thread_id, 'region' AS family, 'r' || k::VARCHAR AS id, CASE WHEN k % 8 = 0 AND k + 7 < n THEN 'superseded' ELSE 'active' END AS lifecycle FROM v WHERE k % 4 = 0
+  UNION ALL SELECT thread_id, 'relation', 'rel' || k::VARCHAR, CASE WHEN k + 1 < n THEN 'retired' ELSE 'active' END FROM v WHERE k % 8 = 5
+  UNION ALL SELECT thread_id, 'constraint', 'con' || k::VARCHAR, CASE WHEN k + 4 < n THEN 'retired' ELSE 'active' END FROM v WHERE k % 8 = 0
+  UNION ALL SELECT thread_id, 'tension', 'ten' || k::VARCHAR, CASE WHEN k + 2 < n THEN 'resolved' ELSE 'open' END FROM v WHERE k % 8 = 4""")
+def live_lifecycles(spark, sf_dir):
+    """What every record of every live thread has become, after a restart of the stream."""
+    return live.lifecycles(_answered(spark, sf_dir))
+
+
+@register("live_answers", f"""WITH v AS ({_LIVED}) SELECT thread_id, k + 1 AS sequence, true AS accepted, k + 1 AS version, NULL AS code FROM v
+  UNION ALL SELECT thread_id, 2, false, least(n, 3), 'accepted_entry_sequence_mismatch' FROM v WHERE k = 1""")
+def live_answers(spark, sf_dir):
+    """The answer to every arrival; turns that arrive again are told so and change nothing."""
+    return _answered(spark, sf_dir).select("thread_id", "sequence", "accepted", "version", "code")

@@ -114,6 +114,15 @@ def _end_with_application(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(target)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Return a new folder in the shared folder, which is deleted when the application ends."""
+    path = f"{scratch_dir(spark)}/work/{uuid.uuid4().hex}"
+    files, target = _files(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
 #: What ``shared`` has built, by application, inputs and name.
 _SHARED: dict[tuple, object] = {}
 

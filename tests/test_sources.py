@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quillstrata.functions import records
 from quillstrata.operators import projection as P
-from quillstrata.operators import surfaces, validation
-from quillstrata.sources import notes
-from quillstrata.streaming.threads import answer_contributions
+from quillstrata.operators import fold, surfaces, validation
+from quillstrata.sources import notes, shared
+from quillstrata.streaming import threads
+from quillstrata.streaming.threads import answer_contributions, use_rocksdb
 
 NOTE = """---
 uuid: {ABCDEF01-2345-6789-ABCD-EF0123456789}
@@ -111,8 +112,49 @@ def test_live_threads(spark, tmp_path):
     rows = [[("x", 1, said(1)), ("y", 1, said(1))], [("x", 2, said(2)), ("y", 3, said(3)), ("x", 3, said(3, "t1"))]]
     for batch in rows:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    session = spark.newSession()
+    use_rocksdb(session)
+    stream = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     query = answer_contributions(stream).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {(r.thread_id, r.sequence): (r.accepted, r.version, r.code) for r in spark.table("answers").collect()}
+    got = {(r.thread_id, r.sequence): (r.accepted, r.version, r.code) for r in session.table("answers").collect()}
     assert got == {("x", 1): (True, 1, None), ("y", 1): (True, 1, None), ("x", 2): (True, 2, None), ("x", 3): (False, 2, "duplicate_accepted_identity"), ("y", 3): (False, 1, "accepted_entry_sequence_mismatch")}
+
+
+def test_a_live_thread_writes_what_changes(spark, tmp_path):
+    """A contribution to a large thread writes the records it names, not the thread."""
+    from pathlib import Path
+
+    def said(n, regions):
+        lists = {x: [] for x in fold.LISTS} | {"region_operations": regions}
+        return "x", n, json.dumps({"contribution_id": f"c{n}", "source_turn_id": f"t{n}", "source_utterance_id": f"u{n}"} | lists)
+
+    def region(identity):
+        return {"region_id": identity, "anchor_referents": [], "relation_ids": [], "local_constraint_ids": [], "open_tension_ids": [], "source_contribution_ids": [], "persistence_state": "active", "activation_band": "primary", "supersedes_region_id": None}
+
+    session = spark.newSession()
+    threads.use_rocksdb(session)
+    session.conf.set("spark.sql.shuffle.partitions", "1")
+    schema, folder = "thread_id string, sequence long, contribution string", str(tmp_path / "live")
+    first = [said(n, [{"operation": "create", "region": region(f"r{n}.{k}")} for k in range(20)]) for n in range(1, 61)]
+    for batch in (first, [said(61, [{"operation": "reinforce", "region_id": "r7.3", "reason": ""}])]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/inbox")
+        threads.run_available(session.readStream.schema(schema).parquet(f"{folder}/inbox"), folder)
+    written = {int(p.name.split(".")[0].split("_")[0]): p.stat().st_size for p in Path(folder).rglob("*.changelog")}
+    versions = sorted(written)
+    assert len(versions) >= 2 and written[versions[-1]] * 20 < written[versions[0]], written
+    answers = spark.read.parquet(f"{folder}/answers")
+    assert answers.where("accepted").count() == 61
+    assert answers.where("sequence = 61").first().changes == [("region", "r7.3", "active")]
+
+
+def test_shared_snapshots_follow_their_files(spark, tmp_path):
+    built = []
+
+    def value():
+        return shared(spark, str(tmp_path), ("t",), "numbers", lambda: built.append(1) or len(built))
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert value() == value() == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert value() == 2
