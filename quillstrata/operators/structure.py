@@ -68,14 +68,18 @@ class Vault:
     transitions: DataFrame
 
 
-def _occurrences(notes: DataFrame, units: DataFrame, regions: DataFrame) -> DataFrame:
-    """Links of bodies and of front matter, with their canonical targets."""
+def authored_links(notes: DataFrame, units: DataFrame) -> DataFrame:
+    """Links of bodies and of front matter, as authored."""
     body = P.wikilinks(units.select(F.struct("object_id", "unit_id", F.col("ordinal").alias("unit_ordinal")).alias("from"), "content"), "from", "content")
     written = F.concat(F.map_values("front_matter"), F.flatten(F.map_values("front_lists")))
     front = notes.select(F.struct("object_id", F.lit(None).cast("string").alias("unit_id"), F.lit(0).cast("long").alias("unit_ordinal")).alias("from"), F.array_join(F.filter(F.array_sort(written), lambda x: x.contains("[[")), "\n").alias("content"))
     links = body.unionByName(P.wikilinks(front, "from", "content"))
-    links = links.select(F.concat_ws(":", F.lit("occ"), "source_id.object_id", "source_id.unit_ordinal", "ordinal").alias("occurrence_id"), F.col("source_id.object_id").alias("source_object_id"), F.col("source_id.unit_id").alias("source_unit_id"), "target", "heading", "block_id", "alias", "embed")
-    named = P.resolve(links, notes.select(F.col("title").alias("name"), F.col("object_id").alias("target_id")))
+    return links.select(F.concat_ws(":", F.lit("occ"), "source_id.object_id", "source_id.unit_ordinal", "ordinal").alias("occurrence_id"), F.col("source_id.object_id").alias("source_object_id"), F.col("source_id.unit_id").alias("source_unit_id"), "target", "heading", "block_id", "alias", "embed")
+
+
+def resolved_links(links: DataFrame, names: DataFrame, units: DataFrame, regions: DataFrame) -> DataFrame:
+    """Authored links with their canonical targets, among the objects of ``names`` (name, target_id), and their units and regions."""
+    named = P.resolve(links, names)
     places = regions.where("level > 0").groupBy(F.col("object_id").alias("target_id"), F.col("title").alias("heading")).agg(F.count("*").alias("places"), F.min("address").alias("address"))
     blocks = units.where("block_id <> ''").groupBy(F.col("object_id").alias("target_id"), "block_id").agg(F.count("*").alias("blocks"), F.min("unit_id").alias("block_unit"))
     found = named.join(places, ["target_id", "heading"], "left").join(blocks, ["target_id", "block_id"], "left")
@@ -88,32 +92,39 @@ def _occurrences(notes: DataFrame, units: DataFrame, regions: DataFrame) -> Data
     return rows.select("occurrence_id", "source_object_id", "source_unit_id", "target", "heading", "block_id", "alias", "embed", "status", F.when(real, kind).alias("target_kind"), F.when(real, identity).alias("target_id"))
 
 
-def build(notes: DataFrame, descriptors: DataFrame) -> Vault:
-    """Build the record tables of admitted notes.
-
-    ``descriptors`` has identifier_name and temporal_affordance; front-matter fields
-    without a descriptor are no identifiers. Objects count what they contain, so
-    that a lost record shows.
-    """
-    spark = notes.sparkSession
+def own_tables(notes: DataFrame, descriptors: DataFrame) -> dict[str, DataFrame]:
+    """Objects, regions, units, assignments and anchors: what each note holds whatever the others hold."""
     regions = P.markdown_regions(notes).withColumn("region_id", F.concat_ws("#", "object_id", "address"))
     blocks = P.markdown_blocks(notes)
     address = P.region_address(F.col("heading_path"))
     units = blocks.select(P.unit_id(F.col("object_id"), address, F.col("ordinal")).alias("unit_id"), "object_id", F.concat_ws("#", "object_id", address).alias("region_id"), "ordinal", "block_type", "content", "block_id")
-    occurrences = _occurrences(notes, units, regions)
     fields = notes.select("object_id", "class_name", F.explode("front_matter").alias("identifier_name", "value"))
     assignments = fields.join(F.broadcast(descriptors), "identifier_name", "left_semi").withColumn("assignment_id", F.concat_ws(":", F.lit("id"), "object_id", "identifier_name"))
     counts = units.groupBy("object_id").agg(F.count("*").alias("n_units"))
     objects = notes.select("object_id", "title", "class_name").join(counts, "object_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))
+    return {"objects": objects, "regions": regions, "units": units, "assignments": assignments, "anchors": P.temporal_anchors(assignments, descriptors)}
+
+
+def build(notes: DataFrame, descriptors: DataFrame) -> Vault:
+    """Build the record tables of admitted notes.
+
+    ``descriptors`` has identifier_name and temporal_affordance; front-matter fields
+    without a descriptor are no identifiers. Objects count what they contain, so
+    that a lost record shows.
+    """
+    spark = notes.sparkSession
+    own = own_tables(notes, descriptors)
+    names = notes.select(F.col("title").alias("name"), F.col("object_id").alias("target_id"))
+    occurrences = resolved_links(authored_links(notes, own["units"]), names, own["units"], own["regions"])
     surfaces = [(f"surface:{k}", k, mode, back, cover, total, list(kinds), DEFAULT_LIMIT, HARD_LIMIT, True) for k, (mode, back, cover, total, kinds) in SURFACES.items()]
     transitions = [(k, *v) for k, v in TRANSITIONS.items()]
     return Vault(
-        objects,
-        regions,
-        units,
+        own["objects"],
+        own["regions"],
+        own["units"],
         occurrences,
-        assignments,
-        P.temporal_anchors(assignments, descriptors),
+        own["assignments"],
+        own["anchors"],
         spark.createDataFrame(surfaces, "surface_id string, kind string, mode string, returned string, coverage string, total_count boolean, visible_kinds array<string>, default_limit int, hard_limit int, available boolean"),
         spark.createDataFrame(transitions, "transition_id string, from_kind string, operation string, direction string, to_kind string"),
     )
