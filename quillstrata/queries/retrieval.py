@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstrata.catalogue import register
+from quillstrata.operators import indexes as I
 from quillstrata.operators import surfaces as R
 from quillstrata.operators import traversal as T
-from quillstrata.sources import read_table
+from quillstrata.sources import Scratch, read_table, shared, work_folder
+from quillstrata.sources.buckets import Buckets
 
 TERM_CAP, NEIGHBOURS, PREVIEW, HUB, PAGE = 8, 8, 80, 30, 5
 
@@ -190,3 +192,49 @@ def incidence(spark, sf_dir):
     table = T.edges(read_table(spark, sf_dir, "lineitem"), "order", "l_orderkey", "order_occurrence", "part", "l_partkey", order="l_linenumber")
     bound = read_table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("source_id"))
     return R.incidence(table, bound, "order_occurrence", "outgoing").select("source_kind", "source_id", "target_id", "ord")
+
+
+#: Buckets of an index; more for larger corpora.
+INDEX_BUCKETS = 16
+
+
+def _index(spark: SparkSession, sf_dir: str, what: str) -> Buckets:
+    """An index of the documents, written once an application."""
+
+    def build() -> Buckets:
+        store = Buckets(spark, work_folder(spark), I.KEYS, INDEX_BUCKETS)
+        write = {"terms": I.term_index, "literals": I.literal_index}[what]
+        write(store, read_table(spark, sf_dir, "documents"), "doc_id", "text")
+        return store
+
+    return shared(spark, sf_dir, ("documents",), f"index of {what}", build)
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = I.literal(_index(spark, sf_dir, "literals"), read_table(spark, sf_dir, "benchmark"), "item_id", "text", Scratch(spark))
+    return found.withColumnRenamed("record_id", "doc_id")
+
+
+@register("exact_search_indexed", _EXACT)
+def exact_search_indexed(spark, sf_dir):
+    """Documents that hold a benchmark text literally, by the index of triples."""
+    return _indexed(spark, sf_dir)
+
+
+@register("exact_absence_indexed", f"SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM ({_EXACT}))")
+def exact_absence_indexed(spark, sf_dir):
+    """Literals that the index proves to be nowhere."""
+    return read_table(spark, sf_dir, "benchmark").select("item_id").join(_indexed(spark, sf_dir), "item_id", "left_anti")
+
+
+_RANKED = """WITH p AS (SELECT item_id, unnest({terms}) AS term FROM benchmark), r AS (SELECT doc_id, unnest({terms}) AS term FROM documents),
+  m AS (SELECT item_id, doc_id, count(*) AS matched FROM (SELECT DISTINCT * FROM p) JOIN r USING (term) GROUP BY ALL)
+  SELECT item_id, doc_id, matched, position FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, doc_id) AS position FROM m) WHERE position <= {cap}"""
+
+
+@register("term_search_indexed", _RANKED.format(terms=_TERMS.format("text"), cap=TERM_CAP))
+def term_search_indexed(spark, sf_dir):
+    """The documents with most terms of each benchmark text, by the index of terms."""
+    probes = read_table(spark, sf_dir, "benchmark").select("item_id", R.terms(F.col("text")).alias("terms"))
+    best, _ = I.ranked(_index(spark, sf_dir, "terms"), probes, "item_id", TERM_CAP, Scratch(spark))
+    return best.select("item_id", F.col("record_id").alias("doc_id"), "matched", "position")
