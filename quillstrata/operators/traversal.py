@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstrata.sources import durable
+from quillstrata.sources import Scratch, durable
 
 EDGE = ("source_kind", "source_id", "transition_id", "direction", "target_kind", "target_id", "ord")
 
@@ -67,6 +67,27 @@ def temporal_order(anchors: DataFrame, group: str, order: list, position: str =
     return anchors.withColumn(position, F.row_number().over(Window.partitionBy(group).orderBy(*keys)).cast("long"))
 
 
+def spread_order(anchors: DataFrame, group: str, order: list, scratch: Scratch, position: str = "position") -> DataFrame:
+    """Number the anchors of each group as ``temporal_order`` does, a group being spread over tasks.
+
+    Rows are dealt by ranges of group and keys, so that a group with most of the rows has as
+    many ranges as it needs; each range is sorted, and a row's number is its place in the
+    range and what the group has in the ranges before. The ranges are written to ``scratch``
+    first, since two runs might draw them differently. Keys should tell rows apart: rows of
+    a group with equal keys are in one range.
+    """
+    keys = [F.col(group), *(F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order)]
+    parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ranges = anchors.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # Numbers rise by one within a range; those of different ranges differ in the upper bits.
+    ranges = scratch.write(sorted_ranges.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)))
+    counts = ranges.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_in"), (before - F.col("_first") + 1).alias("_shift"))
+    joined = ranges.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_in")))
+    return joined.select(*(c for c in anchors.columns if c != position), (F.col("_at") + F.col("_shift")).alias(position))
+
+
 def group_branches(branches: dict[str, DataFrame]) -> DataFrame:
     """Keep branches apart: their rows with a ``branch`` column."""
     return reduce(DataFrame.unionByName, (rows.withColumn("branch", F.lit(name)) for name, rows in sorted(branches.items())))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillstrata.operators import surfaces as R
@@ -223,9 +223,11 @@ class Execution:
 OPERATIONS = "operation_id string, kind string, surface_id string, required boolean, observed long, bound long, available boolean, failed boolean"
 #: Rows of one operation, given the operation, its number in the plan and its input.
 Step = Callable[[object, str, DataFrame], DataFrame]
+#: Rows with their position in a group, given the group and the order.
+Ordered = Callable[[DataFrame, str, list], DataFrame]
 
 
-def _walk(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None, step: Step) -> dict[str, DataFrame]:
+def _walk(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None, step: Step, ordered: Ordered = T.temporal_order) -> dict[str, DataFrame]:
     """Rows of every binding; operations are numbered from 1 along each path, as ``output.number``."""
     out = dict(start or {})
     named = start_sets(plan, snapshot)
@@ -236,7 +238,7 @@ def _walk(plan: Plan, snapshot: Snapshot, start: dict[str, DataFrame] | None, st
         if isinstance(part, Join):
             branches = {x: out[x] for x in part.inputs}
             joined = T.group_branches(branches) if part.how == "group" else T.concatenate(branches)
-            out[part.output] = T.temporal_order(joined, "root", ["anchor", "id"]) if part.how == "temporal_order" else joined
+            out[part.output] = ordered(joined, "root", ["anchor", "id"]) if part.how == "temporal_order" else joined
             continue
         rows = out[part.start]
         for number, op in enumerate(part.operations, 1):
@@ -263,7 +265,7 @@ def run(plan: Plan, snapshot: Snapshot, scratch: Scratch, start: dict[str, DataF
     Each operation is one job. It writes its rows, counts them in the tasks that write
     (each counts once, however often executors are lost), and the next operations read
     what was written: a path of n operations does n steps, and what several paths start
-    from is computed once. A search with a limit is written before the cut, too, since
+    from is computed once. Orders are spread over tasks, however long that of one root is. A search with a limit is written before the cut, too, since
     what it found decides whether the limit cut anything.
 
     ``start`` may give large start sets as tables instead of lists of ids. An operation
@@ -273,6 +275,9 @@ def run(plan: Plan, snapshot: Snapshot, scratch: Scratch, start: dict[str, DataF
     """
     measured: list[dict] = []
 
+    def ordered(rows: DataFrame, group: str, order: list) -> DataFrame:
+        return T.spread_order(rows, group, order, scratch)
+
     def step(op: object, name: str, rows: DataFrame) -> DataFrame:
         available, failed = _runnable(op, snapshot)
         if not available or failed:
@@ -280,16 +285,16 @@ def run(plan: Plan, snapshot: Snapshot, scratch: Scratch, start: dict[str, DataF
         elif isinstance(op, Search) and op.limit is not None:
             found, _ = _written(snapshot.search[op.surface](rows, op.query), scratch)
             observed = found.groupBy("root").count().agg(F.max("count")).first()[0] or 0
-            rows, _ = _written(_apply(op, rows, snapshot, found), scratch)
+            rows, _ = _written(_apply(op, rows, snapshot, found, ordered), scratch)
             scratch.drop(found)
         else:
             found = snapshot.search[op.surface](rows, op.query) if isinstance(op, Search) else None
-            rows, observed = _written(_apply(op, rows, snapshot, found), scratch)
+            rows, observed = _written(_apply(op, rows, snapshot, found, ordered), scratch)
         surface, bound = (op.surface, op.limit) if isinstance(op, Search) else (None, None)
         measured.append({"operation_id": name, "kind": type(op).__name__.lower(), "surface_id": surface, "required": op.required, "observed": observed, "bound": bound, "available": available, "failed": failed})
         return rows
 
-    bindings = _walk(plan, snapshot, start, step)
+    bindings = _walk(plan, snapshot, start, step, ordered)
     return Execution(bindings, snapshot.records.sparkSession.createDataFrame([tuple(m.values()) for m in measured], OPERATIONS))
 
 
@@ -315,7 +320,7 @@ def _nothing(rows: DataFrame) -> DataFrame:
     return rows.where("false").select("root", "kind", "id")
 
 
-def _apply(op: object, rows: DataFrame, snapshot: Snapshot, found: DataFrame | None = None) -> DataFrame:
+def _apply(op: object, rows: DataFrame, snapshot: Snapshot, found: DataFrame | None = None, ordered: Ordered = T.temporal_order) -> DataFrame:
     if isinstance(op, Follow):
         return T.follow(rows, snapshot.edges, op.transition, op.direction)
     if isinstance(op, Search):
@@ -332,7 +337,7 @@ def _apply(op: object, rows: DataFrame, snapshot: Snapshot, found: DataFrame | N
         return dated.groupBy("root", "kind").agg(F.count("*").alias("contexts"), F.min("anchor").alias("anchor"), F.min("id").alias("id"))
     descending = op.how == "descending"
     keys = [F.col("anchor").desc() if descending else F.col("anchor").asc_nulls_last(), F.col("id")]
-    return dated.withColumn("position", F.row_number().over(Window.partitionBy("root").orderBy(*keys)).cast("long"))
+    return ordered(dated.drop("position"), "root", keys)
 
 
 def _of(rows: DataFrame, kind: str) -> DataFrame:

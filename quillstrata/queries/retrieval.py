@@ -79,6 +79,19 @@ def join_temporal_order(spark, sf_dir):
     return T.temporal_order(read_table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
 
 
+@register("events_in_order", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events")
+def events_in_order(spark, sf_dir):
+    """All events as the anchors of one root, in order of time, without a task that sees them all."""
+    events = read_table(spark, sf_dir, "events").select(F.lit("all").alias("root"), "event_id", "ts")
+    return T.spread_order(events, "root", ["ts", "event_id"], Scratch(spark)).select("event_id", "position")
+
+
+@register("contexts_in_order", f"SELECT part_key, order_key, anchor_date, row_number() OVER (PARTITION BY part_key ORDER BY anchor_date DESC, order_key) AS position FROM ({_CONTEXTS})")
+def contexts_in_order(spark, sf_dir):
+    """All contexts of each part, newest first, by ranges of part and date."""
+    return T.spread_order(contexts(spark, sf_dir), "part_key", [F.desc("anchor_date"), "order_key"], Scratch(spark))
+
+
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containment edges region, nation, customer, order."""
     tables = [read_table(spark, sf_dir, t) for t in ("nation", "customer", "orders")]

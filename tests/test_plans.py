@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.operators import activation as A
 from quillstrata.operators import derived
+from quillstrata.operators import traversal as T
 from quillstrata.plans import access as X
 from quillstrata.plans import report as Q
 from quillstrata.sources import Scratch
@@ -98,6 +99,27 @@ def test_each_operation_reads_its_source_once(spark, snapshot, tmp_path):
     assert observed == {"far.1": 2, "far.2": 2, "far.3": 7, "far.4": 7, "far.5": 2, "b.1": 2, "c.1": 2, "c.2": 2}
 
 
+@pytest.mark.parametrize("roots", [1, 3, 500])
+def test_an_order_is_spread_over_tasks(spark, roots):
+    """Most rows are of one root; no range has more than twice the rows of the median one."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, F.lit(0)).otherwise(F.col("id") % roots).alias("root"), F.when(F.col("id") % 7 > 0, F.xxhash64("id") % 1000).alias("anchor"), "id")
+    rows = rows.withColumn("root", F.when(F.col("root") != 1, F.col("root")))
+    scratch = Scratch(spark)
+    spread = T.spread_order(rows, "root", ["anchor", "id"], scratch)
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, T.temporal_order(rows, "root", ["anchor", "id"]).collect()))
+    sizes = sorted(r["count"] for r in spark.read.parquet(f"{scratch._root}/1").groupBy("_range").count().collect())
+    assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_measured_orders_equal_lazy_ones(spark, snapshot):
+    dated = (X.Follow("object_context", "incoming"), X.Temporal("descending"))
+    plan = X.Plan((BOOKS,), (X.Path("books", dated, "a"), X.Path("books", dated, "b")), (X.Join("temporal_order", ("a", "b"), "all"),))
+    lazy, done = X.execute(plan, snapshot), X.run(plan, snapshot, Scratch(spark))
+    for name in ("a", "all"):
+        columns = sorted(lazy[name].columns)
+        assert sorted(map(repr, done.bindings[name].select(columns).collect())) == sorted(map(repr, lazy[name].select(columns).collect()))
+
+
 def test_nothing_is_left_of_a_measured_plan(spark, snapshot):
     with Scratch(spark) as scratch:
         X.run(X.Plan((BOOKS,), (X.Path("books", (X.Follow("object_unit"), X.Search("exact", "literal", "a", 1)), "found"),)), snapshot, scratch)
