@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.catalogue import register
 from quillstrata.operators import activation as A
+from quillstrata.operators import faults as B
 from quillstrata.operators import projection as P
 from quillstrata.operators import structure as S
 from quillstrata.operators import surfaces as R
@@ -201,6 +202,17 @@ def acceptance_of_damage(spark, sf_dir):
     return _counted(S.acceptance(v, S.activate(v, 20)))
 
 
+_PLANTED = {"08": "2", "15": "2", "16": "1", "17": "1", "18": "1", "19": "1", "20": "1", "21": "1"}
+
+
+@register("acceptance_of_faults", " UNION ALL ".join(f"SELECT '{x}' AS check_name, {_PLANTED.get(x[:2], '(SELECT count(*) FROM nation)')} AS failures" for x in _CONDITIONS) + " UNION ALL SELECT 'surfaces_capable', 4 UNION ALL SELECT 'coverage_fits', 1")
+def acceptance_of_faults(spark, sf_dir):
+    """A vault with a fault of every condition: each finds its own, those of records once for every nation."""
+    planted = B.plant(vault(spark, sf_dir), read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("key")), 20)
+    checks = S.acceptance(planted.vault, planted.view, planted.incoming, planted.segments)
+    return _counted(checks | {"surfaces_capable": S.capability_faults(planted.vault), "coverage_fits": V.coverage_faults(planted.vault.surfaces)})
+
+
 @register("projection_checks", f"{_CTE} {_zeros(('authored_text_present', 'coverage_fits', 'dated_subjects', 'descriptors_unique', 'graph_hydrates', 'inventories_agree', 'links_listed', 'records_visible', 'segments_rebuild', 'surfaces_capable', 'transitions_typed'))} UNION ALL SELECT 'record_counts', (SELECT count(*) FROM o) + (SELECT count(*) FROM g) + (SELECT count(*) FROM u) + (SELECT count(*) FROM x) + (SELECT count(*) FROM i) + (SELECT count(*) FROM i WHERE identifier_name = 'joined')")
 def projection_checks(spark, sf_dir):
     """Further integrity checks of the vault: failing rows of each, and the number of all records."""
