@@ -1,8 +1,8 @@
 """Activation: bounded, explainable views of a projection.
 
-Every step is a set operation over ordered rows but one: whether an atomic bundle
-still fits depends on all bundles before it, so bundles of one turn are placed in
-order within a group, and turns in parallel.
+Every step is a set operation over ordered rows. Whether an atomic bundle still fits
+depends on all bundles before it; bundles are placed in rounds, each of which settles all
+that surely fit or surely do not.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstrata.operators import traversal as T
+from quillstrata.sources import Scratch
+
 #: Order of seed groups.
 SEED_GROUPS = ("utterance", "whole_space_constraint", "primary", "secondary", "tertiary", "background", "configured_default")
 #: Default provenance keys.
@@ -188,31 +190,51 @@ def filter_of(name: str, value: object) -> Column:
     raise KeyError(f"continuation filter {name} is not supported")
 
 
-def place_bundles(bundles: DataFrame, limits: dict[str, int]) -> DataFrame:
+def place_bundles(bundles: DataFrame, limits: dict[str, int], scratch: Scratch) -> DataFrame:
     """Place the atomic bundles of each turn in order; one that does not fit is left out whole.
 
     ``bundles`` has turn_id, bundle_ord, kind and id: all records a bundle needs.
     Records that an earlier bundle brought are shared and cost nothing. Returns
-    (turn_id, bundle_ord, placed, added).
+    (turn_id, bundle_ord, placed, added); a null turn is a turn, and kinds without a limit
+    are not bound.
+
+    What is held only grows, and so does its union with a bundle: a bundle that does not fit
+    now never will. In a round all such bundles are settled at once, and of the others the
+    longest row from the first on that fits together; the one after it does not fit, since
+    all before it are placed. No turn is one task's: sums over a turn's bundles are taken by
+    ranges. Rounds go on until all bundles are settled; each places a bundle of every turn
+    that has an open one, or leaves it without.
     """
-    schema = pa.schema([("turn_id", pa.string()), ("bundle_ord", pa.int64()), ("placed", pa.bool_()), ("added", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        needs: dict[int, set[tuple[str, str]]] = {}
-        for row in table.to_pylist():
-            needs.setdefault(row["bundle_ord"], set()).add((row["kind"], row["id"]))
-        held: set[tuple[str, str]] = set()
-        out = []
-        for at in sorted(needs):
-            new = needs[at] - held
-            used = {kind: sum(k == kind for k, _ in held | new) for kind in limits}
-            fits = all(used[kind] <= most for kind, most in limits.items())
-            if fits:
-                held |= new
-            out.append({"turn_id": table["turn_id"][0].as_py(), "bundle_ord": at, "placed": fits, "added": len(new) if fits else 0})
-        return pa.Table.from_pylist(out, schema=schema)
-
-    return bundles.select("turn_id", "bundle_ord", "kind", "id").groupBy("turn_id").applyInArrow(run, "turn_id string, bundle_ord long, placed boolean, added long")
+    most = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)) if limits else F.create_map().cast("map<string, int>")
+    bound = F.coalesce(most[F.col("kind")], F.lit(2**62)).cast("long")
+    turn, turns = "turn_id", ["turn_id", "bundle_ord"]
+    need = scratch.write(bundles.select(F.coalesce(F.concat(F.lit("="), F.col(turn).cast("string")), F.lit("")).alias(turn), F.col("bundle_ord").cast("long").alias("bundle_ord"), "kind", "id").distinct())
+    open_ = scratch.write(need.select(turns).distinct())
+    held = need.where("false").select(turn, "kind", "id")
+    settled: list[DataFrame] = []
+    while not open_.isEmpty():
+        wanted = need.join(open_, turns, "left_semi").join(held, [turn, "kind", "id"], "left_anti")
+        full = held.groupBy(turn, "kind").agg(F.count("*").alias("held"))
+        # Alone with what is held.
+        alone = wanted.groupBy(*turns, "kind").agg(F.count("*").alias("new")).join(full, [turn, "kind"], "left")
+        over = scratch.write(alone.where(F.col("new") + F.coalesce("held", F.lit(0)) > bound).select(turns).distinct())
+        still = open_.join(over, turns, "left_anti")
+        # Each record counts for the first open bundle that needs it.
+        first = wanted.join(over, turns, "left_anti").groupBy(turn, "kind", "id").agg(F.min("bundle_ord").alias("bundle_ord"))
+        new = scratch.write(first)
+        sums = T.running_sum(new.groupBy(turn, "kind", "bundle_ord").agg(F.count("*").alias("new")), [turn, "kind"], "bundle_ord", "new", scratch)
+        bad = sums.join(full, [turn, "kind"], "left").where(F.col("sum") + F.coalesce("held", F.lit(0)) > bound).groupBy(turn).agg(F.min("bundle_ord").alias("bad"))
+        judged = scratch.write(still.join(bad, turn, "left").withColumn("placed", F.col("bad").isNull() | (F.col("bundle_ord") < F.col("bad"))))
+        placed = judged.where("placed").select(turns)
+        added = new.join(placed, turns, "left_semi")
+        counts = added.groupBy(turns).agg(F.count("*").alias("added"))
+        here = placed.join(counts, turns, "left").select(*turns, F.lit(True).alias("placed"), F.coalesce("added", F.lit(0)).alias("added"))
+        never = over.unionByName(judged.where("bundle_ord = bad").select(turns)).select(*turns, F.lit(False).alias("placed"), F.lit(0).cast("long").alias("added"))
+        settled.append(scratch.write(here.unionByName(never)))
+        held = scratch.write(held.unionByName(added.select(turn, "kind", "id")))
+        open_ = scratch.write(judged.where("bundle_ord > bad").select(turns))
+    rows = reduce(DataFrame.unionByName, settled) if settled else open_.select(*turns, F.lit(True).alias("placed"), F.lit(0).cast("long").alias("added"))
+    return rows.withColumn(turn, F.when(F.col(turn) != "", F.substring(turn, 2, 1 << 30)))
 
 
 def expand(view: DataFrame, found: DataFrame, budget: int) -> DataFrame:

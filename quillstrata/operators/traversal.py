@@ -88,6 +88,17 @@ def spread_order(anchors: DataFrame, group: str, order: list, scratch: Scratch,
     return joined.select(*(c for c in anchors.columns if c != position), (F.col("_at") + F.col("_shift")).alias(position))
 
 
+def running_sum(rows: DataFrame, group: list[str], order: str, value: str, scratch: Scratch) -> DataFrame:
+    """Add ``sum``: what a group has of ``value`` up to and with each row; a group is spread over tasks as by ``spread_order``."""
+    keys = [*group, order]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = scratch.write(rows.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(*group, "_range").agg(F.sum(value).alias("_total")).withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).drop("_total")
+    inside = F.sum(value).over(Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranges.withColumn("sum", inside).join(totals, [*group, "_range"]).withColumn("sum", F.col("sum") + F.col("_before")).drop("_range", "_before")
+
+
 def group_branches(branches: dict[str, DataFrame]) -> DataFrame:
     """Keep branches apart: their rows with a ``branch`` column."""
     return reduce(DataFrame.unionByName, (rows.withColumn("branch", F.lit(name)) for name, rows in sorted(branches.items())))

@@ -8,7 +8,7 @@ from quillstrata.catalogue import register
 from quillstrata.operators import activation as A
 from quillstrata.operators import traversal as T
 from quillstrata.queries.retrieval import HUB, PAGE, PREVIEW
-from quillstrata.sources import read_table
+from quillstrata.sources import Scratch, read_table
 
 _NORMAL = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 
@@ -160,13 +160,17 @@ def upward_closure(spark, sf_dir):
     return A.closure(orders.select(F.col("o_orderpriority").alias("turn_id"), F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("ord")), up, 2)
 
 
-@register("activation_bundle_bound")
+@register("activation_bundle_bound", """WITH RECURSIVE b AS (SELECT turn_id, bundle_ord, needs, row_number() OVER (PARTITION BY turn_id ORDER BY bundle_ord) AS k FROM (SELECT o_custkey::VARCHAR AS turn_id, o_orderkey AS bundle_ord, list_distinct(list(l_partkey)) AS needs FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)),
+  s AS (SELECT turn_id, k, bundle_ord, len(needs) <= 8 AS placed, CASE WHEN len(needs) <= 8 THEN needs ELSE list_filter(needs, lambda x: false) END AS held, CASE WHEN len(needs) <= 8 THEN len(needs) ELSE 0 END AS added FROM b WHERE k = 1
+    UNION ALL SELECT b.turn_id, b.k, b.bundle_ord, len(list_distinct(list_concat(s.held, b.needs))) <= 8, CASE WHEN len(list_distinct(list_concat(s.held, b.needs))) <= 8 THEN list_distinct(list_concat(s.held, b.needs)) ELSE s.held END,
+      CASE WHEN len(list_distinct(list_concat(s.held, b.needs))) <= 8 THEN len(list_distinct(list_concat(s.held, b.needs))) - len(s.held) ELSE 0 END FROM s JOIN b ON b.turn_id = s.turn_id AND b.k = s.k + 1)
+  SELECT turn_id, bundle_ord, placed, added::BIGINT AS added FROM s""")
 def activation_bundle_bound(spark, sf_dir):
     """Bundles (an order's parts) of each customer, as long as at most eight parts are held."""
     orders, lines = (read_table(spark, sf_dir, t) for t in ("orders", "lineitem"))
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     bundles = rows.select(F.col("o_custkey").cast("string").alias("turn_id"), F.col("o_orderkey").alias("bundle_ord"), F.lit("part").alias("kind"), F.col("l_partkey").cast("string").alias("id"))
-    return A.place_bundles(bundles, {"part": 8})
+    return A.place_bundles(bundles, {"part": 8}, Scratch(spark))
 
 
 @register("expansion", "WITH v AS (SELECT o_custkey::VARCHAR AS turn_id, 'o' || min(o_orderkey)::VARCHAR AS id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey), n AS (SELECT o_custkey::VARCHAR AS turn_id, 'o' || o_orderkey::VARCHAR AS id, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS t FROM orders) SELECT turn_id, id, ord, 'complete' AS state FROM v UNION ALL SELECT turn_id, id, ord, CASE WHEN t - 1 > 4 THEN 'budget_exhausted' ELSE 'complete' END FROM n WHERE k BETWEEN 2 AND 5")

@@ -120,6 +120,25 @@ def test_measured_orders_equal_lazy_ones(spark, snapshot):
         assert sorted(map(repr, done.bindings[name].select(columns).collect())) == sorted(map(repr, lazy[name].select(columns).collect()))
 
 
+def test_bundles_in_rounds_equal_the_sequential_rule(spark):
+    import random
+
+    rng, limits = random.Random(9), {"object": 4, "unit": 6}
+    rows = [(t, k, kind, str(rng.randrange(12))) for t in ("a", "b", None, "") for k in range(60) for kind in rng.choices(["object", "unit", "unit", "free"], k=rng.randint(1, 5))]
+    expected = set()
+    for turn in ("a", "b", None, ""):
+        held = set()
+        for k in range(60):
+            new = {(kind, x) for t, n, kind, x in rows if (t, n) == (turn, k)} - held
+            fits = all(sum(kind == y for y, _ in held | new) <= most for kind, most in limits.items())
+            held |= new if fits else set()
+            expected.add((turn, k, fits, len(new) * fits))
+    table = spark.createDataFrame(rows, "turn_id string, bundle_ord long, kind string, id string")
+    got = A.place_bundles(table, limits, Scratch(spark)).collect()
+    assert len(got) == len(expected) and set(map(tuple, got)) == expected
+    assert A.place_bundles(table.limit(0), limits, Scratch(spark)).collect() == []
+
+
 def test_nothing_is_left_of_a_measured_plan(spark, snapshot):
     with Scratch(spark) as scratch:
         X.run(X.Plan((BOOKS,), (X.Path("books", (X.Follow("object_unit"), X.Search("exact", "literal", "a", 1)), "found"),)), snapshot, scratch)
@@ -166,7 +185,7 @@ def test_failed_surface_gives_no_view(spark):
 
 def test_bundles_share_context(spark):
     rows = [("t", 0, "object", "o"), ("t", 0, "unit", "a"), ("t", 1, "object", "o"), ("t", 1, "unit", "b"), ("t", 2, "object", "p"), ("t", 2, "unit", "c"), ("t", 3, "object", "o"), ("t", 3, "unit", "a")]
-    placed = A.place_bundles(spark.createDataFrame(rows, "turn_id string, bundle_ord long, kind string, id string"), {"object": 1, "unit": 3}).orderBy("bundle_ord").collect()
+    placed = A.place_bundles(spark.createDataFrame(rows, "turn_id string, bundle_ord long, kind string, id string"), {"object": 1, "unit": 3}, Scratch(spark)).orderBy("bundle_ord").collect()
     assert [(r.placed, r.added) for r in placed] == [(True, 2), (True, 1), (False, 0), (True, 0)]
 
 
