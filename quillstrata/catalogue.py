@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    for name in ("corpus", "vault", "maintenance", "retrieval", "activation", "threads", "script", "plans", "exchange"):
+    for name in ("corpus", "vault", "maintenance", "observation", "retrieval", "activation", "threads", "script", "plans", "exchange"):
         importlib.import_module(f"quillstrata.queries.{name}")
 
 

@@ -181,8 +181,12 @@ def expansion(spark, sf_dir):
     return A.expand(view, rows, 4)
 
 
-@register("activation_config_check", "SELECT * FROM (VALUES ('graph', 'missing'), ('lexical', 'above_hard_limit'), ('sonic', 'unknown_surface')) t(surface_id, fault)")
+@register("activation_config_check", """WITH k AS (SELECT c_custkey AS k, c_custkey % 7 = 5 AS left_out, c_custkey % 5 = 1 AS twice, c_custkey % 4 <> 0 AND c_custkey % 3 <> 0 AS there, CASE WHEN c_custkey % 6 = 2 THEN -1 ELSE c_custkey % 50 END AS wanted FROM customer)
+  SELECT 's' || k::VARCHAR AS surface_id, CASE WHEN left_out THEN 'missing' WHEN NOT there THEN 'unknown_surface' WHEN twice THEN 'repeated' WHEN wanted > 32 THEN 'above_hard_limit' ELSE 'negative' END AS fault FROM k WHERE (left_out AND there) OR (NOT left_out AND (NOT there OR twice OR wanted > 32 OR wanted < 0))""")
 def activation_config_check(spark, sf_dir):
-    """Faults of a configuration made with some."""
-    surfaces = spark.createDataFrame([("exact", True, 32), ("lexical", True, 32), ("graph", True, 32), ("vector", False, 32)], "surface_id string, available boolean, hard_limit long")
-    return A.config_faults(spark.createDataFrame([("exact", 0), ("lexical", 33), ("sonic", 1)], "surface_id string, candidate_limit long"), surfaces)
+    """Faults of a configuration with a surface a customer: some unknown, not available, left out, repeated or beyond a limit."""
+    key = F.col("c_custkey")
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("s"), key.cast("string")).alias("surface_id"))
+    surfaces = rows.where("c_custkey % 4 <> 0").select("surface_id", (key % 3 != 0).alias("available"), F.lit(32).cast("long").alias("hard_limit"))
+    config = rows.where("c_custkey % 7 <> 5").select("c_custkey", "surface_id", F.when(key % 6 == 2, -1).otherwise(key % 50).cast("long").alias("candidate_limit"))
+    return A.config_faults(config.unionByName(config.where("c_custkey % 5 = 1")).drop("c_custkey"), surfaces)

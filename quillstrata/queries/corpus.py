@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,12 +140,17 @@ def temporal_anchors(spark, sf_dir):
     return P.temporal_anchors(rows, descriptors)
 
 
-@register("surface_membership", "SELECT k.kind, s.surface_id FROM (VALUES ('semantic_object'), ('semantic_unit'), ('occurrence'), ('temporal_anchor')) k(kind) JOIN (VALUES ('exact', true, ['semantic_object', 'semantic_unit']), ('lexical', true, ['semantic_unit']), ('vector', false, ['semantic_unit']), ('graph', true, ['semantic_object', 'occurrence']), ('temporal', true, ['temporal_anchor'])) s(surface_id, available, visible) ON available AND list_contains(visible, k.kind)")
+_KIND_TABLES = {"semantic_object": "part", "semantic_unit": "documents", "occurrence": "lineitem", "temporal_anchor": "orders"}
+
+
+@register("surface_membership", "SELECT k.kind, s.surface_id, k.records FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, count(*) AS records FROM {table}" for kind, table in _KIND_TABLES.items()) + ") k JOIN (VALUES ('exact', true, ['semantic_object', 'semantic_unit']), ('lexical', true, ['semantic_unit']), ('vector', false, ['semantic_unit']), ('graph', true, ['semantic_object', 'occurrence']), ('temporal', true, ['temporal_anchor'])) s(surface_id, available, visible) ON available AND list_contains(visible, k.kind)")
 def surface_membership(spark, sf_dir):
-    """Surfaces of each kind of record."""
-    kinds = spark.createDataFrame([(x,) for x in ("semantic_object", "semantic_unit", "occurrence", "temporal_anchor")], "kind string")
+    """How many records of each kind every surface sees."""
+    counts = [read_table(spark, sf_dir, table).agg(F.count("*").alias("records")).select(F.lit(kind).alias("kind"), "records") for kind, table in _KIND_TABLES.items()]
+    held = reduce(DataFrame.unionByName, counts)
     surfaces = [("exact", True, ["semantic_object", "semantic_unit"]), ("lexical", True, ["semantic_unit"]), ("vector", False, ["semantic_unit"]), ("graph", True, ["semantic_object", "occurrence"]), ("temporal", True, ["temporal_anchor"])]
-    return P.surface_membership(kinds, spark.createDataFrame(surfaces, "surface_id string, available boolean, visible_kinds array<string>"))
+    members = P.surface_membership(held.select("kind"), spark.createDataFrame(surfaces, "surface_id string, available boolean, visible_kinds array<string>"))
+    return members.join(held, "kind").select("kind", "surface_id", "records")
 
 
 _ROW = "sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(30)), coalesce(lang, chr(30)), coalesce(source, chr(30)), coalesce(text, chr(30))))"

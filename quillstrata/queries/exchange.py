@@ -38,11 +38,15 @@ def region_address_parse(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").select("c_custkey", parsed.alias("a")).select("c_custkey", "a.object_id", "a.address")
 
 
-@register("address_kind", "SELECT * FROM (VALUES ('object', 'semantic_object'), ('unit', 'semantic_unit'), ('region', 'semantic_region'), ('identifier', 'identifier'), ('occurrence', 'occurrence'), ('temporal_anchor', 'temporal_anchor'), ('retrieval_surface', 'retrieval_surface'), ('other', NULL)) t(variant, kind)")
+_VARIANTS = ("object", "region", "unit", "identifier", "occurrence", "temporal_anchor", "retrieval_surface", "other")
+
+
+@register("address_kind", "SELECT p_partkey, ([" + ", ".join(f"'{x}'" for x in _VARIANTS) + "])[(p_partkey % 8)::INT + 1] AS variant, ([" + ", ".join("NULL" if x == "other" else f"'semantic_{x}'" if x in ("object", "region", "unit") else f"'{x}'" for x in _VARIANTS) + "])[(p_partkey % 8)::INT + 1] AS kind FROM part")
 def address_kind(spark, sf_dir):
-    """Kinds of all variants of an address."""
-    variants = spark.createDataFrame([(x,) for x in (*identity.ADDRESS_KINDS, "other")], "variant string")
-    return variants.select("variant", identity.address_kind(F.col("variant")).alias("kind"))
+    """Kinds of addresses of every variant, one a part; one in eight is no address."""
+    variants = F.array(*map(F.lit, _VARIANTS))
+    addresses = read_table(spark, sf_dir, "part").select("p_partkey", variants[(F.col("p_partkey") % 8).cast("int")].alias("variant"))
+    return addresses.select("p_partkey", "variant", identity.address_kind(F.col("variant")).alias("kind"))
 
 
 @register("strict_decode", "SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN '$.extra' WHEN 2 THEN '$.role' WHEN 3 THEN '$.turn' END AS fault_path, CASE turn % 4 WHEN 1 THEN 'unknown field' WHEN 2 THEN 'unknown variant' WHEN 3 THEN 'missing field' END AS fault FROM conversations")
@@ -98,8 +102,11 @@ def record_faults(spark, sf_dir):
 
 @register("schema_export")
 def schema_export(spark, sf_dir):
-    """JSON Schema documents of all records."""
-    return spark.createDataFrame([(n, records.json_schema(n)) for n in schemas.RECORDS], "name string, document string")
+    """JSON Schema documents of all records, and how many turns of the conversations are valid records of each."""
+    documents = spark.createDataFrame([(n, records.json_schema(n)) for n in schemas.RECORDS], "name string, document string")
+    turns = read_table(spark, sf_dir, "conversations").select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("json"))
+    valid = records.check_json(turns, "json", "chat-turn").where("fault is null").agg(F.count("*").alias("valid")).withColumn("name", F.lit("chat-turn"))
+    return documents.join(F.broadcast(valid), "name", "left").withColumn("valid", F.coalesce("valid", F.lit(0)))
 
 
 @register("validation_report", """SELECT * FROM (

@@ -383,10 +383,12 @@ def _bindings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_BOUND, "problem_kind string, problem_id string, bound_kind string, bound_id string")
 
 
-@register("plan_provenance_faults", "SELECT * FROM (VALUES ('region', 'r2', 'path', 'people', 'kind_not_bindable'), ('constraint', 'con2', 'operation', 'hits.9', 'not_in_plan'), ('open_tension', 'ten2', 'address', 'nowhere', 'not_in_plan')) t(problem_kind, problem_id, bound_kind, bound_id, fault)")
+@register("plan_provenance_faults", "SELECT problem_kind, problem_id || ':' || c_custkey::VARCHAR AS problem_id, bound_kind, bound_id, fault FROM customer, (VALUES ('region', 'r2', 'path', 'people', 'kind_not_bindable'), ('constraint', 'con2', 'operation', 'hits.9', 'not_in_plan'), ('open_tension', 'ten2', 'address', 'nowhere', 'not_in_plan')) t(problem_kind, problem_id, bound_kind, bound_id, fault)")
 def plan_provenance_faults(spark, sf_dir):
-    """Problem records that are bound to what the plan does not have."""
-    return X.provenance_faults(_plan(), _bindings(spark)).select("problem_kind", "problem_id", "bound_kind", "bound_id", "fault")
+    """Problem records of every customer that are bound to what the plan does not have."""
+    records = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k")).crossJoin(F.broadcast(_bindings(spark)))
+    bound = records.withColumn("problem_id", F.concat_ws(":", "problem_id", "k")).drop("k")
+    return X.provenance_faults(_plan(), bound).select("problem_kind", "problem_id", "bound_kind", "bound_id", "fault")
 
 
 @register("plan_provenance_carried", f"{_CTE} SELECT root, id, unnest(['region', 'relation', 'constraint', 'region']) AS problem_kind, unnest(['r1', 'rel1', 'con1', 'r2']) AS problem_id FROM ({_HITS})")
