@@ -31,7 +31,7 @@ from quillstrata.llm.samples import stratified
 from quillstrata.sources import Scratch
 
 #: Rows that training uses of each language, landmarks among them, and languages.
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 600, 64, 200
+PER_LANGUAGE, LANDMARKS, LANGUAGES = 600, 64, 20_000
 #: Rows and landmarks of all languages together; many languages share them.
 MOST_ROWS, MOST_LANDMARKS = 24_000, 1024
 #: Hash space of n-grams and size of the vocabulary (the n-grams in most training texts).

@@ -1,22 +1,24 @@
 """Stupid-backoff language-model scores of documents against their own corpus.
 
-Documents are dealt into batches by a hash. Each batch counts its distinct words
-and word pairs, so that a frequent one leaves a batch once, however often it
+Documents are dealt into batches by a hash. Each batch counts its distinct n-grams, from
+single words to runs of ``order`` words, so that a frequent one leaves a batch once, however often it
 occurs; the counts go to n-gram tables partitioned by hash, which add them up and
 answer each batch with the corpus counts of its own n-grams. The batch then joins
 the answers to its exploded n-grams and sums the scores per document.
 
 A document is scored by the rest of the corpus: its own occurrences are taken out
-of every count. The score of a word is c(pair) / c(previous word) if the pair
-occurs elsewhere, else ``BACKOFF`` times c(word) / N, and ``BACKOFF`` ** 2 / N for
-a word that occurs nowhere else. The first word has no pair.
+of every count. The score of a word is c(n-gram) / c(its first n - 1 words) for the longest
+n-gram ending with it that occurs elsewhere, c(word) / N for a single word and 1 / N if
+even the word does not, times ``BACKOFF`` for each step that it is shorter than ``order``.
+N-grams do not go beyond the beginning of a document.
 
-The order is two: a table of triples would need over twice the shuffled bytes,
-nearly all of them for triples that occur once.
+The order is two by default: with triples the shuffle needs more than the budget allows
+(the README has the figures).
 
 Defined results: a null or empty text has no words and the score 0; every input
 row is a document, so repeated rows count as copies; null and repeated ids are
-kept; other columns are ignored; an empty table gives no rows.
+kept, ids of other than integer types raise ``TypeError``; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,35 +35,41 @@ from quillstrata.llm.arrowtext import constants, integer_id, mix, utf8, words
 #: Bytes of text in a batch; larger inputs have more batches and more tables.
 BATCH_BYTES = 12 << 20
 BACKOFF = 0.4
+#: Words of the longest n-grams.
+ORDER = 2
 #: Stands for any word, so that its count is the number of words.
 ANY = 0x7E57
 
 
-def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Return words, their documents, pairs, and the sorted n-grams of a batch with counts."""
+def _grams(table: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Return the n-grams that end at each word by length, 0 where there is none, the words' documents, and the sorted n-grams with counts."""
     data, offsets = utf8(table.column("text"))
     hashes, doc = words(data, offsets)
-    a, b = constants(2, 0xB16)
-    pairs = np.zeros(len(hashes), np.uint64)
-    if len(hashes) > 1:
-        joined = doc[1:] == doc[:-1]
-        pairs[1:][joined] = mix(hashes[:-1][joined] * a + hashes[1:][joined] * b) | np.uint64(1)
-    real = pairs[pairs != 0]
-    grams, counts = np.unique(np.concatenate([hashes & ~np.uint64(1), real]), return_counts=True)
-    return hashes & ~np.uint64(1), doc, pairs, grams, counts
+    levels = [hashes & ~np.uint64(1)]
+    for k in range(2, order + 1):
+        gram = np.zeros(len(hashes), np.uint64)
+        if len(hashes) >= k:
+            within = doc[k - 1 :] == doc[: len(doc) - k + 1]
+            total = np.zeros(int(within.sum()), np.uint64)
+            for j, factor in enumerate(constants(k, 0xB16 + k - 2)):
+                total += hashes[j : len(hashes) - k + 1 + j][within] * factor
+            gram[k - 1 :][within] = mix(total) | np.uint64(1)
+        levels.append(gram)
+    grams, counts = np.unique(np.concatenate([levels[0], *(x[x != 0] for x in levels[1:])]), return_counts=True)
+    return levels, doc, grams, counts
 
 
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((grams >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _count(buckets: int):
+def _count(buckets: int, order: int):
     def run(table: pa.Table) -> pa.Table:
-        hashes, _, _, grams, counts = _grams(table)
-        grams, counts = np.append(grams, np.uint64(ANY << 1)), np.append(counts, len(hashes)).astype("<u4")
+        levels, _, grams, counts = _grams(table, order)
+        grams, counts = np.append(grams, np.uint64(ANY << 1)), np.append(counts, len(levels[0])).astype("<u4")
         bucket = _bucket(grams, buckets)
-        order = np.argsort(bucket, kind="stable")
-        grams, counts, bucket = grams[order].astype("<u8"), counts[order], bucket[order]
+        by_bucket = np.argsort(bucket, kind="stable")
+        grams, counts, bucket = grams[by_bucket].astype("<u8"), counts[by_bucket], bucket[by_bucket]
         at = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(grams)]
         batch = table.column("batch")[0].as_py()
         return pa.table(
@@ -96,42 +104,42 @@ def _own(key: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return counts[back]
 
 
-def _score(buckets: int):
+def _score(buckets: int, order: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _SCORES.empty_table()
-        hashes, doc, pairs, grams, _ = _grams(texts)
-        n_docs = texts.num_rows
-        grams = np.append(grams, np.uint64(ANY << 1))
-        order = np.argsort(_bucket(grams, buckets), kind="stable")
+        levels, doc, grams, _ = _grams(texts, order)
+        n_docs, n_words = texts.num_rows, len(doc)
+        by_bucket = np.argsort(_bucket(np.append(grams, np.uint64(ANY << 1)), buckets), kind="stable")
         answers = answers.sort_by("bucket")
         found = [np.frombuffer(x.as_buffer(), f"<u{w.as_py()}").astype(np.float64) for x, w in zip(answers.column("totals"), answers.column("width"), strict=True)]
-        totals = np.empty(len(grams))
-        totals[order] = np.concatenate(found)
-        size, n = len(grams) - 1, np.bincount(doc, minlength=n_docs)
+        totals = np.empty(len(grams) + 1)
+        totals[by_bucket] = np.concatenate(found)
+        n = np.bincount(doc, minlength=n_docs)
         left = totals[-1] - n[doc]
-        word = np.searchsorted(grams[:-1], hashes)
-        rest_word = totals[word] - _own(word, doc, size)
-        has = pairs != 0
-        pair = np.searchsorted(grams[:-1], pairs[has])
-        rest_pair = np.zeros(len(hashes))
-        rest_pair[has] = totals[pair] - _own(pair, doc[has], size)
-        before = np.append(0.0, rest_word[:-1]) if len(hashes) else rest_word
-        seen = rest_pair > 0
-        top = np.where(seen, rest_pair, np.where(rest_word > 0, BACKOFF * rest_word, BACKOFF**2))
-        score = np.log(top) - np.log(np.maximum(np.where(seen, before, left), 1.0))
+        # Scores of the longest n-gram that occurs elsewhere; longer ones replace shorter ones.
+        score = np.log(BACKOFF) * order - np.log(np.maximum(left, 1.0))
+        before = left
+        for k, level in enumerate(levels, 1):
+            has = np.flatnonzero(level) if k > 1 else np.arange(n_words)
+            at = np.searchsorted(grams, level[has])
+            rest = np.zeros(n_words)
+            rest[has] = totals[at] - _own(at, doc[has], len(grams))
+            seen = rest > 0
+            score[seen] = np.log(rest[seen]) - np.log(np.maximum(before[seen], 1.0)) + np.log(BACKOFF) * (order - k)
+            before = np.append(0.0, rest[:-1]) if n_words else rest
         total = np.bincount(doc, weights=score, minlength=n_docs)
         return pa.table([texts.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], schema=_SCORES)
 
     return run
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Return (doc_id, n_words, log_score, mean_log_score), one row an input row."""
     rows = df.select(integer_id(df, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, math.ceil(size / BATCH_BYTES))
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("long"))
-    counted = dealt.groupBy("batch").applyInArrow(_count(batches), "bucket long, batch long, grams binary, counts binary")
+    counted = dealt.groupBy("batch").applyInArrow(_count(batches, order), "bucket long, batch long, grams binary, counts binary")
     totals = counted.groupBy("bucket").applyInArrow(_total, "batch long, bucket long, totals binary, width long")
-    return dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_score(batches), "doc_id long, n_words long, log_score double, mean_log_score double")
+    return dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_score(batches, order), "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -178,23 +178,24 @@ def test_near_duplicates_of_nothing(none):
 # Language-model scores
 
 
-def test_lm_scores_equal_brute_force(spark, odd, odd_docs, none):
-    words = [WORD.findall((t or "").translate(LOWER)) for _, t in odd]
-    one, two = collections.Counter(), collections.Counter()
-    for w in words:
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    total, expected = sum(one.values()), collections.Counter()
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores_equal_brute_force(spark, odd, odd_docs, none, order):
+    words = [tuple(WORD.findall((t or "").translate(LOWER))) for _, t in odd]
+    grams = lambda w: collections.Counter(w[i : i + n] for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    whole, expected = sum(map(grams, words), collections.Counter()), collections.Counter()
+    total = sum(map(len, words))
     for (i, _), w in zip(odd, words, strict=True):
-        own, own2, s = collections.Counter(w), collections.Counter(zip(w, w[1:], strict=False)), 0.0
-        for k, x in enumerate(w):
-            pair = two[w[k - 1], x] - own2[w[k - 1], x] if k else 0
-            rest, left = one[x] - own[x], max(total - len(w), 1)
-            s += math.log(pair / (one[w[k - 1]] - own[w[k - 1]]) if pair else (0.4 * rest if rest else 0.16) / left)
+        own, s = grams(w), 0.0
+        rest = lambda g, own=own: whole[g] - own[g]
+        for k in range(len(w)):
+            n = next((n for n in range(min(order, k + 1), 0, -1) if rest(w[k - n + 1 : k + 1])), 0)
+            top = rest(w[k - n + 1 : k + 1]) if n else 1
+            below = rest(w[k - n + 1 : k]) if n > 1 else max(total - len(w), 1)
+            s += math.log(0.4 ** (order - n) * top / below)
         expected[i, len(w), round(s, 6)] += 1
-    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6) + 0.0) for r in lm_score.score_documents(odd_docs).collect())
+    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6) + 0.0) for r in lm_score.score_documents(odd_docs, order=order).collect())
     assert got == expected
-    assert lm_score.score_documents(none).count() == 0
+    assert lm_score.score_documents(none, order=order).count() == 0
 
 
 # Language identification
