@@ -57,7 +57,9 @@ BROADCAST_IDS = 4_000_000
 #: Shingles of a block (a document counts for ``LEAST`` at least).
 BLOCK, LEAST = 1 << 20, 256
 #: Documents and shingles of one matrix product.
-CHUNK, COLUMNS = 256, 2048
+CHUNK, COLUMNS = 256, 1024
+#: Shingles looked up at once.
+PART = 1 << 18
 
 
 def minima(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) -> np.ndarray:
@@ -244,10 +246,17 @@ def _exact(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
         values = members.values.to_numpy().view(np.uint64)
         offsets = members.offsets.to_numpy()
         size = np.diff(offsets)
-        _, code, times = np.unique(values, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(size)), size)
-        twice = times[code] > 1
-        code, row = code[twice], row[twice]
+        distinct, times = np.unique(values, return_counts=True)
+        distinct = distinct[times > 1]
+        # Shingles that occur once are in no intersection; the others are numbered, a part at a time.
+        code, row = [], []
+        for at in range(0, len(values), PART):
+            part = values[at : at + PART]
+            place = np.minimum(np.searchsorted(distinct, part), max(0, len(distinct) - 1))
+            twice = np.flatnonzero(distinct[place] == part) if len(distinct) else np.zeros(0, np.int64)
+            code.append(place[twice].astype(np.int32))
+            row.append((np.searchsorted(offsets, at + twice, "right") - 1).astype(np.int32))
+        code, row = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (code, row))
         shared = np.bincount(row, minlength=len(size))
         begin = np.append(0, np.cumsum(shared))
         hopeful = den * shared >= num * size
@@ -260,16 +269,16 @@ def _exact(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
                 x = y
             return x
 
-        place = np.full(len(times), -1, np.int64)
+        place = np.full(len(distinct), -1, np.int32)
         found = []
         for rows, others in _pairs_of_blocks(frame):
             rows, others = rows[hopeful[rows]], others[hopeful[others]]
             if not len(rows) or not len(others):
                 continue
-            left, right = (np.concatenate([np.arange(begin[k], begin[k + 1]) for k in side]) for side in (rows, others))
-            at_left, at_right = (np.repeat(np.arange(len(side)), shared[side]) for side in (rows, others))
+            left, right = (np.concatenate([np.arange(begin[k], begin[k + 1], dtype=np.int32) for k in side]) for side in (rows, others))
+            at_left, at_right = (np.repeat(np.arange(len(side), dtype=np.int32), shared[side]) for side in (rows, others))
             used = np.unique(code[left])
-            place[used] = np.arange(len(used))
+            place[used] = np.arange(len(used), dtype=np.int32)
             x, y = place[code[left]], place[code[right]]
             common = np.zeros((len(rows), len(others)), np.float32)
             for c in range(0, len(used), COLUMNS):
