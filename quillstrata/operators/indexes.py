@@ -20,12 +20,11 @@ whose postings are the longest, are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstrata.operators.surfaces import terms, top
+from quillstrata.operators.surfaces import exact, terms, top
 from quillstrata.sources import Scratch
 from quillstrata.sources.buckets import Buckets
 
@@ -102,11 +101,10 @@ def literal(store: Buckets, probes: DataFrame, probe_id: str, text: str, scratch
     rare = scratch.write(_asked(store, units, scratch).where(F.col("place") <= ASKED))
     needed = rare.groupBy("probe_id").agg(F.count("*").alias("needed"))
     possible = scratch.write(_pairs(store, rare.where("records > 0")).join(_sent(needed), "probe_id").where("n = needed").select("probe_id", "record_id"))
-    parts = [_opened(store, possible).join(_sent(long), "probe_id")]
+    found = _opened(store, possible).join(_sent(long), "probe_id").where(F.col("text").contains(F.col("literal"))).select("probe_id", "record_id")
     if not short.isEmpty():
-        parts.append(store.read("records").select("record_id", "text").crossJoin(F.broadcast(short)))
-    found = [x.where(F.col("text").contains(F.col("literal"))).select(F.col("probe_id").alias(probe_id), "record_id") for x in parts]
-    return reduce(DataFrame.unionByName, found), possible.groupBy(F.col("probe_id").alias(probe_id)).agg(F.count("*").alias("opened"))
+        found = found.unionByName(exact(store.read("records").select("record_id", "text"), short, "record_id", "probe_id", "text", "literal"))
+    return found.withColumnRenamed("probe_id", probe_id), possible.groupBy(F.col("probe_id").alias(probe_id)).agg(F.count("*").alias("opened"))
 
 
 def ranked(store: Buckets, probes: DataFrame, probe_id: str, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

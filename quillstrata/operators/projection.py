@@ -152,7 +152,7 @@ def reverse_incidence(links: DataFrame, target: str, source: str, ordinal: str)
 def temporal_anchors(assignments: DataFrame, descriptors: DataFrame) -> DataFrame:
     """Assignments of identifiers that create anchors, as anchors on their subject."""
     making = descriptors.where("temporal_affordance = 'creates_anchor'").select("identifier_name")
-    rows = assignments.join(F.broadcast(making), "identifier_name")
+    rows = assignments.join(making, "identifier_name")
     return rows.select(F.concat_ws(":", F.lit("anchor"), "identifier_name", "object_id").alias("anchor_id"), "object_id", "value")
 
 
@@ -163,8 +163,9 @@ def block_targets(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def surface_membership(kinds: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Every capable surface of every record kind (both are small catalogues)."""
-    return kinds.crossJoin(F.broadcast(surfaces)).where("available and array_contains(visible_kinds, kind)").select("kind", "surface_id")
+    """Every capable surface of every record kind."""
+    seen = surfaces.where("available").select("surface_id", F.explode("visible_kinds").alias("kind"))
+    return kinds.join(seen, "kind").select("kind", "surface_id")
 
 
 def logical_hash(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -189,4 +190,4 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, columns: list[s
 def misapplied(assignments: DataFrame, classes: DataFrame) -> DataFrame:
     """Assignments of identifiers that the object's class does not allow."""
     allowed = classes.select("class_name", F.explode("identifiers").alias("identifier_name"))
-    return assignments.join(F.broadcast(allowed), ["class_name", "identifier_name"], "left_anti")
+    return assignments.join(allowed, ["class_name", "identifier_name"], "left_anti")

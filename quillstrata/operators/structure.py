@@ -99,7 +99,7 @@ def own_tables(notes: DataFrame, descriptors: DataFrame) -> dict[str, DataFrame]
     address = P.region_address(F.col("heading_path"))
     units = blocks.select(P.unit_id(F.col("object_id"), address, F.col("ordinal")).alias("unit_id"), "object_id", F.concat_ws("#", "object_id", address).alias("region_id"), "ordinal", "block_type", "content", "block_id")
     fields = notes.select("object_id", "class_name", F.explode("front_matter").alias("identifier_name", "value"))
-    assignments = fields.join(F.broadcast(descriptors), "identifier_name", "left_semi").withColumn("assignment_id", F.concat_ws(":", F.lit("id"), "object_id", "identifier_name"))
+    assignments = fields.join(descriptors, "identifier_name", "left_semi").withColumn("assignment_id", F.concat_ws(":", F.lit("id"), "object_id", "identifier_name"))
     counts = units.groupBy("object_id").agg(F.count("*").alias("n_units"))
     objects = notes.select("object_id", "title", "class_name").join(counts, "object_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))
     return {"objects": objects, "regions": regions, "units": units, "assignments": assignments, "anchors": P.temporal_anchors(assignments, descriptors)}
@@ -264,7 +264,7 @@ def capability_faults(v: Vault) -> DataFrame:
 def invisible_records(v: Vault) -> DataFrame:
     """Kinds of records that no available surface sees."""
     seen = v.surfaces.where("available").select(F.explode("visible_kinds").alias("kind"))
-    return records(v).join(F.broadcast(seen), "kind", "left_anti")
+    return records(v).join(seen, "kind", "left_anti")
 
 
 def unhydrated(v: Vault) -> DataFrame:

@@ -59,8 +59,9 @@ def _page_sql(offset: int, pairs: str = _PAIRS) -> str:
 
 
 def _hub_pairs(spark, sf_dir):
-    hubs = hub_degree(spark, sf_dir).select("source_id")
-    return _edges(spark, sf_dir).join(hubs, "source_id", "left_semi").select("source_id", F.col("target_id").cast("long").alias("target")).distinct()
+    pairs = _edges(spark, sf_dir).select("source_id", F.col("target_id").cast("long").alias("target")).distinct()
+    hubs = pairs.groupBy("source_id").agg(F.count("*").alias("degree")).where(F.col("degree") >= HUB)
+    return pairs.join(hubs, "source_id", "left_semi")
 
 
 @register("hub_page", _page_sql(0))

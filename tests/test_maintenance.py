@@ -60,16 +60,15 @@ def test_only_what_a_change_touches_is_written(spark, notes, tmp_path):
 
 def test_a_name_that_two_notes_have_is_ambiguous_until_one_goes(spark, notes, tmp_path):
     described = W.descriptors(spark)
-    store = Buckets(spark, str(tmp_path), M.KEYS, 4)
-    M.start(store, notes, described)
-    nobody = notes.select("object_id").limit(0)
-    twin = notes.where("title = 'FRANCE'").withColumn("object_id", F.lit("00000000-0000-0000-0000-00000000000a"))
-    if twin.isEmpty():
-        name = notes.where("class_name = 'nation'").first().title
-        twin = notes.where(F.col("title") == name).withColumn("object_id", F.lit("00000000-0000-0000-0000-00000000000a"))
-    title = twin.first().title
+    store = Buckets(spark, str(tmp_path), M.KEYS, 2)
+    title = notes.where("class_name = 'nation'").first().title
+    few = notes.where((F.col("title") == title) | F.col("body").contains(f"[[{title}")).limit(8)
+    few = spark.createDataFrame(few.collect(), notes.schema)
+    M.start(store, few, described)
+    nobody = few.select("object_id").limit(0)
+    twin = few.where(F.col("title") == title).withColumn("object_id", F.lit("00000000-0000-0000-0000-00000000000a"))
     before = rows(store.read("occurrences"))
     M.apply(store, twin, nobody, described)
-    assert {r.status for r in store.read("occurrences").where(F.col("target") == title).collect()} <= {"ambiguous"}
-    M.apply(store, notes.limit(0), twin.select("object_id"), described)
+    assert {r.status for r in store.read("occurrences").where(F.col("target") == title).collect()} == {"ambiguous"}
+    M.apply(store, few.limit(0), twin.select("object_id"), described)
     assert rows(store.read("occurrences")) == before and store.version == 2
