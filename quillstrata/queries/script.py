@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.catalogue import register
 from quillstrata.operators import fold
-from quillstrata.sources import read_table
+from quillstrata.sources import read_table, spread
 
 
 def _region(identity: str, **more: object) -> dict:
@@ -78,7 +78,7 @@ def _log_rows(spark: SparkSession, scripts: dict[str, list[dict]]) -> DataFrame:
 def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log of every customer: the first contributions of the script, one to all of them."""
     script = _log_rows(spark, {"all": [_contribution(k, x) for k, x in enumerate(SCRIPT)]})
-    threads = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("thread_id"), (F.col("c_custkey") % len(SCRIPT)).alias("last"))
+    threads = spread(read_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").cast("string").alias("thread_id"), (F.col("c_custkey") % len(SCRIPT)).alias("last"))
     return threads.join(F.broadcast(script), F.col("ordinal") <= F.col("last")).drop("name", "last")
 
 

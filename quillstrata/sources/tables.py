@@ -24,6 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table over the tasks.
+
+    For a table from whose rows much more is made: one small file is read by one task,
+    which would make all of it.
+    """
+    return df.repartition(key)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches have ``BATCH_BYTES`` bytes, unless the session has its own setting.
 
