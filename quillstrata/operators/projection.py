@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Lines that open another kind of block than a paragraph, tried in this order.
 _BLOCKS = (("code_block", r"^(```|~~~)"), ("equation", r"^\$\$"), ("callout", r"^> \[!"), ("block_quote", r"^>"), ("table", r"^\|"), ("list", r"^\s*([-*+]|\d+[.)])\s"), ("embedded_media", r"^!\[\["))
+#: Lines that open or close fenced code, or may be headings.
+_MARKS = r"^(```|~~~|#{1,6}\s)"
 _LINK = r"(!?)\[\[([^\]|#]*)(#[^\]|]*)?(\|[^\]]*)?\]\]"
 
 
@@ -39,23 +41,26 @@ def region_address(heading_path: Column) -> Column:
     return F.when(F.size(heading_path) > 0, F.array_join(heading_path, " > ")).otherwise(ROOT)
 
 
-def _lines(notes: DataFrame) -> DataFrame:
-    """Lines of Markdown bodies with level (0 if it is no heading), heading path, and whether code holds them."""
-    lines = notes.select("object_id", F.posexplode(F.split("body", "\n")).alias("line", "content"))
-    order = Window.partitionBy("object_id").orderBy("line")
-    fence = F.col("content").rlike(r"^(```|~~~)").cast("int")
-    lines = lines.withColumn("fences", F.sum(fence).over(order))
-    inside = (F.col("fences") % 2 == 1) | (fence == 1)
-    level = F.when(~inside, F.length(F.regexp_extract("content", r"^(#{1,6})\s", 1))).otherwise(0)
-    lines = lines.withColumns({"inside": inside, "level": level, "title": F.regexp_replace("content", r"^#{1,6}\s+", "")})
+def _lines(notes: DataFrame, only: str = "") -> DataFrame:
+    """Lines of Markdown bodies with level (0 if it is no heading), heading path, and whether code holds them.
+
+    ``only`` is a pattern of the lines that are wanted; it must take in fences and headings,
+    which decide about the others.
+    """
+    lines = notes.select("object_id", F.posexplode(F.split("body", "\n")).alias("line", "content")).where(F.col("content").rlike(only))
+    order = Window.partitionBy("object_id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("fence", F.col("content").rlike(r"^(```|~~~)").cast("int"))
+    lines = lines.withColumn("inside", (F.sum("fence").over(order) % 2 == 1) | (F.col("fence") == 1))
+    lines = lines.withColumn("level", F.when(~F.col("inside"), F.length(F.regexp_extract("content", r"^(#{1,6})\s", 1))).otherwise(0))
+    lines = lines.withColumn("title", F.when(F.col("level") > 0, F.regexp_replace("content", r"^#{1,6}\s+", "")))
     # A level's heading holds until a heading of the same or a higher level.
+    last = {n: F.max(F.when(F.col("level") == n, F.struct("line", "title"))).over(order).alias(f"last{n}") for n in range(1, 7)}
+    lines = lines.select("*", *last.values())
     titles = []
     for n in range(1, 7):
-        at = F.max(F.when(F.col("level") == n, F.col("line"))).over(order)
-        above = F.max(F.when((F.col("level") > 0) & (F.col("level") < n), F.col("line"))).over(order)
-        title = F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(order)
-        titles.append(F.when(at > F.coalesce(above, F.lit(-1)), title))
-    return lines.withColumn("heading_path", F.array_compact(F.array(*titles)))
+        above = F.greatest(F.lit(-1), F.lit(-1), *(F.col(f"last{k}.line") for k in range(1, n)))
+        titles.append(F.when(F.col(f"last{n}.line") > above, F.col(f"last{n}.title")))
+    return lines.withColumn("heading_path", F.array_compact(F.array(*titles))).drop("fence", *(f"last{n}" for n in last))
 
 
 def markdown_regions(notes: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def markdown_regions(notes: DataFrame) -> DataFrame:
     Every heading path is one region, with prose or without; every object has the
     region ``ROOT``, with ordinal and level 0, also if its body is empty.
     """
-    headings = _lines(notes).where("level > 0").groupBy("object_id", "heading_path").agg(F.min(F.struct("line", "level", "title")).alias("first"))
+    headings = _lines(notes, _MARKS).where("level > 0").groupBy("object_id", "heading_path").agg(F.min(F.struct("line", "level", "title")).alias("first"))
     ordinal = F.row_number().over(Window.partitionBy("object_id").orderBy("first.line")).cast("long")
     parent = F.slice("heading_path", 1, F.size("heading_path") - 1)
     named = headings.select("object_id", region_address(F.col("heading_path")).alias("address"), ordinal.alias("ordinal"), F.col("first.level").cast("long").alias("level"), F.col("first.title").alias("title"), region_address(parent).alias("parent_address"))
@@ -81,7 +86,7 @@ def markdown_blocks(notes: DataFrame) -> DataFrame:
     lines = _lines(notes)
     order = Window.partitionBy("object_id").orderBy("line")
     breaks = ((~F.col("inside") & (F.trim("content") == "")) | (F.col("level") > 0)).cast("int")
-    lines = lines.withColumn("block", F.sum(breaks).over(order)).where("level = 0 and (inside or trim(content) <> '')")
+    lines = lines.withColumn("block", F.sum(breaks).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("level = 0 and (inside or trim(content) <> '')")
     rows = F.array_sort(F.collect_list(F.struct("line", "content")))
     blocks = lines.groupBy("object_id", "heading_path", "block").agg(rows.alias("rows"))
     content = F.array_join(F.transform("rows", lambda x: x["content"]), "\n")

@@ -6,7 +6,8 @@ front_lists, body); no table is written by hand.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,30 +93,38 @@ def resolved_links(links: DataFrame, names: DataFrame, units: DataFrame, regions
     return rows.select("occurrence_id", "source_object_id", "source_unit_id", "target", "heading", "block_id", "alias", "embed", "status", F.when(real, kind).alias("target_kind"), F.when(real, identity).alias("target_id"))
 
 
-def own_tables(notes: DataFrame, descriptors: DataFrame) -> dict[str, DataFrame]:
-    """Objects, regions, units, assignments and anchors: what each note holds whatever the others hold."""
-    regions = P.markdown_regions(notes).withColumn("region_id", F.concat_ws("#", "object_id", "address"))
+def _kept(table: DataFrame) -> DataFrame:
+    return table
+
+
+def own_tables(notes: DataFrame, descriptors: DataFrame, keep: Callable[[DataFrame], DataFrame] = _kept) -> dict[str, DataFrame]:
+    """Objects, regions, units, assignments and anchors: what each note holds whatever the others hold.
+
+    ``keep`` may write a table and return its reader; each is kept before others are made
+    of it, so that bodies are read in lines once for regions and once for units.
+    """
+    regions = keep(P.markdown_regions(notes).withColumn("region_id", F.concat_ws("#", "object_id", "address")))
     blocks = P.markdown_blocks(notes)
     address = P.region_address(F.col("heading_path"))
-    units = blocks.select(P.unit_id(F.col("object_id"), address, F.col("ordinal")).alias("unit_id"), "object_id", F.concat_ws("#", "object_id", address).alias("region_id"), "ordinal", "block_type", "content", "block_id")
+    units = keep(blocks.select(P.unit_id(F.col("object_id"), address, F.col("ordinal")).alias("unit_id"), "object_id", F.concat_ws("#", "object_id", address).alias("region_id"), "ordinal", "block_type", "content", "block_id"))
     fields = notes.select("object_id", "class_name", F.explode("front_matter").alias("identifier_name", "value"))
-    assignments = fields.join(descriptors, "identifier_name", "left_semi").withColumn("assignment_id", F.concat_ws(":", F.lit("id"), "object_id", "identifier_name"))
+    assignments = keep(fields.join(descriptors, "identifier_name", "left_semi").withColumn("assignment_id", F.concat_ws(":", F.lit("id"), "object_id", "identifier_name")))
     counts = units.groupBy("object_id").agg(F.count("*").alias("n_units"))
-    objects = notes.select("object_id", "title", "class_name").join(counts, "object_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0)))
-    return {"objects": objects, "regions": regions, "units": units, "assignments": assignments, "anchors": P.temporal_anchors(assignments, descriptors)}
+    objects = keep(notes.select("object_id", "title", "class_name").join(counts, "object_id", "left").withColumn("n_units", F.coalesce("n_units", F.lit(0))))
+    return {"objects": objects, "regions": regions, "units": units, "assignments": assignments, "anchors": keep(P.temporal_anchors(assignments, descriptors))}
 
 
-def build(notes: DataFrame, descriptors: DataFrame) -> Vault:
-    """Build the record tables of admitted notes.
+def build(notes: DataFrame, descriptors: DataFrame, keep: Callable[[DataFrame], DataFrame] = _kept) -> Vault:
+    """Build the record tables of admitted notes; ``keep`` is as in ``own_tables``.
 
     ``descriptors`` has identifier_name and temporal_affordance; front-matter fields
     without a descriptor are no identifiers. Objects count what they contain, so
     that a lost record shows.
     """
     spark = notes.sparkSession
-    own = own_tables(notes, descriptors)
+    own = own_tables(notes, descriptors, keep)
     names = notes.select(F.col("title").alias("name"), F.col("object_id").alias("target_id"))
-    occurrences = resolved_links(authored_links(notes, own["units"]), names, own["units"], own["regions"])
+    occurrences = keep(resolved_links(authored_links(notes, own["units"]), names, own["units"], own["regions"]))
     surfaces = [(f"surface:{k}", k, mode, back, cover, total, list(kinds), DEFAULT_LIMIT, HARD_LIMIT, True) for k, (mode, back, cover, total, kinds) in SURFACES.items()]
     transitions = [(k, *v) for k, v in TRANSITIONS.items()]
     return Vault(
@@ -130,10 +139,9 @@ def build(notes: DataFrame, descriptors: DataFrame) -> Vault:
     )
 
 
-def stored(v: Vault) -> Vault:
-    """Write the tables of a snapshot, so that every check and plan reads them instead of building them."""
-    written = {name: durable_table(getattr(v, name)) for name in ("regions", "units", "occurrences", "assignments", "objects")}
-    return replace(v, **written, anchors=durable_table(v.anchors))
+def stored(notes: DataFrame, descriptors: DataFrame) -> Vault:
+    """Build a snapshot and write its tables, so that every check and plan reads them instead of building them."""
+    return build(notes, descriptors, durable_table)
 
 
 def records(v: Vault) -> DataFrame:

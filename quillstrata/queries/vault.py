@@ -22,7 +22,7 @@ from quillstrata.operators import traversal as T
 from quillstrata.operators import validation as V
 from quillstrata.plans import access as X
 from quillstrata.plans import report as Q
-from quillstrata.sources import Scratch, durable_table, read_table, shared
+from quillstrata.sources import Scratch, durable_table, read_table, shared, spread
 from quillstrata.sources.notes import admit, parse_notes
 
 
@@ -36,7 +36,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation, region = (read_table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     key = F.col("c_custkey")
     name = F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))
-    rows = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    rows = spread(customer, "c_custkey").join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     before = F.concat(F.lit("Customer "), F.lpad((key - 1).cast("string"), 9, "0"))
     lines = [
         F.lit("---"),
@@ -71,7 +71,7 @@ def vault(spark: SparkSession, sf_dir: str) -> S.Vault:
     """The record tables of the notes, written once an application as a snapshot that all queries share."""
 
     def build() -> S.Vault:
-        return S.stored(S.build(durable_table(notes(spark, sf_dir)), descriptors(spark)))
+        return S.stored(durable_table(notes(spark, sf_dir)), descriptors(spark))
 
     return replace(shared(spark, sf_dir, ("customer", "nation", "region"), "vault", build))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstrata.functions import records
 from quillstrata.operators import projection as P
-from quillstrata.operators import fold, surfaces, validation
+from quillstrata.operators import fold, structure, surfaces, validation
 from quillstrata.sources import notes, shared
 from quillstrata.streaming import threads
 from quillstrata.streaming.threads import answer_contributions, use_rocksdb
@@ -158,3 +158,28 @@ def test_shared_snapshots_follow_their_files(spark, tmp_path):
     assert value() == value() == 1
     spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert value() == 2
+
+
+def test_headings_among_fences_and_skipped_levels(spark):
+    """A heading path has the last heading of each level that no higher one has ended; code holds no headings."""
+    body = "intro\n### Deep\n# One\n## Two\n### Three\n~~~\n# code\n~~~\n# Next\n### Far\ntext\n## Near\n# \nlast"
+    note = spark.createDataFrame([("a", body), ("b", "")], "object_id string, body string")
+    regions = P.markdown_regions(note).where("object_id = 'a'").orderBy("ordinal").collect()
+    assert [(r.address, r.level) for r in regions] == [("root", 0), ("Deep", 3), ("One", 1), ("One > Two", 2), ("One > Two > Three", 3), ("Next", 1), ("Next > Far", 3), ("Next > Near", 2), ("", 1)]
+    units = P.markdown_blocks(note).orderBy("ordinal").collect()
+    assert [(" > ".join(u.heading_path), u.content) for u in units] == [("", "intro"), ("One > Two > Three", "~~~\n# code\n~~~"), ("Next > Far", "text"), ("", "last")]
+
+
+def test_bodies_are_read_in_lines_twice(spark):
+    """A snapshot's tables are kept before others are made of them; regions are made of the lines that mark them."""
+    fields = "object_id string, title string, class_name string, front_matter map<string,string>, front_lists map<string,array<string>>, body string"
+    rows = [("a", "A", "n", {"class": "n"}, {"to": ["[[B]]"]}, "# One\ntext [[B#Two]]"), ("b", "B", "n", {"class": "n"}, {}, "## Two\ntext ^k")]
+    described = spark.createDataFrame([("class", "none")], "identifier_name string, temporal_affordance string")
+    exploded = []
+
+    def keep(table):
+        exploded.append(table._jdf.queryExecution().optimizedPlan().toString().count("split(body"))
+        return spark.createDataFrame(table.collect(), table.schema)
+
+    made = structure.build(spark.createDataFrame(rows, fields), described, keep)
+    assert sum(exploded) == 2 and made.occurrences.where("status = 'resolved'").count() == 2
