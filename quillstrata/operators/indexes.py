@@ -19,10 +19,15 @@ whose postings are the longest, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from quillstrata.operators.surfaces import exact, terms, top
 from quillstrata.sources import Scratch
@@ -31,6 +36,8 @@ from quillstrata.sources.buckets import Buckets
 KEYS = {"dictionary": "unit", "postings": "unit", "records": "record_id", "richest": "record_id"}
 #: Ids of one block of postings, about.
 BLOCK = 1024
+#: Ids of one list that a task makes of a batch, at most.
+LIST = BLOCK // 4
 #: Triples of a literal, the rarest ones, that records must have to be opened.
 ASKED = 16
 #: Terms of a probe that the first scores come from, and records that every probe is scored against.
@@ -44,17 +51,43 @@ def triples(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
 
 
+def _lists(stored: DataFrame) -> DataFrame:
+    """Return (unit, ids): the records of each Arrow batch that have a unit, in lists of ``LIST`` at most.
+
+    A row for each record and unit would be many times as many, to be sorted and grouped.
+    """
+    identity = stored.schema["record_id"].dataType
+    schema = StructType([StructField("unit", StringType()), StructField("ids", ArrayType(identity))])
+    fields = to_arrow_schema(schema)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = batch.column("units")
+            codes = pc.list_flatten(units).dictionary_encode()
+            at = np.asarray(codes.indices)
+            order = np.argsort(at, kind="stable")
+            at, holders = at[order], np.asarray(pc.list_parent_indices(units))[order]
+            # A list begins with a unit, and after every ``LIST`` records of it.
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            place = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+            starts = np.flatnonzero(place % LIST == 0)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), batch.column("record_id").take(pa.array(holders)))
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(at[starts])).cast(fields.field(0).type), ids.cast(fields.field(1).type)], schema=fields)
+
+    return stored.select("record_id", "units").mapInArrow(group, schema)
+
+
 def build(store: Buckets, records: DataFrame, record_id: str, text: str, units: Callable[[Column], Column]) -> None:
     """Write the index of (record_id, text); null texts have no units, and ids are distinct."""
     rows = records.where(F.col(text).isNotNull()).select(F.col(record_id).alias("record_id"), F.col(text).alias("text"), units(F.col(text)).alias("units"))
     with Scratch(records.sparkSession) as scratch:
         stored = scratch.write(rows)
-        pairs = stored.select("record_id", F.explode("units").alias("unit"))
-        dictionary = scratch.write(pairs.groupBy("unit").agg(F.count("*").alias("records")))
-        # Ids of a frequent unit are dealt over as many blocks as they need.
+        lists = scratch.write(_lists(stored))
+        dictionary = scratch.write(lists.groupBy("unit").agg(F.sum(F.size("ids")).alias("records")))
+        # Lists of a frequent unit are dealt over as many blocks as they need.
         many = dictionary.where(F.col("records") > BLOCK).select("unit", F.ceil(F.col("records") / BLOCK).alias("blocks"))
-        block = F.pmod(F.xxhash64("record_id"), F.coalesce("blocks", F.lit(1)))
-        listed = pairs.join(many, "unit", "left").groupBy("unit", block.alias("block")).agg(F.sort_array(F.collect_list("record_id")).alias("ids"))
+        block = F.pmod(F.xxhash64(F.col("ids")[0]), F.coalesce("blocks", F.lit(1)))
+        listed = lists.join(many, "unit", "left").groupBy("unit", block.alias("block")).agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
         richest = stored.select("record_id", "units").orderBy(F.desc(F.size("units")), "record_id").limit(RICHEST)
         store.commit({"dictionary": (dictionary, None), "postings": (listed, None), "records": (stored, None), "richest": (richest, None)})
 

@@ -72,3 +72,14 @@ def test_frequent_terms_are_not_read(spark, tmp_path):
     assert [(r.record_id, r.matched) for r in best.orderBy("position").collect()] == [(0, 4), (1, 4), (2, 4)]
     spent = cost.first()
     assert spent.asked == 6005 and spent.read <= 4005
+
+
+def test_lists_of_a_batch_hold_every_record_once(spark, monkeypatch):
+    """A batch makes one list of a unit, not a row for each record, and cuts long ones."""
+    monkeypatch.setattr(I, "LIST", 3)
+    held = {k: [u for n, u in enumerate(("abc", "bcd", "é😀x")) if k % (n + 1) == 0] for k in range(10)} | {10: [], 11: None}
+    rows = spark.createDataFrame(list(held.items()), "record_id long, units array<string>").coalesce(1)
+    lists = [tuple(r) for r in I._lists(rows).collect()]
+    assert sorted((u, k) for u, ids in lists for k in ids) == sorted((u, k) for k, units in held.items() for u in units or ())
+    assert max(len(ids) for _, ids in lists) == 3 and len(lists) == 4 + 2 + 2
+    assert I._lists(rows.where("record_id >= 10")).count() == 0
