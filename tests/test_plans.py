@@ -139,6 +139,34 @@ def test_bundles_in_rounds_equal_the_sequential_rule(spark):
     assert A.place_bundles(table.limit(0), limits, Scratch(spark)).collect() == []
 
 
+@pytest.mark.parametrize("needs", [0, 60, 1024])
+def test_short_turns_are_placed_in_one_pass(spark, monkeypatch, needs):
+    """However many bundles a short turn has, two tables are written; long turns give the same rows in rounds."""
+    import random
+
+    rng, limits = random.Random(3), {"object": 5, "obj": 3}
+    rows = [(t, k, kind, x) for t, most in (("a", 100), ("b", 20), (None, 40)) for k in range(most) for kind, x in ((rng.choice(["object", "obj", "free", None]), rng.choice(["1", "2", "ect1", "ect2", "ect3", None])) for _ in range(2))]
+    expected = set()
+    for turn in ("a", "b", None):
+        held = set()
+        for k in sorted({n for t, n, _, _ in rows if t == turn}):
+            new = {(kind, x) for t, n, kind, x in rows if (t, n) == (turn, k)} - held
+            fits = all(sum(kind == y for y, _ in held | new) <= most for kind, most in limits.items())
+            held |= new if fits else set()
+            expected.add((turn, k, fits, len(new) * fits))
+    written = []
+
+    class Counting(Scratch):
+        def write(self, df):
+            written.append(df)
+            return super().write(df)
+
+    monkeypatch.setattr(A, "TURN_NEEDS", needs)
+    got = A.place_bundles(spark.createDataFrame(rows, "turn_id string, bundle_ord long, kind string, id string"), limits, Counting(spark)).collect()
+    assert len(got) == len(expected) and set(map(tuple, got)) == expected
+    assert needs < 1024 or len(written) == 2
+
+
 def test_nothing_is_left_of_a_measured_plan(spark, snapshot):
     with Scratch(spark) as scratch:
         X.run(X.Plan((BOOKS,), (X.Path("books", (X.Follow("object_unit"), X.Search("exact", "literal", "a", 1)), "found"),)), snapshot, scratch)
