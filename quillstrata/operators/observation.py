@@ -9,6 +9,7 @@ facts the later one lets go, and where to.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,12 +69,17 @@ def _facts(rows: DataFrame, kind: str, ordinal: Column, **fact: Column) -> DataF
     return rows.select("path", F.lit(kind).alias("fact_kind"), about.alias("about"), ordinal.cast("long").alias("ordinal"), F.to_variant_object(F.struct(*(value.alias(name) for name, value in fact.items()))).alias("fact"))
 
 
-def observe(files: DataFrame, snapshot: str) -> DataFrame:
+def _kept(table: DataFrame) -> DataFrame:
+    return table
+
+
+def observe(files: DataFrame, snapshot: str, keep: Callable[[DataFrame], DataFrame] = _kept) -> DataFrame:
     """Return (path, fact_kind, about, ordinal, fact) of files (path, filename, text); null texts have a path alone.
 
     Ordinals count the facts of a kind in a file, from 1; ``about`` tells them apart in
     other states of the file, too. Links are resolved by file names
-    without their ending.
+    without their ending. ``keep`` may write a table and return its reader: fields, bodies,
+    blocks and links are each kept before facts of several kinds are made of them.
     """
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "content"))
     each = Window.partitionBy("path")
@@ -86,15 +92,15 @@ def observe(files: DataFrame, snapshot: str) -> DataFrame:
     later = F.lead("content").over(each.orderBy("line"))
     listed = front.withColumn("next", later).where(F.col("content").rlike(_KEY)).withColumns({"key": F.regexp_extract("content", _KEY, 1), "value": F.trim(F.regexp_extract("content", _KEY, 2))})
     nth = F.row_number().over(each.orderBy("line"))
-    keys = listed.withColumn("n", nth)
+    keys = keep(listed.select("path", "line", "key", "value", "next").withColumn("n", nth))
     shape = F.when(F.col("value").rlike(r"^\[(?!\[).*\]$") | ((F.col("value") == "") & F.col("next").rlike(r"^\s+- ")), "list").when(F.col("value") == "", "empty").otherwise("scalar")
     body = marked.where(~whole | (F.col("line") > F.col("closes")))
-    bodies = body.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("body"))
+    bodies = keep(body.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n").alias("body")))
     notes = bodies.select(F.col("path").alias("object_id"), "body")
     heads = P.markdown_regions(notes).where("level > 0").withColumnRenamed("object_id", "path")
-    blocks = P.markdown_blocks(notes).withColumnRenamed("object_id", "path")
+    blocks = keep(P.markdown_blocks(notes).withColumnRenamed("object_id", "path"))
     links = P.wikilinks(bodies, "path", "body").withColumnRenamed("source_id", "path")
-    named = P.resolve(links, files.select(F.regexp_replace("filename", r"\.md$", "").alias("name"), F.col("path").alias("target_id")))
+    named = keep(P.resolve(links, files.select(F.regexp_replace("filename", r"\.md$", "").alias("name"), F.col("path").alias("target_id"))))
     odd = bodies.select("path", F.posexplode(F.regexp_extract_all("body", F.lit(UNSUPPORTED), F.lit(0))).alias("at", "syntax"))
     identity = keys.where("key = 'uuid' and value <> ''").groupBy("path").agg(F.min("value").alias("written"))
     ids = files.select("path").join(identity, "path", "left").withColumn("parsed", object_id(F.col("written")))
@@ -146,9 +152,9 @@ def admit(observed: DataFrame) -> DataFrame:
         .when(kind == "parse_failure", "front_matter_open")
         .when(kind == "unsupported_syntax", "syntax_without_meaning")
         .when(~faults & (F.col("identity") != "identity_valid_and_alone"), "file_without_identity")
-        .when((kind == "frontmatter_shape") & (field("shape") == "empty"), "field_without_value")
-        .when((kind == "ambiguous_target") | ((kind == "wikilink") & (field("status") == "ambiguous")), "target_ambiguous")
-        .when((kind == "unresolved_target") | ((kind == "wikilink") & (field("status") == "unresolved")), "target_missing")
+        .when((kind == "frontmatter_shape") & (F.col("said") == "empty"), "field_without_value")
+        .when((kind == "ambiguous_target") | ((kind == "wikilink") & (F.col("said") == "ambiguous")), "target_ambiguous")
+        .when((kind == "unresolved_target") | ((kind == "wikilink") & (F.col("said") == "unresolved")), "target_missing")
         .otherwise("as_authored")
     )
     classes = {"identity_shared": "quarantined", "identity_malformed": "rejected", "identity_missing": "unresolved", "file_without_identity": "quarantined", "front_matter_open": "rejected", "syntax_without_meaning": "open_authoring_decision", "field_without_value": "open_authoring_decision", "target_ambiguous": "quarantined", "target_missing": "unresolved"}
@@ -156,7 +162,9 @@ def admit(observed: DataFrame) -> DataFrame:
     def by_rule(values: dict[str, str], otherwise: str) -> Column:
         return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("rule")], F.lit(otherwise))
 
-    ruled = observed.join(judged, "path", "left").withColumn("rule", rule).drop("identity")
+    # What the rules ask of a fact is read before the join, so that the fact itself need not go with it.
+    said = F.when(kind == "frontmatter_shape", field("shape")).when(kind == "wikilink", field("status"))
+    ruled = observed.withColumn("said", said).join(judged, "path", "left").withColumn("rule", rule).drop("identity", "said")
     return ruled.withColumns({"class": by_rule(classes, "admitted"), "authority": by_rule({k: a for k, (a, _) in RULES.items()}, ""), "lost": by_rule({k: x for k, (_, x) in RULES.items()}, "")})
 
 

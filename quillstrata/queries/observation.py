@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstrata.catalogue import register
 from quillstrata.operators import observation as O
 from quillstrata.queries.vault import _id, _uuid
-from quillstrata.sources import read_table
+from quillstrata.sources import durable_table, read_table, spread
 
 
 def files(spark: SparkSession, sf_dir: str, mended: bool = False) -> DataFrame:
@@ -17,7 +17,7 @@ def files(spark: SparkSession, sf_dir: str, mended: bool = False) -> DataFrame:
     ``mended`` files have identities where there were none, and no shared ones.
     """
     customer, nation = (read_table(spark, sf_dir, t) for t in ("customer", "nation"))
-    rows = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    rows = spread(customer, "c_custkey").join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     key = F.col("c_custkey")
     shared = F.when(key % 11 == 0, key - 1).otherwise(key) if not mended else key
     identity = F.when(key % 13 == 0, F.lit("uuid: not-an-identity")).when(~((key % 7 == 0) & F.lit(not mended)), F.concat(F.lit("uuid: "), _uuid(F.concat(F.lit("file:"), shared.cast("string")))))
@@ -59,7 +59,7 @@ _PLAIN = " UNION ALL ".join(f"SELECT '{kind}', '{found}', {n} FROM c" for kind,
 
 
 def _admitted(spark: SparkSession, sf_dir: str, mended: bool = False) -> DataFrame:
-    return O.admit(O.observe(files(spark, sf_dir, mended), "first"))
+    return O.admit(O.observe(files(spark, sf_dir, mended), "first", durable_table))
 
 
 @register("observation_classes", f"WITH c AS ({_C}), e AS ({_EACH}) SELECT fact_kind, class, sum(n)::BIGINT AS facts FROM (SELECT fact_kind, CASE WHEN identity = 'alone' THEN class ELSE 'quarantined' END AS class, n FROM e UNION ALL {_IDENTITY} UNION ALL {_PLAIN}) GROUP BY ALL HAVING sum(n) > 0")

@@ -59,3 +59,20 @@ def test_later_evidence_releases_what_waits(spark):
     assert got["v/one.md", "wikilink", "2"] == "admitted" and got["v/one.md", "ambiguous_target", "2"] == "gone"
     assert got["v/a/both.md", "source_identity", "1"] == "admitted" and got["v/b/both.md", "source_identity", "1"] == "gone"
     assert got["v/two.md", "heading", "1"] == "quarantined"
+
+
+def test_bodies_and_links_are_read_once(spark):
+    """Facts of several kinds are made of kept tables, not of the files anew for each kind."""
+    rows = [("a.md", "a.md", "---\nuuid: x\nclass: n\n---\n# One\n[[b#Two|t]] ![[c]]\n<b>"), ("b.md", "b.md", "plain [[a]]"), ("c.md", "c.md", None)]
+    files = spark.createDataFrame(rows, "path string, filename string, text string")
+    kept = []
+
+    def keep(table):
+        kept.append(table._jdf.queryExecution().optimizedPlan().toString())
+        return spark.createDataFrame(table.collect(), table.schema)
+
+    observed = O.observe(files, "s", keep)
+    plan = observed._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("[[" in x or "\\[" in x for x in kept) >= 1 and plan.count("posexplode(split(text") == 1 and plan.count("(!?)") == 0
+    columns = ("path", "fact_kind", "about", "ordinal")
+    assert sorted(map(repr, observed.select(*columns, observed.fact.cast("string")).collect())) == sorted(map(repr, (x := O.observe(files, "s")).select(*columns, x.fact.cast("string")).collect()))
