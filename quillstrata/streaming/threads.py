@@ -2,7 +2,9 @@
 
 A thread's state is kept as typed maps: its regions, relations, constraints and tensions,
 what hangs on regions, and the identities it has seen. A contribution reads and writes
-the records it names, whatever the size of its thread; no log is kept or folded again. A
+the records it names, whatever the size of its thread; no log is kept or folded again.
+Contributions of a thread that arrive together read a record once and write it once, and
+one that begins a thread reads none. A
 contribution that the fold accepts changes the state; one that breaks a rule, or arrives
 out of sequence, is answered with its violation and changes nothing. There is no event
 time in the log, so there is no watermark: order within a thread is given by sequence
@@ -55,25 +57,42 @@ def _fields(schema: str) -> list[str]:
 
 
 class _Table:
-    """A map state as a table of the fold: the records of one thread by key."""
+    """A map state as a table of the fold: the records of one thread by key.
+
+    Each record is asked for once until ``clear``, and reaches the state by ``flush``.
+    """
 
     def __init__(self, name: str, state: MapState) -> None:
         self._state, self._fields, self._single = state, _fields(_MAPS[name][1]), name in _SINGLE
+        self._nested = [f in _NESTED for f in self._fields]
+        self.clear(False)
+
+    def clear(self, empty: bool) -> None:
+        """Forget the records of the thread before; an ``empty`` state need not be asked."""
+        self._known, self._new, self._empty = {}, {}, empty
 
     @staticmethod
     def _key(key: object) -> tuple:
         return key if isinstance(key, tuple) else (key,)
 
     def get(self, key: object) -> object:
-        key = self._key(key)
-        if not self._state.containsKey(key):
-            return None
-        values = [json.loads(x) if f in _NESTED and x is not None else x for f, x in zip(self._fields, self._state.getValue(key), strict=True)]
-        return values[0] if self._single else dict(zip(self._fields, values, strict=True))
+        if key not in self._known:
+            held = None if self._empty else self._state.getValue(self._key(key))
+            if held is not None:
+                held = [json.loads(x) if nested and x is not None else x for nested, x in zip(self._nested, held, strict=True)]
+                held = held[0] if self._single else dict(zip(self._fields, held, strict=True))
+            self._known[key] = held
+        return self._known[key]
 
     def __setitem__(self, key: object, value: object) -> None:
-        row = [value] if self._single else [value.get(f) for f in self._fields]
-        self._state.updateValue(self._key(key), tuple(json.dumps(x, ensure_ascii=False) if f in _NESTED and x is not None else x for f, x in zip(self._fields, row, strict=True)))
+        self._known[key] = self._new[key] = value
+
+    def flush(self) -> None:
+        """Write the records that have changed."""
+        for key, value in self._new.items():
+            row = [value] if self._single else [value.get(f) for f in self._fields]
+            self._state.updateValue(self._key(key), tuple(json.dumps(x, ensure_ascii=False) if nested and x is not None else x for nested, x in zip(self._nested, row, strict=True)))
+        self._new = {}
 
 
 class Threads(StatefulProcessor):
@@ -87,9 +106,12 @@ class Threads(StatefulProcessor):
         self._tables = {name: _Table(name, handle.getMapState(name, key, value)) for name, (key, value) in _MAPS.items()}
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        thread = key[0]
-        head = dict(zip(_fields(_HEAD), self._head.get(), strict=True)) if self._head.exists() else None
-        space = fold.Space(thread, self._tables, head)
+        thread, held = key[0], self._head.get()
+        for table in self._tables.values():
+            # A thread has a head from its first accepted contribution on, and nothing before.
+            table.clear(held is None)
+        space = fold.Space(thread, self._tables, dict(zip(_fields(_HEAD), held, strict=True)) if held is not None else None)
+        before, answers = space.head["version"], []
         for row in sorted(rows, key=lambda r: r["sequence"]):
             code, changes = None, []
             version = space.head["version"]
@@ -99,10 +121,14 @@ class Threads(StatefulProcessor):
                 contribution = json.loads(row["contribution"])
                 changes = space.accept(contribution, self._limits).changes
                 version += 1
-                self._head.update(tuple(space.head[f] for f in _fields(_HEAD)))
             except fold.Violation as broken:
                 code = broken.record["code"]
-            yield Row(thread_id=thread, sequence=row["sequence"], accepted=code is None, version=version, code=code, changes=[Row(family=f, id=i, lifecycle=x) for f, i, x in changes])
+            answers.append(Row(thread_id=thread, sequence=row["sequence"], accepted=code is None, version=version, code=code, changes=[Row(family=f, id=i, lifecycle=x) for f, i, x in changes]))
+        for table in self._tables.values():
+            table.flush()
+        if space.head["version"] != before:
+            self._head.update(tuple(space.head[f] for f in _fields(_HEAD)))
+        yield from answers
 
     def close(self) -> None:
         """Nothing is held outside the state."""

@@ -148,6 +148,65 @@ def test_a_live_thread_writes_what_changes(spark, tmp_path):
     assert answers.where("sequence = 61").first().changes == [("region", "r7.3", "active")]
 
 
+def test_a_live_thread_asks_for_a_record_once():
+    """Contributions that arrive together read and write a record once; those that begin a thread read none."""
+    from collections import Counter
+
+    calls = Counter()
+
+    class State(dict):
+        def getValue(self, key):
+            calls["read", id(self), key] += 1
+            return self.get(key)
+
+        def containsKey(self, key):
+            calls["read", id(self), key] += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            calls["write", id(self), key] += 1
+            self[key] = value
+
+    class Head:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            calls["write", "head"] += 1
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Head()
+
+        def getMapState(self, name, key, value):
+            return State()
+
+    def said(n, regions):
+        lists = {x: [] for x in fold.LISTS} | {"region_operations": regions}
+        return {"sequence": n, "contribution": json.dumps({"contribution_id": f"c{n}", "source_turn_id": f"t{n}", "source_utterance_id": f"u{n}"} | lists)}
+
+    region = {"region_id": "r", "anchor_referents": [], "relation_ids": [], "local_constraint_ids": [], "open_tension_ids": [], "source_contribution_ids": [], "persistence_state": "active", "activation_band": "primary", "supersedes_region_id": None}
+    again = [{"operation": "reinforce", "region_id": "r", "reason": ""}]
+    live = threads.Threads(fold.UNLIMITED)
+    live.init(Handle())
+
+    def answered(*rows):
+        calls.clear()
+        return [(x.sequence, x.accepted, x.version, x.code) for x in live.handleInputRows(("x",), iter(rows), None)]
+
+    assert answered(said(2, again), said(1, [{"operation": "create", "region": region}]), said(3, again)) == [(1, True, 1, None), (2, True, 2, None), (3, True, 3, None)]
+    assert max(calls.values()) == 1 and not [x for x in calls if x[0] == "read"]
+    assert answered(said(4, again), said(5, again), said(5, again)) == [(4, True, 4, None), (5, True, 5, None), (5, False, 5, "accepted_entry_sequence_mismatch")]
+    assert max(calls.values()) == 1 and [x for x in calls if x[0] == "read"]
+    assert answered(said(2, again)) == [(2, False, 5, "accepted_entry_sequence_mismatch")] and not calls
+
+
 def test_shared_snapshots_follow_their_files(spark, tmp_path):
     built = []
 
